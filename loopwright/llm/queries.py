@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from loopwright.llm import mixing, packing, pii, quality, ranking, tokens, urls
+from loopwright.llm import fingerprints, minhash, mixing, packing, pii, quality, ranking, suffixes, tokens, urls
 from loopwright.llm.common import table
 
 #: The vocabulary that counting and packing use.
@@ -23,6 +23,10 @@ def tokenizer_path(name: str = VOCABULARY) -> str:
     return str(public_tokenizers.path(name))
 
 
+def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return fingerprints.edited(table(spark, sf_dir, "documents"))
+
+
 def _spans_of(kind: str) -> Column:
     return F.size(F.filter("spans", lambda s: s["kind"] == kind)).cast("bigint")
 
@@ -43,6 +47,10 @@ def op4_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept")
 
 
+def op5_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return suffixes.removed(table(spark, sf_dir, "documents"))
+
+
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     report, _ = mixing.mix(table(spark, sf_dir, "documents"))
     return report.select("doc_id", "size", "source_size", "target", "taken")
@@ -62,17 +70,24 @@ def op8_urls(spark: SparkSession, sf_dir: str) -> DataFrame:
     return urls.judge_urls(pages, campaign_urls(pages), URL_RULES).select("page_id", "host", "path", "rule", "verdict")
 
 
+def op9_minhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return minhash.near_classes(table(spark, sf_dir, "documents"))
+
+
 def op10_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return packing.pack_documents(table(spark, sf_dir, "documents"), tokenizer_path())
 
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
+    "op1_fingerprints": op1_fingerprints,
     "op2_pii": op2_pii,
     "op3_tokens": op3_tokens,
     "op4_quality": op4_quality,
+    "op5_suffixes": op5_suffixes,
     "op6_mixing": op6_mixing,
     "op7_ranking": op7_ranking,
     "op8_urls": op8_urls,
+    "op9_minhash": op9_minhash,
     "op10_packing": op10_packing,
 }
 
