@@ -153,6 +153,17 @@ def likeness(a: str, b: str) -> float:
     return float(max(0.0, (best - 1 / 16) / (15 / 16)))
 
 
+def likenesses(prints: list[bytes]):
+    """A function that tells the likenesses of print number i to all prints, none of them the empty text's."""
+    all_ = np.stack([np.frombuffer(p, np.uint8) for p in prints])
+
+    def similar(i: int) -> np.ndarray:
+        best = (all_ == all_[i]).reshape(len(all_), WALKS, -1).mean(axis=2).max(axis=1)
+        return np.maximum(0.0, (best - 1 / 16) / (15 / 16))
+
+    return similar
+
+
 def fingerprints(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, fingerprint of every document, in one scan."""
     rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
@@ -260,7 +271,8 @@ def near_classes(docs: DataFrame, threshold: float = 0.8, slots_per_band: int =
 
         return pairs.select("a", "b").mapInArrow(judged, "a string, b string, sim double")
 
-    labels = classes(members, verify, threshold, slack=None)
+    payload = banded.select(F.col("fingerprint").alias("node"), F.col("fingerprint").alias("data"))
+    labels = classes(members, verify, threshold, payload, likenesses)
     named = reps.join(labels.withColumnRenamed("node", "fingerprint"), "fingerprint", "left").withColumn("label", F.coalesce("label", "fingerprint"))
     ids = named.groupBy("label").agg(F.min("first_id").alias("class_id"))
     return known.join(named.select("fingerprint", "label"), "fingerprint").join(ids, "label").select("doc_id", "class_id")

@@ -1,26 +1,30 @@
 """Classes of linked items, from buckets of items that may be alike, without pairing off any bucket.
 
-Each round some members of a bucket are its heads; every member of another class of the bucket is verified against
-them. The first head is the least member; then, round after round, come members outside of the bucket's
-largest class that haven't been heads yet. Links join classes between rounds, so a bucket of any number of copies
-is done after its first head. It ends when no bucket has such a member left: then any two members of a bucket are in
-one class, or have been verified to be no link, or are known to be none by the triangle inequality (each
-member keeps its distance to the bucket's first head; where distances are a metric, two members whose distances
-differ by more than the link's can't be linked).
-
-Everything is a DataFrame; rounds are tables in the shared folder. Heads double in number each round, so that a
-bucket of n members without any link needs about log n rounds.
+Each bucket has a head, the member that shares most buckets with others; every other member is verified against it. Copies of
+one text, light edits included, are thus one class after one pass that is linear in the bucket. Buckets that still hold several
+classes are worked through whole, so that no link is lost: small ones as pairs of members of different classes (at
+most SMALL - 1 for a member), larger ones in blocks of bounded size. A task meets two blocks; it gives a link for each two
+classes that it joins, never its pairs. Blocks are cut along classes, and two blocks of one and the same class don't meet.
+
+Everything is a DataFrame; steps are tables in the shared folder.
 """
 
 from __future__ import annotations
 
 from collections.abc import Callable
 
+import numpy as np
+import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loopwright.llm.common import materialise
 
+#: Buckets of at most so many members are paired off.
+SMALL = 16
+#: Bytes of payload in a block.
+BLOCK_BYTES = 2 << 20
+
 
 def components(edges: DataFrame) -> DataFrame:
     """node, label (the least node of its component) of every node of edges (a, b). Large-star and small-star rounds."""
@@ -44,46 +48,68 @@ def components(edges: DataFrame) -> DataFrame:
     return hung.unionByName(work.select(F.col("a").alias("node"), F.col("a").alias("label")).distinct())
 
 
-def classes(members: DataFrame, verify: Callable[[DataFrame], DataFrame], threshold: float, slack: float | None = 0.0, heads: int = 1, growth: int = 8) -> DataFrame:
-    """node, label of every node that has a link. `members` has distinct rows of bucket, node; verify() adds sim to pairs (a, b).
+def _block_links(open_: DataFrame, payload: DataFrame, similar: Callable, threshold: float, block_bytes: int) -> DataFrame:
+    """a, b: links that join classes, found in the buckets' blocks. `open_` has bucket, node, label, main."""
+    rows = open_.join(payload, "node").withColumn("data", F.col("data").cast("binary"))
+    rank = Window.partitionBy("bucket").orderBy("label", "node").rowsBetween(Window.unboundedPreceding, 0)
+    cut = materialise(rows.withColumn("block", F.floor(F.sum(F.octet_length("data") + 64).over(rank) / block_bytes).cast("int")))
+    blocks = cut.groupBy("bucket", "block").agg(F.min("label").alias("low"), F.max("label").alias("high"))
+    left, right = (blocks.select("bucket", F.col("block").alias(x), F.col("low").alias(f"low_{x}"), F.col("high").alias(f"high_{x}")) for x in ("i", "j"))
+    met = left.join(right, "bucket").where((F.col("i") <= F.col("j")) & ((F.col("low_i") < F.col("high_j")) | (F.col("low_j") < F.col("high_i"))))
+    sides = met.select("bucket", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
+    dealt = sides.join(cut, ["bucket", "block"])
+    kind = open_.schema["node"].dataType.simpleString()
+
+    def joined(group: pd.DataFrame) -> pd.DataFrame:
+        own = group.reset_index(drop=True)
+        _, label = np.unique(own["label"].map(bytes if own["label"].dtype == object and not isinstance(own["label"].iloc[0], str) else (lambda x: x)), return_inverse=True)
+        alike, block = similar(list(own["data"])), own["block"].to_numpy()
+        apart = own["i"].iloc[0] != own["j"].iloc[0]
+        main = np.bincount(label).argmax()
+        found = []
+        for at in np.flatnonzero(label != main):
+            sims = alike(at)
+            near = (sims >= threshold) & (label != label[at])
+            if apart:
+                near &= block != block[at]
+            for other in np.flatnonzero(near):
+                if label[other] != label[at]:
+                    found.append((own["node"][at], own["node"][other]))
+                    label[label == label[at]] = label[other]
+        return pd.DataFrame(found, columns=["a", "b"])
+
+    return dealt.groupBy("bucket", "i", "j").applyInPandas(joined, f"a {kind}, b {kind}")
 
-    slack: for a metric distance 1 - sim, what is added to the bound of the triangle inequality; None if it isn't one.
+
+def classes(members: DataFrame, verify: Callable[[DataFrame], DataFrame], threshold: float, payload: DataFrame, similar: Callable, small: int = SMALL, block_bytes: int = BLOCK_BYTES) -> DataFrame:
+    """node, label of every node that has a link. `members` has distinct rows of bucket, node.
+
+    verify() adds sim to pairs (a, b). payload has node, data (any bytes); similar(list of data) gives a function that tells the
+    similarities of its item number i to all items.
     """
     members = materialise(members)
-    first = members.groupBy("bucket").agg(F.min("node").alias("head"), F.count("*").alias("n")).where("n > 1").drop("n")
-    crowded = materialise(members.join(first, "bucket"))
-    pairs = crowded.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
+    sizes = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
+    crowded = materialise(members.join(sizes, "bucket"))
+    weight = crowded.groupBy("node").agg(F.sum("n").alias("w"))
+    heads = crowded.join(weight, "node").groupBy("bucket").agg(F.min(F.struct((-F.col("w")).alias("w"), "node"))["node"].alias("head"))
+    headed = materialise(crowded.join(heads, "bucket"))
+    pairs = headed.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
     judged = materialise(verify(pairs).select("a", "b", "sim"))
     links = judged.where(F.col("sim") >= threshold).select("a", "b")
     labels = materialise(components(links))
-    # only buckets that the first head hasn't joined whole go on
-    far = judged.where(F.col("sim") < threshold).select(F.col("a").alias("head"), F.col("b").alias("node"))
-    undone = crowded.join(far, ["head", "node"], "left_semi").select("bucket").distinct()
-    own = crowded.join(undone, "bucket", "left_semi")
-    known = judged.select(F.col("a").alias("head"), F.col("b").alias("node"), (1.0 - F.col("sim")).alias("d"))
-    own = materialise(own.join(known, ["head", "node"], "left").select("bucket", "node", F.coalesce("d", F.lit(0.0)).alias("d"), (F.col("node") == F.col("head")).alias("used")))
-    while True:
-        named = own.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-        sizes = named.groupBy("bucket", "label").agg(F.count("*").alias("n"))
-        main = sizes.groupBy("bucket").agg(F.max(F.struct("n", "label")).alias("m"), F.count("*").alias("k")).where("k > 1").select("bucket", F.col("m.label").alias("main"))
-        open_ = materialise(named.join(main, "bucket"))
-        turn = Window.partitionBy("bucket").orderBy("node")
-        waiting = open_.where(~F.col("used") & (F.col("label") != F.col("main")))
-        next_ = materialise(waiting.withColumn("k", F.row_number().over(turn)).where(F.col("k") <= heads).select("bucket", F.col("node").alias("h"), F.col("label").alias("hl"), F.col("d").alias("hd")))
-        if not next_.limit(1).count():
-            return labels
-        met = open_.join(next_, "bucket").where(F.col("label") != F.col("hl"))
-        if slack is not None:
-            met = met.where(F.abs(F.col("d") - F.col("hd")) <= 1.0 - threshold + slack)
-        new = met.select(F.least("node", "h").alias("a"), F.greatest("node", "h").alias("b")).distinct()
-        # what was judged before, in this order or the other, isn't judged again
-        new = new.join(judged.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")), ["a", "b"], "left_anti")
-        fresh = materialise(verify(new).select("a", "b", "sim"))
-        found = fresh.where(F.col("sim") >= threshold).select("a", "b")
-        judged = judged.unionByName(fresh)
-        if found.limit(1).count():
-            hung = labels.select(F.col("label").alias("a"), F.col("node").alias("b"))
-            labels = materialise(components(hung.unionByName(found)))
-        used = next_.select("bucket", F.col("h").alias("node"), F.lit(True).alias("now"))
-        own = materialise(open_.select("bucket", "node", "d", "used").join(used, ["bucket", "node"], "left").select("bucket", "node", "d", (F.col("used") | F.coalesce("now", F.lit(False))).alias("used")))
-        heads *= growth
+    # buckets that their heads haven't joined whole
+    undone = headed.join(judged.where(F.col("sim") < threshold).select(F.col("a").alias("head"), F.col("b").alias("node")), ["head", "node"], "left_semi").select("bucket").distinct()
+    named = headed.where("n > 2").join(undone, "bucket", "left_semi").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    several = named.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("bucket")
+    open_ = materialise(named.join(several, "bucket", "left_semi").select("bucket", "node", "label", "head", "n"))
+    few = open_.where(F.col("n") <= small).select("bucket", "node", "label", "head")
+    other = few.select("bucket", F.col("node").alias("b"), F.col("label").alias("other"))
+    # pairs with the head have been judged
+    left = few.where("node <> head").join(other, "bucket").where((F.col("node") < F.col("b")) & (F.col("label") != F.col("other")) & (F.col("b") != F.col("head")))
+    met = verify(left.select(F.col("node").alias("a"), "b").distinct()).where(F.col("sim") >= threshold).select("a", "b")
+    many = open_.where(F.col("n") > small)
+    blocked = _block_links(many, payload, similar, threshold, block_bytes)
+    more = materialise(met.unionByName(blocked))
+    if more.isEmpty():
+        return labels
+    return materialise(components(labels.select(F.col("label").alias("a"), F.col("node").alias("b")).unionByName(more)))

@@ -121,7 +121,7 @@ def multiset(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     element, count = np.unique(hashes, return_counts=True)
     copy = np.arange(len(hashes)) - np.repeat(np.cumsum(count) - count, count)
     each = _mix(np.repeat(element, count) + copy.astype(np.uint64) * _GOLDEN) >> _U(32)
-    return element, count, np.sort(each.astype(np.uint32))
+    return element, count, np.unique(each.astype(np.uint32))
 
 
 def overlap(a: bytes, b: bytes) -> float:
@@ -129,17 +129,28 @@ def overlap(a: bytes, b: bytes) -> float:
     x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
     if not len(x) or not len(y):
         return 1.0 if len(x) == len(y) else 0.0
-    at = np.searchsorted(y, x)
-    # equal hashes within one text count once each: the smaller number of them is common
-    if (x[1:] == x[:-1]).any() or (y[1:] == y[:-1]).any():
-        (u, n), (v, m) = np.unique(x, return_counts=True), np.unique(y, return_counts=True)
-        _, i, j = np.intersect1d(u, v, assume_unique=True, return_indices=True)
-        both = int(np.minimum(n[i], m[j]).sum())
-    else:
-        both = int((y[np.minimum(at, len(y) - 1)] == x).sum())
+    both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
     return both / (len(x) + len(y) - both)
 
 
+def overlaps(bags: list[bytes]):
+    """A function that tells the similarities of bag number i to all bags, by the lists of bags that hold each of its elements."""
+    sets = [np.frombuffer(b, np.uint32) for b in bags]
+    size = np.array([len(x) for x in sets])
+    element, at = np.unique(np.concatenate(sets), return_inverse=True)
+    holder = np.repeat(np.arange(len(sets)), size)[np.argsort(at, kind="stable")]
+    begin = np.searchsorted(np.sort(at), np.arange(len(element) + 1))
+    own = np.split(at, np.cumsum(size)[:-1])
+
+    def similar(i: int) -> np.ndarray:
+        low, n = begin[own[i]], begin[own[i] + 1] - begin[own[i]]
+        places = np.repeat(low - (np.cumsum(n) - n), n) + np.arange(n.sum())
+        both = np.bincount(holder[places], minlength=len(sets))
+        return both / (size[i] + size - both)
+
+    return similar
+
+
 def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
     """doc_id, node (16 bytes: which words), bag (packed multiset), bands (hashes). Texts are read once, whole."""
     rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
@@ -204,7 +215,8 @@ def _labelled(docs: DataFrame, threshold: float, width: int, id_col: str, text_c
     members = materialise(bands.join(shared, "bucket"))
     # only nodes in a bucket with another one are ever verified
     open_bags = materialise(bags.join(members.select("node").distinct(), "node", "left_semi"))
-    return known.select("doc_id", "node"), classes(members, _verifier(open_bags), threshold, slack=1e-9)
+    payload = open_bags.select("node", F.col("bag").alias("data"))
+    return known.select("doc_id", "node"), classes(members, _verifier(open_bags), threshold, payload, overlaps)
 
 
 def near_classes(docs: DataFrame, threshold: float = 0.8, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
