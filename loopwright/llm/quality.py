@@ -20,7 +20,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loopwright.llm.common import SPACE_CHARS, materialise, text_or_empty, words
+from loopwright.llm.common import materialise, text_or_empty
 from loopwright.llm.textstats import CHAR_BINS, COMMON_WORDS, WORD_BINS, char_histogram, with_counts, word_histogram
 
 
@@ -90,10 +90,12 @@ def judge(docs: DataFrame, rules: Rules = Rules(), id_col: str = "doc_id", text_
 
 
 def keep(docs: DataFrame, rules: Rules = Rules(), text_col: str = "text", lang_col: str = "lang") -> DataFrame:
-    """The kept documents with all their columns: one scan for the references, one for the verdict, no shuffle of texts."""
+    """The kept documents with all their columns. The texts are scanned once; rows with their counts are a table, which the verdict reads.
+
+    A verdict straight over the scan would have the filter's pushed-down form work the words out again at each place that names them.
+    """
     row = F.struct(*[F.col(c) for c in docs.columns])
     df = docs.select(row.alias("row"), text_or_empty(text_col).alias("text"), language_key(F.col(lang_col)).alias("key"))
-    light = df.drop("row").withColumn("ws", words(F.col("text"))).withColumn("word_chars", F.length(F.translate("text", SPACE_CHARS, "")))
-    refs = references(light.select("key", char_histogram(F.col("text"), F.col("word_chars")).alias("chars"), word_histogram(F.col("ws")).alias("common")))
-    judged = verdict(_counted(df), refs, rules).where("kept")
+    counted = materialise(_counted(df).drop("text"))
+    judged = verdict(counted, references(counted), rules).where("kept")
     return judged.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
