@@ -8,7 +8,8 @@ Why counting by pre-token is exact for this kind of tokenizer: its pre-tokenizer
 white space, its merges never cross pre-tokens, and its normalizer maps characters one by one, except for
 combining marks and a few letters outside Latin. White-space separated chunks with a character outside
 Latin-1/Latin Extended-A, and the added special strings, therefore go to the library as they are; everything
-else is lower-cased and split here by the tokenizer's own pattern.
+else is lower-cased and split here by the tokenizer's own pattern. Stretches between white space are remembered with
+their values, so that a frequent one is split once a worker.
 
 Defined results: null text counts as empty; an empty text has 0 tokens; repeated rows are counted each;
 texts are processed whole, whatever their length; extra columns are ignored.
@@ -18,6 +19,7 @@ from __future__ import annotations
 
 import os
 import re
+import struct
 from collections.abc import Iterator
 
 import pyarrow as pa
@@ -37,7 +39,7 @@ _OTHER = re.compile("[^\\x00-\\u012f\\u0131-\\u017f]")
 _CHUNKS = re.compile("[ \\t\\n\\r]+")
 
 #: Distinct strings a worker remembers; beyond it the memory starts anew (counts stay the same).
-MEMO_ENTRIES = 300_000
+MEMO_ENTRIES = 500_000
 #: Longer strings aren't remembered.
 MEMO_CHARS = 64
 
@@ -80,9 +82,12 @@ class Coder:
         specials = sorted((t.content for t in self._tok.get_added_tokens_decoder().values()), key=len, reverse=True)
         self._specials = re.compile("(" + "|".join(map(re.escape, specials)) + ")") if specials else None
         self._marks = tuple({s[:2] for s in specials})
+        self._last = {i for s, i in self._tok.get_vocab(with_added_tokens=False).items() if s.endswith("</w>")}
         self._whole_ids = {s: i.to_bytes(4, "little") for s, i in whole.items()}
         self._whole_counts = dict.fromkeys(whole, 1)
         self._ids, self._counts = dict(self._whole_ids), dict(self._whole_counts)
+        self._chunk_ids: dict[bytes, bytes] = {}
+        self._chunk_counts: dict[bytes, int] = {}
 
     def _strings(self, text: str) -> list[str]:
         if self._specials and any(m in text for m in self._marks):
@@ -106,7 +111,19 @@ class Coder:
         return found
 
     def _merge(self, strings: list[str]) -> list[list[int]]:
-        return [e.ids for e in self._tok.encode_batch_fast(strings, add_special_tokens=False)]
+        """Ids of each string. Plain pre-tokens go through the merges together, one space apart: the last token of each ends a word."""
+        single = [bool(_PRE_TOKENS.fullmatch(s)) and not _OTHER.search(s) for s in strings]
+        joined, own = [], []
+        for i in self._tok.encode(" ".join(s for s, one in zip(strings, single) if one), add_special_tokens=False).ids:
+            own.append(i)
+            if i in self._last:
+                joined.append(own)
+                own = []
+        if own or len(joined) != sum(single):  # not a vocabulary of word ends
+            return [e.ids for e in self._tok.encode_batch_fast(strings, add_special_tokens=False)]
+        rest = iter([e.ids for e in self._tok.encode_batch_fast([s for s, one in zip(strings, single) if not one], add_special_tokens=False)])
+        plain = iter(joined)
+        return [next(plain) if one else next(rest) for one in single]
 
     def _looked_up(self, strings: list[str], memo: dict, whole: dict, value) -> list:
         try:
@@ -126,12 +143,31 @@ class Coder:
         here |= dict(zip(still, map(value, self._merge(still))))
         return [memo[s] if s in memo else here[s] for s in strings]
 
+    def _by_chunk(self, text: str, memo: dict, one: dict, whole: dict, value, join) -> list:
+        """The value of each stretch between ASCII white space, which no pre-token crosses; new ones are worked out together."""
+        chunks = text.encode().split()
+        try:
+            return list(map(memo.__getitem__, chunks))
+        except KeyError:
+            pass
+        missing = [c for c in set(chunks) if c not in memo]
+        parts = [self._strings(c.decode()) for c in missing]
+        values = iter(self._looked_up([s for p in parts for s in p], one, whole, value))
+        made = {c: join([next(values) for _ in p]) for c, p in zip(missing, parts)}
+        if len(memo) + len(made) > MEMO_ENTRIES:
+            memo.clear()
+        memo.update((c, v) for c, v in made.items() if len(c) <= MEMO_CHARS and len(memo) < MEMO_ENTRIES)
+        return [made[c] if c in made else memo[c] if c in memo else self._alone(c, one, whole, value, join) for c in chunks]
+
+    def _alone(self, chunk: bytes, one: dict, whole: dict, value, join):
+        return join(self._looked_up(self._strings(chunk.decode()), one, whole, value))
+
     def count(self, text: str) -> int:
-        return sum(self._looked_up(self._strings(text), self._counts, self._whole_counts, len))
+        return sum(self._by_chunk(text, self._chunk_counts, self._counts, self._whole_counts, len, sum))
 
     def pack(self, text: str) -> bytes:
-        packed = lambda ids: b"".join(i.to_bytes(4, "little") for i in ids)
-        return b"".join(self._looked_up(self._strings(text), self._ids, self._whole_ids, packed))
+        packed = lambda ids: struct.pack(f"<{len(ids)}I", *ids)
+        return b"".join(self._by_chunk(text, self._chunk_ids, self._ids, self._whole_ids, packed, b"".join))
 
 
 _CODERS: dict[int, Coder] = {}
