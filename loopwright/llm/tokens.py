@@ -40,6 +40,8 @@ _CHUNKS = re.compile("[ \\t\\n\\r]+")
 
 #: Distinct strings a worker remembers; beyond it the memory starts anew (counts stay the same).
 MEMO_ENTRIES = 500_000
+#: As many stretches between white space.
+CHUNK_ENTRIES = 800_000
 #: Longer strings aren't remembered.
 MEMO_CHARS = 64
 
@@ -150,14 +152,17 @@ class Coder:
             return list(map(memo.__getitem__, chunks))
         except KeyError:
             pass
-        missing = [c for c in set(chunks) if c not in memo]
+        missing = list(set(chunks).difference(memo))
         parts = [self._strings(c.decode()) for c in missing]
         values = iter(self._looked_up([s for p in parts for s in p], one, whole, value))
         made = {c: join([next(values) for _ in p]) for c, p in zip(missing, parts)}
-        if len(memo) + len(made) > MEMO_ENTRIES:
+        if len(memo) + len(made) > CHUNK_ENTRIES:
             memo.clear()
-        memo.update((c, v) for c, v in made.items() if len(c) <= MEMO_CHARS and len(memo) < MEMO_ENTRIES)
-        return [made[c] if c in made else memo[c] if c in memo else self._alone(c, one, whole, value, join) for c in chunks]
+        memo.update((c, v) for c, v in made.items() if len(c) <= MEMO_CHARS and len(memo) < CHUNK_ENTRIES)
+        try:
+            return list(map(memo.__getitem__, chunks))
+        except KeyError:  # long ones, or what the memory has just forgotten
+            return [made[c] if c in made else memo[c] if c in memo else self._alone(c, one, whole, value, join) for c in chunks]
 
     def _alone(self, chunk: bytes, one: dict, whole: dict, value, join):
         return join(self._looked_up(self._strings(chunk.decode()), one, whole, value))
