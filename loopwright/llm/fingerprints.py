@@ -25,7 +25,8 @@ single row of a table is its own next; extra columns are ignored.
 from __future__ import annotations
 
 import hashlib
-from bisect import bisect_left
+from array import array
+from bisect import bisect_left, bisect_right
 from collections.abc import Iterator
 
 import numpy as np
@@ -96,15 +97,15 @@ class Walk:
         rows, mask = self._rows, PERIOD - 1
         for first in range(0, len(text), BLOCK):
             part = text[first : first + BLOCK]
-            arrivals = []
-            begin, arrive = j, arrivals.append
-            for row in map(rows.__getitem__, part):
-                arrive(j)
-                j += row[j & mask]
+            begin = j
+            left = [j := j + row[j & mask] for row in map(rows.__getitem__, part)]  # the step at which each character is left
             low, high = bisect_left(self._steps, begin), bisect_left(self._steps, j)
             if low < high:
                 steps = self._at[low:high]
-                on = np.searchsorted(np.array(arrivals, np.int64), steps, side="right") - 1
+                if 16 * (high - low) < len(left):
+                    on = np.array([bisect_right(left, s) for s in self._steps[low:high]])
+                else:
+                    on = np.searchsorted(np.frombuffer(array("q", left), np.int64), steps, side="right")
                 chars = np.frombuffer(part.encode("utf-32-le", "surrogatepass"), np.uint32)[on].astype(np.uint64)
                 value = _mix(chars * _GOLDEN ^ _mix(steps.astype(np.uint64) + _GOLDEN)) & np.uint64(15)
                 slots[self._slot[low:high]] = value.astype(np.uint8)  # steps rise, so a slot's last one stays
