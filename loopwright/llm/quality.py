@@ -1,27 +1,33 @@
 """Quality rules by divergence from language references.
 
 A document's histogram of character classes and its histogram of common words are compared to those of its
-language, pooled over all documents of the table, by Jensen-Shannon distance (base 2: 0 same, 1 disjoint). A text shorter
-than the guards isn't judged by a histogram that its length can't fill. Base rules come first: fewer than 50
-words, or more than half of the words in repeated windows of three.
+language, pooled over all documents of the table, by Jensen-Shannon distance (base 2: 0 same, 1 disjoint). Four of five
+words are in the last bin of the second, so that a text without a single common word is still near. Therefore the
+share of the own language's common words is compared too, as a distance in parts of that of a text without any: 0 is the
+language's share, 1 is none. The word distance is the larger of both. A text shorter than the guards isn't judged by
+a histogram that its length can't fill. Base rules come first: fewer than 50 words, or more than half of the words
+in repeated windows of three.
 
 Only DataFrame functions are used. References are one row for each of a fixed set of languages and one for all
 others, so they are collected and compiled into the plan as literals. No shuffle but that of these sums.
 
 Defined results: null and empty texts have no words and fail the base rules; an unknown or null language is
-compared to the pool of all such; repeated rows are judged each; an empty table gives no rows; extra columns are
+compared to the pool of all such, and has no share of its own; repeated rows are judged each; an empty table gives no rows; extra columns are
 ignored by judge() and kept by keep().
 """
 
 from __future__ import annotations
 
+import math
+import operator
 from dataclasses import dataclass
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loopwright.llm.common import materialise, text_or_empty
-from loopwright.llm.textstats import CHAR_BINS, COMMON_WORDS, WORD_BINS, char_histogram, with_counts, word_histogram
+from loopwright.llm.textstats import ALL_COMMON, CHAR_BINS, COMMON_WORDS, WORD_BINS, char_histogram, with_counts, word_histogram
 
 
 @dataclass(frozen=True)
@@ -33,6 +39,8 @@ class Rules:
     #: Guards: shorter texts aren't judged by the histogram.
     min_chars: int = 200
     min_histogram_words: int = 80
+    #: A share is compared where the text's language would have so many common words in it.
+    min_expected_common: int = 8
 
 
 def language_key(lang: Column) -> Column:
@@ -68,10 +76,33 @@ def _by_language(counts: Column, refs: dict[str, tuple[list[int], list[int]]], w
     return distance
 
 
+def _distance(p: float, q: float) -> float:
+    """Jensen-Shannon distance of two shares."""
+    half = lambda x, m: x * math.log2(x / m) if x > 0 else 0.0
+    terms = [half(a, (a + b) / 2) + half(b, (a + b) / 2) for a, b in ((p, q), (1 - p, 1 - q))]
+    return math.sqrt(max(sum(terms) / 2, 0.0))
+
+
+def share_distance(counts: Column, refs: dict[str, tuple[list[int], list[int]]], min_expected: int) -> Column:
+    """Distance of the share of the own language's common words, in parts of that of a text without any; null for other languages and below the guard."""
+    distance = F.lit(None).cast("double")
+    for key, (_, reference) in sorted(refs.items()):
+        at = [ALL_COMMON.index(w) for w in COMMON_WORDS.get(key, [])]
+        own, whole = sum(reference[i] for i in at), sum(reference)
+        if not own:
+            continue
+        common = reduce(operator.add, [F.element_at(counts, i + 1) for i in at])
+        total = F.aggregate(counts, F.lit(0).cast("bigint"), lambda acc, x: acc + x)
+        judged = (F.col("key") == key) & (total * (own / whole) >= min_expected)
+        relative = jensen_shannon(F.array(common, total - common), [own, whole - own]) / _distance(0.0, own / whole)
+        distance = F.when(judged, relative).otherwise(distance)
+    return distance
+
+
 def verdict(df: DataFrame, refs: dict, rules: Rules) -> DataFrame:
     """Adds char_distance, word_distance (null below the guards), base_failed and kept to rows with counts and histograms."""
     df = df.withColumn("char_distance", F.when(F.col("word_chars") >= rules.min_chars, _by_language(F.col("chars"), refs, 0)))
-    df = df.withColumn("word_distance", F.when(F.col("n_words") >= rules.min_histogram_words, _by_language(F.col("common"), refs, 1)))
+    df = df.withColumn("word_distance", F.when(F.col("n_words") >= rules.min_histogram_words, F.greatest(_by_language(F.col("common"), refs, 1), share_distance(F.col("common"), refs, rules.min_expected_common))))
     df = df.withColumn("base_failed", (F.col("n_words") < rules.min_words) | (100 * F.col("n_repeat_words") > rules.max_repeat_percent * F.col("n_words")))
     near = (F.coalesce("char_distance", F.lit(0.0)) <= rules.max_char_distance) & (F.coalesce("word_distance", F.lit(0.0)) <= rules.max_word_distance)
     return df.withColumn("kept", ~F.col("base_failed") & near)

@@ -1,6 +1,7 @@
 """The other operators against brute force, the tokenizer library, their own SQL and held-out labels."""
 
 import hashlib
+import math
 import random
 import re
 import zlib
@@ -9,7 +10,7 @@ from collections import Counter
 import pytest
 from pyspark.sql import functions as F
 
-from loopwright.llm import mixing, packing, pii, quality, queries, ranking, tokens, urls
+from loopwright.llm import mixing, packing, pii, quality, queries, ranking, textstats, tokens, urls
 
 SF = "/root/testdata/sf0.001"
 SCHEMA = "doc_id bigint, text string, lang string, source string, spans string, row string"
@@ -144,6 +145,58 @@ def test_quality_keeps_clean_and_drops_junk(spark):
     assert sum(good) >= 0.9 * len(good)
 
 
+def js(a, b):
+    half = lambda x, y: x * math.log2(2 * x / (x + y)) if x else 0.0
+    p, q = [x / sum(a) for x in a], [x / sum(b) for x in b]
+    return math.sqrt(max(sum(half(x, y) + half(y, x) for x, y in zip(p, q)) / 2, 0))
+
+
+def brute_kept(rows):
+    """kept of (text, lang), histograms and all, by loops."""
+    bins = {lang: [] for _, lang in rows}
+    for text, lang in rows:
+        ws = text.split()
+        letters, upper, digits, spaces = (sum(f(c) for c in text) for f in (str.isalpha, str.isupper, str.isdigit, str.isspace))
+        punctuation = sum(c in textstats.PUNCTUATION for c in text)
+        chars = [letters - upper, upper, digits, spaces, punctuation, len(text) - letters - digits - spaces - punctuation]
+        seen = Counter(w.lower() if w.lower() in textstats.ALL_COMMON else "" for w in ws)
+        bins[lang].append((chars, [seen[w] for w in [*textstats.ALL_COMMON, ""]], sum(seen[w] for w in textstats.COMMON_WORDS.get(lang, []))))
+    pooled = {lang: ([sum(x) for x in zip(*[b[0] for b in bs])], [sum(x) for x in zip(*[b[1] for b in bs])], sum(b[2] for b in bs)) for lang, bs in bins.items()}
+    kept, turn = [], Counter()
+    for text, lang in rows:
+        chars, common, own = bins[lang][turn[lang]]
+        turn[lang] += 1
+        all_chars, all_common, all_own = pooled[lang]
+        n, whole = sum(common), sum(all_common)
+        counts = brute_counts(text)
+        ok = counts[0] >= 50 and 100 * counts[4] <= 50 * counts[0] and (counts[1] < 200 or js(chars, all_chars) <= 0.2)
+        if n >= 80:
+            ok &= js(common, all_common) <= 0.45
+            if all_own and n * all_own / whole >= 8:
+                ok &= js([own, n - own], [all_own, whole - all_own]) / js([0, 1], [all_own, whole - all_own]) <= 0.45
+        kept.append(ok)
+    return kept
+
+
+def test_quality_kept_is_that_of_brute_force_and_drops_texts_without_common_words(spark):
+    draw = random.Random(8)
+    word = lambda: "".join(draw.choice("abcdefghijklmnop") for _ in range(draw.randint(6, 9)))
+
+    def text(n, share, lang):
+        return " ".join(draw.choice(textstats.COMMON_WORDS[lang]) if draw.random() < share else word() for _ in range(n))
+
+    rows = [(text(draw.randint(60, 400), 0.22, lang), lang) for lang in textstats.COMMON_WORDS for _ in range(40)]
+    good = len(rows)
+    rows += [(text(draw.randint(80, 400), 0, lang), lang) for lang in textstats.COMMON_WORDS for _ in range(8)]
+    rows += [(" | ".join(text(3, 0, "en") for _ in range(40)), "en"), (text(200, 0.22, "fr"), "en"), (text(200, 0.04, "de"), "de"), (text(60, 0, "es"), "es")]
+    rows += [(text(150, 0, "en"), "xx") for _ in range(4)]
+    df = spark.createDataFrame([(i, t, lang) for i, (t, lang) in enumerate(rows)], "doc_id bigint, text string, lang string")
+    got = [r["kept"] for r in quality.judge(df).orderBy("doc_id").collect()]
+    assert got == brute_kept(rows)
+    assert sum(got[:good]) >= 0.97 * good
+    assert not any(got[good : good + 35]) and all(got[good + 35 :])
+
+
 def test_mixing_meets_targets_and_its_sql(spark):
     import duckdb
 
