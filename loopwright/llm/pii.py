@@ -1,7 +1,7 @@
 """Personal data: patterns propose spans, checksums confirm them, nearby words adjust their score.
 
 Kinds of the base: email, ip (parts at most 255), card (14 to 19 digits, Luhn), phone (+, 10 to 15 digits).
-A confirmed base span always stays. The method adds: iban (mod 97), card13 (13 digits, Luhn, a word for a card before
+A confirmed base span always stays. The method adds: iban (the country's length, mod 97), card13 (13 digits, Luhn, a word for a card before
 it) and phone_local (ten digits in the usual 3-3-4 form, a word for a telephone before it). A span's score is that of
 its kind, raised by a telling word in the gap before it (its last 40 characters), lowered by a word that tells of
 something else; added spans need a score of 0.5.
@@ -27,7 +27,26 @@ EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Z
 IP = r"(?<![0-9])[0-9]++(?:\.[0-9]++){3}"
 CARD = r"[0-9](?:[\x20-]?+[0-9])++"
 PHONE = r"\+[0-9][\x20().0-9-]+[0-9]"
-IBAN = r"(?<![A-Za-z0-9])[A-Z]{2}[0-9]{2}(?:\x20?[A-Z0-9]{4}){2,7}(?:\x20?[A-Z0-9]{1,3})?(?![A-Za-z0-9])"
+#: Length of an account number by country, as registered.
+IBAN_COUNTRIES = {
+    15: "NO", 16: "BE", 18: "DK FI FK FO GL NL SD", 19: "MK SI", 20: "AT BA EE KZ LT LU MN XK", 21: "CH HR LI LV", 22: "BG BH CR DE GB GE IE ME RS VA", 23: "AE GI IL IQ OM SO TL",
+    24: "AD CZ ES MD PK RO SA SE SK TN VG", 25: "LY PT ST", 26: "IS TR", 27: "BI DJ FR GR IT MC MR SM", 28: "AL AZ BY CY DO GT HN HU LB NI PL SV", 29: "BR EG PS QA UA", 30: "JO KW MU YE", 31: "MT SC", 32: "LC", 33: "RU",
+}
+
+
+def _iban_pattern() -> str:
+    """Groups of four up to the country's length, so that a word or number after it isn't taken in; the general form for countries without a length."""
+
+    def of_length(n: int, countries: str) -> str:
+        fours, rest = divmod(n - 4, 4)
+        return rf"(?:{countries.replace(' ', '|')})[0-9]{{2}}(?:\x20?[A-Z0-9]{{4}}){{{fours}}}" + (rf"\x20?[A-Z0-9]{{{rest}}}" if rest else "")
+
+    listed = "|".join(c.replace(" ", "|") for c in IBAN_COUNTRIES.values())
+    general = rf"(?!{listed})[A-Z]{{2}}[0-9]{{2}}(?:\x20?[A-Z0-9]{{4}}){{2,7}}(?:\x20?[A-Z0-9]{{1,3}})?"
+    return rf"(?<![A-Za-z0-9])(?=[A-Z]{{2}}[0-9]{{2}})(?:{'|'.join([*(of_length(n, c) for n, c in IBAN_COUNTRIES.items()), general])})(?![A-Za-z0-9])"
+
+
+IBAN = _iban_pattern()
 PHONE_LOCAL = r"(?<![0-9+(.-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[.\x20-])[0-9]{3}[.\x20-][0-9]{4}(?![0-9])"
 
 #: Before the patterns, a cheap test that a text could hold a match.

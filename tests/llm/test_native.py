@@ -62,6 +62,31 @@ def test_pii_redaction(spark):
     assert got == ["write to [EMAIL] now", None, "é [IP]!", "nothing"]
 
 
+def iban(country, length, draw):
+    body = "".join(draw.choice("0123456789") for _ in range(length - 4))
+    value = int("".join(str(int(c, 36)) for c in f"{body}{country}00"))
+    return f"{country}{98 - value % 97:02d}{body}"
+
+
+def test_pii_iban_ends_at_its_countrys_length(spark):
+    draw = random.Random(4)
+    lengths = {"AT": 20, "BE": 16, "ES": 24, "CZ": 24, "SE": 24, "SK": 24, "LT": 20, "LU": 20, "RO": 24, "PL": 28, "CY": 28, "HU": 28, "DE": 22, "FR": 27, "NO": 15, "MT": 31, "CH": 21, "RU": 33, "MA": 28}
+    known = [(c, n, after) for c, n in lengths.items() for after in ("", ".", " EUR", " 24 euros", " BIC", " 7", " 2024", " ABCD 12", "\n12") if c != "MA" or after in ("", ".", "\n12")]
+    cases = [(iban(c, n, draw), after) for c, n, after in known]
+    cases += [("AT611904300234573201", " EUR"), ("ES9121000418450200051332", " 24 euros"), ("BE68539007547034", " BIC")]
+    rows = [(number if k % 2 else " ".join(number[i : i + 4] for i in range(0, len(number), 4)), after) for k, (number, after) in enumerate(cases)]
+    two = [" ".join(number[i : i + 4] for i in range(0, len(number), 4)) for number in (iban("BE", 16, draw), iban("DE", 22, draw))]
+    wrong = ["BE68539007547035 BIC", "BE6853900754703 4", "ES91210004184502000513322 4", "xBE68539007547034 EUR"]
+    texts = [f"iban {number}{after}" for number, after in rows] + [" ".join(two)] + wrong
+    df = docs(spark, texts)
+    got = {r["doc_id"]: [(s["start"], s["text"]) for s in r["spans"] if s["kind"] == "iban"] for r in pii.find_spans(df).collect()}
+    for i, (number, _) in enumerate(rows):
+        assert got[i] == [(5, number)], texts[i]
+    assert got[len(rows)] == [(0, two[0]), (len(two[0]) + 1, two[1])] and all(got[len(rows) + 1 + k] == [] for k in range(len(wrong)))
+    clean = [r["text"] for r in pii.redact(docs(spark, ["to AT611904300234573201 EUR", "ES9121000418450200051332 24 euros"])).orderBy("doc_id").collect()]
+    assert clean == ["to [IBAN] EUR", "[IBAN] 24 euros"]
+
+
 @pytest.fixture(scope="module")
 def library():
     from tokenizers import Tokenizer
