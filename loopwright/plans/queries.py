@@ -12,7 +12,7 @@ from loopwright.functions import text as T
 from loopwright.operators import edits, graph, neighbours, snap, solver, stats
 from loopwright.plans import views as V
 from loopwright.plans.model import build_model
-from loopwright.schema import Weights
+from loopwright.schema import Config, Weights
 from loopwright.sinks import export
 from loopwright.sources import synthetic
 
@@ -263,9 +263,8 @@ def snap_offset_summary(spark, sf_dir):
 
 @registered()
 def dist_house_pairs(spark, sf_dir):
-    """All walking distances of a synthetic neighbourhood."""
-    g = synthetic.grid(spark, 4, 4, 2)
-    return build_model(g["houses"], g["nodes"], g["ways"]).dist.select("i", "j", _round(F.col("metres").cast("double"), 2).alias("metres"))
+    """All walking distances inside every neighbourhood."""
+    return _neighbourhoods(spark, sf_dir)[1].dist.select("i", "j", _round(F.col("metres").cast("double"), 2).alias("metres"))
 
 
 _KNN = "knn AS (SELECT h, j, rank FROM (SELECT a.h, b.h AS j, row_number() OVER (PARTITION BY a.h ORDER BY sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)), b.h) AS rank FROM points a JOIN points b ON a.h <> b.h) WHERE rank <= 6)"
@@ -449,9 +448,8 @@ def synthetic_houses(spark, sf_dir):
 
 
 def _neighbourhoods(spark, sf_dir):
-    """A small neighbourhood for each region, as many areas as regions."""
-    areas = V.table(spark, sf_dir, "region").count()
-    g = synthetic.grid(spark, 3, 4, 2, areas=areas)
+    """The customers' neighbourhoods and their model."""
+    g = V.neighbourhoods(spark, sf_dir)
     return g, build_model(g["houses"], g["nodes"], g["ways"])
 
 
@@ -459,7 +457,8 @@ def _neighbourhoods(spark, sf_dir):
 def solve_partition(spark, sf_dir):
     """Groups and loops of every area under two seeds; sizes, feasibility and loops."""
     g, m = _neighbourhoods(spark, sf_dir)
-    runs = solver.sweep(g["houses"], [1, 2], 3, 120, [Weights()])
+    config = Config()
+    runs = solver.sweep(g["houses"], [1, 2], config.groups, config.iterations, [config.weights])
     found = solver.solve_runs(m.solver_houses(), m.dist, runs)
     return found.select("area", "run", "g", F.size("tour").alias("houses"), "feasible", _round("length", 2).alias("length"), "cut")
 
@@ -470,7 +469,7 @@ def solve_tours(spark, sf_dir):
     g, m = _neighbourhoods(spark, sf_dir)
     row = F.regexp_extract("street", r"(\d+)$", 1).cast("int")
     a = g["houses"].select("area", F.col("house_id").alias("h"), row.alias("g"))
-    return solver.route_groups(a, m.dist, 3).select("area", "g", "signature", _round("length", 2).alias("length"), F.size("tour").alias("stops"))
+    return solver.route_groups(a, m.dist, V.ROWS).select("area", "g", "signature", _round("length", 2).alias("length"), F.size("tour").alias("stops"))
 
 
 @registered()

@@ -5,7 +5,12 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loopwright.sources import synthetic
+
 GROUPS = 6
+#: A neighbourhood: rows and columns of its streets, places on each side of a block, and houses in all.
+ROWS, COLS, PER_EDGE = 4, 4, 2
+NEIGHBOURHOOD = ROWS * (COLS - 1) * PER_EDGE * 2
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -28,6 +33,26 @@ HOUSES_SQL = f"""houses AS (
          c_acctbal < 0 AS flagged, c_custkey % 17 = 0 AS manual, c_nationkey % {GROUPS} AS g, c_custkey % 40 AS segment FROM customer)"""
 
 
+def neighbourhoods(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
+    """nodes, ways and houses: customers dealt by key into neighbourhoods of at most NEIGHBOURHOOD houses, along a grid of streets for each.
+
+    The number of areas grows with the table. A house stands within its place by its key, so areas differ.
+    """
+    k = F.col("c_custkey")
+    slot = F.pmod(k, F.lit(NEIGHBOURHOOD)).cast("int")
+    row, rest = F.floor(slot / (NEIGHBOURHOOD // ROWS)).cast("int"), slot % (NEIGHBOURHOOD // ROWS)
+    along = F.floor(rest / (2 * PER_EDGE)) + (F.floor(rest % (2 * PER_EDGE) / 2) + 0.1 + k * 31 % 89 / 89 * 0.8) / PER_EDGE
+    street = F.concat(F.lit("Row "), row.cast("string"))
+    houses = table(spark, sf_dir, "customer").select(
+        F.floor(k / NEIGHBOURHOOD).cast("string").alias("area"), k.cast("string").alias("house_id"), slot.alias("ord"),
+        (synthetic.LAT0 + row * synthetic.D_LAT + F.when(slot % 2 == 0, F.lit(synthetic.OFF)).otherwise(F.lit(-synthetic.OFF))).alias("lat"), (synthetic.LON0 + along * synthetic.D_LON).alias("lon"),
+        F.concat(k.cast("string"), F.lit(" "), street).alias("label"), street.alias("street"), (F.col("c_acctbal") < 0).alias("flagged"), (k % 17 == 0).alias("manual"),
+    )
+    areas = houses.select("area").distinct()
+    streets = synthetic.grid(spark, ROWS, COLS, 0)
+    return {"houses": houses} | {name: areas.crossJoin(F.broadcast(streets[name].drop("area"))) for name in ("nodes", "ways")}
+
+
 def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
     """Suppliers as crossings of a grid ten wide, by rows."""
     k = F.col("s_suppkey")
