@@ -5,27 +5,34 @@ from __future__ import annotations
 import atexit
 import tempfile
 import uuid
+import weakref
 from collections.abc import Iterator
 from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-
 #: Spark's setting that removes the shuffle files of a query at its end.
 SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
 
+_LOCAL: dict[str, str] = {}
+_PATHS: weakref.WeakKeyDictionary[DataFrame, str] = weakref.WeakKeyDictionary()
+
 
 def shared_dir(spark: SparkSession) -> str:
-    """spark.checkpoint.dir; a temporary folder only where that is unset, as in tests."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="loopwright-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+    """spark.checkpoint.dir. Where it is unset a session on one machine gets a folder of its own, as in tests; a cluster gets an error."""
+    context = spark.sparkContext
+    found = context.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
+    if found:
+        return found.rstrip("/")
+    if not (context.master or "").startswith("local"):
+        raise ValueError("spark.checkpoint.dir is unset; it has to name a folder that all executors share")
+    if context.applicationId not in _LOCAL:
+        _LOCAL[context.applicationId] = tempfile.mkdtemp(prefix="loopwright-")
+    return _LOCAL[context.applicationId]
 
 
-def _remove(spark: SparkSession, path: str) -> None:
+def remove(spark: SparkSession, path: str) -> None:
     try:
         target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
         target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
@@ -34,7 +41,7 @@ def _remove(spark: SparkSession, path: str) -> None:
 
 
 @contextmanager
-def _dropping_shuffles(spark: SparkSession) -> Iterator[None]:
+def dropping_shuffles(spark: SparkSession) -> Iterator[None]:
     """Within it, a query's shuffle files go when the query has ended: what it wrote is a table by then."""
     before = spark.conf.get(SHUFFLE_CLEANUP, None)
     spark.conf.set(SHUFFLE_CLEANUP, "true")
@@ -45,13 +52,26 @@ def _dropping_shuffles(spark: SparkSession) -> Iterator[None]:
 
 
 def written(df: DataFrame) -> DataFrame:
-    """df as a table in the shared folder, removed when the driver exits. A lost executor costs a reread."""
+    """df as a table in the shared folder. A lost executor costs a reread, never a recomputation.
+
+    drop() removes the table once all that reads it is written itself; what is left goes when the driver exits.
+    """
     spark = df.sparkSession
     path = f"{shared_dir(spark)}/loopwright/{uuid.uuid4().hex}"
-    with _dropping_shuffles(spark):
-        df.write.parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+    with dropping_shuffles(spark):
+        df.write.option("compression", "zstd").parquet(path)
+    atexit.register(remove, spark, path)
+    table = spark.read.schema(df.schema).parquet(path)
+    _PATHS[table] = path
+    return table
+
+
+def drop(*tables: DataFrame) -> None:
+    """Removes tables that written() gave and that nothing will read again."""
+    for table in tables:
+        path = _PATHS.pop(table, None)
+        if path:
+            remove(table.sparkSession, path)
 
 
 def renamed(df: DataFrame) -> DataFrame:
