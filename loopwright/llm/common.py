@@ -2,15 +2,14 @@
 
 from __future__ import annotations
 
-import atexit
-import tempfile
-import uuid
-from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from loopwright.checkpoints import drop, shared_dir
+from loopwright.checkpoints import written as materialise
+
 #: Java form of the word class: anything but space, tab, line feed, vertical tab, form feed and carriage return.
 SPACES = r"[ \t\n\x0B\f\r]+"
 
@@ -18,54 +17,36 @@ SPACES = r"[ \t\n\x0B\f\r]+"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 
 
-#: Spark's setting that removes the shuffle files of a query at its end.
-SHUFFLE_CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
-def shared_dir(spark: SparkSession) -> str:
-    """The folder all executors share: spark.checkpoint.dir; a temporary one only where that is unset (local tests)."""
-    found = spark.sparkContext.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None)
-    if not found:
-        found = tempfile.mkdtemp(prefix="loopwright-")
-        spark.conf.set("spark.checkpoint.dir", found)
-    return found.rstrip("/")
+def chosen(docs: DataFrame, **wanted: str) -> DataFrame:
+    """The wanted columns (new name = column of docs) alone. Other columns may have any names, also such as differ in case only or have dots."""
+    rows = docs.toDF(*[f"c{i}" for i in range(len(docs.columns))])
+    return rows.select(*[F.col(f"c{place(docs, name)}").alias(new) for new, name in wanted.items()])
 
 
-def _remove(spark: SparkSession, path: str) -> None:
-    try:
-        jvm = spark.sparkContext._jvm
-        target = jvm.org.apache.hadoop.fs.Path(path)
-        target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
-    except Exception:  # the session has ended: the cluster's own retention clears its scratch folder
-        pass
+def place(docs: DataFrame, name: str) -> int:
+    """Which column has this name: the first that is spelled so, else the first that differs in case only."""
+    for same in (str, str.lower):
+        for i, c in enumerate(docs.columns):
+            if same(c) == same(name):
+                return i
+    raise ValueError(f"no column {name!r} among {docs.columns}")
 
 
-@contextmanager
-def _dropping_shuffles(spark: SparkSession) -> Iterator[None]:
-    """Within it, a query's shuffle files go when the query has ended: what it wrote is a table by then."""
-    before = spark.conf.get(SHUFFLE_CLEANUP, None)
-    spark.conf.set(SHUFFLE_CLEANUP, "true")
-    try:
-        yield
-    finally:
-        spark.conf.unset(SHUFFLE_CLEANUP) if before is None else spark.conf.set(SHUFFLE_CLEANUP, before)
+def with_row(docs: DataFrame, **wanted: str) -> DataFrame:
+    """As chosen(), and `row`, a struct of all columns by place, which unpacked() gives back."""
+    n = len(docs.columns)
+    rows = docs.toDF(*[f"c{i}" for i in range(n)])
+    return rows.select(F.struct(*[F.col(f"c{i}") for i in range(n)]).alias("row"), *[F.col(f"c{place(docs, name)}").alias(new) for new, name in wanted.items()])
 
 
-def materialise(df: DataFrame) -> DataFrame:
-    """Cuts the lineage: writes df as a table in the shared folder and reads it back.
-
-    A lost executor costs a reread, never a recomputation. The table is removed when the driver exits.
-    """
-    spark = df.sparkSession
-    path = f"{shared_dir(spark)}/loopwright/{uuid.uuid4().hex}"
-    with _dropping_shuffles(spark):
-        df.write.option("compression", "zstd").parquet(path)
-    atexit.register(_remove, spark, path)
-    return spark.read.schema(df.schema).parquet(path)
+def unpacked(rows: DataFrame, docs: DataFrame, **changed: Column) -> DataFrame:
+    """The columns of docs out of `row`; those in `changed` are replaced."""
+    new = {place(docs, name): c for name, c in changed.items()}
+    return rows.select(*[new.get(i, F.col("row").getField(f"c{i}")).alias(c) for i, c in enumerate(docs.columns)])
 
 
 def text_or_empty(column: str | Column = "text") -> Column:
@@ -78,6 +59,30 @@ def words(text: Column) -> Column:
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACES))
 
 
+#: A key with more than one of so many rows is hot: there can't be more such keys than this.
+HOT = 1000
+
+
+def meet(rows: DataFrame, found: DataFrame, keys: list[str], n: str) -> DataFrame:
+    """Inner join of rows with `found`: one row a key (null is a key) whose column `n`, which is dropped, says how many of the rows carry it.
+
+    Hot keys, fewer than HOT by their definition, are broadcast, so that their rows stay where they are; all others are shuffled. `rows` is read twice
+    if there is a hot key.
+    """
+    total = found.agg(F.sum(n)).first()[0] or 0
+    named = found.select(*[F.col(k).alias(f"_{k}") for k in keys], *[c for c in found.columns if c not in keys])
+    few, many = named.where(F.col(n) * HOT > total).drop(n), named.where(F.col(n) * HOT <= total).drop(n)
+    own = [f"_{k}" for k in keys]
+    same = F.lit(True)
+    for k in keys:
+        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
+    if few.limit(1).count() == 0:
+        return rows.join(many, same, "inner").drop(*own)
+    hot = rows.join(F.broadcast(few), same, "inner").drop(*own)
+    rest = rows.join(F.broadcast(few.select(*own)), same, "left_anti").join(many, same, "inner").drop(*own)
+    return hot.unionByName(rest)
+
+
 def let(value: Column, then: Callable[[Column], Column]) -> Column:
     """then(value), with value evaluated once however often `then` names it."""
     return F.element_at(F.transform(F.array(value), then), 1)
@@ -98,3 +103,6 @@ def prefix_sums(values: Column, block: int = 128) -> Column:
     before = F.aggregate(blocks, F.array(F.lit(0).cast("bigint")), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + F.element_at(x, -1))))
     summed = F.flatten(F.zip_with(blocks, F.slice(before, 1, F.size(blocks)), lambda xs, b: F.transform(xs, lambda x: x + b)))
     return F.when(F.size(values) == 0, F.array().cast("array<bigint>")).otherwise(summed)
+
+
+__all__ = ["SPACES", "SPACE_CHARS", "chosen", "drop", "let", "materialise", "meet", "place", "prefix_sums", "shared_dir", "table", "text_or_empty", "unpacked", "with_row", "words"]

@@ -9,8 +9,9 @@ Scale: texts are tokenized in one scan; from then on only small rows move. Piece
 of a set number of sequences, whatever the table's size or the cluster's partitions, and each group is packed
 by itself. Sequences left with much room are opened again and their pieces packed across groups once more.
 
-Defined results: null text is the empty text, one closing id; repeated rows are packed each; an empty
-table gives no rows; ties are broken by the order of (doc_id, piece, ids_crc32); extra columns are ignored.
+Defined results: null text is the empty text, one closing id; repeated rows are packed each; a null doc_id is kept, and ids of any type and
+size stay as they are (groups are Arrow tables); an empty table gives no rows; ties are broken by the order of (doc_id, nulls first, piece,
+ids_crc32); extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -19,19 +20,19 @@ import zlib
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loopwright.llm.common import materialise, text_or_empty
+from loopwright.llm.common import chosen, drop, materialise, text_or_empty
 from loopwright.llm.tokens import SharedCoder
 
 
 def pieces(docs: DataFrame, tokenizer_path: str, capacity: int = 2048, end_id: int = 0, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """Each document's ids and the end id, cut at every `capacity` ids: doc_id, piece, start, length, ids_crc32."""
     coder = SharedCoder(docs.sparkSession, tokenizer_path)
-    rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
+    rows = chosen(docs, doc_id=id_col, text=text_col).select("doc_id", text_or_empty().alias("text"))
     number = F.lit(0).cast("bigint")
     schema = rows.select("doc_id", F.lit(0).alias("piece"), number.alias("start"), number.alias("length"), number.alias("ids_crc32")).schema
     end, step = end_id.to_bytes(4, "little"), 4 * capacity
@@ -118,25 +119,29 @@ def pack(
         groups = max(1, -(-tokens // (capacity * bins_per_group)))
         last = groups == 1
 
-        def packed(key: tuple, group: pd.DataFrame) -> pd.DataFrame:
-            length = group["length"].to_numpy(float)
+        def packed(key: tuple[pa.Scalar, ...], group: pa.Table) -> pa.Table:
+            length = group["length"].to_numpy().astype(float)
             size = np.stack([length, np.ones_like(length), length * length], axis=1)
             if (size > caps).any():
                 raise ValueError("a piece exceeds the capacity of an empty sequence")
             norm = ((size * by / caps) ** 2).sum(axis=1)
-            order = np.lexsort((group["ids_crc32"], group["piece"], group["doc_id"].fillna(-1) if group["doc_id"].dtype != object else group["doc_id"].astype(str), -norm))
-            group, size = group.iloc[order], size[order]
+            keys = [("norm", "descending"), *[(c, "ascending") for c in ("doc_id", "piece", "ids_crc32")]]
+            order = pc.sort_indices(group.append_column("norm", pa.array(norm)), keys, null_placement="at_start").to_numpy().astype(np.int64)
+            size = size[order]
             bins = best_fit(size, caps, by, rule)
             inside = np.argsort(bins, kind="stable")
-            group, bins, length = group.iloc[inside], bins[inside], size[inside, 0].astype(np.int64)
-            fill = np.bincount(bins, length) if len(bins) else np.empty(0)
+            bins, length = bins[inside], size[inside, 0].astype(np.int64)
+            fill = np.bincount(bins, length)
             ends = np.cumsum(length)
-            first = np.r_[True, bins[1:] != bins[:-1]] if len(bins) else np.empty(0, bool)
-            begin = (ends - length)[first][np.cumsum(first) - 1] if len(bins) else ends
-            return group[columns].assign(sequence_id=(level << 56) + (int(key[0]) << 24) + bins, offset=ends - length - begin, roomy=(not last) & (fill[bins] < reopen_below * capacity))
+            first = np.r_[True, bins[1:] != bins[:-1]]
+            begin = (ends - length)[first][np.cumsum(first) - 1]
+            out = group.select(columns).take(pa.array(order[inside]))
+            out = out.append_column("sequence_id", pa.array((level << 56) + (key[0].as_py() << 24) + bins, pa.int64()))
+            out = out.append_column("offset", pa.array(ends - length - begin, pa.int64()))
+            return out.append_column("roomy", pa.array((not last) & (fill[bins] < reopen_below * capacity), pa.bool_()))
 
         dealt = rows.withColumn("g", F.pmod(F.xxhash64("doc_id", "piece", "ids_crc32", F.lit(level)), F.lit(groups)))
-        return materialise(dealt.groupBy("g").applyInPandas(packed, out_schema))
+        return materialise(dealt.groupBy("g").applyInArrow(packed, out_schema))
 
     first = grouped(open_pieces, 0)
     kept = first.where(~F.col("roomy")).drop("roomy")

@@ -2,17 +2,17 @@
 
 Kinds of the base: email, ip (parts at most 255), card (14 to 19 digits, Luhn), phone (+, 10 to 15 digits).
 A confirmed base span always stays. The method adds: iban (the country's length, mod 97), card13 (13 digits, Luhn, a word for a card before
-it) and phone_local (ten digits in the usual 3-3-4 form, a word for a telephone before it). A span's score is that of
-its kind, raised by a telling word in the gap before it (its last 40 characters), lowered by a word that tells of
-something else; added spans need a score of 0.5.
+it), phone_local (ten digits in the usual 3-3-4 form, a word for a telephone before it) and secret (32 to 64 hexadecimal digits, a word for
+a key before them). A span's score is that of its kind, raised by a telling word in the gap before it (its last 40 characters), lowered by
+a word that tells of something else; added spans need a score of 0.5, and callers can set a threshold for all by the score that each span carries.
 
 Only DataFrame functions are used. A pattern is applied twice, to extract its matches and to split the text
 around them; the running sums of the lengths of both are the spans in code points. Everything is linear in
 the text's length: the patterns are possessive where backtracking could not succeed, and anchored so that a
 run of characters is tried once. One scan, no shuffle.
 
-Defined results: null and empty texts have no spans; repeated rows are judged each; spans of different kinds may
-overlap; an empty table gives no rows; extra columns are ignored here and kept by redact().
+Defined results: null and empty texts have no spans; repeated rows are judged each; a null doc_id is kept; spans of different kinds may
+overlap; an empty table gives no rows; extra columns, whatever their names, are ignored here and kept by redact().
 """
 
 from __future__ import annotations
@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loopwright.llm.common import let, prefix_sums, text_or_empty
+from loopwright.llm.common import chosen, let, prefix_sums, text_or_empty, unpacked, with_row
 
 # The base patterns, leftmost and non-overlapping, in a form that never tries a run of characters twice.
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -48,12 +48,13 @@ def _iban_pattern() -> str:
 
 IBAN = _iban_pattern()
 PHONE_LOCAL = r"(?<![0-9+(.-])(?:\([0-9]{3}\)\x20?|[0-9]{3}[.\x20-])[0-9]{3}[.\x20-][0-9]{4}(?![0-9])"
+SECRET = r"(?<![0-9A-Za-z])[0-9A-Fa-f]{32,64}(?![0-9A-Za-z])"
 
 #: Before the patterns, a cheap test that a text could hold a match.
 HINTS = {"email": "@", "phone": "+"}
 HINT = "[0-9]{2}|[0-9][. -][0-9]"
 
-PATTERNS = {"email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE, "iban": IBAN, "phone_local": PHONE_LOCAL}
+PATTERNS = {"email": EMAIL, "ip": IP, "card": CARD, "phone": PHONE, "iban": IBAN, "phone_local": PHONE_LOCAL, "secret": SECRET}
 BASE = ("email", "ip", "card", "phone")
 #: Kind: score without context, words that raise it, words that lower it.
 CONTEXT = {
@@ -64,9 +65,10 @@ CONTEXT = {
     "iban": (0.6, r"(?i)\b(?:iban|account|bank|konto|compte|cuenta)\b", r"(?i)\b(?:serial|part|model)\b"),
     "card13": (0.3, r"(?i)\b(?:card|visa|credit|debit|carte|karte|tarjeta)\b", r"(?i)\b(?:order|isbn|serial|invoice|tracking)\b"),
     "phone_local": (0.3, r"(?i)\b(?:tel|telephone|phone|call|fax|mobile)\b", r"(?i)\b(?:score|ratio)\b"),
+    "secret": (0.3, r"(?i)\b(?:token|key|secret|password|passwd|bearer)\b", r"(?i)\b(?:commit|checksum|digest|md5|sha1|sha256)\b"),
 }
 RAISE, LOWER, NEEDED, GAP = 0.3, 0.2, 0.5, 40
-KINDS = [*BASE, "iban", "card13", "phone_local"]
+KINDS = [*BASE, "iban", "card13", "phone_local", "secret"]
 
 
 def digits(match: Column) -> Column:
@@ -108,7 +110,7 @@ def _kind(kind: str, match: Column) -> Column:
         return F.when(_between(digits(match), 10, 15), F.lit("phone"))
     if kind == "iban":
         return F.when(_between(F.replace(match, F.lit(" "), F.lit("")), 15, 34), F.when(mod97(match), F.lit("iban")))
-    return F.lit("phone_local")
+    return F.lit(kind)
 
 
 def _score(kind: Column, gap: Column) -> Column:
@@ -153,7 +155,7 @@ def _confirmed(kind: str) -> Column:
 
 def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and spans: array of (start, rank, kind, end, score, text), by start, then kind. End exclusive, in code points."""
-    df = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
+    df = chosen(docs, doc_id=id_col, text=text_col).select("doc_id", text_or_empty().alias("text"))
     for kind in PATTERNS:
         df = _proposed(df, kind, F.col("text"))
     return df.select("doc_id", F.array_sort(F.flatten(F.array(*[_confirmed(kind) for kind in PATTERNS]))).alias("spans"))
@@ -187,7 +189,7 @@ def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
 
     Kinds are replaced one after the other in the order of PATTERNS, so where spans overlap the first kind wins. A text without spans, null too, is unchanged.
     """
-    text = F.col(text_col)
+    text = F.col("text")
     for kind in PATTERNS:
         text = let(text, _without(kind))
-    return docs.select(*[text.alias(c) if c == text_col else F.col(c) for c in docs.columns])
+    return unpacked(with_row(docs, text=text_col), docs, **{text_col: text})

@@ -11,12 +11,15 @@ Latin-1/Latin Extended-A, and the added special strings, therefore go to the lib
 else is lower-cased and split here by the tokenizer's own pattern. Stretches between white space are remembered with
 their values, so that a frequent one is split once a worker.
 
-Defined results: null text counts as empty; an empty text has 0 tokens; repeated rows are counted each;
-texts are processed whole, whatever their length; extra columns are ignored.
+A file with another normaliser, splitter or kind of model is given to the library whole.
+
+Defined results: null text counts as empty; an empty text has 0 tokens; repeated rows are counted each; a null doc_id is kept;
+texts are processed whole, whatever their length; an empty table gives no rows; extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
 
+import json
 import os
 import re
 import struct
@@ -26,7 +29,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loopwright.llm.common import text_or_empty
+from loopwright.llm.common import chosen, text_or_empty
 
 # Letters, digits and white space among the characters up to U+017F, after lower-casing.
 _LETTERS = "a-zªµºß-öø-ſ"
@@ -38,6 +41,10 @@ _PRE_TOKENS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^
 _OTHER = re.compile("[^\\x00-\\u012f\\u0131-\\u017f]")
 _CHUNKS = re.compile("[ \\t\\n\\r]+")
 
+# The normaliser and pre-tokenizer of the files that the splitter above covers.
+NORMALIZERS = [("NFC", None, None), ("Replace", r"\s+", " "), ("Lowercase", None, None)]
+PRE_TOKENIZERS = [("Split", r"'s|'t|'re|'ve|'m|'ll|'d|[\p{L}]+|[\p{N}]|[^\s\p{L}\p{N}]+"), ("ByteLevel", None)]
+
 #: Distinct strings a worker remembers; beyond it the memory starts anew (counts stay the same).
 MEMO_ENTRIES = 500_000
 #: As many stretches between white space.
@@ -53,10 +60,23 @@ def byte_alphabet() -> dict[str, int]:
     return {chr(b): b for b in own} | {chr(256 + i): b for i, b in enumerate(rest)}
 
 
+def covered(tokenizer_json: str) -> bool:
+    """Whether a file normalises and splits as the splitter here does; any other one is left to the library whole."""
+    said = json.loads(tokenizer_json)
+    normalizer, splitter, model = said.get("normalizer") or {}, said.get("pre_tokenizer") or {}, said["model"]
+    steps = [(n["type"], n.get("pattern", {}).get("Regex"), n.get("content")) for n in normalizer.get("normalizers", [])]
+    parts = [(n["type"], n.get("pattern", {}).get("Regex")) for n in splitter.get("pretokenizers", [])]
+    modes = [(n.get("behavior"), n.get("invert"), n.get("add_prefix_space"), n.get("use_regex")) for n in splitter.get("pretokenizers", [])]
+    plain = model.get("type") == "BPE" and model.get("end_of_word_suffix") == "</w>" and not (model.get("dropout") or model.get("unk_token") or model.get("continuing_subword_prefix"))
+    return plain and steps == NORMALIZERS and parts == PRE_TOKENIZERS and modes == [("Removed", True, None, None), (None, None, False, False)]
+
+
 def whole_tokens(tokenizer_json: str) -> dict[str, int]:
     """The offline proof: strings that are one pre-token and that encode alone as one token, with that token's id."""
     from tokenizers import Tokenizer
 
+    if not covered(tokenizer_json):
+        return {}
     tok, stand_in, suffix = Tokenizer.from_str(tokenizer_json), byte_alphabet(), "</w>"
     candidates = {}
     for piece, ident in tok.get_vocab(with_added_tokens=False).items():
@@ -81,6 +101,9 @@ class Coder:
         from tokenizers import Tokenizer
 
         self._tok = Tokenizer.from_str(tokenizer_json)
+        self._tok.no_truncation()
+        self._tok.no_padding()
+        self._covered = covered(tokenizer_json)
         specials = sorted((t.content for t in self._tok.get_added_tokens_decoder().values()), key=len, reverse=True)
         self._specials = re.compile("(" + "|".join(map(re.escape, specials)) + ")") if specials else None
         self._marks = tuple({s[:2] for s in specials})
@@ -168,10 +191,14 @@ class Coder:
         return join(self._looked_up(self._strings(chunk.decode()), one, whole, value))
 
     def count(self, text: str) -> int:
+        if not self._covered:
+            return len(self._tok.encode(text, add_special_tokens=False).ids)
         return sum(self._by_chunk(text, self._chunk_counts, self._counts, self._whole_counts, len, sum))
 
     def pack(self, text: str) -> bytes:
         packed = lambda ids: struct.pack(f"<{len(ids)}I", *ids)
+        if not self._covered:
+            return packed(self._tok.encode(text, add_special_tokens=False).ids)
         return b"".join(self._by_chunk(text, self._chunk_ids, self._ids, self._whole_ids, packed, b"".join))
 
 
@@ -197,7 +224,7 @@ class SharedCoder:
 def token_counts(docs: DataFrame, tokenizer_path: str, limit: int = 2048, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, n_bytes (UTF-8), n_tokens, over_limit of every text. One scan, no shuffle."""
     coder = SharedCoder(docs.sparkSession, tokenizer_path)
-    rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
+    rows = chosen(docs, doc_id=id_col, text=text_col).select("doc_id", text_or_empty().alias("text"))
     schema = rows.select("doc_id", F.octet_length("text").cast("bigint").alias("n_bytes"), F.lit(0).cast("bigint").alias("n_tokens")).schema
 
     def counted(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

@@ -18,9 +18,12 @@ import string
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loopwright.llm.common import chosen
+
 MAX_RULES = 500
 BITS_PER_KEY = 16
 PROBES = 6
+SALTS = 8
 #: Filters of at most so many blocks (8 bytes and a key each) are broadcast.
 MAX_BROADCAST_BLOCKS = 250_000
 
@@ -103,7 +106,7 @@ def judge_urls(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str]]
     A page under a rule gets the rule's verdict; any other is blocked if its canonical URL is that of a listed one.
     """
     url = F.col("url")
-    rows = pages.select(F.col(id_col).alias("page_id"), F.col(url_col).alias("url"))
+    rows = chosen(pages, page_id=id_col, url=url_col)
     parted = rows.select("page_id", host(url).alias("host"), path(url).alias("path"), canonical(url).alias("canonical"))
     name, action = rule_of(F.col("host"), F.col("path"), rules)
     ruled = parted.select("page_id", "host", "path", "canonical", name.alias("rule"), action.alias("action"))
@@ -111,7 +114,12 @@ def judge_urls(pages: DataFrame, listed: DataFrame, rules: list[tuple[str, str]]
     # only URLs that no rule judges ask the filter; each possible hit meets the list once, however many rows carry it
     asked = ruled.where("rule is null and canonical is not null").select("canonical").distinct()
     hits = possible_hits(asked, "canonical", keys).join(keys.hint("shuffle_hash"), F.col("canonical") == F.col("key"), "inner").select(F.col("canonical").alias("hit"))
-    joined = ruled.join(hits, (F.col("canonical") == F.col("hit")) & F.col("rule").isNull(), "left")
-    is_listed = F.col("hit").isNotNull()
-    verdict = F.coalesce(F.col("action"), F.when(is_listed, F.lit("block")).otherwise(F.lit("allow")))
-    return joined.select("page_id", "host", "path", "rule", verdict.alias("verdict"), is_listed.alias("listed"))
+    # rows that ask nothing stay out of the join; those of one frequent URL meet its hit in SALTS tasks
+    asking = F.col("rule").isNull() & F.col("canonical").isNotNull()
+    salted = ruled.where(asking).withColumn("salt", F.pmod(F.xxhash64("page_id"), F.lit(SALTS)))
+    spread = hits.select("hit", F.explode(F.sequence(F.lit(0).cast("bigint"), F.lit(SALTS - 1).cast("bigint"))).alias("s"))
+    met = salted.join(spread, (F.col("canonical") == F.col("hit")) & (F.col("salt") == F.col("s")), "left").withColumn("listed", F.col("hit").isNotNull())
+    columns = ["page_id", "host", "path", "rule", "action", "listed"]
+    judged = met.select(columns).unionByName(ruled.where(~asking).withColumn("listed", F.lit(False)).select(columns))
+    verdict = F.coalesce(F.col("action"), F.when(F.col("listed"), F.lit("block")).otherwise(F.lit("allow")))
+    return judged.select("page_id", "host", "path", "rule", verdict.alias("verdict"), "listed")
