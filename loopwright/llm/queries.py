@@ -24,7 +24,8 @@ def tokenizer_path(name: str = VOCABULARY) -> str:
 
 
 def op1_fingerprints(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return fingerprints.edited(table(spark, sf_dir, "documents"))
+    found = fingerprints.with_classes(fingerprints.edited(table(spark, sf_dir, "documents")))
+    return found.select("doc_id", "n_chars", "edited_sha256", "fingerprint", "edited_fingerprint", "near_edited", "near_next", "class_id", "copies", "links")
 
 
 def _spans_of(kind: str) -> Column:
@@ -35,7 +36,9 @@ def op2_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
     found = pii.find_spans(table(spark, sf_dir, "documents"))
     base = F.filter("spans", lambda s: s["kind"].isin(*pii.BASE))
     counts = [_spans_of(kind).alias(f"n_{kind}") for kind in pii.BASE]
-    return found.select("doc_id", *counts, F.sha2(pii.digest(base), 256).alias("base_sha256"), pii.digest(F.col("spans")).alias("spans"))
+    added = F.filter("spans", lambda s: ~s["kind"].isin(*pii.BASE))
+    more = [F.size(added).cast("bigint").alias("n_added"), F.array_max(F.transform("spans", lambda s: s["score"])).alias("max_score"), F.array_min(F.transform("spans", lambda s: s["score"])).alias("min_score")]
+    return found.select("doc_id", *counts, F.sha2(pii.digest(base), 256).alias("base_sha256"), pii.digest(F.col("spans")).alias("spans"), *more)
 
 
 def op3_tokens(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -93,7 +96,7 @@ QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {
 
 _OP6 = r"""
 WITH sized AS (
-  SELECT doc_id, source, md5('0:' || CAST(doc_id AS VARCHAR)) AS ord,
+  SELECT row_number() OVER () AS rid, doc_id, source, md5('0:' || coalesce(CAST(doc_id AS VARCHAR), '') || ':' || md5(coalesce(text, ''))) AS ord,
          CAST(len(list_filter(regexp_split_to_array(coalesce(text, ''), '[\x20\x09-\x0D]+'), lambda w: w <> '')) AS BIGINT) AS size
   FROM documents),
 sums AS (SELECT source, CAST(sum(size) AS BIGINT) AS source_size FROM sized GROUP BY source),
@@ -111,18 +114,18 @@ targets AS (
   SELECT source, source_size, rank, CASE WHEN held_level IS NULL THEN lim ELSE least(lim, held_level * weight) END AS target
   FROM leveled LEFT JOIN held ON true),
 placed AS (
-  SELECT s.doc_id, s.size, s.ord, t.rank, t.source_size, t.target,
-         CAST(sum(s.size) OVER (PARTITION BY t.rank ORDER BY s.ord, s.doc_id ROWS UNBOUNDED PRECEDING) AS BIGINT) AS upto
+  SELECT s.rid, s.doc_id, s.size, s.ord, t.rank, t.source_size, t.target,
+         CAST(sum(s.size) OVER (PARTITION BY t.rank ORDER BY s.ord, s.rid ROWS UNBOUNDED PRECEDING) AS BIGINT) AS upto
   FROM sized s JOIN targets t ON s.source IS NOT DISTINCT FROM t.source),
 passed AS (
-  SELECT doc_id, size, ord, rank, pass, (pass * source_size + upto) / target AS finish
+  SELECT rid, size, ord, rank, pass, (pass * source_size + upto) / target AS finish
   FROM placed, (SELECT unnest([0, 1, 2]) AS pass) WHERE size > 0 AND target > 0),
 summed AS (
-  SELECT doc_id, size, sum(size) OVER (ORDER BY finish, rank, pass, ord, doc_id ROWS UNBOUNDED PRECEDING) AS upto FROM passed),
+  SELECT rid, size, sum(size) OVER (ORDER BY finish, rank, pass, ord, rid ROWS UNBOUNDED PRECEDING) AS upto FROM passed),
 taken AS (
-  SELECT doc_id, CAST(sum(size) AS BIGINT) AS taken FROM summed WHERE upto <= (SELECT sum(size) FROM sized) GROUP BY doc_id)
+  SELECT rid, CAST(sum(size) AS BIGINT) AS taken FROM summed WHERE upto <= (SELECT sum(size) FROM sized) GROUP BY rid)
 SELECT p.doc_id, p.size, p.source_size, p.target, coalesce(t.taken, 0) AS taken
-FROM placed p LEFT JOIN taken t USING (doc_id)
+FROM placed p LEFT JOIN taken t USING (rid)
 """
 
 _OP8 = r"""
