@@ -4,9 +4,11 @@ Each bucket has a head, the member that shares most buckets with others; every o
 one text, light edits included, are thus one class after one pass that is linear in the bucket. Buckets that still hold several
 classes are worked through whole, so that no link is lost: small ones as pairs of members of different classes (at
 most SMALL - 1 for a member), larger ones in blocks of bounded size. A task meets two blocks; it gives a link for each two
-classes that it joins, never its pairs. Blocks are cut along classes, and two blocks of one and the same class don't meet.
+classes that it joins, never its pairs. Blocks are cut along classes, and two blocks of one and the same class don't meet. That is
+quadratic in the blocks of a large bucket of many classes: the price of losing no link.
 
-Everything is a DataFrame; steps are tables in the shared folder.
+Everything is a DataFrame; steps are tables in the shared folder, and go when all that reads them is written. Rows of a hot bucket
+stay where they are (common.meet), and blocks are cut by sizes alone, in slices of a bounded size, before the payload comes.
 """
 
 from __future__ import annotations
@@ -18,7 +20,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loopwright.llm.common import materialise
+from loopwright.llm.common import drop, materialise, meet
 
 #: Buckets of at most so many members are paired off.
 SMALL = 16
@@ -41,6 +43,7 @@ def components(edges: DataFrame) -> DataFrame:
         roots = new.select("a").distinct()
         open_ = new.join(roots.withColumnRenamed("a", "b"), "b", "left_semi").limit(1).count()
         several = new.groupBy("b").count().where("count > 1").limit(1).count()
+        drop(work)
         work = new
         if not open_ and not several:
             break
@@ -48,16 +51,31 @@ def components(edges: DataFrame) -> DataFrame:
     return hung.unionByName(work.select(F.col("a").alias("node"), F.col("a").alias("label")).distinct())
 
 
+#: Blocks of a slice, about; a slice is what a window numbers.
+SLICE_BLOCKS = 64
+
+
+def _blocks(rows: DataFrame, block_bytes: int) -> DataFrame:
+    """bucket, node, label, block of rows (bucket, node, label, bytes): labels lie together, as far as they fit a slice."""
+    slice_bytes = SLICE_BLOCKS * block_bytes
+    whole = materialise(rows.groupBy("bucket").agg(F.sum("bytes").alias("all"), F.count("*").alias("n")))
+    named = materialise(rows.groupBy("bucket", "label").agg(F.sum("bytes").alias("own"), F.count("*").alias("n")))
+    sized = meet(meet(rows, whole, ["bucket"], "n"), named, ["bucket", "label"], "n")
+    piece = F.pmod(F.xxhash64("node"), F.floor(F.col("own") / slice_bytes) + 1)
+    sliced = sized.withColumn("slice", F.pmod(F.xxhash64("label", piece), F.floor(F.col("all") / slice_bytes) + 1))
+    rank = Window.partitionBy("bucket", "slice").orderBy("label", "node").rowsBetween(Window.unboundedPreceding, 0)
+    return sliced.select("bucket", "node", "label", F.concat_ws(":", F.col("slice").cast("string"), F.floor(F.sum("bytes").over(rank) / block_bytes).cast("string")).alias("block"))
+
+
 def _block_links(open_: DataFrame, payload: DataFrame, similar: Callable, threshold: float, block_bytes: int) -> DataFrame:
-    """a, b: links that join classes, found in the buckets' blocks. `open_` has bucket, node, label, main."""
-    rows = open_.join(payload, "node").withColumn("data", F.col("data").cast("binary"))
-    rank = Window.partitionBy("bucket").orderBy("label", "node").rowsBetween(Window.unboundedPreceding, 0)
-    cut = materialise(rows.withColumn("block", F.floor(F.sum(F.octet_length("data") + 64).over(rank) / block_bytes).cast("int")))
+    """a, b, sim: links that join classes, found in the buckets' blocks. `open_` has bucket, node, label."""
+    sizes = payload.select("node", (F.octet_length(F.col("data").cast("binary")) + 64).alias("bytes"))
+    cut = materialise(_blocks(materialise(open_.select("bucket", "node", "label").join(sizes, "node")), block_bytes))
     blocks = cut.groupBy("bucket", "block").agg(F.min("label").alias("low"), F.max("label").alias("high"))
     left, right = (blocks.select("bucket", F.col("block").alias(x), F.col("low").alias(f"low_{x}"), F.col("high").alias(f"high_{x}")) for x in ("i", "j"))
     met = left.join(right, "bucket").where((F.col("i") <= F.col("j")) & ((F.col("low_i") < F.col("high_j")) | (F.col("low_j") < F.col("high_i"))))
     sides = met.select("bucket", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
-    dealt = sides.join(cut, ["bucket", "block"])
+    dealt = sides.join(cut, ["bucket", "block"]).join(payload.select("node", F.col("data").cast("binary").alias("data")), "node")
     kind = open_.schema["node"].dataType.simpleString()
 
     def joined(group: pd.DataFrame) -> pd.DataFrame:
@@ -74,42 +92,64 @@ def _block_links(open_: DataFrame, payload: DataFrame, similar: Callable, thresh
                 near &= block != block[at]
             for other in np.flatnonzero(near):
                 if label[other] != label[at]:
-                    found.append((own["node"][at], own["node"][other]))
+                    found.append((own["node"][at], own["node"][other], float(sims[other])))
                     label[label == label[at]] = label[other]
-        return pd.DataFrame(found, columns=["a", "b"])
+        return pd.DataFrame(found, columns=["a", "b", "sim"])
+
+    return dealt.groupBy("bucket", "i", "j").applyInPandas(joined, f"a {kind}, b {kind}, sim double")
+
 
-    return dealt.groupBy("bucket", "i", "j").applyInPandas(joined, f"a {kind}, b {kind}")
+def members_of(banded: DataFrame) -> DataFrame:
+    """bucket, node, each once, of the buckets that several nodes share; `banded` has node, bands (array of bucket numbers)."""
+    bands = banded.select(F.explode("bands").alias("bucket"), "node")
+    shared = materialise(bands.distinct().groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"))
+    members = materialise(meet(bands, shared, ["bucket"], "n").distinct())
+    drop(shared)
+    return members
 
 
-def classes(members: DataFrame, verify: Callable[[DataFrame], DataFrame], threshold: float, payload: DataFrame, similar: Callable, small: int = SMALL, block_bytes: int = BLOCK_BYTES) -> DataFrame:
-    """node, label of every node that has a link. `members` has distinct rows of bucket, node.
+def classes(members: DataFrame, verify: Callable[[DataFrame], DataFrame], threshold: float, payload: Callable[[DataFrame], DataFrame], similar: Callable, small: int = SMALL, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, DataFrame]:
+    """(node, label) of every node that has a link, and the links (a, b, sim) that were verified, which hold the classes together.
 
-    verify() adds sim to pairs (a, b). payload has node, data (any bytes); similar(list of data) gives a function that tells the
-    similarities of its item number i to all items.
+    `members` has distinct rows of bucket, node. verify() adds sim to pairs (a, b). payload(nodes) has node, data (any bytes) of those nodes; similar(list of
+    data) gives a function that tells the similarities of its item number i to all items.
     """
-    members = materialise(members)
-    sizes = members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1")
-    crowded = materialise(members.join(sizes, "bucket"))
+    sizes = materialise(members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"))
+    crowded = materialise(meet(members, sizes.withColumn("rows", F.col("n")), ["bucket"], "rows"))
     weight = crowded.groupBy("node").agg(F.sum("n").alias("w"))
-    heads = crowded.join(weight, "node").groupBy("bucket").agg(F.min(F.struct((-F.col("w")).alias("w"), "node"))["node"].alias("head"))
-    headed = materialise(crowded.join(heads, "bucket"))
+    heads = crowded.join(weight, "node").groupBy("bucket").agg(F.min(F.struct((-F.col("w")).alias("w"), "node"))["node"].alias("head"), F.count("*").alias("rows"))
+    heads = materialise(heads)
+    headed = materialise(meet(crowded, heads, ["bucket"], "rows"))
+    drop(crowded, heads, sizes)
     pairs = headed.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
     judged = materialise(verify(pairs).select("a", "b", "sim"))
-    links = judged.where(F.col("sim") >= threshold).select("a", "b")
-    labels = materialise(components(links))
+    links = judged.where(F.col("sim") >= threshold)
+    labels = materialise(components(links.select("a", "b")))
     # buckets that their heads haven't joined whole
-    undone = headed.join(judged.where(F.col("sim") < threshold).select(F.col("a").alias("head"), F.col("b").alias("node")), ["head", "node"], "left_semi").select("bucket").distinct()
-    named = headed.where("n > 2").join(undone, "bucket", "left_semi").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    several = named.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y")).where("x < y").select("bucket")
-    open_ = materialise(named.join(several, "bucket", "left_semi").select("bucket", "node", "label", "head", "n"))
+    undone = headed.join(judged.where(F.col("sim") < threshold).select(F.col("a").alias("head"), F.col("b").alias("node")), ["head", "node"], "left_semi").select("bucket", "n").distinct()
+    undone = materialise(undone)
+    named = meet(headed.drop("n").where("n > 2"), undone.withColumn("rows", F.col("n")), ["bucket"], "rows").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+    named = materialise(named)
+    several = named.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("rows")).where("x < y").select("bucket", "rows")
+    several = materialise(several)
+    open_ = materialise(meet(named, several, ["bucket"], "rows").select("bucket", "node", "label", "head", "n"))
+    drop(headed, named, undone, several)
     few = open_.where(F.col("n") <= small).select("bucket", "node", "label", "head")
     other = few.select("bucket", F.col("node").alias("b"), F.col("label").alias("other"))
     # pairs with the head have been judged
     left = few.where("node <> head").join(other, "bucket").where((F.col("node") < F.col("b")) & (F.col("label") != F.col("other")) & (F.col("b") != F.col("head")))
-    met = verify(left.select(F.col("node").alias("a"), "b").distinct()).where(F.col("sim") >= threshold).select("a", "b")
+    met = verify(left.select(F.col("node").alias("a"), "b").distinct()).where(F.col("sim") >= threshold).select("a", "b", "sim")
     many = open_.where(F.col("n") > small)
-    blocked = _block_links(many, payload, similar, threshold, block_bytes)
-    more = materialise(met.unionByName(blocked))
-    if more.isEmpty():
-        return labels
-    return materialise(components(labels.select(F.col("label").alias("a"), F.col("node").alias("b")).unionByName(more)))
+    if many.limit(1).count():
+        met = met.unionByName(_block_links(many, payload(many.select("node").distinct()), similar, threshold, block_bytes))
+    more = materialise(met)
+    drop(open_)
+    whole = labels if more.isEmpty() else materialise(components(labels.select(F.col("label").alias("a"), F.col("node").alias("b")).unionByName(more.select("a", "b"))))
+    return whole, links.unionByName(more)
+
+
+def linked(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """node, label, links, likest: of each node its class, the number of its verified links and the greatest of their similarities."""
+    both = links.select(F.col("a").alias("node"), "sim").unionByName(links.select(F.col("b").alias("node"), "sim"))
+    each = both.groupBy("node").agg(F.count("*").alias("links"), F.max("sim").alias("likest"))
+    return labels.join(each, "node", "left")

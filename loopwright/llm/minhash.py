@@ -10,16 +10,16 @@ every register has been hit earlier.
 
 Bands of registers propose pairs, the overlap of the whole multisets verifies them, and linking.classes joins them.
 
-Multisets are kept as sorted 32-bit hashes, the k-th copy of a window hashed as another one: a pair of texts of n
-windows has a chance of n*n/2^32 for one false match. A pair at the threshold of 0.8 is missed by all bands
+Multisets are kept as sorted 64-bit hashes, the k-th copy of a window hashed as another one: two different windows of a pair of texts
+of n windows fall together with a chance of n*n/2^64. A pair at the threshold of 0.8 is missed by all bands
 with a chance of 3e-6, at 0.9 below 1e-12.
 
 Scale: one scan makes signatures and multisets; equal texts (same words) are one node from then on; all that is
-shuffled is a few numbers a band, and multisets of proposed pairs only.
+shuffled is a few numbers a band, and multisets of proposed pairs only. Rows of a text or class with very many copies stay where they are.
 
 Defined results: null and empty texts, and those without words, are one class; texts of fewer than five words are alike
 only if all words are the same; repeated rows are copies; class_id is the least doc_id of the class (nulls aside), null if all are
-null; an empty table gives no rows; extra columns are ignored by near_classes() and kept by keep().
+null; an empty table gives no rows; extra columns, whatever their names, are ignored by near_classes() and kept by keep().
 """
 
 from __future__ import annotations
@@ -29,11 +29,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loopwright.llm.common import materialise, text_or_empty
-from loopwright.llm.linking import classes
+from loopwright.llm.common import chosen, drop, materialise, meet, text_or_empty, unpacked, with_row
+from loopwright.llm.linking import classes, linked, members_of
 
 WIDTH = 5
 BANDS, ROWS = 32, 5
@@ -117,16 +117,16 @@ def signatures(owner: np.ndarray, element: np.ndarray, weight: np.ndarray, n: in
 
 
 def multiset(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct elements, weights, and the sorted 32-bit hashes of all copies."""
+    """Distinct elements, weights, and the sorted 64-bit hashes of all copies."""
     element, count = np.unique(hashes, return_counts=True)
     copy = np.arange(len(hashes)) - np.repeat(np.cumsum(count) - count, count)
-    each = _mix(np.repeat(element, count) + copy.astype(np.uint64) * _GOLDEN) >> _U(32)
-    return element, count, np.unique(each.astype(np.uint32))
+    each = _mix(np.repeat(element, count) + copy.astype(np.uint64) * _GOLDEN)
+    return element, count, np.sort(each)
 
 
 def overlap(a: bytes, b: bytes) -> float:
     """Weighted Jaccard similarity of two packed multisets."""
-    x, y = np.frombuffer(a, np.uint32), np.frombuffer(b, np.uint32)
+    x, y = np.frombuffer(a, np.uint64), np.frombuffer(b, np.uint64)
     if not len(x) or not len(y):
         return 1.0 if len(x) == len(y) else 0.0
     both = int((y[np.minimum(np.searchsorted(y, x), len(y) - 1)] == x).sum())
@@ -135,7 +135,7 @@ def overlap(a: bytes, b: bytes) -> float:
 
 def overlaps(bags: list[bytes]):
     """A function that tells the similarities of bag number i to all bags, by the lists of bags that hold each of its elements."""
-    sets = [np.frombuffer(b, np.uint32) for b in bags]
+    sets = [np.frombuffer(b, np.uint64) for b in bags]
     size = np.array([len(x) for x in sets])
     element, at = np.unique(np.concatenate(sets), return_inverse=True)
     holder = np.repeat(np.arange(len(sets)), size)[np.argsort(at, kind="stable")]
@@ -151,10 +151,14 @@ def overlaps(bags: list[bytes]):
     return similar
 
 
+def _hash() -> Column:
+    return F.xxhash64(text_or_empty())
+
+
 def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
-    """doc_id, node (16 bytes: which words), bag (packed multiset), bands (hashes). Texts are read once, whole."""
-    rows = docs.select(F.col(id_col).alias("doc_id"), text_or_empty(text_col).alias("text"))
-    schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, node binary, bag binary, bands array<bigint>"
+    """doc_id, h (hash of the text), node (16 bytes: which words), bag (packed multiset), bands (hashes). Texts are read once, whole."""
+    rows = chosen(docs, doc_id=id_col, text=text_col).select("doc_id", _hash().alias("h"), text_or_empty().alias("text"))
+    schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, h bigint, node binary, bag binary, bands array<bigint>"
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = _Words()
@@ -174,7 +178,7 @@ def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
                     bands.append(row if len(e) else None)
                 waiting.clear()
 
-            for text in batch.column(1):
+            for text in batch.column(2):
                 words = text.as_py().encode("utf-8", "surrogatepass").split()
                 nodes.append(hashlib.md5(b" ".join(words), usedforsecurity=False).digest())
                 element, count, bag = multiset(windows(words, memo, width))
@@ -186,7 +190,7 @@ def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
                     held = 0
             if waiting:
                 sign()
-            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(nodes, pa.binary()), pa.array(bags, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "node", "bag", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes, pa.binary()), pa.array(bags, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "h", "node", "bag", "bands"])
 
     return rows.mapInArrow(read, schema)
 
@@ -205,47 +209,59 @@ def _verifier(bags: DataFrame):
     return verify
 
 
-def _labelled(docs: DataFrame, threshold: float, width: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame]:
-    """(doc_id, node) of every row, and (node, label) of the nodes with a link."""
+def _linked(docs: DataFrame, threshold: float, width: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
+    """(doc_id, h, node) of every row, (node, label, links, likest) of the nodes with a link, and the links (a, b, sim)."""
     known = materialise(sketch(docs, id_col, text_col, width))
+    rows = materialise(known.select("doc_id", "h", "node"))
     # copies are one node: any row of it tells its bag and bands
-    bands = known.where("bands is not null").select(F.explode("bands").alias("bucket"), "node").distinct()
-    bags = known.groupBy("node").agg(F.first("bag").alias("bag"))
-    shared = bands.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1").select("bucket")
-    members = materialise(bands.join(shared, "bucket"))
+    members = members_of(known.where("bands is not null").select("node", "bands"))
     # only nodes in a bucket with another one are ever verified
-    open_bags = materialise(bags.join(members.select("node").distinct(), "node", "left_semi"))
-    payload = open_bags.select("node", F.col("bag").alias("data"))
-    return known.select("doc_id", "node"), classes(members, _verifier(open_bags), threshold, payload, overlaps)
+    bags = materialise(known.join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("bag").alias("bag")))
+    drop(known)
+    labels, links = classes(members, _verifier(bags), threshold, lambda nodes: bags.join(nodes, "node", "left_semi").select("node", F.col("bag").alias("data")), overlaps)
+    found = materialise(linked(labels, links))
+    drop(bags, members)
+    return rows, found, links
+
+
+def _firsts(rows: DataFrame) -> DataFrame:
+    """node, first (null, doc_id, h), copies: the row of each text with the least doc_id, nulls last."""
+    return rows.groupBy("node").agg(F.min(F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "h")).alias("first"), F.count("*").alias("copies"))
 
 
 def near_classes(docs: DataFrame, threshold: float = 0.8, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """doc_id, class_id of every row: texts connected by links of at least `threshold`."""
-    rows, labels = _labelled(docs, threshold, width, id_col, text_col)
-    firsts = rows.groupBy("node").agg(F.min("doc_id").alias("first_id"))
-    named = firsts.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    ids = named.groupBy("label").agg(F.min("first_id").alias("class_id"))
-    by_node = named.join(ids, "label").select("node", "class_id")
-    return rows.join(by_node, "node").select("doc_id", "class_id")
+    """doc_id, class_id, copies, links, overlap of every row: texts connected by links of at least `threshold`.
+
+    `copies` counts the rows with the same words, this one too; `links` the verified links of the text to other texts; `overlap` is the greatest of theirs,
+    null without one. Links that would only repeat that two texts are of one class aren't looked for.
+    """
+    rows, labels, _ = _linked(docs, threshold, width, id_col, text_col)
+    named = materialise(_firsts(rows).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
+    ids = named.groupBy("label").agg(F.min("first").alias("least"), F.count("*").alias("n")).select("label", F.col("least.doc_id").alias("class_id"), "n")
+    by_node = meet(named, ids, ["label"], "n").select("node", "class_id", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.col("likest").alias("overlap"), F.col("copies").alias("n"))
+    return meet(rows, materialise(by_node), ["node"], "n").select("doc_id", "class_id", "copies", "links", "overlap")
+
+
+def near_links(docs: DataFrame, threshold: float = 0.8, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """a, b, overlap: the verified links between different texts, each text by its least doc_id. They hold the classes together."""
+    rows, _, links = _linked(docs, threshold, width, id_col, text_col)
+    ids = _firsts(rows).select("node", F.col("first.doc_id").alias("id"))
+    named = links.join(ids.withColumnRenamed("node", "a").withColumnRenamed("id", "x"), "a").join(ids.withColumnRenamed("node", "b").withColumnRenamed("id", "y"), "b")
+    return named.select(F.col("x").alias("a"), F.col("y").alias("b"), F.col("sim").alias("overlap"))
 
 
 def keep(docs: DataFrame, threshold: float = 0.8, width: int = WIDTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """The documents with all their columns, one of each class: the one with the least doc_id (nulls last), of its repeated rows one."""
-    rows, labels = _labelled(docs, threshold, width, id_col, text_col)
-    order = F.struct(F.col("doc_id").isNull().alias("null"), "doc_id", "node")
-    firsts = rows.groupBy("node").agg(F.min(order).alias("first")).join(labels, "node", "left")
-    chosen = firsts.groupBy(F.coalesce("label", "node").alias("label")).agg(F.min("first").alias("first"))
-    wanted = materialise(chosen.select(F.col("first.doc_id").alias("id"), F.col("first.node").alias("node")))
-    row = F.struct(*[F.col(c) for c in docs.columns])
-    keyed = docs.select(row.alias("row"), F.col(id_col).alias("id"))
-    met = keyed.join(wanted, keyed["id"].eqNullSafe(wanted["id"]), "inner").select("row", "node")
-    # rows that share the chosen doc_id: of those with the chosen words, one stays
-    own = node_of(F.col("row").getField(text_col))
-    one = met.where(own == F.col("node")).dropDuplicates(["node"])
-    return one.select(*[F.col("row").getField(c).alias(c) for c in docs.columns])
-
-
-def node_of(text):
-    """The node of a text as a DataFrame expression: MD5 of its words with single spaces between."""
-    plain = F.trim(F.regexp_replace(F.coalesce(text, F.lit("")), r"[ \t\n\x0B\f\r]+", " "))
-    return F.unhex(F.md5(plain.cast("binary")))
+    rows, labels, _ = _linked(docs, threshold, width, id_col, text_col)
+    firsts = _firsts(rows).join(labels.select("node", "label"), "node", "left")
+    least = firsts.groupBy(F.coalesce("label", "node").alias("label")).agg(F.min("first").alias("first"))
+    wanted = least.select(F.col("first.doc_id").alias("id"), F.col("first.h").alias("h")).distinct()
+    copies = rows.groupBy(F.col("doc_id").alias("id"), "h").agg(F.count("*").alias("n"))
+    named = wanted.select(F.col("id").alias("i"), F.col("h").alias("g"))
+    counted = materialise(copies.join(named, F.col("id").eqNullSafe(F.col("i")) & (F.col("h") == F.col("g")), "inner").select("id", "h", "n"))
+    keyed = with_row(docs, id=id_col, text=text_col).select("row", "id", _hash().alias("h"))
+    once, several = counted.where("n = 1"), counted.where("n > 1")
+    # rows that share the chosen doc_id and text: one stays
+    single = meet(keyed, once, ["id", "h"], "n").select("row")
+    first = meet(keyed, several, ["id", "h"], "n").groupBy("id", "h").agg(F.first("row").alias("row")).select("row")
+    return unpacked(single.unionByName(first), docs)
