@@ -111,8 +111,10 @@ def test_linking_finds_every_link_of_a_bucket(spark, small, block_bytes):
         x = np.array([float(d) for d in data])
         return lambda i: 1.0 - np.abs(x - x[i])
 
-    payload = place.select(F.col("i").alias("node"), F.col("x").cast("string").alias("data"))
-    found = {r["node"]: r["label"] for r in linking.classes(members, verify, 0.98, payload, similar, small, block_bytes).collect()}
+    payload = lambda nodes: place.select(F.col("i").alias("node"), F.col("x").cast("string").alias("data")).join(nodes, "node", "left_semi")
+    labels, links = linking.classes(members, verify, 0.98, payload, similar, small, block_bytes)
+    found = {r["node"]: r["label"] for r in labels.collect()}
+    assert all(r["sim"] >= 0.98 and abs(r["sim"] - (1 - abs(at[r["a"]] - at[r["b"]]))) < 1e-9 for r in links.collect())
     expected, label = {}, 0
     for i in range(80):
         label = i if i and at[i] - at[i - 1] > 0.02 else label
@@ -124,7 +126,7 @@ def test_overlaps_of_a_block_are_those_of_pairs():
     draw = random.Random(4)
     import numpy as np
 
-    bags = [np.unique(np.array([draw.randrange(40) for _ in range(draw.randint(1, 30))], np.uint32)).tobytes() for _ in range(30)]
+    bags = [np.unique(np.array([draw.randrange(40) for _ in range(draw.randint(1, 30))], np.uint64)).tobytes() for _ in range(30)]
     similar = minhash.overlaps(bags)
     assert all(abs(similar(i)[j] - minhash.overlap(bags[i], bags[j])) < 1e-12 for i in range(30) for j in range(30))
 
@@ -202,8 +204,9 @@ def test_fingerprints_meet_the_next_document(spark, range_bytes):
         r = got[i]
         assert (r["n_chars"], r["edited_sha256"]) == (n, hashlib.sha256(changed.encode()).hexdigest())
         assert r["fingerprint"] == fingerprints.fingerprint(text) and r["edited_fingerprint"] == fingerprints.fingerprint(changed)
-        assert r["near_edited"] == fingerprints.likeness(r["fingerprint"], r["edited_fingerprint"])
-        assert r["near_next"] == fingerprints.likeness(r["fingerprint"], fingerprints.fingerprint(following))
+        of = lambda a, b: float(fingerprints.likeness(fingerprints.read_print(a), fingerprints.read_print(b)))
+        assert r["near_edited"] == of(r["fingerprint"], r["edited_fingerprint"])
+        assert r["near_next"] == of(r["fingerprint"], fingerprints.fingerprint(following))
 
 
 def test_fingerprints_tell_edited_from_other_texts(spark):
