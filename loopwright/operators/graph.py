@@ -12,6 +12,7 @@ from pyspark.sql import functions as F
 
 from loopwright.checkpoints import renamed, written
 from loopwright.functions import geo
+from loopwright.operators import joins
 from loopwright.schema import UNREACHABLE
 
 
@@ -39,21 +40,10 @@ def ends_of(edge_table: DataFrame) -> DataFrame:
 
 
 def components(pairs: DataFrame, vertices: DataFrame) -> DataFrame:
-    """area, v, label: the least vertex of each component of undirected pairs (area, x, y); vertices alone are their own.
-
-    Labels fall along the pairs and jump to their label's label, so long chains take a logarithm of rounds.
-    """
-    both = written(pairs.select("area", "x", "y").unionByName(pairs.select("area", F.col("y").alias("x"), F.col("x").alias("y"))).distinct())
-    labels = written(vertices.select("area", "v").distinct().withColumn("label", F.col("v")))
-    while True:
-        seen = both.join(labels.select("area", F.col("v").alias("y"), "label"), ["area", "y"]).groupBy("area", "x").agg(F.min("label").alias("near"))
-        lower = labels.join(seen.withColumnRenamed("x", "v"), ["area", "v"], "left").select("area", "v", "label", F.least("label", F.coalesce("near", "label")).alias("low"))
-        # a whole component that was joined follows its old label to the lowest that any of its members saw
-        jump = lower.groupBy("area", "label").agg(F.min("low").alias("least"))
-        new = written(lower.join(jump, ["area", "label"]).select("area", "v", F.col("label").alias("old"), F.col("least").alias("label")))
-        labels = new.drop("old")
-        if new.where("old <> label").limit(1).count() == 0:
-            return labels
+    """area, v, label: the least vertex of each component of undirected pairs (area, x, y); vertices alone are their own."""
+    end = lambda k: F.struct("area", F.col(k).alias("v"))
+    found = joins.components(pairs.select(end("x").alias("a"), end("y").alias("b"))).select("node.area", "node.v", F.col("label.v").alias("label"))
+    return vertices.select("area", "v").distinct().join(found, ["area", "v"], "left").select("area", "v", F.coalesce("label", "v").alias("label"))
 
 
 def node_components(nodes: DataFrame, edge_table: DataFrame) -> DataFrame:

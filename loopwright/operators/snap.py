@@ -5,11 +5,15 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from loopwright.checkpoints import drop, written
 from loopwright.functions import geo
 from loopwright.functions import text as T
 from loopwright.operators.graph import capped
 from loopwright.schema import SAME_STREET_TOLERANCE_M
 
+#: Width of the cells that houses and edges meet in first.
+CELL_M = 150.0
+
 
 def _names(df: DataFrame) -> DataFrame:
     """Distinct streets of an area with canonical and base names: names are worked out once, not once a row."""
@@ -34,33 +38,47 @@ def _places(nodes: DataFrame, edge_table: DataFrame) -> DataFrame:
     return met.select("*", *xy)
 
 
-def snap(houses: DataFrame, nodes: DataFrame, edge_table: DataFrame, segment_table: DataFrame, cell_m: float | None = None, tolerance: float = SAME_STREET_TOLERANCE_M) -> DataFrame:
+def snap(houses: DataFrame, nodes: DataFrame, edge_table: DataFrame, segment_table: DataFrame, cell_m: float = CELL_M, tolerance: float = SAME_STREET_TOLERANCE_M) -> DataFrame:
     """area, house_id, edge, along, side, segment, point, offset: each house's edge.
 
     Of the edges on the house's own street within `tolerance` of the nearest edge, the one of the best tier, then the nearest, then
-    the first; else the nearest edge. Houses meet the edges of their area; with cell_m, only those of grid cells around them,
-    which is exact for houses that have an edge within cell_m minus the tolerance; the others meet their whole area.
+    the first; else the nearest edge. Houses meet the edges of the grid cells around them, which is exact for houses that have an
+    edge within a cell's width less the tolerance; the others go on with cells four times as wide, until a cell spans the area.
     """
     e = _places(nodes, edge_table)
     ref = e.select("area", "ref").distinct()
     placed = houses.select("area", "house_id", "lat", "lon", F.col("street").alias("house_street")).join(ref, "area")
     px, py = geo.project(F.col("lat"), F.col("lon"), F.col("ref.lat"), F.col("ref.lon"))
-    placed = placed.select("area", "house_id", "lat", "lon", "house_street", px.alias("px"), py.alias("py"))
-    edges_ = e.select("area", "edge", "length", F.col("street").alias("edge_street"), "pa", "pb", "ax", "ay", "bx", "by")
-    tiers = street_matches(houses, edge_table)
-    if cell_m is None:
-        return _chosen(placed.join(edges_, "area"), tiers, segment_table, tolerance)
-    cell = lambda c: F.floor(c / cell_m)
-    span = lambda lo, hi: F.explode(F.sequence(cell(lo), cell(hi)))
-    gridded = edges_.withColumn("cx", span(F.least("ax", "bx"), F.greatest("ax", "bx"))).withColumn("cy", span(F.least("ay", "by"), F.greatest("ay", "by")))
-    around = placed.withColumn("cx", F.explode(F.array(*[cell(F.col("px")) + d for d in (-1, 0, 1)]))).withColumn("cy", F.explode(F.array(*[cell(F.col("py")) + d for d in (-1, 0, 1)])))
-    near = around.join(gridded, ["area", "cx", "cy"]).drop("cx", "cy").dropDuplicates(["area", "house_id", "edge"])
-    close = _chosen(near, tiers, segment_table, tolerance, keep_best=True).where(F.col("nearest") <= cell_m - tolerance).drop("nearest")
-    left = placed.join(close.select("area", "house_id"), ["area", "house_id"], "left_anti")
-    return close.unionByName(_chosen(left.join(edges_, "area"), tiers, segment_table, tolerance))
-
-
-def _chosen(pairs: DataFrame, tiers: DataFrame, segment_table: DataFrame, tolerance: float, keep_best: bool = False) -> DataFrame:
+    todo = written(placed.select("area", "house_id", "lat", "lon", "house_street", px.alias("px"), py.alias("py")))
+    edges_ = written(e.select("area", "edge", "length", F.col("street").alias("edge_street"), "pa", "pb", "ax", "ay", "bx", "by"))
+    tiers = written(street_matches(houses, edge_table))
+    ends = edges_.agg(*[f(g(x, y)) for f, g, x, y in ((F.max, F.greatest, "ax", "bx"), (F.min, F.least, "ax", "bx"), (F.max, F.greatest, "ay", "by"), (F.min, F.least, "ay", "by"))]).first()
+    own = todo.agg(F.max("px"), F.min("px"), F.max("py"), F.min("py")).first()
+    size, parts = float(cell_m), []
+    while ends[0] is not None:
+        span = max([abs(x) for x in (*ends, *own) if x is not None]) * 2
+        cell = lambda c: F.floor(c / size)  # noqa: B023, E731
+        stretch = lambda lo, hi: F.explode(F.sequence(cell(lo), cell(hi)))  # noqa: B023, E731
+        gridded = edges_.withColumn("cx", stretch(F.least("ax", "bx"), F.greatest("ax", "bx"))).withColumn("cy", stretch(F.least("ay", "by"), F.greatest("ay", "by")))
+        around = todo.withColumn("cx", F.explode(F.array(*[cell(F.col("px")) + d for d in (-1, 0, 1)]))).withColumn("cy", F.explode(F.array(*[cell(F.col("py")) + d for d in (-1, 0, 1)])))
+        # an edge that is met in several cells counts once, for only least distances are kept
+        close = _chosen(around.join(gridded, ["area", "cx", "cy"]), tiers, segment_table, tolerance)
+        last = size - tolerance > span
+        part = written(close if last else close.where(F.col("nearest") <= size - tolerance))
+        parts.append(part.drop("nearest"))
+        left = written(todo.join(part.select("area", "house_id"), ["area", "house_id"], "left_anti"))
+        drop(todo)
+        todo = left
+        if last or todo.isEmpty():
+            break
+        size *= 4
+    found = parts[0] if parts else _chosen(todo.join(edges_, "area"), tiers, segment_table, tolerance).drop("nearest")
+    for part in parts[1:]:
+        found = found.unionByName(part)
+    return found
+
+
+def _chosen(pairs: DataFrame, tiers: DataFrame, segment_table: DataFrame, tolerance: float) -> DataFrame:
     t, d, side = geo.segment_projection(*[F.col(c) for c in ("px", "py", "ax", "ay", "bx", "by")])
     judged = pairs.join(tiers, ["area", "house_street", "edge_street"], "left").select("area", "house_id", "tier", F.struct(d.alias("d"), "edge", t.alias("t"), side.alias("side"), "length", "pa", "pb").alias("c"))
     # least distance, then least edge, of all edges and of each tier
@@ -71,8 +89,7 @@ def _chosen(pairs: DataFrame, tiers: DataFrame, segment_table: DataFrame, tolera
     own = best.select("area", "house_id", pick.alias("c"), F.col("any.d").alias("nearest"))
     point = F.struct(*[(F.col(f"c.pa.{k}") + (F.col(f"c.pb.{k}") - F.col(f"c.pa.{k}")) * F.col("c.t")).alias(k) for k in ("lat", "lon")])
     flat = own.select("area", "house_id", F.col("c.edge").alias("edge"), (F.col("c.t") * F.col("c.length")).alias("along"), F.col("c.side").alias("side"), point.alias("point"), F.col("c.d").alias("offset"), "nearest")
-    out = flat.join(segment_table.select("area", "edge", "segment"), ["area", "edge"]).select("area", "house_id", "edge", "along", "side", "segment", "point", "offset", "nearest")
-    return out if keep_best else out.drop("nearest")
+    return flat.join(segment_table.select("area", "edge", "segment"), ["area", "edge"]).select("area", "house_id", "edge", "along", "side", "segment", "point", "offset", "nearest")
 
 
 def _same_edge(gap: Column, crossing_penalty: float) -> Column:

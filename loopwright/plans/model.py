@@ -29,7 +29,7 @@ class Model:
         return placed.join(self.houses.select("area", "house_id", "ord"), ["area", "house_id"]).select("area", "house_id", "ord", "x", "y", "segment")
 
 
-def build_model(houses: DataFrame, nodes: DataFrame, ways: DataFrame, crossing_penalty: float = 8.0, cell_m: float | None = None) -> Model:
+def build_model(houses: DataFrame, nodes: DataFrame, ways: DataFrame, crossing_penalty: float = 8.0, cell_m: float = snap.CELL_M) -> Model:
     edges = written(graph.edges(nodes, ways))
     segments = written(graph.segments(edges))
     components = written(graph.node_components(nodes, edges))

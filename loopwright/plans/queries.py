@@ -2,58 +2,39 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
+from loopwright.checkpoints import written
 from loopwright.functions import geo
 from loopwright.functions import text as T
 from loopwright.operators import edits, graph, neighbours, snap, solver, stats
 from loopwright.plans import views as V
 from loopwright.plans.model import build_model
+from loopwright.plans.registry import ORACLE_SQL, registered, rounded
 from loopwright.schema import Config, Weights
 from loopwright.sinks import export
 from loopwright.sources import synthetic
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def registered(sql: str | None = None, *views: str):
-    def add(query):
-        QUERIES[query.__name__] = query
-        if sql:
-            ORACLE_SQL[query.__name__] = (f"WITH {', '.join(views)} " if views else "") + sql
-        return query
-
-    return add
-
-
-def _round(c: Column | str, places: int = 4) -> Column:
-    """Rounded, never -0."""
-    return F.round(F.col(c) if isinstance(c, str) else c, places) + 0.0
-
-
 _HAVERSINE = "2 * 6371008.8::DOUBLE * asin(least(1, sqrt(pow(sin(radians(42.002::DOUBLE - lat) / 2), 2) + cos(radians(lat)) * cos(radians(42.002::DOUBLE)) * pow(sin(radians(-88.296::DOUBLE - lon) / 2), 2))))"
 
 
 @registered(f"SELECT house_id, round({_HAVERSINE}, 4) AS metres FROM houses", V.HOUSES_SQL)
 def geo_haversine(spark, sf_dir):
-    return V.houses(spark, sf_dir).select("house_id", _round(geo.haversine(F.col("lat"), F.col("lon"), F.lit(42.002), F.lit(-88.296))).alias("metres"))
+    return V.houses(spark, sf_dir).select("house_id", rounded(geo.haversine(F.col("lat"), F.col("lon"), F.lit(42.002), F.lit(-88.296))).alias("metres"))
 
 
 @registered("SELECT house_id, round((lon + 88.3::DOUBLE) * (cos(radians(42::DOUBLE)) * (6371008.8::DOUBLE * pi() / 180)), 4) + 0 AS x, round((lat - 42::DOUBLE) * (6371008.8::DOUBLE * pi() / 180), 4) + 0 AS y FROM houses", V.HOUSES_SQL)
 def geo_project(spark, sf_dir):
     x, y = geo.project(F.col("lat"), F.col("lon"), F.lit(42.0), F.lit(-88.3))
-    return V.houses(spark, sf_dir).select("house_id", _round(x).alias("x"), _round(y).alias("y"))
+    return V.houses(spark, sf_dir).select("house_id", rounded(x).alias("x"), rounded(y).alias("y"))
 
 
 @registered("""SELECT h, round(t, 4) + 0 AS t, round(sqrt((x - t * 0.5::DOUBLE) * (x - t * 0.5::DOUBLE) + (y - t * 0.25::DOUBLE) * (y - t * 0.25::DOUBLE)), 4) AS dist,
   CASE WHEN 0.5::DOUBLE * y - 0.25::DOUBLE * x >= 0 THEN 1 ELSE -1 END AS side FROM (SELECT *, least(1, greatest(0, (x * 0.5::DOUBLE + y * 0.25::DOUBLE) / 0.3125::DOUBLE)) AS t FROM points)""", V.POINTS_SQL)
 def geo_point_to_segment(spark, sf_dir):
     t, d, side = geo.segment_projection(F.col("x"), F.col("y"), F.lit(0.0), F.lit(0.0), F.lit(0.5), F.lit(0.25))
-    return V.points(spark, sf_dir).select("h", _round(t).alias("t"), _round(d).alias("dist"), side.alias("side"))
+    return V.points(spark, sf_dir).select("h", rounded(t).alias("t"), rounded(d).alias("dist"), side.alias("side"))
 
 
 def _square() -> Column:
@@ -69,7 +50,7 @@ def geo_point_in_ring(spark, sf_dir):
 def geo_ring_centroid(spark, sf_dir):
     rings = V.houses(spark, sf_dir).groupBy("area", "g").agg(F.collect_list(F.struct("lat", "lon")).alias("ring"))
     c = geo.ring_centroid(F.col("ring"))
-    return rings.select("area", "g", _round(c["lat"], 6).alias("lat"), _round(c["lon"], 6).alias("lon"))
+    return rings.select("area", "g", rounded(c["lat"], 6).alias("lat"), rounded(c["lon"], 6).alias("lon"))
 
 
 @registered("""SELECT g, round(abs(sum(plon * lat - lon * plat)) / 2, 4) AS area_deg FROM (
@@ -78,7 +59,7 @@ def geo_ring_centroid(spark, sf_dir):
 def geo_ring_area(spark, sf_dir):
     rings = V.stops(spark, sf_dir).groupBy("g").agg(F.sort_array(F.collect_list(F.struct("pos", "value"))).alias("s"))
     ring = F.transform("s", lambda s: F.struct(s["value"].alias("lat"), s["pos"].cast("double").alias("lon")))
-    return rings.select("g", _round(geo.ring_area(ring)).alias("area_deg"))
+    return rings.select("g", rounded(geo.ring_area(ring)).alias("area_deg"))
 
 
 @registered("""SELECT area, round(CASE WHEN n - s < 0.02::DOUBLE THEN (n + s) / 2 - 0.01::DOUBLE ELSE s END, 6) AS south, round(CASE WHEN e - w < 0.02::DOUBLE THEN (w + e) / 2 - 0.01::DOUBLE ELSE w END, 6) AS west,
@@ -86,7 +67,7 @@ def geo_ring_area(spark, sf_dir):
   FROM (SELECT area, min(lat) s, max(lat) n, min(lon) w, max(lon) e FROM houses GROUP BY area)""", V.HOUSES_SQL)
 def geo_bbox_fit(spark, sf_dir):
     box = export.fit_box(V.houses(spark, sf_dir), 0.02)
-    return box.select("area", *[_round(k, 6).alias(k) for k in ("south", "west", "north", "east")])
+    return box.select("area", *[rounded(k, 6).alias(k) for k in ("south", "west", "north", "east")])
 
 
 _MASKED = "& 4294967295::HUGEINT"
@@ -177,101 +158,140 @@ def filter_locked_flags(spark, sf_dir):
     return edits.locked_flags(h, segments, own).select("area", "house_id", "locked")
 
 
-@registered("""SELECT g, min(pos) AS start, count(*) AS stops FROM (SELECT g, pos, street, sum((street = 'click')::INT) OVER (PARTITION BY g ORDER BY pos) AS island FROM stops)
-  WHERE street <> 'click' GROUP BY g, island HAVING count(*) >= 2""", V.STOPS_SQL)
-def parse_way_gaps(spark, sf_dir):
-    """Gaps and islands: clicks are missing nodes; pieces of two stops and more stay."""
-    gap = (F.col("street") == "click").cast("int")
-    s = V.stops(spark, sf_dir).withColumn("island", F.sum(gap).over(Window.partitionBy("g").orderBy("pos")))
-    return s.where("street <> 'click'").groupBy("g", "island").agg(F.min("pos").alias("start"), F.count("*").alias("stops")).where("stops >= 2").select("g", F.col("start").cast("bigint").alias("start"), "stops")
-
-
-@registered("SELECT l_orderkey, l_partkey, l_suppkey FROM (SELECT *, row_number() OVER (PARTITION BY l_partkey, l_suppkey ORDER BY l_orderkey, l_linenumber) AS k FROM lineitem) WHERE k = 1")
-def dedupe_first_wins(spark, sf_dir):
-    """The first row of each key by a total order, as a partial aggregate rather than a sort of all rows."""
-    li = V.table(spark, sf_dir, "lineitem").select("l_orderkey", "l_linenumber", "l_partkey", "l_suppkey")
-    return li.groupBy("l_partkey", "l_suppkey").agg(F.min(F.struct("l_orderkey", "l_linenumber")).alias("f")).select("f.l_orderkey", "l_partkey", "l_suppkey")
-
-
 def _edges(spark, sf_dir):
     return graph.edges(V.nodes(spark, sf_dir), V.ways(spark, sf_dir))
 
 
+def _block_edges(spark, sf_dir):
+    return graph.edges(V.nodes(spark, sf_dir, blocks=True), V.ways(spark, sf_dir, blocks=True))
+
+
 @registered("SELECT a, b, street, round(length, 4) AS length FROM edges", V.NODES_SQL, V.EDGES_SQL)
 def graph_edges(spark, sf_dir):
-    return _edges(spark, sf_dir).select("a", "b", "street", _round("length").alias("length"))
+    return _block_edges(spark, sf_dir).select("a", "b", "street", rounded("length").alias("length"))
 
 
 @registered("SELECT node, count(*) AS degree FROM (SELECT a AS node FROM edges UNION ALL SELECT b FROM edges) GROUP BY node", V.NODES_SQL, V.EDGES_SQL)
 def graph_degree(spark, sf_dir):
-    return graph.ends_of(_edges(spark, sf_dir)).groupBy("node").agg(F.count("*").alias("degree"))
+    return graph.ends_of(_block_edges(spark, sf_dir)).groupBy("node").agg(F.count("*").alias("degree"))
 
 
-@registered("""SELECT node_id, dense_rank() OVER (ORDER BY label) - 1 AS component FROM (SELECT node_id, min(m) AS label FROM (
+@registered("""SELECT node_id, dense_rank() OVER (PARTITION BY node_id // 40 ORDER BY label) - 1 AS component FROM (SELECT node_id, min(m) AS label FROM (
   SELECT n.node_id, r.node_id AS m FROM nodes n JOIN nodes r ON
     CASE WHEN (n.node_id // 10) % 4 = 3 THEN r.node_id = n.node_id ELSE (r.node_id // 40 = n.node_id // 40 AND (r.node_id // 10) % 4 <> 3) END) GROUP BY node_id)""", V.NODES_SQL)
 def graph_components(spark, sf_dir):
     """The grid falls into blocks of three rows, and every fourth row into single nodes."""
-    n = V.nodes(spark, sf_dir)
-    return graph.node_components(n, _edges(spark, sf_dir)).select("node_id", F.col("component").cast("bigint").alias("component"))
+    n = V.nodes(spark, sf_dir, blocks=True)
+    return graph.node_components(n, _block_edges(spark, sf_dir)).select("node_id", F.col("component").cast("bigint").alias("component"))
+
 
+_CHAINS = [
+    "numbered AS (SELECT *, row_number() OVER (PARTITION BY a // 40 ORDER BY way_ord) - 1 AS edge, a // 40 AS block FROM edges)",
+    "tips AS (SELECT block, edge, street, unnest([a, b]) AS node FROM numbered)",
+    "joints AS (SELECT block, node, min(edge) AS x, max(edge) AS y FROM tips GROUP BY block, node HAVING count(*) = 2 AND min(street) = max(street) AND min(edge) < max(edge))",
+    "beside AS (SELECT block, x, y FROM joints UNION ALL SELECT block, y, x FROM joints)",
+    "l0 AS (SELECT block, edge, edge AS label FROM numbered)",
+    *[f"l{i} AS MATERIALIZED (SELECT block, edge, min(label) AS label FROM (SELECT * FROM l{i - 1} UNION ALL SELECT l.block, b.y, l.label FROM l{i - 1} l JOIN beside b ON b.block = l.block AND b.x = l.edge) GROUP BY block, edge)" for i in range(1, 10)],
+    "ends AS (SELECT t.block, label, node, count(*) AS n FROM tips t JOIN l9 USING (block, edge) GROUP BY t.block, label, node)",
+    "chains AS (SELECT e.block, e.label, s.street || ':' || min(node) FILTER (n <> 2) || '-' || max(node) FILTER (n <> 2) AS key FROM ends e JOIN numbered s ON s.block = e.block AND s.edge = e.label GROUP BY e.block, e.label, s.street)",
+]
 
-@registered()
+
+@registered("SELECT n.a, n.b, dense_rank() OVER (PARTITION BY n.block ORDER BY l.label) - 1 AS segment, c.key FROM numbered n JOIN l9 l USING (block, edge) JOIN chains c ON c.block = n.block AND c.label = l.label", V.NODES_SQL, V.EDGES_SQL, *_CHAINS)
 def graph_segments(spark, sf_dir):
-    e = _edges(spark, sf_dir)
-    return graph.segments(e).join(e.select("area", "edge", "a", "b"), ["area", "edge"]).select("a", "b", "segment", "key")
+    e = _block_edges(spark, sf_dir)
+    return graph.segments(e).join(e.select("area", "edge", "a", "b"), ["area", "edge"]).select("a", "b", F.col("segment").cast("bigint").alias("segment"), "key")
+
+
+def _first_nodes(spark, sf_dir):
+    return V.nodes(spark, sf_dir, blocks=True).groupBy("area").agg(F.min("node_id").alias("source"))
 
 
-@registered("""SELECT node, round(min(metres), 3) AS metres FROM walk GROUP BY node""",
-            V.NODES_SQL, V.EDGES_SQL, "ends AS (SELECT a, b, length FROM edges UNION ALL SELECT b, a, length FROM edges)", "w0 AS (SELECT 1::BIGINT AS node, 0::DOUBLE AS metres)",
-            *[f"w{i} AS MATERIALIZED (SELECT node, min(metres) AS metres FROM (SELECT node, metres FROM w{i - 1} UNION ALL SELECT b, metres + length FROM w{i - 1} JOIN ends ON a = node) GROUP BY node)" for i in range(1, 16)], "walk AS (SELECT * FROM w15)")
+_WALK = [
+    "ends AS (SELECT a, b, length FROM edges UNION ALL SELECT b, a, length FROM edges)", "w0 AS (SELECT min(node_id) AS node, 0::DOUBLE AS metres FROM nodes GROUP BY block)",
+    *[f"w{i} AS MATERIALIZED (SELECT node, min(metres) AS metres FROM (SELECT node, metres FROM w{i - 1} UNION ALL SELECT b, metres + length FROM w{i - 1} JOIN ends ON a = node) GROUP BY node)" for i in range(1, 16)],
+    "walk AS (SELECT * FROM w15)",
+]
+
+
+@registered("SELECT node, round(min(metres), 3) AS metres FROM walk GROUP BY node", V.NODES_SQL, V.EDGES_SQL, *_WALK)
 def graph_shortest_path(spark, sf_dir):
-    e = _edges(spark, sf_dir)
-    return graph.shortest_paths(e, spark.createDataFrame([("grid", 1)], "area string, source bigint")).select("node", _round("metres", 3).alias("metres"))
+    """From the first node of each block."""
+    return graph.shortest_paths(_block_edges(spark, sf_dir), _first_nodes(spark, sf_dir)).select("node", rounded("metres", 3).alias("metres"))
 
 
 @registered(ORACLE_SQL["graph_shortest_path"])
 def graph_dijkstra(spark, sf_dir):
-    e = _edges(spark, sf_dir)
-    return graph.dijkstra(e, spark.createDataFrame([("grid", 1)], "area string, source bigint")).select("node", _round("metres", 3).alias("metres"))
+    return graph.dijkstra(_block_edges(spark, sf_dir), _first_nodes(spark, sf_dir)).select("node", rounded("metres", 3).alias("metres"))
+
+
+@registered(ORACLE_SQL["graph_shortest_path"])
+def graph_path(spark, sf_dir):
+    """Paths from the first node of each block to all nodes within reach: the lengths of their edges add up to the shortest distance."""
+    e, first = _block_edges(spark, sf_dir), _first_nodes(spark, sf_dir)
+    wanted = V.nodes(spark, sf_dir, blocks=True).join(first, "area").select("area", F.col("source").alias("a"), F.col("node_id").alias("b"))
+    steps = graph.path(e, wanted).where(F.size("nodes") > 0).select("area", "b", F.explode(F.expr("transform(nodes, (v, i) -> struct(v AS node, coalesce(get(nodes, i + 1), v) AS other))")).alias("s")).select("area", "b", "s.*")
+    lengths = graph.ends_of(e).groupBy("area", "node", "other").agg(F.min("length").alias("length"))
+    return steps.join(lengths, ["area", "node", "other"], "left").groupBy(F.col("b").alias("node")).agg(rounded(F.coalesce(F.sum("length"), F.lit(0.0)), 3).alias("metres"))
 
 
 def _grid_houses(spark, sf_dir):
     return V.houses(spark, sf_dir).withColumn("area", F.lit("grid"))
 
 
-@registered("""SELECT house_id, round(coalesce(min(CASE WHEN same AND d <= bd + 15 THEN d END), min(bd)), 3) AS metres FROM (
-  SELECT *, min(d) OVER (PARTITION BY house_id) AS bd FROM (
-    SELECT house_id, same, sqrt(pow(px - (ax + t * (bx - ax)), 2) + pow(py - (ay + t * (ay2 - ay)), 2)) AS d FROM (
-      SELECT h.house_id, h.street = e.street AS same, px, py, ax, ay, bx, ay2, least(1, greatest(0, ((px - ax) * (bx - ax) + (py - ay) * (ay2 - ay)) / ((bx - ax) * (bx - ax) + (ay2 - ay) * (ay2 - ay)))) AS t
-      FROM (SELECT house_id, street, (lon - rlon) * kx AS px, (lat - rlat) * ky AS py FROM houses, ref) h,
-           (SELECT street, (lon1 - rlon) * kx AS ax, (lat1 - rlat) * ky AS ay, (lon2 - rlon) * kx AS bx, (lat2 - rlat) * ky AS ay2 FROM edges, ref) e))) GROUP BY house_id""",
-            V.HOUSES_SQL, V.NODES_SQL, V.EDGES_SQL, "ref AS (SELECT lat AS rlat, lon AS rlon, cos(radians(lat)) * (6371008.8::DOUBLE * pi() / 180) AS kx, 6371008.8::DOUBLE * pi() / 180 AS ky FROM nodes ORDER BY node_id LIMIT 1)")
-def snap_nearest_tiered(spark, sf_dir):
+_SNAPS = [
+    "ref AS (SELECT lat AS rlat, lon AS rlon, cos(radians(lat)) * (6371008.8::DOUBLE * pi() / 180) AS kx, 6371008.8::DOUBLE * pi() / 180 AS ky FROM nodes ORDER BY node_id LIMIT 1)",
+    """near AS (SELECT *, min(d) OVER (PARTITION BY house_id) AS bd FROM (
+      SELECT house_id, same, sqrt(pow(px - (ax + t * (bx - ax)), 2) + pow(py - (ay + t * (by_ - ay)), 2)) AS d FROM (
+        SELECT h.house_id, h.street = e.street AS same, px, py, ax, ay, bx, by_, least(1, greatest(0, ((px - ax) * (bx - ax) + (py - ay) * (by_ - ay)) / ((bx - ax) * (bx - ax) + (by_ - ay) * (by_ - ay)))) AS t
+        FROM (SELECT house_id, street, (lon - rlon) * kx AS px, (lat - rlat) * ky AS py FROM houses, ref) h,
+             (SELECT street, (lon1 - rlon) * kx AS ax, (lat1 - rlat) * ky AS ay, (lon2 - rlon) * kx AS bx, (lat2 - rlat) * ky AS by_ FROM edges, ref) e)))""",
+    "snaps AS (SELECT house_id, coalesce(min(CASE WHEN same AND d <= bd + 15 THEN d END), min(bd)) AS metres, coalesce(bool_or(same AND d <= bd + 15), false) AS own FROM near GROUP BY house_id)",
+]
+
+
+def _snaps(spark, sf_dir):
     e = _edges(spark, sf_dir)
-    found = snap.snap(_grid_houses(spark, sf_dir), V.nodes(spark, sf_dir), e, e.select("area", "edge", F.lit(0).alias("segment")), cell_m=150.0)
-    return found.select("house_id", _round("offset", 3).alias("metres"))
+    h = _grid_houses(spark, sf_dir)
+    found = snap.snap(h, V.nodes(spark, sf_dir), e, e.select("area", "edge", F.lit(0).alias("segment")))
+    return found.join(e.select("area", "edge", F.col("street").alias("edge_street")), ["area", "edge"]).join(h.select("area", "house_id", "street"), ["area", "house_id"])
 
 
-@registered()
+@registered("SELECT house_id, round(metres, 3) AS metres, own FROM snaps", V.HOUSES_SQL, V.NODES_SQL, V.EDGES_SQL, *_SNAPS)
+def snap_nearest_tiered(spark, sf_dir):
+    """Offset of each house, and whether it was snapped to its own street, which ties of nearest edges don't touch."""
+    return _snaps(spark, sf_dir).select("house_id", rounded("offset", 3).alias("metres"), (F.col("street") == F.col("edge_street")).alias("own"))
+
+
+@registered("SELECT own, count(*) AS houses, round(avg(metres), 3) AS mean_offset FROM snaps GROUP BY own", V.HOUSES_SQL, V.NODES_SQL, V.EDGES_SQL, *_SNAPS)
 def snap_offset_summary(spark, sf_dir):
-    e = _edges(spark, sf_dir)
-    found = snap.snap(_grid_houses(spark, sf_dir), V.nodes(spark, sf_dir), e, e.select("area", "edge", F.lit(0).alias("segment")), cell_m=150.0)
-    met = found.join(e.select("area", "edge", "street"), ["area", "edge"])
-    return met.groupBy("street").agg(F.count("*").alias("houses"), _round(F.avg("offset"), 3).alias("mean_offset"))
+    met = _snaps(spark, sf_dir).groupBy((F.col("street") == F.col("edge_street")).alias("own"))
+    return met.agg(F.count("*").alias("houses"), rounded(F.avg("offset"), 3).alias("mean_offset"))
+
 
+#: On a grid of streets the shortest way goes straight up and over, along the northern of both rows, which is the shorter by a hair.
+_HOOD = f"""hood AS (
+  SELECT c_custkey AS k, c_custkey // {V.NEIGHBOURHOOD} AS area, slot, r, rest // {2 * V.PER_EDGE} AS c, (rest % {2 * V.PER_EDGE} // 2 + 0.1::DOUBLE + c_custkey * 31 % 89 / 89.0::DOUBLE * 0.8::DOUBLE) / {V.PER_EDGE} AS f,
+         CASE WHEN slot % 2 = 0 THEN 1 ELSE -1 END AS side, 2 * 6371008.8::DOUBLE * asin(cos(radians(42 + r * 0.0009::DOUBLE)) * sin(radians(0.0012::DOUBLE) / 2)) AS step
+  FROM (SELECT c_custkey, c_custkey % {V.NEIGHBOURHOOD} AS slot, c_custkey % {V.NEIGHBOURHOOD} // {V.NEIGHBOURHOOD // V.ROWS} AS r, c_custkey % {V.NEIGHBOURHOOD} % {V.NEIGHBOURHOOD // V.ROWS} AS rest FROM customer))"""
+_HOOD_PAIRS = """pairs AS (
+  SELECT a.k AS i, b.k AS j, a.area, a.r = b.r AND a.c = b.c AS same, a.side = b.side AS beside, abs(a.f - b.f) * a.step AS gap, 0.00015::DOUBLE * 6371008.8::DOUBLE * pi() / 180 AS off,
+         abs(a.r - b.r) * radians(0.0009::DOUBLE) * 6371008.8::DOUBLE AS over, greatest(a.step, 0) AS sa, b.step AS sb, least(a.step, b.step) AS s, a.c AS ca, b.c AS cb, a.f AS fa, b.f AS fb
+  FROM hood a JOIN hood b ON a.area = b.area)"""
 
-@registered()
+
+@registered("""SELECT i::VARCHAR AS i, j::VARCHAR AS j, round((CASE WHEN i = j THEN 0 WHEN same AND beside THEN gap WHEN same THEN gap + 2 * off + 8
+    ELSE 2 * off + over + least(fa * sa + abs(ca - cb) * s + fb * sb, fa * sa + abs(ca - cb - 1) * s + (1 - fb) * sb, (1 - fa) * sa + abs(ca + 1 - cb) * s + fb * sb, (1 - fa) * sa + abs(ca - cb) * s + (1 - fb) * sb) END)::FLOAT::DOUBLE, 2) AS metres FROM pairs""", _HOOD, _HOOD_PAIRS)
 def dist_house_pairs(spark, sf_dir):
     """All walking distances inside every neighbourhood."""
-    return _neighbourhoods(spark, sf_dir)[1].dist.select("i", "j", _round(F.col("metres").cast("double"), 2).alias("metres"))
+    return _neighbourhoods(spark, sf_dir)[1].dist.select("i", "j", rounded(F.col("metres").cast("double"), 2).alias("metres"))
 
 
 _KNN = "knn AS (SELECT h, j, rank FROM (SELECT a.h, b.h AS j, row_number() OVER (PARTITION BY a.h ORDER BY sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)), b.h) AS rank FROM points a JOIN points b ON a.h <> b.h) WHERE rank <= 6)"
 
 
 def _knn(spark, sf_dir):
-    return neighbours.nearest(V.points(spark, sf_dir), cell=0.06)
+    return neighbours.nearest(V.points(spark, sf_dir))
 
 
 @registered("SELECT h, j, rank::INTEGER AS rank FROM knn", V.POINTS_SQL, _KNN)
@@ -300,13 +320,9 @@ def knn_cut_delta(spark, sf_dir):
 
 @registered("""SELECT p.h, arg_min(q.g, {'d': sqrt((p.x - q.x) * (p.x - q.x) + (p.y - q.y) * (p.y - q.y)), 'j': q.h}) AS g FROM points p JOIN points q ON q.h % 7 <> 0 WHERE p.h % 7 = 0 GROUP BY p.h""", V.POINTS_SQL)
 def adopt_nearest(spark, sf_dir):
-    """Points without a group take that of their nearest one with a group; they meet those of the cells around them first."""
-    p = V.points(spark, sf_dir)
-    lost = p.where(F.col("h") % 7 == 0)
-    dx, dy = F.col("x") - F.col("xj"), F.col("y") - F.col("yj")
-    dist = lost.select("area", F.col("h").alias("i"), "x", "y").join(p.where(F.col("h") % 7 != 0).select("area", F.col("h").alias("j"), F.col("x").alias("xj"), F.col("y").alias("yj")), "area").select("area", "i", "j", F.sqrt(dx * dx + dy * dy).alias("metres"))
-    masked = p.select("area", "h", F.when(F.col("h") % 7 == 0, F.lit(-1)).otherwise(F.col("g")).alias("g"))
-    return neighbours.adopt_nearest(masked, dist, V.GROUPS).where("changed").select("h", "g")
+    """Points without a group take that of their nearest one with a group."""
+    p = V.points(spark, sf_dir).withColumn("g", F.when(F.col("h") % 7 == 0, F.lit(-1)).otherwise(F.col("g")))
+    return neighbours.adopt_spatial(p, V.GROUPS).where("changed").select("h", "g")
 
 
 _EVERY = f"every AS (SELECT a.area, r.g::INTEGER AS g FROM (SELECT DISTINCT area FROM houses) a, (SELECT unnest(range({V.GROUPS})) AS g) r)"
@@ -321,7 +337,7 @@ def _stats(spark, sf_dir):
 
 @registered("""SELECT area, g, houses, length, round((length / 1.2::DOUBLE + houses * 20) / 60, 4) AS minutes, round(houses - avg(houses) OVER (PARTITION BY area), 4) AS delta, -1::BIGINT AS street_changes FROM sizes""", V.HOUSES_SQL, _EVERY, _SIZES)
 def stats_group(spark, sf_dir):
-    return _stats(spark, sf_dir).select("area", "g", "houses", "length", _round("minutes").alias("minutes"), _round("delta").alias("delta"), "street_changes")
+    return _stats(spark, sf_dir).select("area", "g", "houses", "length", rounded("minutes").alias("minutes"), rounded("delta").alias("delta"), "street_changes")
 
 
 @registered("SELECT e.area, e.g, e.g || ':' || coalesce(string_agg(h.h::VARCHAR, ',' ORDER BY h.h), '') AS signature FROM every e LEFT JOIN houses h ON h.area = e.area AND h.g = e.g GROUP BY e.area, e.g", V.HOUSES_SQL, _EVERY)
@@ -356,12 +372,12 @@ def stats_main_component(spark, sf_dir):
 def stats_objective(spark, sf_dir):
     s = _stats(spark, sf_dir)
     cut = s.groupBy("area").agg(F.max("houses").alias("cut"))
-    return stats.objective(s, cut, Weights()).select("area", *[_round(c).alias(c) for c in ("score", "spread", "violation", "objective")])
+    return stats.objective(s, cut, Weights()).select("area", *[rounded(c).alias(c) for c in ("score", "spread", "violation", "objective")])
 
 
 @registered("""SELECT area, g, houses, round(houses - mean, 4) AS delta FROM (SELECT *, avg(houses) OVER (PARTITION BY area) AS mean FROM sizes) WHERE abs(houses - mean) > 1 QUALIFY row_number() OVER (PARTITION BY area ORDER BY g) = 1""", V.HOUSES_SQL, _EVERY, _SIZES)
 def stats_off_balance(spark, sf_dir):
-    return stats.off_balance(_stats(spark, sf_dir), F.lit(1.0)).select("area", "g", "houses", _round("delta").alias("delta"))
+    return stats.off_balance(_stats(spark, sf_dir), F.lit(1.0)).select("area", "g", "houses", rounded("delta").alias("delta"))
 
 
 @registered("""SELECT e.area, e.g, count(s.house_id) AS n FROM (SELECT a.area, r.g::INTEGER AS g FROM (SELECT DISTINCT area FROM sel) a, (SELECT unnest(range(-1, 4)) AS g) r) e LEFT JOIN sel s ON s.area = e.area AND s.grp = e.g GROUP BY e.area, e.g""",
@@ -388,7 +404,7 @@ def _leg_metres(spark, sf_dir):
 @registered("SELECT g, round(CASE WHEN max(n) > 1 THEN sum(metres) ELSE 0 END, 4) AS length FROM legs GROUP BY g", V.STOPS_SQL, _LEGS)
 def tour_length(spark, sf_dir):
     s, d = _leg_metres(spark, sf_dir)
-    return stats.tour_lengths(s, d).select("g", _round("length").alias("length"))
+    return stats.tour_lengths(s, d).select("g", rounded("length").alias("length"))
 
 
 @registered("""SELECT g, h, (CASE WHEN n < 3 THEN pos ELSE (pos - last - 1 + 2 * n) % n END)::INTEGER AS pos FROM (SELECT *, arg_max(pos, {'m': metres, 'p': -pos}) OVER (PARTITION BY g) AS last FROM legs)""", V.STOPS_SQL, _LEGS)
@@ -438,13 +454,13 @@ def export_overview(spark, sf_dir):
 
 @registered("""SELECT r * 5 + c + 1 AS node_id, round(42 + r * 0.0009::DOUBLE, 6) AS lat, round(-88.3 + c * 0.0012::DOUBLE, 6) AS lon FROM (SELECT unnest(range(5)) AS r) a, (SELECT unnest(range(5)) AS c) b""")
 def synthetic_nodes(spark, sf_dir):
-    return synthetic.grid(spark, 5, 5, 3)["nodes"].select("node_id", _round("lat", 6).alias("lat"), _round("lon", 6).alias("lon"))
+    return synthetic.grid(spark, 5, 5, 3)["nodes"].select("node_id", rounded("lat", 6).alias("lat"), rounded("lon", 6).alias("lon"))
 
 
 @registered("""SELECT 'h' || r || '_' || c || '_' || k || '_' || s AS house_id, (k + 1) || ' Row ' || r AS label, round(42 + r * 0.0009::DOUBLE + CASE WHEN s = '+' THEN 0.00015::DOUBLE ELSE -0.00015::DOUBLE END, 6) AS lat, round(-88.3 + (c + (k + 0.5::DOUBLE) / 3) * 0.0012::DOUBLE, 6) AS lon
   FROM (SELECT unnest(range(5)) AS r) a, (SELECT unnest(range(4)) AS c) b, (SELECT unnest(range(3)) AS k) d, (SELECT unnest(['+', '-']) AS s) e""")
 def synthetic_houses(spark, sf_dir):
-    return synthetic.grid(spark, 5, 5, 3)["houses"].select("house_id", "label", _round("lat", 6).alias("lat"), _round("lon", 6).alias("lon"))
+    return synthetic.grid(spark, 5, 5, 3)["houses"].select("house_id", "label", rounded("lat", 6).alias("lat"), rounded("lon", 6).alias("lon"))
 
 
 def _neighbourhoods(spark, sf_dir):
@@ -453,29 +469,49 @@ def _neighbourhoods(spark, sf_dir):
     return g, build_model(g["houses"], g["nodes"], g["ways"])
 
 
-@registered()
+def _wrong_lengths(found, dist):
+    """Adds `wrong`: whether a loop's length isn't the sum of its legs. `found` has area, run, g, tour, length."""
+    stops = found.select(F.col("area").alias("own"), F.concat_ws("/", "area", F.col("run").cast("string")).alias("area"), "run", "g", F.posexplode("tour").alias("pos", "h"))
+    legs = stats.tour_legs(stops, ["h"]).where("n_stops > 1").join(dist.select(F.col("area").alias("own"), F.col("i").alias("h"), F.col("j").alias("n_h"), "metres"), ["own", "h", "n_h"])
+    sums = legs.groupBy(F.col("own").alias("area"), "run", "g").agg(F.sum(F.col("metres").cast("double")).alias("legs"))
+    return found.join(sums, ["area", "run", "g"], "left").withColumn("wrong", F.abs(F.col("length") - F.coalesce("legs", F.lit(0.0))) > 0.01)
+
+
+@registered("SELECT (c_custkey // 48)::VARCHAR AS area, run, count(*) AS houses, count(*) AS different, 6::BIGINT AS groups, 0::BIGINT AS empty, 0::BIGINT AS off, true AS feasible, 0::BIGINT AS wrong FROM customer, (SELECT unnest([0, 1]) AS run) GROUP BY c_custkey // 48, run")
 def solve_partition(spark, sf_dir):
-    """Groups and loops of every area under two seeds; sizes, feasibility and loops."""
+    """Groups and loops of every area under two seeds, told by what must hold: each house in one loop, sizes within tolerance, lengths of loops that are those of their legs."""
     g, m = _neighbourhoods(spark, sf_dir)
     config = Config()
     runs = solver.sweep(g["houses"], [1, 2], config.groups, config.iterations, [config.weights])
-    found = solver.solve_runs(m.solver_houses(), m.dist, runs)
-    return found.select("area", "run", "g", F.size("tour").alias("houses"), "feasible", _round("length", 2).alias("length"), "cut")
+    found = written(solver.solve_runs(m.solver_houses(), m.dist, runs))
+    size = F.size("tour")
+    mean = F.avg(size).over(Window.partitionBy("area", "run"))
+    judged = _wrong_lengths(found, m.dist).withColumn("off", F.abs(size - mean) > F.greatest(F.lit(config.weights.tolerance), F.floor(config.weights.toleranceFrac * mean)))
+    sums = judged.groupBy("area", "run").agg(F.sum(size).alias("houses"), F.count("*").alias("groups"), F.count_if(size == 0).alias("empty"), F.count_if("off").alias("off"), F.bool_and("feasible").alias("feasible"), F.count_if("wrong").alias("wrong"))
+    different = found.select("area", "run", F.explode("tour").alias("h")).groupBy("area", "run").agg(F.count_distinct("h").alias("different"))
+    return sums.join(different, ["area", "run"]).select("area", "run", "houses", "different", "groups", "empty", "off", "feasible", "wrong")
 
 
-@registered()
+@registered("SELECT a.area, a.g, count(c_custkey) AS stops, count(c_custkey) AS different, false AS wrong, false AS longer FROM (SELECT DISTINCT (c_custkey // 48)::VARCHAR AS area, g FROM customer, (SELECT unnest(range(4))::INTEGER AS g)) a LEFT JOIN customer ON (c_custkey // 48)::VARCHAR = a.area AND c_custkey % 48 // 12 = a.g GROUP BY a.area, a.g")
 def solve_tours(spark, sf_dir):
-    """Re-routing: a loop for each street row of every area, one task a group."""
+    """Re-routing: a loop for each street row of every area, one task a group; it holds each house once, has its legs' length, and is no longer than the houses in their order."""
     g, m = _neighbourhoods(spark, sf_dir)
     row = F.regexp_extract("street", r"(\d+)$", 1).cast("int")
     a = g["houses"].select("area", F.col("house_id").alias("h"), row.alias("g"))
-    return solver.route_groups(a, m.dist, V.ROWS).select("area", "g", "signature", _round("length", 2).alias("length"), F.size("tour").alias("stops"))
+    found = _wrong_lengths(written(solver.route_groups(a, m.dist, V.ROWS)).withColumn("run", F.lit(0)), m.dist)
+    in_order = stats.tour_lengths(a.withColumn("pos", F.row_number().over(Window.partitionBy("area", "g").orderBy("h"))), m.dist).withColumnRenamed("length", "plain")
+    longer = F.coalesce(F.col("length") > F.col("plain") + 0.01, F.lit(False))
+    return found.join(in_order, ["area", "g"], "left").select("area", "g", F.size("tour").cast("bigint").alias("stops"), F.size(F.array_distinct("tour")).cast("bigint").alias("different"), "wrong", longer.alias("longer"))
 
 
-@registered()
+@registered("""SELECT area, round(sum(share), 6) AS overlap FROM (SELECT area, g, b, avg(inside::INT) AS share FROM (
+    SELECT area, h, g, b, max(gap) <= pi() AS inside FROM (
+      SELECT p.area, p.h, p.g, q.g AS b, atan2(q.y - p.y, q.x - p.x) AS angle, coalesce(lead(atan2(q.y - p.y, q.x - p.x)) OVER w, first_value(atan2(q.y - p.y, q.x - p.x)) OVER w + 2 * pi()) - atan2(q.y - p.y, q.x - p.x) AS gap
+      FROM points p JOIN points q ON p.g <> q.g WINDOW w AS (PARTITION BY p.h, q.g ORDER BY atan2(q.y - p.y, q.x - p.x))) GROUP BY area, h, g, b) GROUP BY area, g, b) GROUP BY area""", V.POINTS_SQL)
 def eval_hull_overlap(spark, sf_dir):
+    """A point is inside a hull if, seen from it, the hull's points leave no gap of more than half a turn: so says the SQL."""
     p = V.points(spark, sf_dir)
-    return stats.hull_overlap(p, solver.hulls(p)).select("area", _round("overlap", 6).alias("overlap"))
+    return stats.hull_overlap(p, solver.hulls(p)).select("area", rounded("overlap", 6).alias("overlap"))
 
 
 @registered("""SELECT area, count(*) AS houses, round(avg(house_id % 31), 4) AS mean_offset, round(avg((street <> 'Row 1')::INT), 6) AS wrong_rate, 0::BIGINT AS unnamed,
@@ -486,4 +522,4 @@ def eval_hull_overlap(spark, sf_dir):
 def eval_report(spark, sf_dir):
     h = V.houses(spark, sf_dir).withColumn("offset", (F.col("h") % 31).cast("double")).withColumn("edge_street", F.lit("Row 1"))
     r = stats.evaluation(h)
-    return r.withColumn("mean_offset", _round("mean_offset")).withColumn("wrong_rate", _round("wrong_rate", 6))
+    return r.withColumn("mean_offset", rounded("mean_offset")).withColumn("wrong_rate", rounded("wrong_rate", 6))

@@ -53,29 +53,35 @@ def neighbourhoods(spark: SparkSession, sf_dir: str) -> dict[str, DataFrame]:
     return {"houses": houses} | {name: areas.crossJoin(F.broadcast(streets[name].drop("area"))) for name in ("nodes", "ways")}
 
 
-def nodes(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """Suppliers as crossings of a grid ten wide, by rows."""
+#: Nodes of a block: four rows of the grid, of which the last one is alone.
+BLOCK = 40
+
+
+def nodes(spark: SparkSession, sf_dir: str, blocks: bool = False) -> DataFrame:
+    """Suppliers as crossings of a grid ten wide, by rows; one area, or an area for each block, for no street leads out of one."""
     k = F.col("s_suppkey")
-    return table(spark, sf_dir, "supplier").select(F.lit("grid").alias("area"), k.alias("node_id"), k.alias("ord"), (42.0 + F.floor(k / 10) * 9e-4).alias("lat"), (-88.3 + k % 10 * 12e-4).alias("lon"))
+    area = F.floor(k / BLOCK).cast("string") if blocks else F.lit("grid")
+    return table(spark, sf_dir, "supplier").select(area.alias("area"), k.alias("node_id"), k.alias("ord"), (42.0 + F.floor(k / 10) * 9e-4).alias("lat"), (-88.3 + k % 10 * 12e-4).alias("lon"))
 
 
-NODES_SQL = """nodes AS (SELECT 'grid' AS area, s_suppkey AS node_id, 42.0::DOUBLE + (s_suppkey // 10) * 9e-4::DOUBLE AS lat, -88.3::DOUBLE + s_suppkey % 10 * 12e-4::DOUBLE AS lon FROM supplier)"""
+NODES_SQL = f"""nodes AS (SELECT s_suppkey // {BLOCK} AS block, s_suppkey AS node_id, 42.0::DOUBLE + (s_suppkey // 10) * 9e-4::DOUBLE AS lat, -88.3::DOUBLE + s_suppkey % 10 * 12e-4::DOUBLE AS lon FROM supplier)"""
 
 
-def ways(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One way a step of the grid, along rows and across them; some rows are missing, so that the grid has several components."""
+def ways(spark: SparkSession, sf_dir: str, blocks: bool = False) -> DataFrame:
+    """One way a step of the grid, along rows and, at every third crossing, across them; some rows are missing, so that the grid falls into blocks."""
     k = F.col("s_suppkey")
     across = table(spark, sf_dir, "supplier").where((k % 10 != 9) & (F.floor(k / 10) % 4 != 3)).select(k, (k + 1).alias("to"), F.concat(F.lit("Row "), F.floor(k / 10).cast("string")).alias("name"), (2 * k).alias("way_ord"))
-    along = table(spark, sf_dir, "supplier").where(F.floor(k / 10) % 4 < 2).select(k, (k + 10).alias("to"), F.concat(F.lit("Col "), (k % 10).cast("string")).alias("name"), (2 * k + 1).alias("way_ord"))
+    along = table(spark, sf_dir, "supplier").where((F.floor(k / 10) % 4 < 2) & (k % 10 % 3 == 0)).select(k, (k + 10).alias("to"), F.concat(F.lit("Col "), (k % 10).cast("string")).alias("name"), (2 * k + 1).alias("way_ord"))
     both = across.unionByName(along)
-    return both.select(F.lit("grid").alias("area"), F.col("way_ord").alias("way_id"), F.col("way_ord"), "name", F.lit("residential").alias("highway"), F.array(k, F.col("to")).alias("nodes"))
+    area = F.floor(k / BLOCK).cast("string") if blocks else F.lit("grid")
+    return both.select(area.alias("area"), F.col("way_ord").alias("way_id"), F.col("way_ord"), "name", F.lit("residential").alias("highway"), F.array(k, F.col("to")).alias("nodes"))
 
 
 EDGES_SQL = """edges AS (
   SELECT w.*, s.lat AS lat1, s.lon AS lon1, t.lat AS lat2, t.lon AS lon2,
          2 * 6371008.8::DOUBLE * asin(least(1, sqrt(pow(sin(radians(t.lat - s.lat) / 2), 2) + cos(radians(s.lat)) * cos(radians(t.lat)) * pow(sin(radians(t.lon - s.lon) / 2), 2)))) AS length
   FROM (SELECT s_suppkey AS a, s_suppkey + 1 AS b, 'Row ' || (s_suppkey // 10) AS street, 2 * s_suppkey AS way_ord FROM supplier WHERE s_suppkey % 10 <> 9 AND (s_suppkey // 10) % 4 <> 3
-        UNION ALL SELECT s_suppkey, s_suppkey + 10, 'Col ' || (s_suppkey % 10), 2 * s_suppkey + 1 FROM supplier WHERE (s_suppkey // 10) % 4 < 2) w
+        UNION ALL SELECT s_suppkey, s_suppkey + 10, 'Col ' || (s_suppkey % 10), 2 * s_suppkey + 1 FROM supplier WHERE (s_suppkey // 10) % 4 < 2 AND s_suppkey % 10 % 3 = 0) w
   JOIN nodes s ON s.node_id = w.a JOIN nodes t ON t.node_id = w.b)"""
 
 
