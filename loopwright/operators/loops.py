@@ -5,6 +5,8 @@ from __future__ import annotations
 import numpy as np
 
 EPS = 1e-9
+#: Near stops that a change is looked for at.
+NEAR = 10
 
 
 class Draws:
@@ -80,10 +82,17 @@ def _or_opt(t: np.ndarray, d: np.ndarray) -> np.ndarray | None:
 
 
 def improve(t: np.ndarray, d: np.ndarray) -> np.ndarray:
-    """Exchanges and moves until neither shortens the loop; under four stops there is nothing to do."""
+    """Exchanges and moves until neither shortens the loop; under four stops there is nothing to do.
+
+    Most of the way goes by the first change found among near stops; whole rounds then make sure that no change is left.
+    """
     if len(t) < 4:
         return t
-    for _ in range(50 * len(t)):
+    own = d[np.ix_(t, t)]
+    order = list(range(len(t)))
+    shorten(order, own.tolist(), np.argsort(own + np.diag(np.full(len(t), np.inf)), axis=1)[:, :NEAR].tolist(), list(range(len(t))), order[:])
+    t = t[order]
+    for _ in range(50):
         better = _two_opt(t, d)
         if better is None:
             better = _or_opt(t, d)
@@ -93,6 +102,87 @@ def improve(t: np.ndarray, d: np.ndarray) -> np.ndarray:
     return t
 
 
+def shorten(tour: list[int], d: list[list[float]], near: list[list[int]], at: list[int], doubtful: list[int]) -> None:
+    """Shortens a loop in place by the first exchange or move found about stops in doubt, until no stop is.
+
+    `at` holds each stop's place in the tour, and -1 for stops of other loops; `near` lists stops by distance. A change puts the stops at its ends in doubt again.
+    """
+    n = len(tour)
+    if n < 4:
+        return
+    waiting = doubtful[::-1]
+    while waiting:
+        a = waiting.pop()
+        touched = _exchanged(tour, d, near[a], at, a, n) or _moved(tour, d, near[a], at, a, n)
+        if touched:
+            waiting.extend(touched)
+            waiting.append(a)
+
+
+def _exchanged(tour, d, near, at, a, n):
+    """Two legs exchanged for two others, one of them from a to a near stop."""
+    row, i = d[a], at[a]
+    for step in (1, -1):
+        b = tour[(i + step) % n]
+        leg = row[b]
+        for c in near:
+            if row[c] >= leg - EPS:
+                break
+            j = at[c]
+            if j < 0:
+                continue
+            e = tour[(j + step) % n]
+            if leg - row[c] + d[c][e] - d[b][e] > EPS:
+                # what lies between the legs is turned
+                low, high = (i + 1, j) if step == 1 else (i, j - 1)
+                if low > high:
+                    low, high = (j + 1, i) if step == 1 else (j, i - 1)
+                part = tour[low : high + 1]
+                part.reverse()
+                tour[low : high + 1] = part
+                for k in range(low, high + 1):
+                    at[tour[k]] = k
+                return [b, c, e]
+    return None
+
+
+def _moved(tour, d, near, at, a, n):
+    """A run of one to three stops that begins or ends with a, moved beside a near stop of a."""
+    row, i = d[a], at[a]
+    for run in range(1, min(3, n - 3) + 1):
+        for step in (1, -1):
+            last, before, after = tour[(i + step * (run - 1)) % n], tour[(i - step) % n], tour[(i + step * run) % n]
+            gain = row[before] + d[last][after] - d[before][after]
+            if gain <= EPS:
+                continue
+            for c in near:
+                if row[c] >= gain:
+                    break
+                j = at[c]
+                if j < 0 or (step * (j - i)) % n < run:
+                    continue
+                for side in (1, -1):
+                    x = tour[(j + side) % n]
+                    if (step * (at[x] - i)) % n < run:  # beside the run itself: what is beyond it
+                        x = after if c == before else before
+                    if gain - row[c] - d[last][x] + d[c][x] > EPS:
+                        stops = [tour[(i + step * k) % n] for k in range(run)]
+                        gone = set(stops)
+                        rest = [s for s in tour if s not in gone]
+                        k = rest.index(c)
+                        if rest[(k + 1) % len(rest)] == x:
+                            rest[k + 1 : k + 1] = stops
+                        else:
+                            rest[k:k] = stops[::-1]
+                        tour[:] = rest
+                        for k, s in enumerate(rest):
+                            at[s] = k
+                        return [before, after, last, c, x]
+            if run == 1:
+                break
+    return None
+
+
 def solve_tour(members: np.ndarray, d: np.ndarray, initial: np.ndarray | None = None, starts: int = 4) -> tuple[np.ndarray, float]:
     """The best loop found over the members: from a given order, or from evenly spaced nearest-neighbour tours."""
     members = np.asarray(members, np.int64)

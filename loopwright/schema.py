@@ -23,6 +23,10 @@ DEFAULT_LINK_M = 80.0
 COMPACT_K, NEIGHBORS, MAX_RUN = 6, 8, 6
 COMPACT_SPACING_M, SIZE_SOFT_M = 30.0, 3.0
 MAX_HISTORY = 100
+# Fixed values of the annealing: up to which draw a change is one house, a run, all mates (else a swap); tries and changes that set the first
+# temperature, its share of their mean (or of the score, without any), the last temperature in parts of it, restarts from the best.
+ONE_HOUSE, RUN_OF_MATES, ALL_MATES = 0.45, 0.7, 0.9
+HEAT_TRIES, HEAT_CHANGES, HEAT_SHARE, HEAT_OF_SCORE, COLD, RESTARTS = 400, 50, 0.2, 0.001, 0.001, 8
 PROJECT_VERSION = 1
 
 
