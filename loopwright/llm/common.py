@@ -9,6 +9,7 @@ from pyspark.sql import functions as F
 
 from loopwright.checkpoints import drop, shared_dir
 from loopwright.checkpoints import written as materialise
+from loopwright.operators.joins import HOT, components, meet
 
 #: Java form of the word class: anything but space, tab, line feed, vertical tab, form feed and carriage return.
 SPACES = r"[ \t\n\x0B\f\r]+"
@@ -59,30 +60,6 @@ def words(text: Column) -> Column:
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACES))
 
 
-#: A key with more than one of so many rows is hot: there can't be more such keys than this.
-HOT = 1000
-
-
-def meet(rows: DataFrame, found: DataFrame, keys: list[str], n: str) -> DataFrame:
-    """Inner join of rows with `found`: one row a key (null is a key) whose column `n`, which is dropped, says how many of the rows carry it.
-
-    Hot keys, fewer than HOT by their definition, are broadcast, so that their rows stay where they are; all others are shuffled. `rows` is read twice
-    if there is a hot key.
-    """
-    total = found.agg(F.sum(n)).first()[0] or 0
-    named = found.select(*[F.col(k).alias(f"_{k}") for k in keys], *[c for c in found.columns if c not in keys])
-    few, many = named.where(F.col(n) * HOT > total).drop(n), named.where(F.col(n) * HOT <= total).drop(n)
-    own = [f"_{k}" for k in keys]
-    same = F.lit(True)
-    for k in keys:
-        same = same & F.col(k).eqNullSafe(F.col(f"_{k}"))
-    if few.limit(1).count() == 0:
-        return rows.join(many, same, "inner").drop(*own)
-    hot = rows.join(F.broadcast(few), same, "inner").drop(*own)
-    rest = rows.join(F.broadcast(few.select(*own)), same, "left_anti").join(many, same, "inner").drop(*own)
-    return hot.unionByName(rest)
-
-
 def let(value: Column, then: Callable[[Column], Column]) -> Column:
     """then(value), with value evaluated once however often `then` names it."""
     return F.element_at(F.transform(F.array(value), then), 1)
@@ -105,4 +82,4 @@ def prefix_sums(values: Column, block: int = 128) -> Column:
     return F.when(F.size(values) == 0, F.array().cast("array<bigint>")).otherwise(summed)
 
 
-__all__ = ["SPACES", "SPACE_CHARS", "chosen", "drop", "let", "materialise", "meet", "place", "prefix_sums", "shared_dir", "table", "text_or_empty", "unpacked", "with_row", "words"]
+__all__ = ["HOT", "SPACES", "SPACE_CHARS", "chosen", "components", "drop", "let", "materialise", "meet", "place", "prefix_sums", "shared_dir", "table", "text_or_empty", "unpacked", "with_row", "words"]

@@ -1,7 +1,8 @@
 """Classes of linked items, from buckets of items that may be alike, without pairing off any bucket.
 
-Each bucket has a head, the member that shares most buckets with others; every other member is verified against it. Copies of
-one text, light edits included, are thus one class after one pass that is linear in the bucket. Buckets that still hold several
+Each bucket has a head, the member that shares most buckets with others. First every node is verified against one head, the greatest of its
+buckets; copies of one text, light edits included, are thus one class after one pass that is linear in the nodes. Then members of other
+classes than their bucket's head are verified against it. Buckets that still hold several
 classes are worked through whole, so that no link is lost: small ones as pairs of members of different classes (at
 most SMALL - 1 for a member), larger ones in blocks of bounded size. A task meets two blocks; it gives a link for each two
 classes that it joins, never its pairs. Blocks are cut along classes, and two blocks of one and the same class don't meet. That is
@@ -20,7 +21,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loopwright.llm.common import drop, materialise, meet
+from loopwright.llm.common import components, drop, materialise, meet
 
 #: Buckets of at most so many members are paired off.
 SMALL = 16
@@ -28,29 +29,6 @@ SMALL = 16
 BLOCK_BYTES = 2 << 20
 
 
-def components(edges: DataFrame) -> DataFrame:
-    """node, label (the least node of its component) of every node of edges (a, b). Large-star and small-star rounds."""
-    work = materialise(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
-    while True:
-        # every neighbour that is larger goes to the least of a node's neighbours and itself
-        both = work.select(F.col("a").alias("n"), F.col("b").alias("m")).unionByName(work.select(F.col("b").alias("n"), F.col("a").alias("m")))
-        least = both.groupBy("n").agg(F.least(F.min("m"), F.col("n")).alias("low"))
-        large = both.join(least, "n").where("m > n").select(F.col("m").alias("b"), F.col("low").alias("a")).where("a <> b").distinct()
-        down = large.groupBy("b").agg(F.min("a").alias("low"))
-        small = large.join(down, "b").select(F.when(F.col("a") == F.col("low"), F.col("b")).otherwise(F.col("a")).alias("b"), F.col("low").alias("a")).where("a <> b").distinct()
-        new = materialise(small)
-        # done when every node hangs on one root and no root hangs on another
-        roots = new.select("a").distinct()
-        open_ = new.join(roots.withColumnRenamed("a", "b"), "b", "left_semi").limit(1).count()
-        several = new.groupBy("b").count().where("count > 1").limit(1).count()
-        drop(work)
-        work = new
-        if not open_ and not several:
-            break
-    hung = work.select(F.col("b").alias("node"), F.col("a").alias("label"))
-    return hung.unionByName(work.select(F.col("a").alias("node"), F.col("a").alias("label")).distinct())
-
-
 #: Blocks of a slice, about; a slice is what a window numbers.
 SLICE_BLOCKS = 64
 
@@ -117,26 +95,27 @@ def classes(members: DataFrame, verify: Callable[[DataFrame], DataFrame], thresh
     sizes = materialise(members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"))
     crowded = materialise(meet(members, sizes.withColumn("rows", F.col("n")), ["bucket"], "rows"))
     weight = crowded.groupBy("node").agg(F.sum("n").alias("w"))
-    heads = crowded.join(weight, "node").groupBy("bucket").agg(F.min(F.struct((-F.col("w")).alias("w"), "node"))["node"].alias("head"), F.count("*").alias("rows"))
-    heads = materialise(heads)
+    heads = materialise(crowded.join(weight, "node").groupBy("bucket").agg(F.min(F.struct((-F.col("w")).alias("w"), "node")).alias("first"), F.count("*").alias("rows")).select("bucket", "rows", F.col("first.node").alias("head"), F.col("first.w").alias("w")))
     headed = materialise(meet(crowded, heads, ["bucket"], "rows"))
-    drop(crowded, heads, sizes)
-    pairs = headed.where("node <> head").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
-    judged = materialise(verify(pairs).select("a", "b", "sim"))
-    links = judged.where(F.col("sim") >= threshold)
+    drop(crowded, sizes)
+    best = headed.where("node <> head").groupBy("node").agg(F.min(F.struct("w", "head"))["head"].alias("a"))
+    first = materialise(verify(best.select("a", F.col("node").alias("b"))).select("a", "b", "sim"))
+    labels = materialise(components(first.where(F.col("sim") >= threshold).select("a", "b")))
+    # heads of other classes; a node leads no more buckets than it has bands
+    led = materialise(_labelled(heads.select("bucket", "rows", F.col("head").alias("node")), labels).select("bucket", "rows", F.col("label").alias("led")))
+    named = meet(_labelled(headed.where("node <> head"), labels), led, ["bucket"], "rows")
+    other = named.where("label <> led").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
+    second = materialise(verify(other.join(first.select("a", "b"), ["a", "b"], "left_anti")).select("a", "b", "sim"))
+    links = first.unionByName(second).where(F.col("sim") >= threshold)
     labels = materialise(components(links.select("a", "b")))
-    # buckets that their heads haven't joined whole
-    undone = headed.join(judged.where(F.col("sim") < threshold).select(F.col("a").alias("head"), F.col("b").alias("node")), ["head", "node"], "left_semi").select("bucket", "n").distinct()
-    undone = materialise(undone)
-    named = meet(headed.drop("n").where("n > 2"), undone.withColumn("rows", F.col("n")), ["bucket"], "rows").join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
-    named = materialise(named)
-    several = named.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("rows")).where("x < y").select("bucket", "rows")
-    several = materialise(several)
+    # buckets that hold several classes
+    named = materialise(_labelled(headed.where("n > 2"), labels))
+    several = materialise(named.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("rows")).where("x < y").select("bucket", "rows"))
     open_ = materialise(meet(named, several, ["bucket"], "rows").select("bucket", "node", "label", "head", "n"))
-    drop(headed, named, undone, several)
+    drop(headed, heads, led, named, several)
     few = open_.where(F.col("n") <= small).select("bucket", "node", "label", "head")
     other = few.select("bucket", F.col("node").alias("b"), F.col("label").alias("other"))
-    # pairs with the head have been judged
+    # members of another class than the head have been judged against it
     left = few.where("node <> head").join(other, "bucket").where((F.col("node") < F.col("b")) & (F.col("label") != F.col("other")) & (F.col("b") != F.col("head")))
     met = verify(left.select(F.col("node").alias("a"), "b").distinct()).where(F.col("sim") >= threshold).select("a", "b", "sim")
     many = open_.where(F.col("n") > small)
@@ -148,6 +127,11 @@ def classes(members: DataFrame, verify: Callable[[DataFrame], DataFrame], thresh
     return whole, links.unionByName(more)
 
 
+def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
+    """Adds label to rows with a node, its own for a node without a link."""
+    return rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
+
+
 def linked(labels: DataFrame, links: DataFrame) -> DataFrame:
     """node, label, links, likest: of each node its class, the number of its verified links and the greatest of their similarities."""
     both = links.select(F.col("a").alias("node"), "sim").unionByName(links.select(F.col("b").alias("node"), "sim"))
