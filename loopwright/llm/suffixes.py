@@ -1,22 +1,27 @@
 """Suffix-array deduplication as a depth-limited radix sort: repeated windows of so many bytes.
 
-Suffixes are ordered only through their first LENGTH bytes, by passes over digits, the most significant first; a
-group of one drops out, a group of equal suffixes at full depth is a repeated window.
+A window is a suffix cut at LENGTH bytes. Suffixes are sorted by passes over digits, the most significant first; digits reach ever deeper, a
+group of one drops out after each pass, and a group that is equal at full depth is a repeated window. To sort by a digit is to deal and sort
+rows by it, with all digits before it, which is how Spark groups; a digit is a 64-bit hash of its bytes, so the order inside a pass is that of the hashes.
 
-The first digit is a word of GRAM bytes that a window names by itself: the one of least hash inside it (the
-leftmost of equal ones). Neighbouring windows mostly name the same word, at one place: they are a run, the unit of
-the first pass, about one for 70 bytes. The second digit is the whole run with the bytes of all its windows: runs that are equal
-in it are repeated as a whole. Only a run that shares its first digit with different runs, and has no equal, goes to the last
-pass, where its windows are sorted one by one against those of one run of each other kind.
+First digit, GRAM bytes: windows are met at anchors. A window names one word of GRAM bytes in it by itself, the one of least hash (the leftmost of
+equal ones); equal windows name equal words at the same place. The digit is the word, that is the leading bytes of the suffix at the anchor. Neighbouring windows
+mostly name the same word: they are a run, one row for about 70 bytes.
 
-Digits are 64-bit hashes; windows count as equal if both the word's and their own agree (128 bits).
+Whole runs: runs that are equal with the bytes of all their windows are repeated as a whole, and done. Only words with several different runs,
+one of which has no equal, go on, with one run of each kind.
 
-Scale: records, not texts, are shuffled by digit; texts are shuffled twice by document, to meet their open runs and their
-spans. A passage in a third of all documents is one digit among millions. Copies are equal runs, done in the second digit.
+Second digit, GRAM + (LENGTH - GRAM) / 2 bytes: those from the anchor, for windows that begin less than half of LENGTH - GRAM before it; those that end with the word, for
+all others. A half of a run that is alone in it drops out.
+
+Last digit, all LENGTH bytes, a row a window.
+
+Scale: records, not texts, are dealt by digit, and are counted before they move: a passage in a third of all documents is a count a task, and its copies meet the count by
+a broadcast (common.meet). Texts are dealt three times by document, to meet their open runs, their open halves and their spans; documents that very many rows repeat stay where they are.
 
 Defined results: null and empty texts have nothing to remove; a text shorter than LENGTH neither; repeated rows
 are copies of each other, each loses all windows; rows of one doc_id with different texts are different documents; a null doc_id is kept;
-an empty table gives no rows; extra columns are ignored by spans() and removed() and kept by cleaned().
+an empty table gives no rows; extra columns, whatever their names, are ignored.
 """
 
 from __future__ import annotations
@@ -26,10 +31,10 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from loopwright.llm.common import materialise, text_or_empty
+from loopwright.llm.common import HOT, chosen, drop, materialise, meet, text_or_empty
 
 LENGTH, GRAM = 200, 64
 #: Bytes that are hashed together.
@@ -94,7 +99,7 @@ def _pieces(ends: np.ndarray, length: int) -> Iterator[tuple[int, int, int, int]
 
 
 def runs(data: np.ndarray, ends: np.ndarray, length: int = LENGTH) -> tuple[np.ndarray, ...]:
-    """Of texts laid end to end: text, start in it, windows, first digit, second digit of each run."""
+    """Of texts laid end to end: text, start in it, windows, first digit, whole run, and the anchor's place in it, of each run."""
     found = []
     for i, j, begin, end in _pieces(ends, length):
         size = end - begin
@@ -115,89 +120,145 @@ def runs(data: np.ndarray, ends: np.ndarray, length: int = LENGTH) -> tuple[np.n
         first, word, of = start[new], named[new], text[new]
         shape = (n * 1024 + (word - first)).astype(np.uint64)
         whole = _mix(_joined(h, first, n - 1 + length, 2 * length - GRAM) + shape * _K)
-        found.append((of, first + begin - ends[of], n, h[word], whole))
+        found.append((of, first + begin - ends[of], n, h[word], whole, word - first))
     if not found:
         none = np.empty(0, np.int64)
-        return none, none, none, none.astype(np.uint64), none.astype(np.uint64)
+        return none, none, none, none.astype(np.uint64), none.astype(np.uint64), none
     return tuple(np.concatenate(x) for x in zip(*found))
 
 
 def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
-    text = text_or_empty(text_col)
-    return docs.select(F.col(id_col).cast("bigint").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
+    text = text_or_empty()
+    return chosen(docs, doc_id=id_col, text=text_col).select(F.col("doc_id").cast("bigint").alias("doc_id"), F.xxhash64(text).alias("h"), text.alias("text"))
 
 
 def _first_digits(rows: DataFrame, length: int) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            of, start, n, word, whole = runs(*_texts(batch.column(2)), length)
+            of, start, n, word, whole, anchor = runs(*_texts(batch.column(2)), length)
             at = pa.array(of, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(start, pa.int32()), pa.array(n, pa.int16()), pa.array(word.view(np.int64)), pa.array(whole.view(np.int64))], names=["doc_id", "h", "start", "n", "word", "whole"])
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(start, pa.int32()), pa.array(n, pa.int16()), pa.array(anchor, pa.int16()), pa.array(word.view(np.int64)), pa.array(whole.view(np.int64))], names=["doc_id", "h", "start", "n", "anchor", "word", "whole"])
 
     long = rows.where(F.octet_length("text") >= length)
-    return long.mapInArrow(read, "doc_id bigint, h bigint, start int, n smallint, word bigint, whole bigint")
+    return long.mapInArrow(read, "doc_id bigint, h bigint, start int, n smallint, anchor smallint, word bigint, whole bigint")
+
+
+def _stretches(column: pa.Array, texts: pa.Array, length: int) -> Iterator[tuple]:
+    """Text, hashes of its words, place of the first of these, and the wanted runs (start, n, then all other fields) of each stretch of each text.
+
+    Long texts are taken in stretches so that they need no more memory than a piece.
+    """
+    data, ends = _texts(texts)
+    first = column.offsets[0].as_py()
+    inner = column.values.slice(first, column.offsets[-1].as_py() - first)
+    fields = [inner.field(k).to_numpy(zero_copy_only=False) for k in range(inner.type.num_fields)]
+    at = column.offsets.to_numpy() - first
+    for i in range(len(column)):
+        own = [f[at[i] : at[i + 1]] for f in fields]
+        order = np.argsort(own[0], kind="stable")
+        s, n, *more = (f[order] for f in own)
+        s, n, k = s.astype(np.int64), n.astype(np.int64), 0
+        while k < len(s):
+            last = int(np.searchsorted(s, s[k] + PIECE))
+            low, high = int(s[k]), int((s[k:last] + n[k:last]).max()) - 1 + length
+            yield i, _words(data[int(ends[i]) + low : int(ends[i]) + high]), low, s[k:last], n[k:last], *[f[k:last] for f in more]
+            k = last
+
+
+def _second_digits(texts: DataFrame, length: int) -> DataFrame:
+    """A row a half of a run: whose it is, the windows of the half, the word and the half's digit. `texts` has doc_id, h, text, wanted (start, n, word, alone, anchor)."""
+    half = (length - GRAM) // 2
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out: list[list[np.ndarray]] = [[] for _ in range(6)]
+            for i, h, low, s, n, word, alone, anchor in _stretches(batch.column(3), batch.column(2), length):
+                a = anchor.astype(np.int64)
+                # windows that begin `half` bytes and more before the anchor, then the nearer ones
+                far = np.clip(a - half + 1, 0, n)
+                for on, begin, many, place, depth, side in ((far > 0, s, far, s + a - half, GRAM + half, 1), (far < n, s + far, n - far, s + a, length - half, 2)):
+                    digit = _mix(_joined(h, place[on] - low, depth, depth) + _U(side) * _K)
+                    for column, value in zip(out, (np.full(int(on.sum()), i), begin[on], many[on], word[on], alone[on], digit.view(np.int64))):
+                        column.append(value)
+            of, start, n, word, alone, digit = (np.concatenate(x) if x else np.empty(0, np.int64) for x in out)
+            at = pa.array(of.astype(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(start, pa.int32()), pa.array(n, pa.int16()), pa.array(word, pa.int64()), pa.array(alone.astype(bool)), pa.array(digit, pa.int64())], names=["doc_id", "h", "start", "n", "word", "alone", "half"])
+
+    return texts.select("doc_id", "h", "text", "wanted").mapInArrow(read, "doc_id bigint, h bigint, start int, n smallint, word bigint, alone boolean, half bigint")
 
 
 def _last_digits(texts: DataFrame, length: int) -> DataFrame:
-    """A row a window of the wanted runs: word, window, and whose it is. `texts` has doc_id, h, text, wanted."""
+    """A row a window of the wanted runs: word, window, and whose it is. `texts` has doc_id, h, text, wanted (start, n, word, alone)."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            wanted = batch.column(3)
             out: list[list[np.ndarray]] = [[] for _ in range(5)]
-            data, ends = _texts(batch.column(2))
-            inner = wanted.values.slice(wanted.offsets[0].as_py(), wanted.offsets[-1].as_py() - wanted.offsets[0].as_py())
-            start, n, word, alone = (inner.field(k).to_numpy(zero_copy_only=False) for k in range(4))
-            at = wanted.offsets.to_numpy() - wanted.offsets[0].as_py()
-            for i in range(batch.num_rows):
-                own = slice(at[i], at[i + 1])
-                s, m = start[own].astype(np.int64), n[own].astype(np.int64)
-                base = int(ends[i])
-                # runs by place, hashed in stretches so that a long text takes no more memory than a piece
-                order = np.argsort(s, kind="stable")
-                s, m, w, a = s[order], m[order], word[own][order], alone[own][order]
-                k = 0
-                while k < len(s):
-                    last = int(np.searchsorted(s, s[k] + PIECE))
-                    low, high = int(s[k]), int((s[k:last] + m[k:last]).max()) - 1 + length
-                    h = _words(data[base + low : base + high])
-                    reps = m[k:last]
-                    each = np.repeat(s[k:last], reps) + np.arange(reps.sum()) - np.repeat(np.cumsum(reps) - reps, reps)
-                    out[0].append(np.full(len(each), i))
-                    out[1].append(each)
-                    out[2].append(np.repeat(w[k:last], reps))
-                    out[3].append(_joined(h, each - low, length, length).view(np.int64))
-                    out[4].append(np.repeat(a[k:last], reps))
-                    k = last
-            of, each, w, window, a = (np.concatenate(x) if x else np.empty(0, np.int64) for x in out)
-            at = pa.array(of, pa.int64())
-            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(each, pa.int32()), pa.array(w, pa.int64()), pa.array(window, pa.int64()), pa.array(a.astype(bool))], names=["doc_id", "h", "start", "word", "window", "alone"])
+            for i, h, low, s, n, word, alone in _stretches(batch.column(3), batch.column(2), length):
+                each = np.repeat(s, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
+                for column, value in zip(out, (np.full(len(each), i), each, np.repeat(word, n), _joined(h, each - low, length, length).view(np.int64), np.repeat(alone, n))):
+                    column.append(value)
+            of, each, word, window, alone = (np.concatenate(x) if x else np.empty(0, np.int64) for x in out)
+            at = pa.array(of.astype(np.int64))
+            yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(each, pa.int32()), pa.array(word, pa.int64()), pa.array(window, pa.int64()), pa.array(alone.astype(bool))], names=["doc_id", "h", "start", "word", "window", "alone"])
 
     return texts.select("doc_id", "h", "text", "wanted").mapInArrow(read, "doc_id bigint, h bigint, start int, word bigint, window bigint, alone boolean")
 
 
-def _meet(texts: DataFrame, lists: DataFrame, how: str) -> DataFrame:
-    """Joins texts with a list each, on doc_id (null too) and the text's hash."""
+def _hot_documents(rows: DataFrame) -> DataFrame | None:
+    """doc_id, h of the documents that more than one of HOT rows repeats: fewer than HOT of them; None if there is none."""
+    crowds = materialise(rows.groupBy("doc_id", "h").agg(F.count("*").alias("n")).where("n > 1"))
+    hot = crowds.where(F.col("n") * HOT > rows.count()).select("doc_id", "h")
+    return hot if hot.limit(1).count() else None
+
+
+def _meet(texts: DataFrame, lists: DataFrame, how: str, hot: DataFrame | None) -> DataFrame:
+    """Joins texts with a list each, on doc_id (null too) and the text's hash. Hot documents' few lists are broadcast."""
     named = lists.withColumnRenamed("doc_id", "d").withColumnRenamed("h", "g")
-    return texts.join(named, texts["doc_id"].eqNullSafe(named["d"]) & (texts["h"] == named["g"]), how).drop("d", "g")
+    same = texts["doc_id"].eqNullSafe(named["d"]) & (texts["h"] == named["g"])
+    if hot is None:
+        return texts.join(named, same, how).drop("d", "g")
+    own = hot.select(F.col("doc_id").alias("e"), F.col("h").alias("f"))
+    is_hot = lambda df, a, b: df.join(F.broadcast(own), F.col(a).eqNullSafe(F.col("e")) & (F.col(b) == F.col("f")), "left_semi")
+    not_hot = lambda df, a, b: df.join(F.broadcast(own), F.col(a).eqNullSafe(F.col("e")) & (F.col(b) == F.col("f")), "left_anti")
+    same = F.col("doc_id").eqNullSafe(F.col("d")) & (F.col("h") == F.col("g"))
+    few = is_hot(texts, "doc_id", "h").join(F.broadcast(is_hot(named, "d", "g")), same, how)
+    return few.unionByName(not_hot(texts, "doc_id", "h").join(not_hot(named, "d", "g"), same, how)).drop("d", "g")
+
+
+def _lists(rows: DataFrame, columns: list[str], name: str) -> DataFrame:
+    """doc_id, h and the set of all rows of a document: what copies of it say is said once."""
+    return rows.groupBy("doc_id", "h").agg(F.collect_set(F.struct(*columns)).alias(name))
 
 
 def repeated(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id, h (hash of the text), start, n: the windows at start ... start+n-1 also start elsewhere."""
+    rows = _rows(docs, id_col, text_col)
+    return _repeated(rows, length, _hot_documents(rows))
+
+
+def _repeated(rows: DataFrame, length: int, hot: DataFrame | None) -> DataFrame:
     if length < 2 * GRAM or length > 512:
         raise ValueError(f"windows of {2 * GRAM} to 512 bytes are supported")
-    rows = _rows(docs, id_col, text_col)
-    digits = _first_digits(rows, length)
-    same, group = Window.partitionBy("word", "whole"), Window.partitionBy("word")
-    counted = digits.withColumn("copies", F.count("*").over(same)).withColumn("turn", F.row_number().over(same.orderBy("doc_id", "h", "start")))
-    counted = counted.withColumn("mixed", F.min("whole").over(group) < F.max("whole").over(group)).withColumn("alone", F.min("copies").over(group) == 1)
-    sorted_ = counted.withColumn("open", F.col("mixed") & F.col("alone") & (F.col("turn") == 1))
-    marks = materialise(sorted_.where((F.col("copies") > 1) | F.col("open")).select("doc_id", "h", "start", "n", "word", "copies", "open"))
-    # the last digit, for one run of each kind in the groups that have a run without an equal
-    wanted = marks.where("open").groupBy("doc_id", "h").agg(F.collect_list(F.struct("start", "n", "word", (F.col("copies") == 1).alias("alone"))).alias("wanted"))
-    windows = _last_digits(_meet(rows, wanted, "inner"), length)
-    met = windows.withColumn("times", F.count("*").over(Window.partitionBy("word", "window"))).where("alone and times > 1")
-    whole = marks.where("copies > 1").select("doc_id", "h", "start", "n")
+    digits = materialise(_first_digits(rows, length))
+    # first digit and whole runs: kinds of runs and their copies
+    kinds = materialise(digits.groupBy("word", "whole").agg(F.count("*").alias("copies"), F.min(F.struct("doc_id", "h", "start", "n", "anchor")).alias("first")))
+    whole = materialise(meet(digits.select("doc_id", "h", "start", "n", "word", "whole"), kinds.where("copies > 1").select("word", "whole", "copies"), ["word", "whole"], "copies").select("doc_id", "h", "start", "n"))
+    drop(digits)
+    mixed = kinds.groupBy("word").agg(F.count("*").alias("kinds"), F.min("copies").alias("least")).where("kinds > 1 and least = 1").select("word", "kinds")
+    open_ = meet(kinds, materialise(mixed), ["word"], "kinds").select("first.*", "word", (F.col("copies") == 1).alias("alone"))
+    # second digit: halves of runs that another run shares
+    runs_ = materialise(_lists(open_, ["start", "n", "word", "alone", "anchor"], "wanted"))
+    drop(kinds)
+    halves = materialise(_second_digits(_meet(rows, runs_, "inner", hot), length).distinct())
+    drop(runs_)
+    shared = materialise(halves.groupBy("word", "half").agg(F.count("*").alias("times")).where("times > 1"))
+    wanted = materialise(_lists(meet(halves, shared, ["word", "half"], "times"), ["start", "n", "word", "alone"], "wanted"))
+    drop(halves, shared)
+    # last digit: windows that another run shares
+    windows = _last_digits(materialise(_meet(rows, wanted, "inner", hot)), length).select("doc_id", "h", "start", "word", "window", "alone")
+    drop(wanted)
+    again = materialise(windows.select("doc_id", "h", "start", "word", "window").distinct().groupBy("word", "window").agg(F.count("*").alias("times")).where("times > 1")) if hot is not None else materialise(windows.groupBy("word", "window").agg(F.count("*").alias("times")).where("times > 1"))
+    met = meet(windows.where("alone").drop("alone"), again, ["word", "window"], "times")
     return whole.unionByName(met.select("doc_id", "h", "start", F.lit(1).cast("smallint").alias("n")))
 
 
@@ -212,8 +273,10 @@ def _spans(start: np.ndarray, n: np.ndarray, length: int) -> tuple[np.ndarray, n
 
 def removed(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_col: str = "text", with_kept: bool = False) -> DataFrame:
     """doc_id, n_bytes, n_removed, n_spans, kept_sha256 of every document; with_kept: the kept bytes too."""
-    hits = repeated(docs, length, id_col, text_col).groupBy("doc_id", "h").agg(F.collect_list(F.struct("start", "n")).alias("hits"))
-    texts = _meet(_rows(docs, id_col, text_col), hits, "left").select("doc_id", "text", "hits")
+    rows = _rows(docs, id_col, text_col)
+    hot = _hot_documents(rows)
+    hits = materialise(_lists(_repeated(rows, length, hot), ["start", "n"], "hits"))
+    texts = _meet(rows, hits, "left", hot).select("doc_id", "text", "hits")
     schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + (", kept binary" if with_kept else "")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

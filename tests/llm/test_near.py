@@ -171,7 +171,7 @@ def test_removed_bytes_are_those_of_brute_force(spark, monkeypatch, piece):
         import pyarrow as pa
 
         text = " ".join(str(i * i) for i in range(2000))
-        of, start, n, _, _ = suffixes.runs(*suffixes._texts(pa.array([text])))
+        of, start, n, _, _, _ = suffixes.runs(*suffixes._texts(pa.array([text])))
         covered = np.zeros(len(text), int)
         for s, k in zip(start, n):
             covered[s : s + k] += 1
