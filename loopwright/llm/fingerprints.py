@@ -41,7 +41,7 @@ PERIOD, CLASSES = 1 << 16, 128
 #: Steps are drawn up to here, more than any text has.
 FAR = 1 << 42
 #: Characters of texts that are walked at once, and how many texts make that worth while.
-CHARS, TOGETHER = 1 << 22, 128
+CHARS, TOGETHER = 1 << 23, 64
 #: Bands, the slots that each samples, and the likeness from which two texts are near copies.
 BANDS, SAMPLE, NEAR = 64, 8, 0.6
 #: A range of documents has about so many bytes of text.
@@ -97,7 +97,7 @@ def go(classes: np.ndarray, first: np.ndarray, length: np.ndarray, begin: np.nda
     the walks of each begin at a step (a row a walk). All texts advance together, one character at a time, while they are many; the
     rest of the longest ones goes by itself.
     """
-    left = np.empty((WALKS, len(classes)), np.int64)
+    left = np.empty((WALKS, len(classes)), np.int32 if len(classes) < 1 << 28 else np.int64)
     order = np.argsort(-length, kind="stable")
     first, length, j = first[order], length[order], begin[:, order].copy()
     tables = np.stack([w.advance.reshape(-1) for w in walks()])
@@ -113,7 +113,7 @@ def go(classes: np.ndarray, first: np.ndarray, length: np.ndarray, begin: np.nda
         starts = first[:many]
         for t in range(done, until):
             at = starts + t
-            row = classes[at] * PERIOD
+            row = classes[at].astype(np.int64) * PERIOD
             for w in range(WALKS):
                 own = j[w, :many]
                 own += tables[w].take(row + (own & mask))
@@ -129,7 +129,7 @@ def go(classes: np.ndarray, first: np.ndarray, length: np.ndarray, begin: np.nda
 def _codes(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     """Characters of all texts, their classes, and where each text begins (and the last one ends)."""
     codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-    classes = ((codes.astype(np.uint64) * np.uint64(2654435761) >> np.uint64(9)) % np.uint64(CLASSES)).astype(np.int64)
+    classes = ((codes.astype(np.uint64) * np.uint64(2654435761) >> np.uint64(9)) % np.uint64(CLASSES)).astype(np.int32)
     return codes, classes, np.r_[0, np.cumsum([len(t) for t in texts])].astype(np.int64)
 
 
