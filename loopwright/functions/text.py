@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
@@ -22,6 +24,8 @@ DIRECTIONS = {
 #: The normaliser of the evaluation knows one suffix less and drops these words.
 EVAL_DROPPED = ["n", "north", "s", "south", "e", "east", "w", "west", "ne", "nw", "se", "sw"]
 NO_ADDRESS = "(no address)"
+# Fixed values of the two public 32-bit hashes in cache keys.
+HASH_START, HASH_OFFSET, HASH_PRIME = 5381, 2166136261, 16777619
 
 _DIRECTION_WORDS = sorted(set(DIRECTIONS.values()))
 _SUFFIX_WORDS = sorted(set(SUFFIXES.values()))
@@ -41,7 +45,8 @@ def _canonical(s: Column) -> Column:
     return F.transform(tokens(s), lambda t: F.coalesce(F.try_element_at(known, t), t))
 
 
-def _let(value: Column, then) -> Column:
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """then(value), with value evaluated once however often `then` names it."""
     return F.element_at(F.transform(F.array(value), then), 1)
 
 
@@ -52,13 +57,13 @@ def normalize_street(s: Column) -> Column:
         moves = (F.size(t) >= 3) & F.try_element_at(t, F.lit(-1)).isin(_DIRECTION_WORDS) & F.try_element_at(t, F.lit(-2)).isin(_SUFFIX_WORDS)
         return F.when(moves, F.concat(F.slice(t, -1, 1), F.slice(t, 1, F.greatest(F.size(t) - 1, F.lit(0))))).otherwise(t)
 
-    return F.array_join(_let(_canonical(s), ordered), " ")
+    return F.array_join(let(_canonical(s), ordered), " ")
 
 
 def street_base(s: Column) -> Column:
     """Canonical name without directions, unless nothing else is in it."""
     words = F.filter(F.split(normalize_street(s), " "), lambda t: t != "")
-    return _let(words, lambda t: F.array_join(_let(F.filter(t, lambda w: ~w.isin(_DIRECTION_WORDS)), lambda kept: F.when(F.size(kept) > 0, kept).otherwise(t)), " "))
+    return let(words, lambda t: F.array_join(let(F.filter(t, lambda w: ~w.isin(_DIRECTION_WORDS)), lambda kept: F.when(F.size(kept) > 0, kept).otherwise(t)), " "))
 
 
 def edit_distance(a: Column, b: Column, most: int | None = None) -> Column:
@@ -91,7 +96,7 @@ def format_address(raw: Column) -> Column:
         street = F.when(F.size(ws) > 0, F.array_join(F.slice(titled, F.coalesce(first, F.lit(1)), F.greatest(F.size(ws), F.lit(1))), " ")).otherwise(F.lit(""))
         return F.struct(F.array_join(titled, " ").alias("label"), street.alias("street"))
 
-    return _let(words, parted)
+    return let(words, parted)
 
 
 def eval_norm(s: Column) -> Column:
@@ -134,13 +139,10 @@ def hash_text(s: Column) -> Column:
     codes = F.transform(F.filter(F.split(s, ""), lambda c: c != ""), lambda c: F.ascii(c).cast("bigint"))
 
     def step(acc: Column, c: Column) -> Column:
-        second = acc["b"].bitwiseXOR(c)
-        # the prime is 2^24 + 403: both products fit a bigint once masked
-        spread = (F.shiftleft(second.bitwiseAND(F.lit(0xFF)), 24) + second * F.lit(403)).bitwiseAND(unit)
-        return F.struct((acc["a"] * 33 + c).bitwiseAND(unit).alias("a"), spread.alias("b"))
+        return F.struct((acc["a"] * 33 + c).bitwiseAND(unit).alias("a"), (acc["b"].bitwiseXOR(c) * F.lit(HASH_PRIME)).bitwiseAND(unit).alias("b"))
 
-    start = F.struct(F.lit(5381).cast("bigint").alias("a"), F.lit(0x811C9DC5).cast("bigint").alias("b"))
-    return _let(F.aggregate(codes, start, step), lambda h: F.concat(F.lower(F.hex(h["a"])), F.lower(F.hex(h["b"])), F.lit("-"), F.lower(F.hex(F.length(s).cast("bigint")))))
+    start = F.struct(F.lit(HASH_START).cast("bigint").alias("a"), F.lit(HASH_OFFSET).cast("bigint").alias("b"))
+    return let(F.aggregate(codes, start, step), lambda h: F.concat(F.lower(F.hex(h["a"])), F.lower(F.hex(h["b"])), F.lit("-"), F.lower(F.hex(F.length(s).cast("bigint")))))
 
 
 def members_signature(group: Column, members: Column) -> Column:

@@ -32,21 +32,20 @@ def meet(rows: DataFrame, found: DataFrame, keys: list[str], n: str) -> DataFram
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, label (the least node of its component) of every node of edges (a, b). Large-star and small-star rounds; a hub's edges stay where they are."""
+    """node, label (the least node of its component) of every node of edges (a, b). Large-star and small-star rounds."""
     work = written(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
     while True:
-        # every neighbour that is larger goes to the least of a node's neighbours and itself
-        both = work.select(F.col("a").alias("n"), F.col("b").alias("m")).unionByName(work.select(F.col("b").alias("n"), F.col("a").alias("m")))
-        least = written(both.groupBy("n").agg(F.least(F.min("m"), F.col("n")).alias("low"), F.count("*").alias("edges")))
-        large = meet(both, least, ["n"], "edges").where("m > n").select(F.col("m").alias("b"), F.col("low").alias("a")).where("a <> b").distinct()
-        down = large.groupBy("b").agg(F.min("a").alias("low"))
-        small = large.join(down, "b").select(F.when(F.col("a") == F.col("low"), F.col("b")).otherwise(F.col("a")).alias("b"), F.col("low").alias("a")).where("a <> b").distinct()
-        new = written(small)
-        drop(work, least)
-        work = new
         # done when every node hangs on one root and no root hangs on another
         several = work.groupBy("b").count().where("count > 1").select("b")
         if work.join(work.select(F.col("a").alias("b")).distinct(), "b", "left_semi").select("b").unionByName(several).limit(1).count() == 0:
             break
+        # every neighbour that is larger goes to the least of a node's neighbours and itself
+        both = work.select(F.col("a").alias("n"), F.col("b").alias("m")).unionByName(work.select(F.col("b").alias("n"), F.col("a").alias("m")))
+        least = both.groupBy("n").agg(F.least(F.min("m"), F.col("n")).alias("low"))
+        large = both.where("m > n").join(least, "n").select(F.col("m").alias("b"), F.col("low").alias("a")).where("a <> b").distinct()
+        down = large.groupBy("b").agg(F.min("a").alias("low"))
+        new = written(large.join(down, "b").select(F.when(F.col("a") == F.col("low"), F.col("b")).otherwise(F.col("a")).alias("b"), F.col("low").alias("a")).where("a <> b").distinct())
+        drop(work)
+        work = new
     hung = work.select(F.col("b").alias("node"), F.col("a").alias("label"))
     return hung.unionByName(work.select(F.col("a").alias("node"), F.col("a").alias("label")).distinct())

@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from loopwright.functions import text as T
 
 # The colours of groups, in order, and of what has none.
-COLOURS = "#e6194b #3cb44b #4363d8 #f58231 #911eb4 #42d4f4 #f032e6 #9a6324 #008080 #808000 #000075 #e6b800".split()
+COLOURS = ["#e6194b", "#3cb44b", "#4363d8", "#f58231", "#911eb4", "#42d4f4", "#f032e6", "#9a6324", "#008080", "#808000", "#000075", "#e6b800"]
 NO_COLOUR = "#888888"
 HEADER = ["group", "order", "address", "lat", "lon"]
 
@@ -36,7 +36,9 @@ def csv_lines(stop_rows: DataFrame) -> DataFrame:
 
 
 def write_csv(stop_rows: DataFrame, path: str) -> None:
-    """One folder an area with the CSV's text."""
+    """One folder an area with the CSV's text. Without a stop there is nothing to write, which is an error."""
+    if stop_rows.isEmpty():
+        raise ValueError("no stops to export: solve an area first")
     csv_lines(stop_rows).select("area", F.regexp_replace("csv", "\r\n$", "\r").alias("value")).write.partitionBy("area").text(path)
 
 

@@ -2,16 +2,20 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from collections.abc import Callable
+
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from loopwright.checkpoints import written
 from loopwright.functions import geo
 from loopwright.functions.text import NO_ADDRESS, format_address
-from loopwright.sources.elements import _tag
+from loopwright.schema import FEATURES
+from loopwright.sources.elements import _tag, parse_elements
 
 # Kinds of buildings that are no houses, kinds that are, and the land use of lived-in parcels.
-NON_HOUSE = "garage garages shed service roof carport cabin hut greenhouse barn industrial commercial retail church school public civic government".split()
-HOUSE = "house residential detached semidetached_house terrace bungalow apartments townhouse".split()
+NON_HOUSE = ["garage", "garages", "shed", "service", "roof", "carport", "cabin", "hut", "greenhouse", "barn", "industrial", "commercial", "retail", "church", "school", "public", "civic", "government"]
+HOUSE = ["house", "residential", "detached", "semidetached_house", "terrace", "bungalow", "apartments", "townhouse"]
 RESIDENTIAL = "Residential Improved Lot"
 
 _COLUMNS = ["area", "house_id", "ord", "lat", "lon", "label", "street", "flagged", "manual"]
@@ -77,6 +81,36 @@ def parse_parcels(features: DataFrame, boundaries: DataFrame | None = None) -> D
     )
 
 
+PAGE = f"features {FEATURES}, exceededTransferLimit boolean, error struct<message:string>"
+
+
+def read_pages(spark: SparkSession, path: str) -> DataFrame:
+    """Pages of a parcel server as (area, offset, features, exceeded), from JSON files named area-offset.json. A page that is an error body is an error."""
+    raw = spark.read.schema(PAGE).option("multiLine", True).option("mode", "FAILFAST").json(path)
+    name = F.regexp_extract(F.input_file_name(), r"([^/]+)-\d+\.json$", 1)
+    pages = raw.select(name.alias("area"), F.regexp_extract(F.input_file_name(), r"-(\d+)\.json$", 1).cast("bigint").alias("offset"), "features", F.col("exceededTransferLimit").alias("exceeded"), F.col("error.message").alias("said"))
+    bad = pages.where(F.col("said").isNotNull()).select("said").limit(1).collect()
+    if bad:
+        raise ValueError(f"a parcel page is an error: {bad[0]['said']}")
+    return pages.drop("said")
+
+
+def house_data(roads: Callable[[], DataFrame], parcels: Callable[[], DataFrame], boundaries: DataFrame | None = None) -> dict[str, DataFrame]:
+    """nodes, ways and houses (with source and note): roads are always those of the map, and a failure of theirs is final; houses are those of
+    the parcels, or of the map in areas without any, and everywhere if parcels can't be read. `roads` gives bodies, `parcels` (area, features).
+    """
+    parsed = parse_elements(roads())
+    mapped = build_houses(parsed["buildings"], parsed["addr_nodes"], boundaries)
+    try:
+        own = written(parse_parcels(parcels(), boundaries))
+    except Exception as error:  # parcels are the better source, not a needed one
+        reason = str(error).splitlines()[0]
+        found = mapped.withColumn("source", F.lit("map")).withColumn("note", F.lit(f"parcels can't be read: {reason}"))
+    else:
+        found = choose_source(own, mapped)
+    return {"nodes": parsed["nodes"], "ways": parsed["ways"], "houses": found}
+
+
 def choose_source(parcels: DataFrame, mapped: DataFrame) -> DataFrame:
     """Each area's houses: those of its parcels, or of the map where it has no parcels; with `source` and a `note`."""
     covered = parcels.select("area").distinct()
