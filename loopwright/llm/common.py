@@ -2,13 +2,12 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loopwright.checkpoints import drop, shared_dir
 from loopwright.checkpoints import written as materialise
+from loopwright.functions.text import let
 from loopwright.operators.joins import HOT, components, meet
 
 #: Java form of the word class: anything but space, tab, line feed, vertical tab, form feed and carriage return.
@@ -60,11 +59,6 @@ def words(text: Column) -> Column:
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACES))
 
 
-def let(value: Column, then: Callable[[Column], Column]) -> Column:
-    """then(value), with value evaluated once however often `then` names it."""
-    return F.element_at(F.transform(F.array(value), then), 1)
-
-
 def prefix_sums(values: Column, block: int = 128) -> Column:
     """Inclusive running sums of an array<bigint>, in time linear in its length for practical sizes.
 

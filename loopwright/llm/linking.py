@@ -100,14 +100,15 @@ def classes(members: DataFrame, verify: Callable[[DataFrame], DataFrame], thresh
     drop(crowded, sizes)
     best = headed.where("node <> head").groupBy("node").agg(F.min(F.struct("w", "head"))["head"].alias("a"))
     first = materialise(verify(best.select("a", F.col("node").alias("b"))).select("a", "b", "sim"))
-    labels = materialise(components(first.where(F.col("sim") >= threshold).select("a", "b")))
+    labels = components(first.where(F.col("sim") >= threshold).select("a", "b"))
     # heads of other classes; a node leads no more buckets than it has bands
     led = materialise(_labelled(heads.select("bucket", "rows", F.col("head").alias("node")), labels).select("bucket", "rows", F.col("label").alias("led")))
     named = meet(_labelled(headed.where("node <> head"), labels), led, ["bucket"], "rows")
     other = named.where("label <> led").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
     second = materialise(verify(other.join(first.select("a", "b"), ["a", "b"], "left_anti")).select("a", "b", "sim"))
     links = first.unionByName(second).where(F.col("sim") >= threshold)
-    labels = materialise(components(links.select("a", "b")))
+    if second.where(F.col("sim") >= threshold).limit(1).count():
+        labels = components(labels.select(F.col("label").alias("a"), F.col("node").alias("b")).unionByName(second.where(F.col("sim") >= threshold).select("a", "b")))
     # buckets that hold several classes
     named = materialise(_labelled(headed.where("n > 2"), labels))
     several = materialise(named.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("rows")).where("x < y").select("bucket", "rows"))
@@ -123,7 +124,7 @@ def classes(members: DataFrame, verify: Callable[[DataFrame], DataFrame], thresh
         met = met.unionByName(_block_links(many, payload(many.select("node").distinct()), similar, threshold, block_bytes))
     more = materialise(met)
     drop(open_)
-    whole = labels if more.isEmpty() else materialise(components(labels.select(F.col("label").alias("a"), F.col("node").alias("b")).unionByName(more.select("a", "b"))))
+    whole = labels if more.isEmpty() else components(labels.select(F.col("label").alias("a"), F.col("node").alias("b")).unionByName(more.select("a", "b")))
     return whole, links.unionByName(more)
 
 

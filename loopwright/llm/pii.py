@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loopwright.llm.common import chosen, let, prefix_sums, text_or_empty, unpacked, with_row
+from loopwright.llm.common import chosen, let, place, prefix_sums, text_or_empty, unpacked, with_row
 
 # The base patterns, leftmost and non-overlapping, in a form that never tries a run of characters twice.
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -184,12 +184,19 @@ def _without(kind: str):
     return lambda text: let(_matches(kind, text), lambda matches: rebuilt(text, matches))
 
 
-def redact(docs: DataFrame, text_col: str = "text") -> DataFrame:
-    """The documents with every confirmed span replaced by its kind in brackets; all other columns as they are.
+def redact(docs: DataFrame, text_col: str = "text", length_col: str | None = None) -> DataFrame:
+    """The documents with every confirmed span replaced by its kind in brackets; all other columns as they are, but `length_col`, if there is one:
+    the length of a text that changed.
 
     Kinds are replaced one after the other in the order of PATTERNS, so where spans overlap the first kind wins. A text without spans, null too, is unchanged.
     """
     text = F.col("text")
     for kind in PATTERNS:
         text = let(text, _without(kind))
-    return unpacked(with_row(docs, text=text_col), docs, **{text_col: text})
+    rows = with_row(docs, text=text_col).withColumn("clean", text)
+    changed = {text_col: F.col("clean")}
+    if length_col in docs.columns:
+        i = place(docs, length_col)
+        own = F.col("row").getField(f"c{i}")
+        changed[length_col] = F.when(F.col("clean") != F.col("text"), F.length("clean").cast(docs.schema[i].dataType)).otherwise(own)
+    return unpacked(rows, docs, **changed)
