@@ -14,8 +14,8 @@ Multisets are kept as sorted 64-bit hashes, the k-th copy of a window hashed as
 of n windows fall together with a chance of n*n/2^64. A pair at the threshold of 0.8 is missed by all bands
 with a chance of 3e-6, at 0.9 below 1e-12.
 
-Scale: one scan makes signatures and multisets; equal texts (same words) are one node from then on; all that is
-shuffled is a few numbers a band, and multisets of proposed pairs only. Rows of a text or class with very many copies stay where they are.
+Scale: one scan makes signatures; equal texts (same words) are one node from then on; all that is shuffled is a few numbers a band, then one text of
+each node that shares a bucket, for its multiset, and multisets of proposed pairs. Rows of a text or class with very many copies stay where they are.
 
 Defined results: null and empty texts, and those without words, are one class; texts of fewer than five words are alike
 only if all words are the same; repeated rows are copies; class_id is the least doc_id of the class (nulls aside), null if all are
@@ -116,12 +116,12 @@ def signatures(owner: np.ndarray, element: np.ndarray, weight: np.ndarray, n: in
     return _mix(first.view(np.uint64))
 
 
-def multiset(hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """Distinct elements, weights, and the sorted 64-bit hashes of all copies."""
+def multiset(hashes: np.ndarray) -> np.ndarray:
+    """The sorted 64-bit hashes of all copies of all elements."""
     element, count = np.unique(hashes, return_counts=True)
     copy = np.arange(len(hashes)) - np.repeat(np.cumsum(count) - count, count)
     each = _mix(np.repeat(element, count) + copy.astype(np.uint64) * _GOLDEN)
-    return element, count, np.sort(each)
+    return np.sort(each)
 
 
 def overlap(a: bytes, b: bytes) -> float:
@@ -156,14 +156,14 @@ def _hash() -> Column:
 
 
 def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", width: int = WIDTH) -> DataFrame:
-    """doc_id, h (hash of the text), node (16 bytes: which words), bag (packed multiset), bands (hashes). Texts are read once, whole."""
+    """doc_id, h (hash of the text), node (16 bytes: which words), bands (hashes). Texts are read once, whole."""
     rows = chosen(docs, doc_id=id_col, text=text_col).select("doc_id", _hash().alias("h"), text_or_empty().alias("text"))
-    schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, h bigint, node binary, bag binary, bands array<bigint>"
+    schema = f"doc_id {rows.schema['doc_id'].dataType.simpleString()}, h bigint, node binary, bands array<bigint>"
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = _Words()
         for batch in batches:
-            nodes, bags, bands = [], [], []
+            nodes, bands = [], []
             waiting: list[tuple[np.ndarray, np.ndarray]] = []
             held = 0
 
@@ -181,8 +181,7 @@ def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
             for text in batch.column(2):
                 words = text.as_py().encode("utf-8", "surrogatepass").split()
                 nodes.append(hashlib.md5(b" ".join(words), usedforsecurity=False).digest())
-                element, count, bag = multiset(windows(words, memo, width))
-                bags.append(bag.tobytes())
+                element, count = np.unique(windows(words, memo, width), return_counts=True)
                 waiting.append((element, count))
                 held += len(element)
                 if held > CHUNK_WINDOWS:
@@ -190,11 +189,23 @@ def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
                     held = 0
             if waiting:
                 sign()
-            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes, pa.binary()), pa.array(bags, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "h", "node", "bag", "bands"])
+            yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(nodes, pa.binary()), pa.array(bands, pa.list_(pa.int64()))], names=["doc_id", "h", "node", "bands"])
 
     return rows.mapInArrow(read, schema)
 
 
+def bags_of(texts: DataFrame, width: int = WIDTH) -> DataFrame:
+    """node, bag (packed multiset) of rows (node, text), one of each node."""
+
+    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        memo = _Words()
+        for batch in batches:
+            bags = [multiset(windows(t.as_py().encode("utf-8", "surrogatepass").split(), memo, width)).tobytes() for t in batch.column(1)]
+            yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bags, pa.binary())], names=["node", "bag"])
+
+    return texts.select("node", "text").mapInArrow(read, "node binary, bag binary").groupBy("node").agg(F.first("bag").alias("bag"))
+
+
 def _verifier(bags: DataFrame):
     def verify(pairs: DataFrame) -> DataFrame:
         met = pairs.join(bags.select(F.col("node").alias("a"), F.col("bag").alias("bag_a")), "a").join(bags.select(F.col("node").alias("b"), F.col("bag").alias("bag_b")), "b")
@@ -213,11 +224,15 @@ def _linked(docs: DataFrame, threshold: float, width: int, id_col: str, text_col
     """(doc_id, h, node) of every row, (node, label, links, likest) of the nodes with a link, and the links (a, b, sim)."""
     known = materialise(sketch(docs, id_col, text_col, width))
     rows = materialise(known.select("doc_id", "h", "node"))
-    # copies are one node: any row of it tells its bag and bands
+    # copies are one node: any row of it tells its bands
     members = members_of(known.where("bands is not null").select("node", "bands"))
-    # only nodes in a bucket with another one are ever verified
-    bags = materialise(known.join(members.select("node").distinct(), "node", "left_semi").groupBy("node").agg(F.first("bag").alias("bag")))
     drop(known)
+    # only nodes in a bucket with another one are ever verified: of each, one text comes again for its multiset
+    counted = rows.groupBy("node", "doc_id", "h").agg(F.count("*").alias("n")).groupBy("node").agg(F.min(F.struct("n", "doc_id", "h")).alias("one"))
+    wanted = materialise(counted.join(members.select("node").distinct(), "node", "left_semi").select("node", "one.*"))
+    texts = chosen(docs, doc_id=id_col, text=text_col).select("doc_id", _hash().alias("h"), text_or_empty().alias("text"))
+    bags = materialise(bags_of(meet(texts, wanted, ["doc_id", "h"], "n"), width))
+    drop(wanted)
     labels, links = classes(members, _verifier(bags), threshold, lambda nodes: bags.join(nodes, "node", "left_semi").select("node", F.col("bag").alias("data")), overlaps)
     found = materialise(linked(labels, links))
     drop(bags, members)
