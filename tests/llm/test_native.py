@@ -176,31 +176,46 @@ def js(a, b):
     return math.sqrt(max(sum(half(x, y) + half(y, x) for x, y in zip(p, q)) / 2, 0))
 
 
-def brute_kept(rows):
-    """kept of (text, lang), histograms and all, by loops."""
-    bins = {lang: [] for _, lang in rows}
-    for text, lang in rows:
-        ws = text.split()
-        letters, upper, digits, spaces = (sum(f(c) for c in text) for f in (str.isalpha, str.isupper, str.isdigit, str.isspace))
-        punctuation = sum(c in textstats.PUNCTUATION for c in text)
-        chars = [letters - upper, upper, digits, spaces, punctuation, len(text) - letters - digits - spaces - punctuation]
-        seen = Counter(w.lower() if w.lower() in textstats.ALL_COMMON else "" for w in ws)
-        bins[lang].append((chars, [seen[w] for w in [*textstats.ALL_COMMON, ""]], sum(seen[w] for w in textstats.COMMON_WORDS.get(lang, []))))
-    pooled = {lang: ([sum(x) for x in zip(*[b[0] for b in bs])], [sum(x) for x in zip(*[b[1] for b in bs])], sum(b[2] for b in bs)) for lang, bs in bins.items()}
-    kept, turn = [], Counter()
-    for text, lang in rows:
-        chars, common, own = bins[lang][turn[lang]]
-        turn[lang] += 1
-        all_chars, all_common, all_own = pooled[lang]
-        n, whole = sum(common), sum(all_common)
-        counts = brute_counts(text)
-        ok = counts[0] >= 50 and 100 * counts[4] <= 50 * counts[0] and (counts[1] < 200 or js(chars, all_chars) <= 0.2)
-        if n >= 80:
-            ok &= js(common, all_common) <= 0.45
-            if all_own and n * all_own / whole >= 8:
-                ok &= js([own, n - own], [all_own, whole - all_own]) / js([0, 1], [all_own, whole - all_own]) <= 0.45
-        kept.append(ok)
-    return kept
+def brute_histograms(text):
+    letters, upper, digits, spaces = (sum(f(c) for c in text) for f in (str.isalpha, str.isupper, str.isdigit, str.isspace))
+    punctuation = sum(c in textstats.PUNCTUATION for c in text)
+    chars = [letters - upper, upper, digits, spaces, punctuation, len(text) - letters - digits - spaces - punctuation]
+    bare = [w.strip(textstats.PUNCTUATION).lower() for w in text.split() if len(w) <= textstats.LONGEST + 2]
+    return chars, Counter(w for w in bare if w in textstats.ALL_COMMON)
+
+
+def brute_judged(rows):
+    """(kept, char distance, word distance) of (text, lang), references and all, by loops over all bins."""
+    key = lambda lang: lang if lang in textstats.COMMON_WORDS else "*"
+    counts = [brute_counts(t) for t, _ in rows]
+    failed = [c[0] < 50 or 100 * c[4] > 50 * c[0] for c in counts]
+    own = [brute_histograms(t or "") for t, _ in rows]
+    refs = {}
+    for k in [*textstats.COMMON_WORDS, "*"]:
+        listed = textstats.COMMON_WORDS.get(k, [])
+        weight = [1 / (rank + 2) for rank in range(len(listed))]
+        chars, words, n = list(map(float, quality.PRIOR_CHARS)), {w: 600.0 * x / sum(weight) for w, x in zip(listed, weight)}, 2000.0
+        for (text, lang), (cs, ws), c, bad in zip(rows, own, counts, failed):
+            if key(lang) == k and not bad:
+                chars, n = [a + b for a, b in zip(chars, cs)], n + c[0]
+                for w, m in ws.items():
+                    words[w] = words.get(w, 0.0) + m
+        refs[k] = chars, words, n
+    out = []
+    for (text, lang), (cs, ws), c, bad in zip(rows, own, counts, failed):
+        k = key(lang)
+        by_char = by_word = None
+        if c[1] >= 200:
+            by_char = js(cs, refs[k][0]) if k != "*" else min(js(cs, r[0]) for r in refs.values())
+        if c[0] >= 80 and k != "*":
+            _, words, n = refs[k]
+            mine, theirs = [ws[w] for w in textstats.ALL_COMMON], [words.get(w, 0.0) for w in textstats.ALL_COMMON]
+            by_word = js([*mine, c[0] - sum(mine)], [*theirs, n - sum(theirs)])
+            share, ours = sum(words.get(w, 0.0) for w in textstats.COMMON_WORDS[k]) / n, sum(ws[w] for w in textstats.COMMON_WORDS[k])
+            if c[0] * share >= 8:
+                by_word = max(by_word, js([ours, c[0] - ours], [share, 1 - share]) / js([0, 1], [share, 1 - share]))
+        out.append((not bad and (by_char or 0) <= 0.2 and (by_word or 0) <= 0.45, by_char, by_word))
+    return out
 
 
 def test_quality_kept_is_that_of_brute_force_and_drops_texts_without_common_words(spark):
@@ -216,8 +231,12 @@ def test_quality_kept_is_that_of_brute_force_and_drops_texts_without_common_word
     rows += [(" | ".join(text(3, 0, "en") for _ in range(40)), "en"), (text(200, 0.22, "fr"), "en"), (text(200, 0.04, "de"), "de"), (text(60, 0, "es"), "es")]
     rows += [(text(150, 0, "en"), "xx") for _ in range(4)]
     df = spark.createDataFrame([(i, t, lang) for i, (t, lang) in enumerate(rows)], "doc_id bigint, text string, lang string")
-    got = [r["kept"] for r in quality.judge(df).orderBy("doc_id").collect()]
-    assert got == brute_kept(rows)
+    judged = quality.judge(df).orderBy("doc_id").collect()
+    got = [r["kept"] for r in judged]
+    said = brute_judged(rows)
+    assert got == [k for k, _, _ in said]
+    for r, (_, by_char, by_word) in zip(judged, said):
+        assert r["char_distance"] == pytest.approx(by_char, abs=1e-9) and r["word_distance"] == pytest.approx(by_word, abs=1e-9), rows[r["doc_id"]]
     assert sum(got[:good]) >= 0.97 * good
     assert not any(got[good : good + 35]) and all(got[good + 35 :])
 
@@ -241,6 +260,156 @@ def test_mixing_meets_targets_and_its_sql(spark):
     assert Counter(r["doc_id"] for r in mixed.collect()) == Counter({r["doc_id"]: r["passes"] for r in rows if r["passes"]})
 
 
+def test_quality_of_a_language_with_one_document_and_of_none(spark):
+    draw = random.Random(3)
+    prose = lambda n, lang: " ".join(draw.choice(textstats.COMMON_WORDS[lang]) if draw.random() < 0.3 else "".join(draw.choice("abcdefghiklmnoprst") for _ in range(draw.randint(3, 9))) for _ in range(n))
+    rows = [(0, "|| <> ## " * 90 + prose(60, "de"), "de"), (1, prose(200, "fr") + ".", "fr"), (2, prose(300, "es"), None), (3, "The, of. and! " + prose(120, "en"), "en")]
+    got = {r["doc_id"]: r["kept"] for r in quality.judge(spark.createDataFrame(rows, "doc_id bigint, text string, lang string")).collect()}
+    assert got == {0: False, 1: True, 2: True, 3: True}
+
+
+def test_repeated_words_of_a_million_words_are_exact(spark):
+    draw = random.Random(9)
+    words = [f"w{draw.randrange(3000)}" for _ in range(1_000_000)]
+    rows = [(0, " ".join(words), "en"), (1, " ".join(map(str, range(1_000_000))), "en"), (2, "a " * 200_000, "en")]
+    got = {r["doc_id"]: r for r in quality.judge(spark.createDataFrame(rows, "doc_id bigint, text string, lang string").repartition(3)).collect()}
+    assert got[0]["n_repeat_words"] == brute_counts(rows[0][1])[4] and got[1]["n_repeat_words"] == 0 and got[2]["n_repeat_words"] == 200_000
+
+
+BIG = 2**53
+
+
+def test_packing_keeps_ids_beside_a_null(spark):
+    rows = [(BIG + 1, "one"), (None, "two words"), (BIG + 3, "three"), (BIG + 3, "three"), (None, None), (-5, "")]
+    got = packing.pack_documents(spark.createDataFrame(rows, "doc_id bigint, text string"), queries.tokenizer_path()).collect()
+    assert Counter(r["doc_id"] for r in got) == Counter(i for i, _ in rows) and len({(r["sequence_id"], r["offset"]) for r in got}) == len(rows)
+    named = packing.pack_documents(spark.createDataFrame([("x", "one"), (None, "two")], "doc_id string, text string"), queries.tokenizer_path()).collect()
+    assert {r["doc_id"] for r in named} == {"x", None}
+
+
+def brute_mix(rows, repeats=3):
+    """Taken words of (doc_id, text, source), as a multiset, by one queue of all copies."""
+    import hashlib as h
+
+    md5 = lambda s: h.md5(s.encode()).hexdigest()
+    sized = [(s, len((t or "").split()), md5(f"0:{'' if i is None else i}:{md5(t or '')}"), i) for i, t, s in rows]
+    names = sorted({s for s, *_ in sized}, key=lambda s: (s is None, s or ""))
+    size = {s: sum(n for q, n, *_ in sized if q == s) for s in names}
+    weight = {s: 1 + k % 3 for k, s in enumerate(names)}
+    target, left, open_ = {}, sum(size.values()), list(names)
+    while open_:
+        level = left / sum(weight[s] for s in open_)
+        over = [s for s in open_ if level * weight[s] > repeats * size[s]]
+        if not over:
+            target |= {s: level * weight[s] for s in open_}
+            break
+        for s in over:
+            target[s] = repeats * size[s]
+            left -= target[s]
+            open_.remove(s)
+    queue = []
+    for k, s in enumerate(names):
+        upto = 0
+        for j, (_, n, order, i) in enumerate(sorted((x for x in sized if x[0] == s), key=lambda x: x[2])):
+            upto += n
+            queue += [((p * size[s] + upto) / target[s], k, p, order, j, n, i) for p in range(repeats) if n]
+    taken, spent = Counter(), 0
+    for finish, k, p, order, j, n, i in sorted(queue, key=lambda x: x[:5]):
+        spent += n
+        if spent > sum(size.values()):
+            break
+        taken[k, order, j, i, n] += n
+    every = [(k, order, j, i, n) for k, s in enumerate(names) for j, (_, n, order, i) in enumerate(sorted((x for x in sized if x[0] == s), key=lambda x: x[2]))]
+    return Counter((i, n, taken[k, order, j, i, n]) for k, order, j, i, n in every), {s: (size[s], target[s]) for s in names}
+
+
+@pytest.mark.parametrize("rows_per_bucket", [1, 4096])
+def test_mixing_of_copies_and_null_ids_keeps_to_the_targets(spark, rows_per_bucket):
+    draw = random.Random(7)
+    rows = [(None, "hot copy here", "a")] * 150 + [(None, f"{'w ' * draw.randint(1, 9)}x{i}", draw.choice("ab")) for i in range(120)] + [(BIG + 1, "x y", "b")] * 7
+    rows += [(i, "z " * draw.randint(0, 30), draw.choice(["a", "b", "c", None])) for i in range(80)] + [(8, None, "c"), (9, "", None)]
+    df = spark.createDataFrame(rows, "doc_id bigint, text string, source string").repartition(3)
+    report, mixed = mixing.mix(df, rows_per_bucket=rows_per_bucket)
+    got = report.collect()
+    said, sums = brute_mix(rows)
+    assert Counter((r["doc_id"], r["size"], r["taken"]) for r in got) == said
+    taken = Counter()
+    for (i, t, s), n in Counter((r["doc_id"], r["text"], r["source"]) for r in mixed.collect()).items():
+        taken[s] += n * len((t or "").split())
+    longest = max(len((t or "").split()) for _, t, _ in rows)
+    assert all(abs(taken[s] - target) <= 3 * longest for s, (_, target) in sums.items()) and sum(taken.values()) <= sum(n for n, _ in sums.values())
+
+
+def test_columns_of_any_name_and_repeated_rows(spark):
+    """Names with dots, names that differ in case only, and the operators' own working names are carried along or left alone."""
+    extra = ["meta.url", "TEXT", "Doc_ID", "ws", "key", "chars", "size", "order", "s", "x", "id", "y", "g", "roomy", "n_words", "row", "c0", "clean", "pass", "h", "node", "label"]
+    good = "the and of to in is that for it as " + " ".join(f"word{chr(97 + i % 20)}{chr(97 + i // 20)}" for i in range(60)) + " mail a@b.cd"
+    rows = [(i, t, "en", s, *["e"] * len(extra)) for i, t, s in [(1, good, "a"), (1, good, "a"), (None, good + " x", None), (2, None, "a"), (3, "", "b"), (4, "short text", "b")]]
+    names = ["doc_id", "text", "lang", "source", *extra]
+    df = spark.createDataFrame(rows, ", ".join(f"`{n}` {'bigint' if n == 'doc_id' else 'string'}" for n in names))
+    path = queries.tokenizer_path()
+    for got in (tokens.token_counts(df, path), pii.find_spans(df), quality.judge(df), mixing.mix(df)[0], packing.pack_documents(df, path), ranking.features(df)):
+        assert Counter(r["doc_id"] for r in got.collect()) == Counter(r[0] for r in rows)
+    for got, n in ((pii.redact(df), 6), (quality.keep(df), 3), (mixing.mix(df)[1], None)):
+        assert got.columns == names and (n is None or got.count() == n) and all(r[4] == "e" for r in got.collect())
+    pages = spark.createDataFrame([(1, "http://x.net/a", "e", "e")], "page_id bigint, url string, `URL` string, `a.b` string")
+    assert urls.judge_urls(pages, pages.select("page_id").selectExpr("'http://q.com' AS u"), queries.URL_RULES).first()["verdict"] == "block"
+
+
+def test_pii_secrets_and_scores(spark):
+    key = "9f86d081884c7d659a2feaa0c55ad015a3bf4f1b"
+    rows = {r["doc_id"]: r["spans"] for r in pii.find_spans(docs(spark, [f'token = "{key}"', f"commit {key}", f"checksum key {key}", "ip 1.2.3.4 then version 1.2.3.4"])).collect()}
+    assert [(s["kind"], s["text"]) for s in rows[0]] == [("secret", key)] and rows[1] == [] and [s["kind"] for s in rows[2]] == []
+    assert [s["score"] for s in rows[3]] == [0.9, 0.4]
+
+
+def test_unknown_tokenizer_goes_to_the_library():
+    from tokenizers import Tokenizer, models, pre_tokenizers
+
+    own = Tokenizer(models.WordLevel({"a": 0, "b": 1, "?": 2}, unk_token="?"))
+    own.pre_tokenizer = pre_tokenizers.Whitespace()
+    made = own.to_str()
+    assert not tokens.covered(made) and tokens.covered(open(queries.tokenizer_path()).read())
+    coder = tokens.Coder(made, tokens.whole_tokens(made))
+    assert coder.count("a b zz") == 3 and coder.pack("b a") == bytes([1, 0, 0, 0, 0, 0, 0, 0])
+
+
+def test_url_filter_beyond_the_broadcast_bound(spark, monkeypatch):
+    rows = spark.createDataFrame([(i, f"http://h{i % 50}.com/p?utm_source=1" if i % 3 == 0 else f"http://h{i % 50}.com/p{i % 2}") for i in range(300)] + [(900 + i, None) for i in range(20)], "page_id bigint, url string")
+    key = lambda: Counter((r["page_id"], r["verdict"], r["listed"]) for r in urls.judge_urls(rows, queries.campaign_urls(rows), queries.URL_RULES).collect())
+    near = key()
+    monkeypatch.setattr(urls, "MAX_BROADCAST_BLOCKS", 0)
+    assert key() == near and sum(n for (_, v, _), n in near.items() if v == "block") == 100
+
+
+def test_mixing_without_broadcast_sources(spark, monkeypatch):
+    df = docs(spark, ["a b c"] * 5 + ["d e"] * 9)
+    key = lambda: Counter(tuple(r) for r in mixing.mix(df)[0].collect())
+    near = key()
+    monkeypatch.setattr(mixing, "MAX_BROADCAST_SOURCES", 0)
+    assert key() == near
+
+
+def test_ranking_fits_the_pairs_likelihood():
+    """The fitted weights are where the penalised likelihood of the very pairs is greatest: no step in any direction makes it better."""
+    import numpy as np
+
+    r = np.random.default_rng(2)
+    x = r.normal(size=(300, 3))
+    y = (x @ np.array([2.0, -1.0, 0.0]) + r.logistic(size=300) > 0).astype(int)
+    model = ranking.fit(x, y, max_pairs=4000)
+    draw = np.random.default_rng(7)
+    good, bad = x[y == 1], x[y == 0]
+    diff = (good[draw.integers(len(good), size=4000)] - bad[draw.integers(len(bad), size=4000)]) / x.std(axis=0)
+    loss = lambda w: np.log1p(np.exp(-diff @ w)).mean() + 0.0005 * (w @ w)
+    best = np.array(model.weights)
+    for k in range(3):
+        for step in (0.01, -0.01):
+            assert loss(best + step * np.eye(3)[k]) > loss(best)
+    score = (x - x.mean(axis=0)) / x.std(axis=0) @ best
+    assert ((score >= model.threshold) == (np.argsort(np.argsort(score)) >= round((y == 0).mean() * 300))).all()
+
+
 def test_mixing_of_odd_tables(spark):
     report, mixed = mixing.mix(docs(spark, [None, "", "one two", "three", " "]))
     assert report.count() == 5 and all(r["taken"] == 0 for r in report.collect() if r["size"] == 0) and set(mixed.columns) == set(docs(spark, [None]).columns)

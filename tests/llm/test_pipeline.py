@@ -35,3 +35,11 @@ def test_run_applies_the_stages_in_order(spark, monkeypatch):
     got = corpus_pipeline.run(spark, SF)
     docs = spark.read.parquet(f"{SF}/documents.parquet")
     assert got.columns == docs.columns and got.count() == docs.where("doc_id % 2 = 0").count() and got.where("text like '%[EMAIL]%'").count() > 0
+
+
+def test_empty_table(spark, tmp_path):
+    docs = spark.read.parquet(f"{SF}/documents.parquet").limit(0)
+    for name, stage in corpus_pipeline.STAGES:
+        stage(spark, docs, SF).write.parquet(f"{tmp_path}/{name}")
+        docs = spark.read.parquet(f"{tmp_path}/{name}")
+        assert docs.count() == 0
