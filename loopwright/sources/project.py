@@ -32,19 +32,19 @@ def _is(v: Column, *starts: str) -> Column:
 
 
 # What callers are told about a bad project. Those that begin with "]" follow the place of an item.
-NOT_JSON = "not valid JSON"
-NOT_OBJECT = "expected a JSON object"
-VERSION = "Unsupported project version "
-BOUNDARY = "boundary must be null or a GeoJSON Polygon"
-POSITIONS = "] must be an array of [lon, lat] positions"
-OSM_PARTS = "osm must be null or {nodes: [], ways: []}"
-OSM_NODE = "] must be [id, lat, lon] numbers"
-OSM_WAY = "] must be {id: number, name: string, highway: string, nodes: number[]}"
-HOUSE_OBJECT = "] is not an object"
-HOUSE_PLACE = "] needs finite lat and lon"
-HOUSE_TEXTS = "] needs string id, label and street"
-HOUSES = "houses must be an array"
-ASSIGNMENT = "assignment must be an object"
+SAID_NOT_JSON = "not valid JSON"
+SAID_NOT_OBJECT = "expected a JSON object"
+SAID_VERSION = "Unsupported project version "
+SAID_BOUNDARY = "boundary must be null or a GeoJSON Polygon"
+SAID_POSITIONS = "] must be an array of [lon, lat] positions"
+SAID_OSM_PARTS = "osm must be null or {nodes: [], ways: []}"
+SAID_OSM_NODE = "] must be [id, lat, lon] numbers"
+SAID_OSM_WAY = "] must be {id: number, name: string, highway: string, nodes: number[]}"
+SAID_HOUSE_OBJECT = "] is not an object"
+SAID_HOUSE_PLACE = "] needs finite lat and lon"
+SAID_HOUSE_TEXTS = "] needs string id, label and street"
+SAID_HOUSES = "houses must be an array"
+SAID_ASSIGNMENT = "assignment must be an object"
 
 _NUMBER = ("BIGINT", "DOUBLE", "DECIMAL", "FLOAT")
 
@@ -100,27 +100,27 @@ def _position(p: Column) -> Column:
 
 def errors(v: Column) -> Column:
     """What is wrong with a project, the first thing by the order of its parts; null if nothing is."""
-    not_object = F.when(~_is(v, "OBJECT"), F.lit(NOT_OBJECT))
+    not_object = F.when(~_is(v, "OBJECT"), F.lit(SAID_NOT_OBJECT))
     version = _get(v, "$.version")
-    wrong_version = F.when(~(_is(version, *_NUMBER) & F.coalesce(F.try_variant_get(v, "$.version", "double") == PROJECT_VERSION, F.lit(False))), F.concat(F.lit(VERSION), F.coalesce(F.try_variant_get(v, "$.version", "string"), F.lit("undefined"))))
+    wrong_version = F.when(~(_is(version, *_NUMBER) & F.coalesce(F.try_variant_get(v, "$.version", "double") == PROJECT_VERSION, F.lit(False))), F.concat(F.lit(SAID_VERSION), F.coalesce(F.try_variant_get(v, "$.version", "string"), F.lit("undefined"))))
     boundary, rings = _get(v, "$.boundary"), _items(v, "$.boundary.coordinates")
     is_polygon = _is(boundary, "OBJECT") & F.coalesce(F.try_variant_get(v, "$.boundary.type", "string") == "Polygon", F.lit(False)) & _is(_get(v, "$.boundary.coordinates"), "ARRAY")
     bad_ring = _first(rings, lambda r: ~(_is(r, "ARRAY") & F.coalesce(F.forall(F.try_variant_get(r, "$", "array<variant>"), _position), F.lit(False))))
-    boundary_error = F.when(~_none(boundary), F.when(~is_polygon, F.lit(BOUNDARY)).otherwise(_said(bad_ring, "boundary.coordinates[", POSITIONS)))
+    boundary_error = F.when(~_none(boundary), F.when(~is_polygon, F.lit(SAID_BOUNDARY)).otherwise(_said(bad_ring, "boundary.coordinates[", SAID_POSITIONS)))
     osm = _get(v, "$.osm")
     whole = _is(osm, "OBJECT") & _is(_get(v, "$.osm.nodes"), "ARRAY") & _is(_get(v, "$.osm.ways"), "ARRAY")
     numbers = lambda x: F.coalesce(F.forall(F.try_variant_get(x, "$", "array<variant>"), lambda n: _is(n, *_NUMBER)), F.lit(False))
     bad_node = _first(_items(v, "$.osm.nodes"), lambda n: ~(_is(n, "ARRAY") & numbers(n) & (F.size(F.try_variant_get(n, "$", "array<variant>")) == 3)))
     bad_way = _first(_items(v, "$.osm.ways"), lambda w: ~(_is(w, "OBJECT") & _is(_get(w, "$.id"), *_NUMBER) & _is(_get(w, "$.name"), "STRING") & _is(_get(w, "$.highway"), "STRING") & _is(_get(w, "$.nodes"), "ARRAY") & numbers(_get(w, "$.nodes"))))
-    osm_error = F.when(~_none(osm), F.when(~whole, F.lit(OSM_PARTS)).otherwise(F.coalesce(_said(bad_node, "osm.nodes[", OSM_NODE), _said(bad_way, "osm.ways[", OSM_WAY))))
+    osm_error = F.when(~_none(osm), F.when(~whole, F.lit(SAID_OSM_PARTS)).otherwise(F.coalesce(_said(bad_node, "osm.nodes[", SAID_OSM_NODE), _said(bad_way, "osm.ways[", SAID_OSM_WAY))))
     houses, each = _get(v, "$.houses"), _items(v, "$.houses")
     bad_house = [
-        (_first(each, lambda h: ~_is(h, "OBJECT")), HOUSE_OBJECT),
-        (_first(each, lambda h: ~(_is(_get(h, "$.lat"), *_NUMBER) & _is(_get(h, "$.lon"), *_NUMBER))), HOUSE_PLACE),
-        (_first(each, lambda h: ~(_is(_get(h, "$.id"), "STRING") & _is(_get(h, "$.label"), "STRING") & _is(_get(h, "$.street"), "STRING"))), HOUSE_TEXTS),
+        (_first(each, lambda h: ~_is(h, "OBJECT")), SAID_HOUSE_OBJECT),
+        (_first(each, lambda h: ~(_is(_get(h, "$.lat"), *_NUMBER) & _is(_get(h, "$.lon"), *_NUMBER))), SAID_HOUSE_PLACE),
+        (_first(each, lambda h: ~(_is(_get(h, "$.id"), "STRING") & _is(_get(h, "$.label"), "STRING") & _is(_get(h, "$.street"), "STRING"))), SAID_HOUSE_TEXTS),
     ]
     first_bad = F.array_min(F.array(*[F.struct(F.coalesce(i, F.lit(1 << 30)).alias("i"), F.lit(k).alias("k"), F.coalesce(_said(i, "houses[", said), F.lit("")).alias("said")) for k, (i, said) in enumerate(bad_house)]))["said"]
-    houses_error = F.when(houses.isNotNull(), F.when(~_is(houses, "ARRAY"), F.lit(HOUSES)).otherwise(F.when(first_bad != "", first_bad)))
+    houses_error = F.when(houses.isNotNull(), F.when(~_is(houses, "ARRAY"), F.lit(SAID_HOUSES)).otherwise(F.when(first_bad != "", first_bad)))
 
     def strings(name: str) -> Column:
         own = _get(v, f"$.{name}")
@@ -131,7 +131,7 @@ def errors(v: Column) -> Column:
     entries = F.map_entries(F.try_variant_get(v, "$.assignment", "map<string,variant>"))
     whole_number = lambda x: F.coalesce(_is(x, *_NUMBER) & (F.try_variant_get(x, "$", "double") % 1 == 0), F.lit(False))
     bad_entry = F.get(F.filter(entries, lambda e: ~whole_number(e["value"])), 0)["key"]
-    assignment_error = F.when(assignment.isNotNull(), F.when(~_is(assignment, "OBJECT"), F.lit(ASSIGNMENT)).when(bad_entry.isNotNull(), F.concat(F.lit('assignment["'), bad_entry, F.lit('"] must be an integer'))))
+    assignment_error = F.when(assignment.isNotNull(), F.when(~_is(assignment, "OBJECT"), F.lit(SAID_ASSIGNMENT)).when(bad_entry.isNotNull(), F.concat(F.lit('assignment["'), bad_entry, F.lit('"] must be an integer'))))
     return F.coalesce(not_object, wrong_version, boundary_error, osm_error, houses_error, strings("removed"), assignment_error, strings("locked"), strings("lockedHouses"))
 
 
@@ -139,7 +139,7 @@ def parse_projects(texts: DataFrame) -> DataFrame:
     """area, error and the state's parts of projects (area, json): either all parts, or an error and none."""
     v = F.col("v")
     read = texts.select("area", F.try_parse_json("json").alias("v"))
-    judged = read.withColumn("error", F.when(v.isNull(), F.lit(NOT_JSON)).otherwise(errors(v)))
+    judged = read.withColumn("error", F.when(v.isNull(), F.lit(SAID_NOT_JSON)).otherwise(errors(v)))
     good = F.col("error").isNull()
     houses = F.transform(F.coalesce(F.try_variant_get(v, "$.houses", HOUSE), F.array().cast(HOUSE)), lambda h: h.withField("flagged", F.coalesce(h["flagged"], F.lit(False))).withField("manual", F.coalesce(h["manual"], F.lit(False))))
     strings = lambda name: F.coalesce(F.try_variant_get(v, f"$.{name}", "array<string>"), F.array().cast("array<string>"))
