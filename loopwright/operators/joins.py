@@ -11,15 +11,16 @@ from loopwright.checkpoints import drop, written
 HOT = 1000
 
 
-def meet(rows: DataFrame, found: DataFrame, keys: list[str], n: str) -> DataFrame:
+def meet(rows: DataFrame, found: DataFrame, keys: list[str], n: str, merged: bool = False) -> DataFrame:
     """Inner join of rows with `found`: one row a key (null is a key) whose column `n`, which is dropped, says how many of the rows carry it.
 
     Hot keys, fewer than HOT by their definition, are broadcast, so that their rows stay where they are; all others are shuffled. `rows` is read twice
-    if there is a hot key.
+    if there is a hot key. `merged` has the others joined by a sort-merge at any size, so that wide rows cost the same part of a small table as of a large one.
     """
     total, most = found.agg(F.sum(n), F.max(n)).first()
     named = found.select(*[F.col(k).alias(f"_{k}") for k in keys], *[c for c in found.columns if c not in keys])
     few, many = named.where(F.col(n) * HOT > F.lit(total)).drop(n), named.where(F.col(n) * HOT <= F.lit(total)).drop(n)
+    many = many.hint("merge") if merged else many
     own = [f"_{k}" for k in keys]
     same = F.lit(True)
     for k in keys:
