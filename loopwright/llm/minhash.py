@@ -231,7 +231,7 @@ def _linked(docs: DataFrame, threshold: float, width: int, id_col: str, text_col
     counted = rows.groupBy("node", "doc_id", "h").agg(F.count("*").alias("n")).groupBy("node").agg(F.min(F.struct("n", "doc_id", "h")).alias("one"))
     wanted = materialise(counted.join(members.select("node").distinct(), "node", "left_semi").select("node", "one.*"))
     texts = chosen(docs, doc_id=id_col, text=text_col).select("doc_id", _hash().alias("h"), text_or_empty().alias("text"))
-    bags = materialise(bags_of(meet(texts, wanted, ["doc_id", "h"], "n"), width))
+    bags = materialise(bags_of(meet(texts, wanted, ["doc_id", "h"], "n", merged=True), width))
     drop(wanted)
     labels, links = classes(members, _verifier(bags), threshold, lambda nodes: bags.join(nodes, "node", "left_semi").select("node", F.col("bag").alias("data")), overlaps)
     found = materialise(linked(labels, links))
@@ -277,6 +277,6 @@ def keep(docs: DataFrame, threshold: float = 0.8, width: int = WIDTH, id_col: st
     keyed = with_row(docs, id=id_col, text=text_col).select("row", "id", _hash().alias("h"))
     once, several = counted.where("n = 1"), counted.where("n > 1")
     # rows that share the chosen doc_id and text: one stays
-    single = meet(keyed, once, ["id", "h"], "n").select("row")
-    first = meet(keyed, several, ["id", "h"], "n").groupBy("id", "h").agg(F.first("row").alias("row")).select("row")
+    single = meet(keyed, once, ["id", "h"], "n", merged=True).select("row")
+    first = meet(keyed, several, ["id", "h"], "n", merged=True).groupBy("id", "h").agg(F.first("row").alias("row")).select("row")
     return unpacked(single.unionByName(first), docs)
