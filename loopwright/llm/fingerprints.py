@@ -364,7 +364,7 @@ def with_classes(known: DataFrame, threshold: float = NEAR, bands: int = BANDS,
     ids = materialise(named.groupBy("label").agg(F.min("first_id").alias("class_id"), F.count("*").alias("n")))
     by_print = materialise(meet(named, ids, ["label"], "n").select("fingerprint", "class_id", "copies", F.coalesce("links", F.lit(0)).alias("links"), "likest", F.col("copies").alias("n")))
     drop(named, ids, reps)
-    return meet(known, by_print, ["fingerprint"], "n")
+    return meet(known, by_print, ["fingerprint"], "n", merged=True)
 
 
 def near_classes(docs: DataFrame, threshold: float = NEAR, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

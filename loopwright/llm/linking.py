@@ -81,7 +81,7 @@ def members_of(banded: DataFrame) -> DataFrame:
     """bucket, node, each once, of the buckets that several nodes share; `banded` has node, bands (array of bucket numbers)."""
     bands = banded.select(F.explode("bands").alias("bucket"), "node")
     shared = materialise(bands.distinct().groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"))
-    members = materialise(meet(bands, shared, ["bucket"], "n").distinct())
+    members = materialise(meet(bands, shared, ["bucket"], "n", merged=True).distinct())
     drop(shared)
     return members
 
