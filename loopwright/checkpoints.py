@@ -77,3 +77,8 @@ def drop(*tables: DataFrame) -> None:
 def renamed(df: DataFrame) -> DataFrame:
     """df with columns of the same names that are new to the analyser: for a side that meets what it was made from."""
     return df.select(*[F.col(c).alias(c) for c in df.columns])
+
+
+def path_of(table: DataFrame) -> str:
+    """The folder of a table that written() gave, for who reads its files as a stream or by their names."""
+    return _PATHS[table]
