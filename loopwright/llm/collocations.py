@@ -4,12 +4,12 @@ Shard: the documents of a stretch of a partition, about `shard_bytes` of text. I
 words, then pairs of ranks one place, then two places apart) sorts all suffixes by their first four words. The common prefixes of neighbours in that order bound the
 LCP intervals; an interval at depth k is a phrase of k words and its width the phrase's count in the shard. Counts of all shards are merged by key.
 
-Passes: a phrase is no more frequent than its parts, so each depth asks only for phrases whose parts have reached `least` in the whole corpus. First words, counted by
-(lang, word); then pairs of frequent words, counted by a 64-bit hash, which never undercounts; then phrases of two to four words all of whose pairs are frequent, counted exactly, by
-(lang, phrase). What shards know of earlier passes is a Bloom filter of at most `filter_bits` bits: it never loses a phrase; beyond the size it is made for, shards
-emit more phrases than needed, and the exact count drops them.
+Passes: a phrase is no more frequent than its parts, so each depth asks only for phrases whose parts have reached `least` in the whole corpus. Words, then pairs of frequent words, then
+triples of frequent pairs are counted by a 64-bit hash, which never undercounts. The last pass counts exactly, by (lang, phrase): frequent pairs, frequent triples, and four words whose
+two triples are frequent, and the words of frequent pairs. What shards know of earlier passes are Bloom filters of at most `filter_bits` bits: they never lose a phrase; beyond
+the size they are made for, shards emit more phrases than needed, and the exact count drops them.
 
-Scale: the text is scanned three times and never shuffled. Counts are summed in the shard, the task, then by key, so a phrase in a third of all texts is a row a task. Tables
+Scale: the text is scanned four times and never shuffled. Counts are summed in the shard, the task, then by key, so a phrase in a third of all texts is a row a task. Tables
 after the counts hold phrases that occur `least` times; the parts that very many phrases share meet them by common.meet(). Ranks are cut to `top` in each task before
 they meet. A shard needs memory for its bytes and its longest text; nothing is broadcast but the filter.
 
@@ -19,7 +19,7 @@ gives no rows; bytes of other letters than A-Z stay as they are; extra columns,
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -29,7 +29,7 @@ from pyspark.sql import functions as F
 from loopwright.llm.common import chosen, drop, materialise, meet, text_or_empty
 
 LONGEST = 4
-SHARD_BYTES = 8 << 20
+SHARD_BYTES = 4 << 20
 #: Of the filter that shards get: 32 MB. It is made for one key in 16 bits.
 FILTER_BITS = 1 << 28
 _PROBES = 4
@@ -82,8 +82,8 @@ class Shard:
         gap_end[cut] |= kind[cut] == 0
         self.length = np.flatnonzero(gap_end) + 1 - self.start
         self.doc = np.searchsorted(ends, self.start, side="right") - 1
-        pieces = np.cumsum(kind == 2)
-        self.piece = pieces[self.start] + self.doc if len(self.start) else np.empty(0, np.int64)
+        pieces = np.cumsum(kind == 2, dtype=np.int32)
+        self.piece = pieces[self.start] if len(self.start) else np.empty(0, np.int32)
         self.langs = langs
         names = {name: i for i, name in enumerate(dict.fromkeys(langs))}
         self.lang = np.array([names[x] for x in langs], np.int64)[self.doc] if len(self.start) else np.empty(0, np.int64)
@@ -212,21 +212,21 @@ def _named(shard: Shard, parts: list[tuple[int, np.ndarray, np.ndarray]]) -> pa.
     for n, at, many in parts:
         langs += [shard.langs[d] for d in shard.doc[at].tolist()]
         sizes += [n] * len(at)
-        phrases += [shard.phrase(i, n) for i in at.tolist()]
+        phrases += [b""] * len(at) if n == 0 else [shard.phrase(i, n) for i in at.tolist()]
         counts.append(many)
     return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(sizes, pa.int32()), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(np.concatenate(counts) if counts else [], pa.int64())], names=["lang", "n", "phrase", "f"])
 
 
-_COUNTED = "lang string, n int, phrase string, f bigint"
+def _hash_counts(texts: DataFrame, shard_bytes: int, count: Callable[[Shard], Iterator[tuple[int, np.ndarray, np.ndarray]]], least: int) -> DataFrame:
+    """n, h: what count() gives of shards (n, hashes, counts), where it reaches `least` in all."""
 
-
-def _words(texts: DataFrame, shard_bytes: int) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard in _shards(batches, shard_bytes):
-            _, first, many = np.unique(shard.word, return_index=True, return_counts=True)
-            yield _named(shard, [(1, first, many)])
+            for n, h, many in count(shard):
+                yield pa.RecordBatch.from_arrays([pa.array(np.full(len(h), n, np.int8)), pa.array(h.view(np.int64)), pa.array(many.astype(np.int64))], names=["n", "h", "f"])
 
-    return texts.mapInArrow(read, _COUNTED)
+    counted = texts.mapInArrow(read, "n tinyint, h bigint, f bigint")
+    return materialise(counted.groupBy("n", "h").agg(F.sum("f").alias("f")).where(F.col("f") >= least).select("n", "h"))
 
 
 def _pair_keys(word: np.ndarray, at: np.ndarray) -> np.ndarray:
@@ -234,6 +234,10 @@ def _pair_keys(word: np.ndarray, at: np.ndarray) -> np.ndarray:
     return _mix(word[at] * _K1 + _mix(word[at + 1]))
 
 
+def _triple_keys(word: np.ndarray, at: np.ndarray) -> np.ndarray:
+    return _mix(_pair_keys(word, at) * _K2 + _mix(word[at + 2]))
+
+
 def _ids(shard: Shard, known: Filter) -> np.ndarray:
     """Word ids from 1 on; words that can't be frequent are barriers, 0."""
     distinct, inverse = np.unique(shard.word, return_inverse=True)
@@ -248,38 +252,65 @@ def _without_single(ids: np.ndarray, linked: np.ndarray) -> tuple[np.ndarray, np
     return own, ids[own], joined[own[:-1]]
 
 
-def _pairs(texts: DataFrame, known: Filter, shard_bytes: int) -> DataFrame:
-    """h, f: pairs of frequent words by their hash."""
+def _words(shard: Shard) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+    yield 1, *np.unique(shard.word, return_counts=True)
+
+
+def _pairs(known: Filter) -> Callable[[Shard], Iterator[tuple[int, np.ndarray, np.ndarray]]]:
+    """Pairs of frequent words."""
+
+    def count(shard: Shard) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        if len(shard.word) > 1:
+            own, ids, linked = _without_single(_ids(shard, known), shard.linked)
+            at, many = intervals(*suffix_array(ids, linked, 2), 2)
+            yield 2, _pair_keys(shard.word, own[at]), many
+
+    return count
 
-    def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for shard in _shards(batches, shard_bytes):
-            if len(shard.word) > 1:
-                own, ids, linked = _without_single(_ids(shard, known), shard.linked)
-                at, many = intervals(*suffix_array(ids, linked, 2), 2)
-                yield pa.RecordBatch.from_arrays([pa.array(_pair_keys(shard.word, own[at]).view(np.int64)), pa.array(many, pa.int64())], names=["h", "f"])
 
-    return texts.mapInArrow(read, "h bigint, f bigint")
+def _of_frequent_pairs(shard: Shard, known: Filter, pairs: Filter) -> tuple[np.ndarray, tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Places of the words of frequent pairs, and their suffix array."""
+    ids = _ids(shard, known)
+    linked = shard.linked & (ids[1:] > 0) & (ids[:-1] > 0)
+    linked[linked] = pairs.has(_pair_keys(shard.word, np.flatnonzero(linked)))
+    own, ids, linked = _without_single(ids, linked)
+    return own, suffix_array(ids, linked)
 
 
-def _phrases(texts: DataFrame, known: Filter, pairs: Filter, shard_bytes: int) -> DataFrame:
-    """lang, n, phrase, f: phrases of two words and more whose pairs are all frequent."""
+def _triples(known: Filter, pairs: Filter, least: int) -> Callable[[Shard], Iterator[tuple[int, np.ndarray, np.ndarray]]]:
+    """Triples of frequent pairs; and the words of frequent pairs, which all count as frequent."""
+
+    def count(shard: Shard) -> Iterator[tuple[int, np.ndarray, np.ndarray]]:
+        if len(shard.word) > 1:
+            own, sorted_ = _of_frequent_pairs(shard, known, pairs)
+            words = np.unique(shard.word[own])
+            yield 1, words, np.full(len(words), least)
+            at, many = intervals(*sorted_, 3)
+            yield 3, _triple_keys(shard.word, own[at]), many
+
+    return count
+
+
+def _phrases(texts: DataFrame, known: Filter, words: Filter, pairs: Filter, triples: Filter, shard_bytes: int) -> DataFrame:
+    """lang, n, phrase, f: phrases that may be frequent, the words of frequent pairs, and, as n = 0, all words of a language."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for shard in _shards(batches, shard_bytes):
+            langs, first, total = np.unique(shard.lang, return_index=True, return_counts=True)
+            hashes, place, many = np.unique(shard.word, return_index=True, return_counts=True)
+            kept = words.has(hashes)
+            found = [(0, first, total), (1, place[kept], many[kept])]
             if len(shard.word) > 1:
-                ids = _ids(shard, known)
-                linked = shard.linked & (ids[1:] > 0) & (ids[:-1] > 0)
-                linked[linked] = pairs.has(_pair_keys(shard.word, np.flatnonzero(linked)))
-                own, ids, linked = _without_single(ids, linked)
-                sorted_ = suffix_array(ids, linked)
-                found = [(n, *intervals(*sorted_, n)) for n in range(2, LONGEST + 1)]
-                yield _named(shard, [(n, own[at], many) for n, at, many in found])
-
-    return texts.mapInArrow(read, _COUNTED)
+                own, sorted_ = _of_frequent_pairs(shard, known, pairs)
+                for n in range(2, LONGEST + 1):
+                    at, many = intervals(*sorted_, n)
+                    for k in range(n - 2):
+                        kept = triples.has(_triple_keys(shard.word, own[at] + k))
+                        at, many = at[kept], many[kept]
+                    found.append((n, own[at], many))
+            yield _named(shard, found)
 
-
-def _summed(counted: DataFrame, least: int) -> DataFrame:
-    return counted.groupBy("lang", "n", "phrase").agg(F.sum("f").alias("f")).where(F.col("f") >= least)
+    return texts.mapInArrow(read, "lang string, n int, phrase string, f bigint")
 
 
 def _part(words: Column, first: Column | int, n: Column | int) -> Column:
@@ -296,14 +327,18 @@ def collocations(docs: DataFrame, least: int = 30, top: int | None = 2000, absor
     A phrase goes if a longer one that holds it has at least absorb[0] of absorb[1] of its count.
     """
     texts = chosen(docs, lang=lang_col, text=text_col).select(F.coalesce("lang", F.lit("und")).alias("lang"), text_or_empty().alias("text")).where(F.col("text") != "")
-    words = materialise(_words(texts, shard_bytes).groupBy("lang", "n", "phrase").agg(F.sum("f").alias("f")))
-    totals = words.groupBy("lang").agg(F.sum("f").alias("n"))
-    hashed = words.where(F.col("f") >= least).select("lang", "phrase").mapInArrow(_word_keys, "h bigint")
-    known = _filter(materialise(hashed), filter_bits)
-    frequent = materialise(_pairs(texts, known, shard_bytes).groupBy("h").agg(F.sum("f").alias("f")).where(F.col("f") >= least).select("h"))
-    pairs = _filter(frequent, filter_bits)
-    longer = materialise(_summed(_phrases(texts, known, pairs, shard_bytes), least))
-    counts = longer.unionByName(words.where(F.col("f") >= least))
+    hashes = lambda table, n: table.where(F.col("n") == n).select("h")
+    single = _hash_counts(texts, shard_bytes, _words, least)
+    known = _filter(hashes(single, 1), filter_bits)
+    double = _hash_counts(texts, shard_bytes, _pairs(known), least)
+    pairs = _filter(hashes(double, 2), filter_bits)
+    triple = _hash_counts(texts, shard_bytes, _triples(known, pairs, least), least)
+    phrases = _phrases(texts, known, _filter(hashes(triple, 1), filter_bits), pairs, _filter(hashes(triple, 3), filter_bits), shard_bytes)
+    drop(single, double, triple)
+    counts = materialise(phrases.groupBy("lang", "n", "phrase").agg(F.sum("f").alias("f")).where((F.col("f") >= least) | (F.col("n") == 0)))
+    totals = counts.where("n = 0").select(F.col("lang").alias("tl"), F.col("f").alias("n"))
+    counts = counts.where("n > 0")
+    longer = counts.where("n > 1")
     held = F.split("phrase", " ")
     # the parts of each phrase at each cut
     cuts = longer.select("lang", F.col("n").alias("size"), "phrase", F.col("f").alias("a"), F.explode(F.sequence(F.lit(1), F.col("n") - 1)).alias("k"))
@@ -322,19 +357,7 @@ def collocations(docs: DataFrame, least: int = 30, top: int | None = 2000, absor
     rank = F.row_number().over(Window.partitionBy("lang").orderBy(F.desc("score"), F.desc("a"), "phrase"))
     ranked = kept.withColumn("rank", rank.cast("bigint"))
     ranked = ranked.where(F.col("rank") <= top) if top is not None else ranked
-    drop(frequent)
-    return ranked.join(totals.withColumnRenamed("lang", "tl"), F.col("lang") == F.col("tl")).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
-
-
-def _word_keys(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """The hashes that shards give words (lang, word)."""
-    for batch in batches:
-        langs = batch.column(0).to_pylist()
-        seeds = {name: hash_text(name) for name in dict.fromkeys(langs)}
-        words = [w.encode() for w in batch.column(1).to_pylist()]
-        length = np.array([len(w) for w in words], np.int64)
-        h = _hashed(np.frombuffer(b"".join(words), np.uint8), np.cumsum(length) - length, length, np.array([seeds[x] for x in langs], np.uint64))
-        yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64))], names=["h"])
+    return ranked.join(totals, F.col("lang") == F.col("tl")).select("lang", "rank", "phrase", "a", "l", "r", "n", "score")
 
 
 __all__ = ["Filter", "Shard", "collocations", "intervals", "suffix_array"]
