@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -59,21 +61,31 @@ def words(text: Column) -> Column:
     return F.when(trimmed == "", F.array().cast("array<string>")).otherwise(F.split(trimmed, SPACES))
 
 
-def prefix_sums(values: Column, block: int = 128) -> Column:
-    """Inclusive running sums of an array<bigint>, in time linear in its length for practical sizes.
+def _running(values: Column, first: Column, step: Callable[[Column, Column], Column], block: int) -> Column:
+    """Inclusive running results of an array<bigint>, in time linear in its length for practical sizes.
 
-    The array is summed in blocks, so that the array being built is never copied as a whole.
+    The array is run through in blocks, so that the array being built is never copied as a whole. `first` changes nothing under step.
     """
 
     def running(xs: Column) -> Column:
-        grown = F.aggregate(xs, F.array(F.lit(0).cast("bigint")), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + x)))
+        grown = F.aggregate(xs, F.array(first), lambda acc, x: F.concat(acc, F.array(step(F.element_at(acc, -1), x))))
         return F.slice(grown, 2, F.size(xs))
 
     last = F.greatest(F.floor((F.size(values) - 1) / F.lit(block)), F.lit(0)).cast("int")
     blocks = F.transform(F.sequence(F.lit(0), last), lambda b: running(F.slice(values, b * block + 1, F.lit(block))))
-    before = F.aggregate(blocks, F.array(F.lit(0).cast("bigint")), lambda acc, x: F.concat(acc, F.array(F.element_at(acc, -1) + F.element_at(x, -1))))
-    summed = F.flatten(F.zip_with(blocks, F.slice(before, 1, F.size(blocks)), lambda xs, b: F.transform(xs, lambda x: x + b)))
-    return F.when(F.size(values) == 0, F.array().cast("array<bigint>")).otherwise(summed)
+    before = F.aggregate(blocks, F.array(first), lambda acc, x: F.concat(acc, F.array(step(F.element_at(acc, -1), F.element_at(x, -1)))))
+    joined = F.flatten(F.zip_with(blocks, F.slice(before, 1, F.size(blocks)), lambda xs, b: F.transform(xs, lambda x: step(b, x))))
+    return F.when(F.size(values) == 0, F.array().cast("array<bigint>")).otherwise(joined)
+
+
+def prefix_sums(values: Column, block: int = 128) -> Column:
+    """Inclusive running sums of an array<bigint>."""
+    return _running(values, F.lit(0).cast("bigint"), lambda a, x: a + x, block)
+
+
+def prefix_greatest(values: Column, block: int = 128) -> Column:
+    """The greatest so far, for each place of an array<bigint> of no negative values."""
+    return _running(values, F.lit(0).cast("bigint"), lambda a, x: F.greatest(a, x), block)
 
 
-__all__ = ["HOT", "SPACES", "SPACE_CHARS", "chosen", "components", "drop", "let", "materialise", "meet", "place", "prefix_sums", "shared_dir", "table", "text_or_empty", "unpacked", "with_row", "words"]
+__all__ = ["HOT", "SPACES", "SPACE_CHARS", "chosen", "components", "drop", "let", "materialise", "meet", "place", "prefix_greatest", "prefix_sums", "shared_dir", "table", "text_or_empty", "unpacked", "with_row", "words"]

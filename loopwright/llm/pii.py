@@ -20,7 +20,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loopwright.llm.common import chosen, let, place, prefix_sums, text_or_empty, unpacked, with_row
+from loopwright.llm.common import chosen, let, place, prefix_greatest, prefix_sums, text_or_empty, unpacked, with_row
 
 # The base patterns, leftmost and non-overlapping, in a form that never tries a run of characters twice.
 EMAIL = r"(?:\G|(?<![A-Za-z0-9._%+-]))[A-Za-z0-9._%+-]++@[A-Za-z0-9-]++(?:\.[A-Za-z0-9-]++)++"
@@ -153,50 +153,53 @@ def _confirmed(kind: str) -> Column:
     return F.when(F.size(matches) > 0, spans).otherwise(_nothing(_SPAN))
 
 
+def _with_spans(df: DataFrame) -> DataFrame:
+    """Adds spans to rows with a column text."""
+    columns = df.columns
+    for kind in PATTERNS:
+        df = _proposed(df, kind, F.col("text"))
+    return df.select(*columns, F.array_sort(F.flatten(F.array(*[_confirmed(kind) for kind in PATTERNS]))).alias("spans"))
+
+
 def find_spans(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
     """doc_id and spans: array of (start, rank, kind, end, score, text), by start, then kind. End exclusive, in code points."""
     df = chosen(docs, doc_id=id_col, text=text_col).select("doc_id", text_or_empty().alias("text"))
-    for kind in PATTERNS:
-        df = _proposed(df, kind, F.col("text"))
-    return df.select("doc_id", F.array_sort(F.flatten(F.array(*[_confirmed(kind) for kind in PATTERNS]))).alias("spans"))
+    return _with_spans(df).select("doc_id", "spans")
 
 
 def digest(spans: Column) -> Column:
     return F.array_join(F.transform(spans, lambda s: F.concat_ws(":", s["kind"], s["start"].cast("string"), s["end"].cast("string"))), ",")
 
 
-def _shown(kind: str):
-    def shown(m: Column, g: Column) -> Column:
-        name = _kind(kind, m)
-        keep = name.isNotNull() & (name.isin(*BASE) | (_score(name, g) >= NEEDED))
-        return F.concat(g, F.when(keep, F.concat(F.lit("["), F.upper(name), F.lit("]"))).otherwise(m))
-
-    return shown
-
+def _unions(spans: Column, reach: Column) -> Column:
+    """start, end and kind (that of its first span) of each stretch that spans cover; spans that only touch are two. reach: the greatest end so far, a span each."""
+    opens = F.filter(F.transform(spans, lambda s, i: F.struct(i.alias("i"), s["start"].alias("start"), s["kind"].alias("kind"))), lambda s: (s["i"] == 0) | (s["start"] >= F.get(reach, s["i"] - 1)))
+    last = lambda xs: F.transform(xs, lambda s, i: F.struct(s["start"].alias("start"), F.get(reach, F.coalesce(F.get(xs, i + 1)["i"], F.size(reach)) - 1).alias("end"), s["kind"].alias("kind")))
+    return let(opens, last)
 
-def _without(kind: str):
-    """Replaces the confirmed spans of one pattern in a text."""
 
-    def rebuilt(text: Column, matches: Column) -> Column:
-        join = lambda gaps: F.concat(F.array_join(F.zip_with(matches, F.slice(gaps, 1, F.size(matches)), _shown(kind)), ""), F.element_at(gaps, -1))
-        return F.when(F.size(matches) > 0, let(F.split(text, PATTERNS[kind], -1), join)).otherwise(text)
-
-    return lambda text: let(_matches(kind, text), lambda matches: rebuilt(text, matches))
+def _cut(chars: Column, unions: Column) -> Column:
+    """The characters with each union replaced by its kind."""
+    before = F.transform(unions, lambda u, i: F.concat(F.array_join(F.slice(chars, F.coalesce(F.get(unions, i - 1)["end"], F.lit(0).cast("bigint")).cast("int") + 1, (u["start"] - F.coalesce(F.get(unions, i - 1)["end"], F.lit(0).cast("bigint"))).cast("int")), ""), F.lit("["), F.upper(u["kind"]), F.lit("]")))
+    after = F.element_at(unions, -1)["end"].cast("int")
+    return F.concat(F.array_join(before, ""), F.array_join(F.slice(chars, after + 1, F.size(chars)), ""))
 
 
 def redact(docs: DataFrame, text_col: str = "text", length_col: str | None = None) -> DataFrame:
-    """The documents with every confirmed span replaced by its kind in brackets; all other columns as they are, but `length_col`, if there is one:
+    """The documents with all that the confirmed spans cover replaced by kinds in brackets; all other columns as they are, but `length_col`, if there is one:
     the length of a text that changed.
 
-    Kinds are replaced one after the other in the order of PATTERNS, so where spans overlap the first kind wins. A text without spans, null too, is unchanged.
+    Spans are those of find_spans() in the text as it was. Where some overlap, their union is replaced by the kind that starts first (of equal starts the first of KINDS), so no
+    character of a span is left. A text without spans, null too, is unchanged.
     """
-    text = F.col("text")
-    for kind in PATTERNS:
-        text = let(text, _without(kind))
-    rows = with_row(docs, text=text_col).withColumn("clean", text)
+    rows = _with_spans(with_row(docs, own=text_col).select("row", "own", text_or_empty("own").alias("text")))
+    rows = rows.withColumn("reach", prefix_greatest(F.transform("spans", lambda s: s["end"])))
+    rows = rows.withColumn("unions", F.when(F.size("spans") > 0, _unions(F.col("spans"), F.col("reach"))))
+    cut = let(F.split("text", ""), lambda chars: _cut(chars, F.col("unions")))
+    rows = rows.withColumn("clean", F.when(F.col("unions").isNotNull(), cut).otherwise(F.col("own")))
     changed = {text_col: F.col("clean")}
-    if length_col in docs.columns:
+    if length_col is not None and length_col.lower() in [c.lower() for c in docs.columns]:
         i = place(docs, length_col)
         own = F.col("row").getField(f"c{i}")
-        changed[length_col] = F.when(F.col("clean") != F.col("text"), F.length("clean").cast(docs.schema[i].dataType)).otherwise(own)
+        changed[length_col] = F.when(F.col("unions").isNotNull(), F.length("clean").cast(docs.schema[i].dataType)).otherwise(own)
     return unpacked(rows, docs, **changed)
