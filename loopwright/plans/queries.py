@@ -8,11 +8,11 @@ from pyspark.sql import functions as F
 from loopwright.checkpoints import written
 from loopwright.functions import geo
 from loopwright.functions import text as T
-from loopwright.operators import edits, graph, neighbours, snap, solver, stats
+from loopwright.operators import edits, graph, neighbours, snap, solver, stats, walking
 from loopwright.plans import views as V
 from loopwright.plans.model import build_model
 from loopwright.plans.registry import ORACLE_SQL, registered, rounded
-from loopwright.schema import Config, Weights
+from loopwright.schema import NEIGHBORS, Config, Weights
 from loopwright.sinks import export
 from loopwright.sources import synthetic
 
@@ -287,6 +287,17 @@ def dist_house_pairs(spark, sf_dir):
     return _neighbourhoods(spark, sf_dir)[1].dist.select("i", "j", rounded(F.col("metres").cast("double"), 2).alias("metres"))
 
 
+@registered("""SELECT i::VARCHAR AS i, rank, round(metres::DOUBLE, 2) AS metres FROM (SELECT i, metres, row_number() OVER (PARTITION BY i ORDER BY metres, j::VARCHAR) AS rank FROM (
+    SELECT i, j, (CASE WHEN same AND beside THEN gap WHEN same THEN gap + 2 * off + 8
+      ELSE 2 * off + over + least(fa * sa + abs(ca - cb) * s + fb * sb, fa * sa + abs(ca - cb - 1) * s + (1 - fb) * sb, (1 - fa) * sa + abs(ca + 1 - cb) * s + fb * sb, (1 - fa) * sa + abs(ca - cb) * s + (1 - fb) * sb) END)::FLOAT AS metres FROM pairs WHERE i <> j)) WHERE rank <= 8""", _HOOD, _HOOD_PAIRS)
+def dist_nearest(spark, sf_dir):
+    """The eight nearest houses of every house by walking: a truncated search from all houses, no pairs of an area."""
+    g = V.neighbourhoods(spark, sf_dir)
+    e = written(graph.edges(g["nodes"], g["ways"]))
+    s = written(snap.snap(g["houses"], g["nodes"], e, e.select("area", "edge", F.lit(0).alias("segment"))))
+    return walking.nearest_houses(s, e, NEIGHBORS).select("i", F.col("rank").cast("bigint").alias("rank"), rounded(F.col("metres").cast("double"), 2).alias("metres"))
+
+
 _KNN = "knn AS (SELECT h, j, rank FROM (SELECT a.h, b.h AS j, row_number() OVER (PARTITION BY a.h ORDER BY sqrt((a.x - b.x) * (a.x - b.x) + (a.y - b.y) * (a.y - b.y)), b.h) AS rank FROM points a JOIN points b ON a.h <> b.h) WHERE rank <= 6)"
 
 
