@@ -2,10 +2,11 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loopwright.schema import MAX_HISTORY, UNASSIGNED
+from loopwright.operators import history
+from loopwright.schema import UNASSIGNED
 
 
 def visible(houses: DataFrame, removed: DataFrame) -> DataFrame:
@@ -66,25 +67,9 @@ def undone(log: DataFrame) -> DataFrame:
     """The edits of a log (area, seq, kind, ...) that hold after its undo and redo rows.
 
     kind 'edit' is an edit; 'undo' takes the last one that holds away, 'redo' brings the last undone one back; a new edit
-    clears what could be redone; at most 100 edits can be undone. The position in the history is a running state along
-    the log of an area, so an area's log is the unit of work.
+    clears what could be redone; at most 100 edits can be undone. See history for how a long log is worked through.
     """
-    steps = log.groupBy("area").agg(F.sort_array(F.collect_list(F.struct("seq", "kind"))).alias("steps"))
-    state = "struct<done:array<bigint>,gone:array<bigint>,fixed:bigint>"
-
-    def step(s: Column, e: Column) -> Column:
-        done, gone, none = s["done"], s["gone"], F.array().cast("array<bigint>")
-        can_undo = F.size(done) > s["fixed"]
-        undo = F.when(can_undo, F.struct(F.slice(done, 1, F.greatest(F.size(done) - 1, F.lit(0))).alias("done"), F.concat(gone, F.slice(done, -1, 1)).alias("gone"), s["fixed"].alias("fixed"))).otherwise(s)
-        redo = F.when(F.size(gone) > 0, F.struct(F.concat(done, F.slice(gone, -1, 1)).alias("done"), F.slice(gone, 1, F.greatest(F.size(gone) - 1, F.lit(0))).alias("gone"), s["fixed"].alias("fixed"))).otherwise(s)
-        grown = F.size(done) + 1
-        edit = F.struct(F.concat(done, F.array(e["seq"])).alias("done"), none.alias("gone"), F.greatest(s["fixed"], (grown - MAX_HISTORY).cast("bigint")).alias("fixed"))
-        return F.when(e["kind"] == "undo", undo).when(e["kind"] == "redo", redo).otherwise(edit)
-
-    none = F.array().cast("array<bigint>")
-    start = F.struct(none.alias("done"), none.alias("gone"), F.lit(0).cast("bigint").alias("fixed")).cast(state)
-    held = steps.select("area", F.explode(F.aggregate("steps", start, lambda s, e: step(s, e).cast(state))["done"]).alias("seq"))
-    return log.join(held, ["area", "seq"])
+    return log.join(history.held_edits(log), ["area", "seq"])
 
 
 def state_at(edits: DataFrame, keys: list[str], value: str) -> DataFrame:

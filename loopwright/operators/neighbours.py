@@ -5,51 +5,13 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loopwright.checkpoints import written
+from loopwright.operators import quadtree
 from loopwright.schema import COMPACT_K
 
 
 def nearest(points: DataFrame, k: int = COMPACT_K, others: DataFrame | None = None) -> DataFrame:
-    """area, h, j, d, rank: the k nearest others (area, h, x, y; else the points themselves) of each point, by distance, then by j.
-
-    Points are dealt into square cells, about k others in each on average, and meet those of the nine cells around them. Whoever has k others within a cell's
-    width is settled, for nobody outside is nearer; the rest go on with cells of twice the width, until a cell spans the area. So a
-    round costs what its unsettled points and nine cells hold, and no point meets its whole area unless that is as small.
-    """
-    others = points if others is None else others
-    spread = lambda df, *more: df.groupBy("area").agg(*[f(c).alias(f"{n}_{c}") for c in ("x", "y") for n, f in (("lo", F.min), ("hi", F.max))], *more)
-    ends = lambda p: F.greatest(F.col(f"{p}hi_x") - F.col(f"{p}lo_x"), F.col(f"{p}hi_y") - F.col(f"{p}lo_y"))
-    box = spread(others, F.count("*").alias("n"))
-    whole = spread(points.select("area", "x", "y").unionByName(others.select("area", "x", "y"))).select("area", (ends("") * 1.001 + 1e-9).alias("span"))
-    dense = F.sqrt((F.col("hi_x") - F.col("lo_x")) * (F.col("hi_y") - F.col("lo_y")) * k / F.col("n"))
-    cells = written(box.withColumn("cell", F.greatest(dense, ends("") * k / F.col("n"))).join(whole, "area").select("area", "span", F.when(F.col("cell") > 0, F.least("cell", "span")).otherwise(F.col("span")).alias("cell")))
-    todo, parts, level = points.select("area", "h", "x", "y"), [], 0
-    cell = lambda c: F.floor(F.col(c) / F.col("width"))
-    while True:
-        sized = cells.select("area", (F.col("cell") * float(2**level)).alias("width"), (F.col("cell") * float(2**level) >= F.col("span")).alias("last"))
-        here = todo.join(sized, "area")
-        around = here.withColumn("cx", F.explode(F.array(*[cell("x") + d for d in (-1, 0, 1)]))).withColumn("cy", F.explode(F.array(*[cell("y") + d for d in (-1, 0, 1)])))
-        celled = others.join(sized, "area").select("area", F.col("h").alias("j"), F.col("x").alias("xj"), F.col("y").alias("yj"), cell("x").alias("cx"), cell("y").alias("cy"))
-        near = _ranked(around.join(celled, ["area", "cx", "cy"]).where("h <> j"), k)
-        far = Window.partitionBy("area", "h")
-        judged = near.withColumn("settled", F.col("last") | ((F.count("*").over(far) == k) & (F.max("d").over(far) <= F.col("width"))))
-        part = written(judged.where("settled").select("area", "h", "j", "d", "rank"))
-        parts.append(part)
-        todo = written(here.where(~F.col("last")).select("area", "h", "x", "y").join(part.select("area", "h").distinct(), ["area", "h"], "left_anti"))
-        if todo.isEmpty():
-            break
-        level += 1
-    found = parts[0]
-    for part in parts[1:]:
-        found = found.unionByName(part)
-    return found
-
-
-def _ranked(pairs: DataFrame, k: int) -> DataFrame:
-    dx, dy = F.col("x") - F.col("xj"), F.col("y") - F.col("yj")
-    measured = pairs.select("area", "h", "j", F.sqrt(dx * dx + dy * dy).alias("d"), "width", "last")
-    rank = F.row_number().over(Window.partitionBy("area", "h").orderBy("d", "j"))
-    return measured.withColumn("rank", rank).where(F.col("rank") <= k)
+    """area, h, j, d, rank: the k nearest others (area, h, x, y; else the points themselves) of each point, by distance, then by j; see quadtree."""
+    return quadtree.nearest(points, k, others)
 
 
 def nearest_by_metres(dist: DataFrame, k: int) -> DataFrame:
