@@ -91,8 +91,20 @@ class Shard:
         self.word = _hashed(self.data, self.start, self.length, seeds[self.lang]) if len(self.start) else np.empty(0, np.uint64)
         self.linked = (self.piece[1:] == self.piece[:-1]) & (self.doc[1:] == self.doc[:-1])
 
-    def phrase(self, at: int, n: int) -> bytes:
-        return b" ".join(self.data[s : s + k].tobytes() for s, k in zip(self.start[at : at + n], self.length[at : at + n]))
+    def phrases(self, at: np.ndarray, n: int) -> pa.Array:
+        """The phrases of n words at these places, words joined by a space."""
+        if not n or not len(at):
+            return pa.array([""] * len(at), pa.string())
+        words = (at[:, None] + np.arange(n)).reshape(-1)
+        size = self.length[words] + 1
+        size[n - 1 :: n] -= 1  # no space behind the last word
+        end = np.cumsum(size)
+        index = np.repeat(self.start[words] - (end - size), size) + np.arange(end[-1])
+        out = self.data[np.minimum(index, len(self.data) - 1)]
+        spaces = np.delete(end, np.arange(n - 1, len(end), n)) - 1
+        out[spaces] = 0x20
+        offsets = np.concatenate([[0], end[n - 1 :: n]]).astype(np.int32)
+        return pa.StringArray.from_buffers(len(at), pa.py_buffer(offsets), pa.py_buffer(out))
 
 
 def hash_text(text: str) -> int:
@@ -208,13 +220,9 @@ def _shard(texts: list[np.ndarray], langs: list[str]) -> Shard:
 
 def _named(shard: Shard, parts: list[tuple[int, np.ndarray, np.ndarray]]) -> pa.RecordBatch:
     """lang, n, phrase, f of (words, places, counts)."""
-    langs, sizes, phrases, counts = [], [], [], []
-    for n, at, many in parts:
-        langs += [shard.langs[d] for d in shard.doc[at].tolist()]
-        sizes += [n] * len(at)
-        phrases += [b""] * len(at) if n == 0 else [shard.phrase(i, n) for i in at.tolist()]
-        counts.append(many)
-    return pa.RecordBatch.from_arrays([pa.array(langs, pa.string()), pa.array(sizes, pa.int32()), pa.array(phrases, pa.binary()).cast(pa.string()), pa.array(np.concatenate(counts) if counts else [], pa.int64())], names=["lang", "n", "phrase", "f"])
+    names = pa.array(shard.langs, pa.string())
+    columns = [(names.take(pa.array(shard.doc[at])), pa.array(np.full(len(at), n, np.int32)), shard.phrases(at, n), pa.array(many, pa.int64())) for n, at, many in parts]
+    return pa.RecordBatch.from_arrays([pa.concat_arrays(list(c)) for c in zip(*columns)], names=["lang", "n", "phrase", "f"])
 
 
 def _hash_counts(texts: DataFrame, shard_bytes: int, count: Callable[[Shard], Iterator[tuple[int, np.ndarray, np.ndarray]]], least: int) -> DataFrame:

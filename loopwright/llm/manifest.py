@@ -20,10 +20,11 @@ from __future__ import annotations
 
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loopwright.llm.common import chosen, drop, materialise, meet
+from loopwright.operators.numbering import placed
 
 #: Nodes that become one.
 GROUP = 16
@@ -55,18 +56,6 @@ def leaves(rows: DataFrame, every: int = 5) -> DataFrame:
     return rows.select("doc_id", "source", leaf(F.col("text")).alias("leaf"), F.when(hit, leaf(F.translate("text", _UPPER, _LOWER))).alias("tampered"))
 
 
-def placed(rows: DataFrame, by: list[str]) -> DataFrame:
-    """rows with `at`, their place from 0 in the order of `by` (nulls first, strings by bytes). rows must be a table: it is read twice."""
-    order = [F.col(c).asc_nulls_first() for c in by]
-    salted = rows.withColumn("_salt", F.monotonically_increasing_id())  # copies may lie in several ranges
-    ranged = materialise(salted.repartitionByRange(*order, "_salt").sortWithinPartitions(*order, "_salt").drop("_salt").withColumn("_id", F.monotonically_increasing_id()))
-    part = F.shiftright("_id", 33)
-    counts = ranged.groupBy(part.alias("_part")).agg(F.count("*").alias("n"))
-    before = counts.select(F.col("_part").alias("_p"), (F.sum("n").over(Window.orderBy("_part")) - F.col("n")).alias("_before"))
-    at = F.col("_before") + F.col("_id").bitwiseAND(F.lit((1 << 33) - 1))
-    return ranged.join(F.broadcast(before), part == F.col("_p")).withColumn("at", at).drop("_id", "_p", "_before")
-
-
 def _height(n: Column) -> Column:
     """Levels above the leaves of a tree of n leaves; n is below GROUP ** 13, so that places are exact as doubles."""
     return sum((F.when(n > GROUP**k, 1).otherwise(0) for k in range(13)), F.lit(0))
@@ -161,4 +150,4 @@ def manifest(docs: DataFrame, every: int = 5, **columns: str) -> DataFrame:
     return folded.select("doc_id", "leaf", "subroot", "root", "proof_sha256", "folded_root", (F.col("folded_root") == F.col("root")).alias("verified"), "proof")
 
 
-__all__ = ["COLUMNS", "GROUP", "digest", "encoded", "leaves", "manifest", "placed"]
+__all__ = ["COLUMNS", "GROUP", "digest", "encoded", "leaves", "manifest"]

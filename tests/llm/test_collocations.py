@@ -81,7 +81,8 @@ def test_words_of_a_shard_and_their_hashes():
     texts = ["A b", "c", ".d e.f\tg ", "a B", "longer-than-eight-bytes-word longer-than-eight-bytes-wore"]
     data = [np.frombuffer(t.encode(), np.uint8) for t in texts]
     shard = C._shard(data, ["en", "en", "de", "en", "en"])
-    assert [shard.phrase(i, 1) for i in range(len(shard.start))] == [b"a", b"b", b"c", b"d", b"e", b"f", b"g", b"a", b"b", b"longer-than-eight-bytes-word", b"longer-than-eight-bytes-wore"]
+    assert [x.encode() for x in shard.phrases(np.arange(len(shard.start)), 1).to_pylist()] == [b"a", b"b", b"c", b"d", b"e", b"f", b"g", b"a", b"b", b"longer-than-eight-bytes-word", b"longer-than-eight-bytes-wore"]
+    assert shard.phrases(np.array([0, 3]), 2).to_pylist() == ["a b", "d e"] and shard.phrases(np.array([], int), 3).to_pylist() == []
     assert shard.linked.tolist() == [True, False, False, True, False, True, False, True, False, True]
     assert shard.word[0] == shard.word[7] and len(set(shard.word.tolist())) == 9
 
