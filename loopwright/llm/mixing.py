@@ -200,18 +200,25 @@ def _passes(rows: DataFrame, by_source: DataFrame) -> DataFrame:
     return plain.unionByName(numbered.select(plain.columns))
 
 
-def mix(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), share: float = 1.0, repeats: int = 3, seed: int = 0, rows_per_bucket: int = ROWS_PER_BUCKET) -> tuple[DataFrame, DataFrame]:
-    """Two tables: doc_id, size, source_size, target, passes, taken of each document; and the mix itself,
-    each document as often as it is taken, with the columns of `docs`.
-    """
+def _keyed(rows: DataFrame, seed: int, *more: str) -> DataFrame:
+    """source, size, order, slice of rows; a slice is what one task reads: a fixed share of a table's rows."""
+    texts = rows.select(*more, "doc_id", "source", text_or_empty().alias("text"))
+    return texts.select(*more, "doc_id", "source", word_count(F.col("text")).alias("size"), _order(seed).alias("order"), F.spark_partition_id().alias("slice"))
+
+
+def _report(slim: DataFrame, by_source: DataFrame) -> DataFrame:
+    return _passes(slim, by_source).select("doc_id", "size", "source_size", "target", "passes", (F.col("passes") * F.col("size")).alias("taken"))
 
-    def keyed(rows: DataFrame, *more: str) -> DataFrame:
-        # a slice is what one task reads: a fixed share of a table's rows
-        texts = rows.select(*more, "doc_id", "source", text_or_empty().alias("text"))
-        return texts.select(*more, "doc_id", "source", word_count(F.col("text")).alias("size"), _order(seed).alias("order"), F.spark_partition_id().alias("slice"))
 
-    slim = materialise(keyed(chosen(docs, doc_id="doc_id", source="source", text="text")))
+def report(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), share: float = 1.0, repeats: int = 3, seed: int = 0, rows_per_bucket: int = ROWS_PER_BUCKET) -> DataFrame:
+    """doc_id, size, source_size, target, passes, taken of each document. Texts are read once."""
+    slim = materialise(_keyed(chosen(docs, doc_id="doc_id", source="source", text="text"), seed))
+    return _report(slim, shares(slim, weights, share, repeats, rows_per_bucket))
+
+
+def mix(docs: DataFrame, weights: tuple[float, ...] = (1.0, 2.0, 3.0), share: float = 1.0, repeats: int = 3, seed: int = 0, rows_per_bucket: int = ROWS_PER_BUCKET) -> tuple[DataFrame, DataFrame]:
+    """The report, and the mix itself: each document as often as it is taken, with the columns of `docs`."""
+    slim = materialise(_keyed(chosen(docs, doc_id="doc_id", source="source", text="text"), seed))
     by_source = shares(slim, weights, share, repeats, rows_per_bucket)
-    report = _passes(slim, by_source).select("doc_id", "size", "source_size", "target", "passes", (F.col("passes") * F.col("size")).alias("taken"))
-    mixed = _passes(keyed(with_row(docs, doc_id="doc_id", source="source", text="text"), "row"), by_source).where("passes > 0")
-    return report, unpacked(mixed.select("row", F.explode(F.sequence(F.lit(1), F.col("passes")))), docs)
+    mixed = _passes(_keyed(with_row(docs, doc_id="doc_id", source="source", text="text"), seed, "row"), by_source).where("passes > 0")
+    return _report(slim, by_source), unpacked(mixed.select("row", F.explode(F.sequence(F.lit(1), F.col("passes")))), docs)

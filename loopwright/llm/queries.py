@@ -55,8 +55,7 @@ def op5_suffixes(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
-    report, _ = mixing.mix(table(spark, sf_dir, "documents"))
-    return report.select("doc_id", "size", "source_size", "target", "taken")
+    return mixing.report(table(spark, sf_dir, "documents")).select("doc_id", "size", "source_size", "target", "taken")
 
 
 def op7_ranking(spark: SparkSession, sf_dir: str) -> DataFrame:

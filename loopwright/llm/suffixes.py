@@ -177,7 +177,7 @@ def _second_digits(texts: DataFrame, length: int) -> DataFrame:
                 # windows that begin `half` bytes and more before the anchor, then the nearer ones
                 far = np.clip(a - half + 1, 0, n)
                 for on, begin, many, place, depth, side in ((far > 0, s, far, s + a - half, GRAM + half, 1), (far < n, s + far, n - far, s + a, length - half, 2)):
-                    digit = _mix(_joined(h, place[on] - low, depth, depth) + _U(side) * _K)
+                    digit = _mix(_joined(h, place[on] - low, depth, depth) + _U(side * int(_K) % (1 << 64)))
                     for column, value in zip(out, (np.full(int(on.sum()), i), begin[on], many[on], word[on], alone[on], digit.view(np.int64))):
                         column.append(value)
             of, start, n, word, alone, digit = (np.concatenate(x) if x else np.empty(0, np.int64) for x in out)
