@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from loopwright.checkpoints import written
 from loopwright.functions import geo
 from loopwright.functions import text as T
-from loopwright.operators import edits, graph, neighbours, snap, solver, stats, walking
+from loopwright.operators import chains, edits, graph, neighbours, snap, solver, stats, walking
 from loopwright.plans import views as V
 from loopwright.plans.model import build_model
 from loopwright.plans.registry import ORACLE_SQL, registered, rounded
@@ -203,6 +203,21 @@ def graph_segments(spark, sf_dir):
     return graph.segments(e).join(e.select("area", "edge", "a", "b"), ["area", "edge"]).select("a", "b", F.col("segment").cast("bigint").alias("segment"), "key")
 
 
+@registered("""SELECT a, b, place, round(start_m, 4) + 0 AS start_m, a_first FROM (
+    WITH RECURSIVE starts AS (SELECT block, label, min(node) FILTER (n <> 2) AS node FROM ends GROUP BY block, label),
+    walk AS (
+      SELECT e.block, l.label, e.edge, e.a, e.b, e.length, CASE WHEN e.a = s.node THEN e.b ELSE e.a END AS node, 0::BIGINT AS place, 0::DOUBLE AS start_m, e.a = s.node AS a_first
+      FROM starts s JOIN l9 l ON l.block = s.block AND l.label = s.label JOIN numbered e ON e.block = l.block AND e.edge = l.edge WHERE s.node IN (e.a, e.b)
+      UNION ALL
+      SELECT e.block, w.label, e.edge, e.a, e.b, e.length, CASE WHEN e.a = w.node THEN e.b ELSE e.a END, w.place + 1, w.start_m + w.length, e.a = w.node
+      FROM walk w JOIN l9 l ON l.block = w.block AND l.label = w.label JOIN numbered e ON e.block = l.block AND e.edge = l.edge WHERE w.node IN (e.a, e.b) AND e.edge <> w.edge)
+    SELECT * FROM walk)""", V.NODES_SQL, V.EDGES_SQL, *_CHAINS)
+def graph_along(spark, sf_dir):
+    """Where each edge lies in its chain: its place, the metres before it, and which way it is walked."""
+    e = written(_block_edges(spark, sf_dir))
+    return chains.along(e, written(graph.segments(e))).join(e.select("area", "edge", "a", "b"), ["area", "edge"]).select("a", "b", "place", rounded("start_m").alias("start_m"), "a_first")
+
+
 def _first_nodes(spark, sf_dir):
     return V.nodes(spark, sf_dir, blocks=True).groupBy("area").agg(F.min("node_id").alias("source"))
 
