@@ -2,16 +2,21 @@
 
 from __future__ import annotations
 
+import atexit
+import json
+import uuid
+
+from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from loopwright.checkpoints import written
+from loopwright.checkpoints import remove, shared_dir, written
 from loopwright.functions import text as T
-from loopwright.operators import edits, stats
+from loopwright.operators import edits, graph, stats
 from loopwright.plans import views as V
-from loopwright.plans.registry import registered, rounded
+from loopwright.plans.registry import ORACLE_SQL, registered, rounded
 from loopwright.schema import ELEMENTS, FEATURES
-from loopwright.sinks import export
-from loopwright.sources import elements, houses, project
+from loopwright.sinks import export, stoplists
+from loopwright.sources import elements, houses, project, remote
 
 
 def _json(df, name: str, kind: str, items):
@@ -66,12 +71,19 @@ def build_houses(spark, sf_dir):
     return houses.build_houses(buildings, nodes).select("area", "house_id", "label", "flagged")
 
 
-_PARCELS = "parcels AS (SELECT *, (l_partkey % 20)::VARCHAR AS area, l_partkey || '-' || l_suppkey AS pin FROM lineitem WHERE l_returnflag <> 'A' AND l_linenumber <> 2)"
+#: Areas of parcels by part, so that an area holds as many lines at any scale.
+PARTS = 100
+_PARCELS = f"parcels AS (SELECT *, (l_partkey // {PARTS})::VARCHAR AS area, l_partkey || '-' || l_suppkey AS pin FROM lineitem WHERE l_returnflag <> 'A' AND l_linenumber <> 2)"
 
 
 @registered("SELECT area, 'k' || pin AS house_id, l_linenumber || ' N River St' AS label, 'N River St' AS street, round(41 + l_orderkey * 1e-6::DOUBLE + 5e-5::DOUBLE, 6) AS lat FROM (SELECT *, row_number() OVER (PARTITION BY area, pin ORDER BY l_orderkey, l_linenumber) AS k FROM parcels) WHERE k = 1", _PARCELS)
 def parse_parcels(spark, sf_dir):
     """Lines of orders as parcels, by part and supplier: other uses and blank addresses drop out, and the first of each PIN that is left wins."""
+    got = houses.parse_parcels(_json(_parcel_lines(spark, sf_dir), "features", FEATURES, F.col("x")))
+    return got.select("area", "house_id", "label", "street", rounded("lat", 6).alias("lat"))
+
+
+def _parcel_lines(spark, sf_dir):
     o, n = F.col("l_orderkey"), F.col("l_linenumber")
     lat = 41 + o * 1e-6
     ring = F.array(*[F.array(F.lit(-88.3) + x * 1e-4, lat + y * 1e-4) for x, y in ((0, 0), (1, 0), (1, 1), (0, 1), (0, 0))])
@@ -79,9 +91,52 @@ def parse_parcels(spark, sf_dir):
         F.struct(F.concat_ws("-", "l_partkey", "l_suppkey").alias("PIN"), F.when(n == 2, F.lit(" ")).otherwise(F.concat(n.cast("string"), F.lit(" N RIVER ST"))).alias("SiteAddress"), F.when(F.col("l_returnflag") == "A", F.lit("Farm")).otherwise(F.lit(houses.RESIDENTIAL)).alias("UseCodeDescription")).alias("attributes"),
         F.struct(F.array(ring).alias("rings")).alias("geometry"),
     )
-    lines = V.table(spark, sf_dir, "lineitem").select((F.col("l_partkey") % 20).cast("string").alias("area"), F.struct(o, n).alias("ord"), feature.alias("x"))
-    got = houses.parse_parcels(_json(lines, "features", FEATURES, F.col("x")))
-    return got.select("area", "house_id", "label", "street", rounded("lat", 6).alias("lat"))
+    return V.table(spark, sf_dir, "lineitem").select(F.floor(F.col("l_partkey") / PARTS).cast("string").alias("area"), F.struct(o, n).alias("ord"), feature.alias("x"))
+
+
+def _folder(spark) -> str:
+    path = f"{shared_dir(spark)}/loopwright/{uuid.uuid4().hex}"
+    atexit.register(remove, spark, path)
+    return path
+
+
+@registered("SELECT a, b, street, CASE WHEN a // 40 % 3 = 0 THEN 1 WHEN a // 40 % 3 = 1 THEN 2 ELSE 0 END::INTEGER AS source FROM edges", V.NODES_SQL, V.EDGES_SQL)
+def source_fallback(spark, sf_dir):
+    """The streets of each block as map bodies at three mirrors: the first fails softly for one block of three and gives rubbish for another, the second is empty for that one."""
+    nodes = V.nodes(spark, sf_dir, blocks=True).select("area", F.struct(F.lit(0).alias("kind"), F.col("ord").alias("n")).alias("ord"), _element("node", F.col("node_id"), F.col("lat"), F.col("lon")).alias("x"))
+    ways = V.ways(spark, sf_dir, blocks=True).select("area", F.struct(F.lit(1).alias("kind"), F.col("way_ord").alias("n")).alias("ord"), _element("way", F.col("way_id"), nodes=F.col("nodes"), tags=_tags(highway=F.col("highway"), name=F.col("name"))).alias("x"))
+    in_order = F.transform(F.sort_array(F.collect_list(F.struct("ord", F.to_json("x").alias("j")))), lambda e: e["j"])
+    good = written(nodes.unionByName(ways).groupBy("area").agg(F.concat(F.lit('{"elements": ['), F.array_join(in_order, ", "), F.lit("]}")).alias("value")))
+    kind = F.col("area").cast("bigint") % 3
+    soft, empty, rubbish = F.lit('{"remark": "runtime error: Query timed out", "elements": []}'), F.lit('{"elements": []}'), F.lit("<html>busy</html>")
+    answers = [F.when(kind == 0, soft).when(kind == 1, rubbish).otherwise(F.col("value")), F.when(kind == 1, empty).otherwise(F.col("value")), F.col("value")]
+    folders = [_folder(spark) for _ in answers]
+    for folder, answer in zip(folders, answers):
+        good.select("area", answer.alias("value")).repartition("area").write.partitionBy("area").text(folder)
+    spark.dataSource.register(remote.Bodies)
+    bodies = written(spark.read.format("map_bodies").option("sources", json.dumps(folders)).load())
+    parsed = elements.parse_elements(bodies)
+    return graph.edges(parsed["nodes"], parsed["ways"]).join(bodies.select("area", "source"), "area").select("a", "b", "street", "source")
+
+
+@registered("SELECT area, 'k' || pin AS house_id, l_linenumber || ' N River St' AS label, CASE WHEN area::INTEGER % 2 = 0 THEN 1 ELSE 0 END AS source FROM (SELECT *, row_number() OVER (PARTITION BY area, pin ORDER BY l_orderkey, l_linenumber) AS k FROM parcels) WHERE k = 1", _PARCELS)
+def source_pages(spark, sf_dir):
+    """Lines of orders as pages of parcels, a thousand a page; the first server fails for every other area. Pages behind the last one by its own word aren't read."""
+    turn = F.row_number().over(Window.partitionBy("area").orderBy("ord")) - 1
+    total = F.count("*").over(Window.partitionBy("area"))
+    lines_ = _parcel_lines(spark, sf_dir).withColumn("offset", (F.floor(turn / 1000) * 1000).cast("bigint")).withColumn("n", total)
+    in_order = F.transform(F.sort_array(F.collect_list(F.struct("ord", F.to_json("x").alias("j")))), lambda e: e["j"])
+    pages = lines_.groupBy("area", "offset", "n").agg(F.concat(F.lit('{"features": ['), F.array_join(in_order, ", "), F.lit('], "exceededTransferLimit": '), (F.col("offset") + 1000 < F.col("n")).cast("string"), F.lit("}")).alias("value"))
+    behind = pages.groupBy("area").agg((F.max("offset") + 1000).alias("offset"), F.first("n").alias("n")).withColumn("value", F.lit('{"features": [{"attributes": {"PIN": 1, "SiteAddress": "1 Never Read", "UseCodeDescription": "Residential Improved Lot"}, "geometry": {"rings": []}}]}'))
+    pages = written(pages.unionByName(behind).select("area", "offset", "value"))
+    error = F.when(F.col("area").cast("bigint") % 2 == 0, F.lit('{"error": {"message": "try again"}}')).otherwise(F.col("value"))
+    folders = [_folder(spark), _folder(spark)]
+    for folder, answer in zip(folders, (error, F.col("value"))):
+        pages.select("area", "offset", answer.alias("value")).repartition("area", "offset").write.partitionBy("area", "offset").text(folder)
+    spark.dataSource.register(remote.Pages)
+    read = written(spark.read.format("parcel_pages").option("sources", json.dumps(folders)).load())
+    got = houses.parse_parcels(houses.all_pages(read))
+    return got.join(read.groupBy("area").agg(F.min("source").alias("source")), "area").select("area", "house_id", "label", "source")
 
 
 @registered("""SELECT k::VARCHAR AS area, CASE WHEN k % 10 = 0 THEN 'Unsupported project version 2' WHEN k % 10 = 1 THEN 'houses[0] needs string id, label and street' WHEN k % 10 = 2 THEN 'assignment["' || k || '"] must be an integer' END AS error,
@@ -113,13 +168,23 @@ def project_round_trip(spark, sf_dir):
   FROM (SELECT *, row_number() OVER (PARTITION BY area, g ORDER BY house_id) AS turn, CASE house_id % 4 WHEN 0 THEN '''=' || house_id || ' Oak, rear' WHEN 1 THEN '-' || house_id WHEN 2 THEN house_id || ' Oak, rear' ELSE label END AS safe FROM houses) GROUP BY area""", V.HOUSES_SQL)
 def export_csv(spark, sf_dir):
     """Stop lists as CSV text: fields with commas are quoted, formulas are made harmless, numbers aren't."""
+    return export.csv_lines(_stop_rows(spark, sf_dir))
+
+
+def _stop_rows(spark, sf_dir):
     h = V.houses(spark, sf_dir)
     k = F.col("house_id")
     address = F.when(k % 4 == 0, F.concat(F.lit("="), k.cast("string"), F.lit(" Oak, rear"))).when(k % 4 == 1, F.concat(F.lit("-"), k.cast("string"))).when(k % 4 == 2, F.concat(k.cast("string"), F.lit(" Oak, rear"))).otherwise(F.col("label"))
-    tours = h.groupBy("area", "g").agg(F.sort_array(F.collect_list("house_id")).alias("order"))
-    stops = tours.select("area", "g", F.posexplode("order").alias("pos", "house_id")).join(h.drop("g", "area"), "house_id")
-    rows = stops.select("area", (F.col("g") + 1).alias("group"), (F.col("pos") + 1).alias("order"), address.alias("address"), (k + 0.5).alias("lat"), (-(F.col("g") + 0.25)).alias("lon"))
-    return export.csv_lines(rows)
+    turn = F.row_number().over(Window.partitionBy("area", "g").orderBy("house_id"))
+    return h.select("area", (F.col("g") + 1).alias("group"), turn.alias("order"), address.alias("address"), (k + 0.5).alias("lat"), (-(F.col("g") + 0.25)).alias("lon"))
+
+
+@registered("SELECT area, unnest(str_split(rtrim(csv, chr(13) || chr(10)), chr(13) || chr(10))) AS line FROM (" + ORACLE_SQL["export_csv"].removeprefix(f"WITH {V.HOUSES_SQL} ") + ")", V.HOUSES_SQL)
+def export_files(spark, sf_dir):
+    """The same stop lists as files, written by the sink and read again line by line."""
+    folder = _folder(spark)
+    stoplists.write_stop_lists(_stop_rows(spark, sf_dir), folder)
+    return spark.read.option("lineSep", stoplists.END).text(folder).select("area", F.col("value").alias("line"))
 
 
 @registered("""SELECT o_custkey::VARCHAR AS area, o_orderkey AS seq FROM (
