@@ -100,13 +100,15 @@ def _reached(pairs: DataFrame, k: int) -> DataFrame:
     far = _length(_stretch("p_", "q_", "x"), _stretch("p_", "q_", "y"))
     near = _length(_gap("p_", "q_", "x"), _gap("p_", "q_", "y"))
     own = Window.partitionBy("p_area", "p_id", "p_x", "p_y")
-    met = pairs.drop("open").withColumn("near", near).where(F.col("near") <= F.col("reach")).withColumn("far", far)
-    summed = met.withColumn("sure", F.sum("q_n").over(own.orderBy("far", "q_id")))
-    reach = F.min(F.when(F.col("sure") > k, F.col("far"))).over(own)
-    judged = summed.withColumn("new", F.least("reach", _slack(F.coalesce(reach, F.lit(float("inf")))))).where(F.col("near") <= F.col("new"))
-    return judged.withColumn("open", F.max(~F.col("q_is_leaf")).over(own)).withColumn("reach", F.col("new")).drop("near", "far", "sure", "new")
+    kept = [c for c in pairs.columns if c not in ("open", "reach")]
+    met = pairs.select(*kept, "reach", near.alias("near"), far.alias("far")).where("near <= reach")
+    summed = met.select("*", F.sum("q_n").over(own.orderBy("far", "q_id")).alias("sure"))
+    sure = F.min(F.when(F.col("sure") > k, F.col("far"))).over(own)
+    judged = summed.select(*kept, "near", F.least("reach", _slack(F.coalesce(sure, F.lit(float("inf"))))).alias("reach")).where("near <= reach")
+    return judged.select(*kept, "reach", F.max(~F.col("q_is_leaf")).over(own).alias("open"))
 
 
+_PARTS = "array<struct<id:bigint,is_leaf:boolean,n:bigint,x:double,y:double,w:double>>"
 _SIDE = ("area", "id", "is_leaf", "x", "y", "w")
 
 
@@ -117,21 +119,22 @@ def _parts(tree: DataFrame, own: Column) -> DataFrame:
 
 def _pairs(tree: DataFrame, dealt: DataFrame, depth: int, k: int) -> DataFrame:
     """p_*, q_*: leaves with somebody who asks, or single places of them (p_w is 0), and the leaves that may hold some of the k nearest."""
-    roots = tree.where("level = 0")
+    # the first boxes, at most 16 an area, all meet
+    first = tree.where((F.col("level") == STEP) | ((F.col("level") == 0) & F.col("is_leaf")))
     named = lambda p: [F.col(c).alias(f"{p}{c}") for c in _SIDE]
-    pairs = roots.where("asks").select(*named("p_"), F.col("e").alias("p_e")).join(roots.where("n > 0").select(*named("q_"), F.col("n").alias("q_n")), F.col("p_area") == F.col("q_area"))
-    pairs = pairs.withColumn("reach", F.lit(float("inf"))).withColumn("open", ~F.col("q_is_leaf"))
+    pairs = first.where("asks").select(*named("p_"), F.col("e").alias("p_e")).join(first.where("n > 0").select(*named("q_"), F.col("n").alias("q_n")), F.col("p_area") == F.col("q_area"))
+    pairs = _reached(pairs.select("*", F.lit(float("inf")).alias("reach"), F.lit(True).alias("open")), k)
     place = F.struct(F.col("leaf").alias("id"), F.lit(True).alias("is_leaf"), F.lit(0).cast("bigint").alias("n"), "x", "y", F.lit(0.0).alias("w"))
     before = None
 
     def fallen(rows: DataFrame, parts: DataFrame, p: str, which: Column) -> DataFrame:
         """Rows whose box of the side p falls into parts, one a part; the others stay."""
         own = F.struct(*[F.col(f"{p}{c}").alias(c) if c != "n" or p == "q_" else F.lit(0).cast("bigint").alias("n") for c in ("id", "is_leaf", "n", "x", "y", "w")])
-        met = rows.join(parts, which & (F.col(f"{p}area") == F.col("a")) & (F.col(f"{p}id") == F.col("u")), "left").withColumn("part", F.explode(F.when(which, F.coalesce("parts", F.array().cast(parts.schema["parts"].dataType))).otherwise(F.array(own))))
+        met = rows.join(parts, which & (F.col(f"{p}area") == F.col("a")) & (F.col(f"{p}id") == F.col("u")), "left").select(*rows.columns, F.explode(F.when(which, F.coalesce("parts", F.array().cast(_PARTS))).otherwise(F.array(own))).alias("part"))
         new = {f"{p}{c}": F.col(f"part.{c}") for c in ("id", "is_leaf", "x", "y", "w")} | ({"q_n": F.col("part.n")} if p == "q_" else {})
         return met.select(*[new.get(c, F.col(c)).alias(c) for c in rows.columns])
 
-    for level in range(0, depth, STEP):
+    for level in range(STEP, depth, STEP):
         # wide leaves beside boxes that can be cut fall into their places: leaves of this depth, for those before have fallen; then boxes are cut
         single = dealt.where(F.col("asked") & (F.shiftright("leaf", 2 * DEPTH) == level)).groupBy(F.col("area").alias("a"), F.col("leaf").alias("u")).agg(F.collect_list(place).alias("parts"))
         below = tree.where(F.col("level") == level + STEP)
