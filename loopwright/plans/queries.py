@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from loopwright.checkpoints import written
 from loopwright.functions import geo
 from loopwright.functions import text as T
-from loopwright.operators import chains, edits, graph, neighbours, snap, solver, stats, walking
+from loopwright.operators import chains, edits, graph, hubs, neighbours, snap, solver, stats, walking
 from loopwright.plans import views as V
 from loopwright.plans.model import build_model
 from loopwright.plans.registry import ORACLE_SQL, registered, rounded
@@ -240,6 +240,17 @@ def graph_dijkstra(spark, sf_dir):
     return graph.dijkstra(_block_edges(spark, sf_dir), _first_nodes(spark, sf_dir)).select("node", rounded("metres", 3).alias("metres"))
 
 
+@registered(ORACLE_SQL["graph_shortest_path"])
+def graph_hub_distance(spark, sf_dir):
+    """From the first node of each block to all within reach, by hub labels of all nodes."""
+    labels = hubs.hub_labels(_block_edges(spark, sf_dir))
+    nodes, first = V.nodes(spark, sf_dir, blocks=True), _first_nodes(spark, sf_dir)
+    pairs = nodes.join(first, "area").select("area", F.col("source").alias("a"), F.col("node_id").alias("b"))
+    alone = first.select(F.col("source").alias("node"), F.lit(0.0).alias("metres"))
+    told = hubs.distances(labels, pairs.where("a <> b")).select(F.col("b").alias("node"), rounded("metres", 3).alias("metres"))
+    return told.unionByName(alone)
+
+
 @registered(ORACLE_SQL["graph_shortest_path"])
 def graph_path(spark, sf_dir):
     """Paths from the first node of each block to all nodes within reach: the lengths of their edges add up to the shortest distance."""
