@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from loopwright.checkpoints import written
 from loopwright.functions import geo
 from loopwright.functions import text as T
-from loopwright.operators import chains, edits, graph, hubs, neighbours, snap, solver, stats, walking
+from loopwright.operators import chains, cover, edits, graph, hubs, neighbours, snap, solver, stats, walking
 from loopwright.plans import views as V
 from loopwright.plans.model import build_model
 from loopwright.plans.registry import ORACLE_SQL, registered, rounded
@@ -46,6 +46,19 @@ def geo_point_in_ring(spark, sf_dir):
     return V.houses(spark, sf_dir).select("house_id", geo.point_in_ring(F.col("lat") + 3e-5, F.col("lon") + 3e-5, _square()).alias("inside"))
 
 
+@registered("""SELECT o_orderkey AS pid, s_suppkey AS rid FROM (SELECT o_orderkey, 40 + o_orderkey * 7919 % 10007 * 1e-3::DOUBLE AS lat, -90 + o_orderkey * 104729 % 10009 * 1e-3::DOUBLE AS lon FROM orders)
+  JOIN (SELECT s_suppkey, 40 + s_suppkey * 37 % 101 * 0.1::DOUBLE + 5e-5::DOUBLE AS y, -90 + s_suppkey * 53 % 103 * 0.1::DOUBLE + 5e-5::DOUBLE AS x, (s_suppkey % 7 + 1) * 0.1003::DOUBLE + 3.3e-5::DOUBLE AS r FROM supplier) ON abs(lat - y) + abs(lon - x) < r""")
+def geo_points_in_rings(spark, sf_dir):
+    """Orders as points in overlapping rings, one a supplier: squares on a corner."""
+    k = F.col("o_orderkey")
+    points = V.table(spark, sf_dir, "orders").select(k.alias("pid"), (40 + k * 7919 % 10007 * 1e-3).alias("lat"), (-90 + k * 104729 % 10009 * 1e-3).alias("lon"))
+    s = F.col("s_suppkey")
+    y, x, r = 40 + s * 37 % 101 * 0.1 + 5e-5, -90 + s * 53 % 103 * 0.1 + 5e-5, (s % 7 + 1) * 0.1003 + 3.3e-5
+    corner = lambda dy, dx: F.struct((y + r * dy).alias("lat"), (x + r * dx).alias("lon"))
+    rings = V.table(spark, sf_dir, "supplier").select(s.alias("rid"), F.array(corner(-1, 0), corner(0, 1), corner(1, 0), corner(0, -1)).alias("ring"))
+    return cover.points_in_rings(points, rings)
+
+
 @registered("SELECT area, g, round(avg(lat), 6) AS lat, round(avg(lon), 6) AS lon FROM houses GROUP BY area, g", V.HOUSES_SQL)
 def geo_ring_centroid(spark, sf_dir):
     rings = V.houses(spark, sf_dir).groupBy("area", "g").agg(F.collect_list(F.struct("lat", "lon")).alias("ring"))
