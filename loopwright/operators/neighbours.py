@@ -20,6 +20,14 @@ def nearest_by_metres(dist: DataFrame, k: int) -> DataFrame:
     return dist.where("i <> j").withColumn("rank", rank).where(F.col("rank") <= k).select("area", "i", "j", "rank")
 
 
+def segment_mates(placed: DataFrame, dist: DataFrame) -> DataFrame:
+    """area, i, j, rank: the other houses of a house's segment (area, house_id, segment) by walking distance (area, i, j, metres), then by j."""
+    side = lambda h, s: placed.select("area", F.col("house_id").alias(h), F.col("segment").alias(s))
+    met = dist.where("i <> j").join(side("i", "si"), ["area", "i"]).join(side("j", "sj"), ["area", "j"]).where("si = sj")
+    rank = F.row_number().over(Window.partitionBy("area", "i").orderBy("metres", "j"))
+    return met.select("area", "i", "j", "metres", rank.alias("rank"))
+
+
 def cut_links(links: DataFrame, assignment: DataFrame) -> DataFrame:
     """area, links, cut: directed links (area, h, j) and those between two groups (area, h, g)."""
     met = _grouped(links, assignment)

@@ -115,6 +115,29 @@ def hull_overlap(points: DataFrame, hulls: DataFrame) -> DataFrame:
     return points.select("area").distinct().join(sums, "area", "left").select("area", F.coalesce("overlap", F.lit(0.0)).alias("overlap"))
 
 
+def centroids(points: DataFrame) -> DataFrame:
+    """area, g, x, y: the mean of each group's points (area, g, x, y)."""
+    return points.groupBy("area", "g").agg(F.avg("x").alias("x"), F.avg("y").alias("y"))
+
+
+def regrets(points: DataFrame, centres: DataFrame) -> DataFrame:
+    """area, h, nearest, regret: each point's nearest centre (the least of equal ones) and how much farther the next one is; null where there is one centre only.
+
+    An area's centres are an array of one row, which meets all points of the area.
+    """
+    listed = centres.groupBy("area").agg(F.collect_list(F.struct("g", "x", "y")).alias("centres"))
+    own = points.select("area", "h", F.col("x").alias("px"), F.col("y").alias("py")).join(listed, "area")
+    far = F.array_sort(F.transform("centres", lambda c: F.struct(F.sqrt((F.col("px") - c["x"]) * (F.col("px") - c["x"]) + (F.col("py") - c["y"]) * (F.col("py") - c["y"])).alias("d"), c["g"].alias("g"))))
+    return own.select("area", "h", far.alias("far")).select("area", "h", F.col("far")[0]["g"].alias("nearest"), (F.get("far", F.lit(1))["d"] - F.col("far")[0]["d"]).alias("regret"))
+
+
+def valid_start(houses: DataFrame, assignment: DataFrame, groups: int) -> DataFrame:
+    """area, valid: whether an assignment (area, h, g) can start a solve: every house of the area (area, h) has a group in range, and every group a house."""
+    met = houses.select("area", "h").join(assignment.select("area", "h", "g"), ["area", "h"], "left")
+    good = F.bool_and(F.coalesce(F.col("g").between(0, groups - 1), F.lit(False)))
+    return met.groupBy("area").agg((good & (F.count_distinct("g") == groups)).alias("valid"))
+
+
 def warnings(houses: DataFrame, cut_off: DataFrame) -> DataFrame:
     """area, flagged, disconnected: counts to warn of."""
     lost = cut_off.groupBy("area").agg(F.count("*").alias("disconnected"))

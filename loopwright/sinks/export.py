@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from loopwright.functions import text as T
@@ -70,6 +70,13 @@ def overview(stats: DataFrame) -> DataFrame:
     return stats.select("area", "g", F.concat(F.lit("Group "), (F.col("g") + 1).cast("string")).alias("name"), "houses", T.format_distance(F.col("length")).alias("loop"), F.concat(F.floor(F.col("minutes") + 0.5).cast("string"), F.lit(" min")).alias("time"), colour(F.col("g")).alias("colour"), off.alias("off"))
 
 
+def stop_table(legs: DataFrame) -> DataFrame:
+    """area, g, name, colour, stop (from 1), leg, walked: a group's page: its numbered stops, the way to the next one (from the last to the first) and the way so far, of legs (area, g, pos, metres)."""
+    upto = F.sum("metres").over(Window.partitionBy("area", "g").orderBy("pos"))
+    name = F.concat(F.lit("Group "), (F.col("g") + 1).cast("string"))
+    return legs.select("area", "g", name.alias("name"), colour(F.col("g")).alias("colour"), (F.col("pos") + 1).alias("stop"), T.format_distance(F.col("metres")).alias("leg"), T.format_distance(upto).alias("walked"))
+
+
 def leg_polylines(legs: DataFrame) -> DataFrame:
     """Adds `line`, the points of each leg: beside the road, across it, or along it, and straight where there is no way.
 
