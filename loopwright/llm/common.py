@@ -2,7 +2,8 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -19,6 +20,18 @@ SPACES = r"[ \t\n\x0B\f\r]+"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 
 
+@contextmanager
+def merging(spark: SparkSession) -> Iterator[None]:
+    """Within it, sides that aren't marked for a broadcast are merged at any size, so that many small joins don't gather on the driver."""
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "-1")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
@@ -88,4 +101,4 @@ def prefix_greatest(values: Column, block: int = 128) -> Column:
     return _running(values, F.lit(0).cast("bigint"), lambda a, x: F.greatest(a, x), block)
 
 
-__all__ = ["HOT", "SPACES", "SPACE_CHARS", "chosen", "components", "drop", "let", "materialise", "meet", "place", "prefix_greatest", "prefix_sums", "shared_dir", "table", "text_or_empty", "unpacked", "with_row", "words"]
+__all__ = ["HOT", "SPACES", "SPACE_CHARS", "chosen", "components", "drop", "let", "materialise", "meet", "merging", "place", "prefix_greatest", "prefix_sums", "shared_dir", "table", "text_or_empty", "unpacked", "with_row", "words"]

@@ -32,7 +32,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from loopwright.llm.common import chosen, drop, materialise, meet, text_or_empty, unpacked, with_row
+from loopwright.llm.common import chosen, drop, materialise, meet, merging, text_or_empty, unpacked, with_row
 from loopwright.llm.linking import classes, linked, members_of
 
 WIDTH = 5
@@ -222,6 +222,11 @@ def _verifier(bags: DataFrame):
 
 def _linked(docs: DataFrame, threshold: float, width: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     """(doc_id, h, node) of every row, (node, label, links, likest) of the nodes with a link, and the links (a, b, sim)."""
+    with merging(docs.sparkSession):
+        return _found(docs, threshold, width, id_col, text_col)
+
+
+def _found(docs: DataFrame, threshold: float, width: int, id_col: str, text_col: str) -> tuple[DataFrame, DataFrame, DataFrame]:
     known = materialise(sketch(docs, id_col, text_col, width))
     rows = materialise(known.select("doc_id", "h", "node"))
     # copies are one node: any row of it tells its bands
