@@ -72,5 +72,5 @@ def run(spark: SparkSession, sf_dir: str) -> DataFrame:
     return docs
 
 
-#: Signatures, ids and packing are beyond SQL; tests/llm/test_pipeline.py checks the stages against brute force.
+#: Signatures, ids and packing are beyond SQL; tests/llm/test_pipeline.py checks that each stage does what its operator says, and the operators have brute-force tests of their own.
 ORACLE_SQL = None
