@@ -118,9 +118,9 @@ _COLOURS = ", ".join(f"'{c}'" for c in export.COLOURS)
 @registered(f"""SELECT g, 'Group ' || (g + 1) AS name, CASE WHEN g < 0 THEN '{export.NO_COLOUR}' ELSE [{_COLOURS}][(g % {len(export.COLOURS)} + 1)::INTEGER] END AS colour, pos + 1 AS stop,
     printf('%.2f mi (%d m)', metres / 1609.344, floor(metres + 0.5)::BIGINT) AS leg, printf('%.2f mi (%d m)', walked / 1609.344, floor(walked + 0.5)::BIGINT) AS walked FROM (
       SELECT *, sum(metres) OVER (PARTITION BY g ORDER BY pos) AS walked FROM (
-        SELECT g, pos, abs(value - coalesce(lead(value) OVER w, first_value(value) OVER w)) * 97.31::DOUBLE AS metres FROM stops WINDOW w AS (PARTITION BY g ORDER BY pos)))""", V.STOPS_SQL)
+        SELECT g, pos, abs(value - coalesce(lead(value) OVER w, first_value(value) OVER w)) * 97.3137731::DOUBLE AS metres FROM stops WINDOW w AS (PARTITION BY g ORDER BY pos)))""", V.STOPS_SQL)
 def export_stops(spark, sf_dir):
     """Each group's printed page: numbered stops, the way to the next one and the way so far."""
-    legs = stats.tour_legs(V.stops(spark, sf_dir), ["value"]).withColumn("metres", F.abs(F.col("value") - F.col("n_value")) * 97.31)
+    legs = stats.tour_legs(V.stops(spark, sf_dir), ["value"]).withColumn("metres", F.abs(F.col("value") - F.col("n_value")) * 97.3137731)
     return export.stop_table(legs).select("g", "name", "colour", F.col("stop").cast("bigint").alias("stop"), "leg", "walked")
 

@@ -1,7 +1,6 @@
 """Nearest neighbours on adaptive cells against brute force."""
 
 import numpy as np
-import pytest
 from pyspark.sql import functions as F
 
 from loopwright.operators import neighbours, quadtree
@@ -32,19 +31,16 @@ def town(draw, n, m, at=(0.3, 0.7), width=1e-6):
     return [("t", i, float(x), float(y)) for i, (x, y) in enumerate(xy)]
 
 
-@pytest.mark.parametrize("case", ["town", "grid", "line", "copies", "few", "circle"])
-def test_nearest_is_that_of_brute_force(spark, case):
+def test_nearest_is_that_of_brute_force(spark):
+    """Many areas at once: a town in an empty county, a grid of ties, a line that gets ever denser, copies, a circle with its middle, a few points."""
     draw = np.random.default_rng(5)
-    points = {
-        "town": lambda: town(draw, 600, 40) + [("u", i, float(x), 5.0) for i, x in enumerate(draw.random(60))],
-        "grid": lambda: [("g", 30 * i + j, float(i), float(j)) for i in range(30) for j in range(20)],
-        "line": lambda: [("l", i, 2.0**-i, -(2.0**-i)) for i in range(200)],
-        "copies": lambda: [("c", i, 1.0, 2.0) for i in range(200)] + [("c", 500 + i, float(i % 7), float(i // 7)) for i in range(40)] + [("c", 900, None, 1.0), ("c", 901, 1.0, None)],
-        "few": lambda: [("one", 1, 3.0, 3.0), ("two", 1, 0.0, 0.0), ("two", 2, 1e9, -1e9), ("three", 1, 1.0, 1.0), ("three", 2, 1.0, 1.0), ("three", 3, 1.0, 1.0)],
-        "circle": lambda: [("o", i, float(np.cos(a)), float(np.sin(a))) for i, a in enumerate(np.linspace(0, 2 * np.pi, 300, endpoint=False))] + [("o", 999, 0.0, 0.0)],
-    }[case]()
-    df = spark.createDataFrame(points, POINTS)
-    assert told(neighbours.nearest(df, 3)) == brute(points, 3)
+    points = town(draw, 400, 40) + [("u", i, float(x), 5.0) for i, x in enumerate(draw.random(60))]
+    points += [("g", 30 * i + j, float(i), float(j)) for i in range(20) for j in range(15)]
+    points += [("l", i, 2.0**-i, -(2.0**-i)) for i in range(120)]
+    points += [("c", i, 1.0, 2.0) for i in range(150)] + [("c", 500 + i, float(i % 7), float(i // 7)) for i in range(40)] + [("c", 900, None, 1.0), ("c", 901, 1.0, None)]
+    points += [("one", 1, 3.0, 3.0), ("two", 1, 0.0, 0.0), ("two", 2, 1e9, -1e9), ("three", 1, 1.0, 1.0), ("three", 2, 1.0, 1.0), ("three", 3, 1.0, 1.0)]
+    points += [("o", i, float(np.cos(a)), float(np.sin(a))) for i, a in enumerate(np.linspace(0, 2 * np.pi, 200, endpoint=False))] + [("o", 999, 0.0, 0.0)]
+    assert told(neighbours.nearest(spark.createDataFrame(points, POINTS), 3)) == brute(points, 3)
     asking, others = [p for p in points if p[1] % 3 == 0], [p for p in points if p[1] % 3]
     assert told(neighbours.nearest(spark.createDataFrame(asking, POINTS), 2, spark.createDataFrame(others, POINTS))) == brute(asking, 2, others)
 
@@ -58,8 +54,8 @@ def test_points_far_from_all_others(spark):
 
 
 def test_a_town_in_an_empty_county_meets_itself_by_leaves(spark):
-    """Of 30,000 points 99 % lie in a millionth of the box: leaves stay small, and a leaf meets a bounded number of others."""
-    df = spark.createDataFrame(town(np.random.default_rng(3), 29_700, 300, width=1e-3), POINTS)
+    """Of 10,000 points 99 % lie in a millionth of the box: leaves stay small, and a leaf meets a bounded number of others."""
+    df = spark.createDataFrame(town(np.random.default_rng(3), 9_900, 100, width=1e-3), POINTS)
     k = 6
     places = quadtree._places(df, df, k)
     tree = quadtree._tree(places, 2 * (k + 1))
