@@ -410,6 +410,50 @@ def test_ranking_fits_the_pairs_likelihood():
     assert ((score >= model.threshold) == (np.argsort(np.argsort(score)) >= round((y == 0).mean() * 300))).all()
 
 
+def test_ranking_learns_from_all_rows_and_all_pairs(spark):
+    """The weights are those of Newton's method on every pair of every labelled row, and classify() hands all 22,000 rows to it."""
+    import numpy as np
+
+    r = np.random.default_rng(5)
+    width = len(ranking.feature_columns())
+    x = np.round(r.normal(size=(600, width)), 1) * 3
+    y = (x[:, 0] - x[:, 1] / 2 + 2 * r.logistic(size=600) > 2).astype(int)
+    table = spark.createDataFrame([(a.tolist(), int(b)) for a, b in zip(x, y)], "x array<double>, y int")
+    model = ranking.train(table.repartition(3))
+    z = (x - x.mean(axis=0)) / x.std(axis=0)
+    diff = (z[y == 1][:, None] - z[y == 0][None]).reshape(-1, width)
+    w = np.array(model.weights)
+    p = 1 / (1 + np.exp(-diff @ w))
+    assert len(diff) > 50_000 and np.abs(diff.T @ (p - 1) / len(diff) + 1e-3 * w).max() < 1e-9
+    loss, slope, curve = ranking.whole_loss(ranking.moments(table, x.mean(axis=0), x.std(axis=0), w * 2).collect(), width)
+    p = 1 / (1 + np.exp(-diff @ w * 2))
+    assert abs(loss / -np.log(p).mean() - 1) < 1e-10 and np.abs(slope - diff.T @ (p - 1) / len(diff)).max() < 1e-10
+    assert np.abs(curve - (diff * (p * (1 - p))[:, None]).T @ diff / len(diff)).max() < 1e-10
+    score = np.sort(z @ w)
+    at = int((y == 0).sum())
+    assert abs(model.threshold - (score[at - 1] + score[at]) / 2) < 1e-9 and abs(model.spread - score.std() / 2) < 1e-9
+
+    ids = [i for i in range(66_000) if zlib.crc32(str(i).encode()) % 3 != 1][:22_000]
+    texts = ["a b c d", "Of and the, of 12 " * 4, "the # x", None]
+    many = spark.createDataFrame([(i, texts[i % 4]) for i in ids], "doc_id bigint, text string")
+    marks = spark.createDataFrame([(i, int(i % 7 < 3 + i % 4)) for i in ids], "doc_id bigint, quality int")
+    seen = {}
+    train, ranking.train = ranking.train, lambda rows: seen.update(n=rows.count(), ones=rows.where("y = 1").count()) or train(rows)
+    try:
+        assert ranking.classify(many, marks).count() == 22_000
+    finally:
+        ranking.train = train
+    assert seen == {"n": 22_000, "ones": sum(i % 7 < 3 + i % 4 for i in ids)}
+
+
+def test_ranking_selects_by_rank(spark):
+    draw = random.Random(3)
+    values = [draw.choice([0.0, -1e300, 1e300, 1.0, 1.0 + 2**-52, draw.random()]) for _ in range(3000)]
+    table = spark.createDataFrame([(v,) for v in values], "s double")
+    for rank in (0, 1, 600, 1499, 1800, 2998, 2999):
+        assert ranking.ranked(table, rank) == sorted(values)[rank]
+
+
 def test_mixing_of_odd_tables(spark):
     report, mixed = mixing.mix(docs(spark, [None, "", "one two", "three", " "]))
     assert report.count() == 5 and all(r["taken"] == 0 for r in report.collect() if r["size"] == 0) and set(mixed.columns) == set(docs(spark, [None]).columns)
