@@ -24,7 +24,10 @@ import os
 import re
 import struct
 from collections.abc import Iterator
+from itertools import accumulate
+from operator import sub
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -37,6 +40,8 @@ _NUMBERS = "0-9²³¹¼½¾"
 _WHITE = "\\t-\\r \\x85\\xa0"
 
 _PRE_TOKENS = re.compile(f"'s|'t|'re|'ve|'m|'ll|'d|[{_LETTERS}]+|[{_NUMBERS}]|[^{_WHITE}{_LETTERS}{_NUMBERS}]+")
+#: The same, and the space between chunks.
+_SPACED = re.compile(f"{_PRE_TOKENS.pattern}| ")
 #: Characters whose normalization or class the splitter above doesn't cover.
 _OTHER = re.compile("[^\\x00-\\u012f\\u0131-\\u017f]")
 _CHUNKS = re.compile("[ \\t\\n\\r]+")
@@ -93,21 +98,38 @@ def whole_tokens(tokenizer_json: str) -> dict[str, int]:
     return {s: candidates[s] for s, e in zip(strings, encoded) if list(e.ids) == [candidates[s]]}
 
 
+def remember(memo: dict, made: dict, entries: int) -> None:
+    if len(memo) + len(made) <= entries and max(map(len, made)) <= MEMO_CHARS:
+        memo.update(made)
+    else:
+        memo.update((k, v) for k, v in made.items() if len(k) <= MEMO_CHARS and len(memo) < entries)
+
+
+def pack_ids(ids: list[int]) -> bytes:
+    return struct.pack(f"<{len(ids)}I", *ids)
+
+
 class Coder:
     """Encodes texts in a worker. `pack` gives the little-endian unsigned 32-bit ids, `count` their number."""
 
     def __init__(self, tokenizer_json: str, whole: dict[str, int]):
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
-        from tokenizers import Tokenizer
+        from tokenizers import Tokenizer, pre_tokenizers
 
         self._tok = Tokenizer.from_str(tokenizer_json)
+        # the same merges for what is normalised and split already
+        self._merges = Tokenizer(self._tok.model)
+        self._merges.pre_tokenizer = pre_tokenizers.Sequence([pre_tokenizers.WhitespaceSplit(), pre_tokenizers.ByteLevel(add_prefix_space=False, use_regex=False)])
         self._tok.no_truncation()
         self._tok.no_padding()
         self._covered = covered(tokenizer_json)
         specials = sorted((t.content for t in self._tok.get_added_tokens_decoder().values()), key=len, reverse=True)
         self._specials = re.compile("(" + "|".join(map(re.escape, specials)) + ")") if specials else None
+        self._added = set(specials)
         self._marks = tuple({s[:2] for s in specials})
-        self._last = {i for s, i in self._tok.get_vocab(with_added_tokens=False).items() if s.endswith("</w>")}
+        vocabulary = self._tok.get_vocab(with_added_tokens=False)
+        self._last = np.zeros(max(vocabulary.values(), default=0) + 1, bool)
+        self._last[[i for s, i in vocabulary.items() if s.endswith("</w>")]] = True
         self._whole_ids = {s: i.to_bytes(4, "little") for s, i in whole.items()}
         self._whole_counts = dict.fromkeys(whole, 1)
         self._ids, self._counts = dict(self._whole_ids), dict(self._whole_counts)
@@ -115,13 +137,12 @@ class Coder:
         self._chunk_counts: dict[bytes, int] = {}
 
     def _strings(self, text: str) -> list[str]:
-        if self._specials and any(m in text for m in self._marks):
-            parts = self._specials.split(text)
-            found: list[str] = []
-            for at, part in enumerate(parts):
-                found.extend([part] if at % 2 else self._plain(part))
-            return found
-        return self._plain(text)
+        if not any(m in text for m in self._marks):
+            return self._plain(text)
+        found: list[str] = []
+        for at, part in enumerate(self._specials.split(text)):
+            found.extend([part] if at % 2 else self._plain(part))
+        return found
 
     @staticmethod
     def _plain(text: str) -> list[str]:
@@ -135,71 +156,70 @@ class Coder:
                 found.extend(_PRE_TOKENS.findall(chunk.lower()))
         return found
 
-    def _merge(self, strings: list[str]) -> list[list[int]]:
-        """Ids of each string. Plain pre-tokens go through the merges together, one space apart: the last token of each ends a word."""
-        single = [bool(_PRE_TOKENS.fullmatch(s)) and not _OTHER.search(s) for s in strings]
-        joined, own = [], []
-        for i in self._tok.encode(" ".join(s for s, one in zip(strings, single) if one), add_special_tokens=False).ids:
-            own.append(i)
-            if i in self._last:
-                joined.append(own)
-                own = []
-        if own or len(joined) != sum(single):  # not a vocabulary of word ends
-            return [e.ids for e in self._tok.encode_batch_fast(strings, add_special_tokens=False)]
-        rest = iter([e.ids for e in self._tok.encode_batch_fast([s for s, one in zip(strings, single) if not one], add_special_tokens=False)])
-        plain = iter(joined)
-        return [next(plain) if one else next(rest) for one in single]
-
-    def _looked_up(self, strings: list[str], memo: dict, whole: dict, value) -> list:
-        try:
-            return list(map(memo.__getitem__, strings))
-        except KeyError:
-            pass
-        missing = [s for s in set(strings) if s not in memo]
-        made = dict(zip(missing, map(value, self._merge(missing))))
-        if len(memo) + len(made) > MEMO_ENTRIES:
-            memo.clear()
-            memo.update(whole)
-        here = {s: v for s, v in made.items() if len(s) > MEMO_CHARS or len(memo) > MEMO_ENTRIES}
-        memo.update((s, v) for s, v in made.items() if s not in here)
-        if not here and all(s in memo for s in strings):
-            return list(map(memo.__getitem__, strings))
-        still = [s for s in set(strings) if s not in memo and s not in here]
-        here |= dict(zip(still, map(value, self._merge(still))))
-        return [memo[s] if s in memo else here[s] for s in strings]
+    def _merge(self, strings: list[str], plain: bool = False) -> list[bytes]:
+        """Packed ids of each string. Plain pre-tokens go through the merges alone, one space apart: the last token of each ends a word."""
+        whole = [] if plain else [s for s in strings if not _PRE_TOKENS.fullmatch(s) or _OTHER.search(s) or s in self._added]
+        made = {s: pack_ids(e.ids) for s, e in zip(whole, self._tok.encode_batch_fast(whole, add_special_tokens=False))}
+        rest = [s for s in strings if s not in made] if made else strings
+        if rest:
+            ids = np.array(self._merges.encode_batch_fast([" ".join(rest)], add_special_tokens=False)[0].ids, "<u4")
+            ends = (4 * (np.flatnonzero(self._last[ids]) + 1)).tolist()
+            if len(ends) == len(rest) and ends[-1] == 4 * len(ids):
+                packed = ids.tobytes()
+                made.update(zip(rest, map(packed.__getitem__, map(slice, [0, *ends], ends))))
+            else:  # not a vocabulary of word ends
+                made.update((s, pack_ids(e.ids)) for s, e in zip(rest, self._tok.encode_batch_fast(rest, add_special_tokens=False)))
+        return list(map(made.__getitem__, strings))
+
+    def _looked_up(self, strings: list[str], memo: dict, whole: dict, value, plain: bool) -> list:
+        values = list(map(memo.get, strings))
+        gaps = [i for i, v in enumerate(values) if v is None]
+        if gaps:
+            missing = list({strings[i] for i in gaps})
+            made = dict(zip(missing, map(value, self._merge(missing, plain))))
+            if len(memo) + len(made) > MEMO_ENTRIES:
+                memo.clear()
+                memo.update(whole)
+            remember(memo, made, MEMO_ENTRIES)
+            for i in gaps:
+                values[i] = made[strings[i]]
+        return values
 
     def _by_chunk(self, text: str, memo: dict, one: dict, whole: dict, value, join) -> list:
         """The value of each stretch between ASCII white space, which no pre-token crosses; new ones are worked out together."""
         chunks = text.encode().split()
-        try:
-            return list(map(memo.__getitem__, chunks))
-        except KeyError:
-            pass
-        missing = list(set(chunks).difference(memo))
-        parts = [self._strings(c.decode()) for c in missing]
-        values = iter(self._looked_up([s for p in parts for s in p], one, whole, value))
-        made = {c: join([next(values) for _ in p]) for c, p in zip(missing, parts)}
-        if len(memo) + len(made) > CHUNK_ENTRIES:
-            memo.clear()
-        memo.update((c, v) for c, v in made.items() if len(c) <= MEMO_CHARS and len(memo) < CHUNK_ENTRIES)
-        try:
-            return list(map(memo.__getitem__, chunks))
-        except KeyError:  # long ones, or what the memory has just forgotten
-            return [made[c] if c in made else memo[c] if c in memo else self._alone(c, one, whole, value, join) for c in chunks]
-
-    def _alone(self, chunk: bytes, one: dict, whole: dict, value, join):
-        return join(self._looked_up(self._strings(chunk.decode()), one, whole, value))
+        values = list(map(memo.get, chunks))
+        gaps = [i for i, v in enumerate(values) if v is None]
+        if gaps:
+            missing = list({chunks[i] for i in gaps})
+            joined = b" ".join(missing).decode()
+            if plain := (joined.isascii() or not _OTHER.search(joined)) and not any(m in joined for m in self._marks):
+                strings = _SPACED.findall(joined.lower())
+                ends = [i for i, s in enumerate(strings) if s == " "]
+                found = self._looked_up(list(filter(" ".__ne__, strings)), one, whole, value, plain)
+                # without the spaces, of which there is one before each end but the first
+                ends = [*map(sub, ends, range(len(ends))), len(found)]
+            else:
+                parts = list(map(self._strings, map(bytes.decode, missing)))
+                found = self._looked_up([s for p in parts for s in p], one, whole, value, plain)
+                ends = list(accumulate(map(len, parts)))
+            made = {c: found[a] if b - a == 1 else join(found[a:b]) for c, a, b in zip(missing, [0, *ends], ends)}
+            if len(memo) + len(made) > CHUNK_ENTRIES:
+                memo.clear()
+            remember(memo, made, CHUNK_ENTRIES)
+            for i in gaps:
+                values[i] = made[chunks[i]]
+        return values
 
     def count(self, text: str) -> int:
         if not self._covered:
             return len(self._tok.encode(text, add_special_tokens=False).ids)
-        return sum(self._by_chunk(text, self._chunk_counts, self._counts, self._whole_counts, len, sum))
+        return sum(self._by_chunk(text, self._chunk_counts, self._counts, self._whole_counts, lambda packed: len(packed) // 4, sum))
 
     def pack(self, text: str) -> bytes:
-        packed = lambda ids: struct.pack(f"<{len(ids)}I", *ids)
         if not self._covered:
-            return packed(self._tok.encode(text, add_special_tokens=False).ids)
-        return b"".join(self._by_chunk(text, self._chunk_ids, self._ids, self._whole_ids, packed, b"".join))
+            return pack_ids(self._tok.encode(text, add_special_tokens=False).ids)
+        return b"".join(self._by_chunk(text, self._chunk_ids, self._ids, self._whole_ids, bytes, b"".join))
 
 
 _CODERS: dict[int, Coder] = {}

@@ -107,6 +107,30 @@ def test_token_counts_are_the_librarys(spark, library):
         assert (got[i]["n_tokens"], got[i]["n_bytes"], got[i]["over_limit"]) == (n, len((t or "").encode()), n > 2048), (i, t)
 
 
+def test_plain_words_go_to_the_merges_alone(library, monkeypatch):
+    """New words are neither normalised nor split by the library again, however small the memories are."""
+    with open(queries.tokenizer_path(), encoding="utf-8") as f:
+        content = f.read()
+    whole = tokens.whole_tokens(content)
+    own = tokens.Coder(content, whole)
+    draw = random.Random(8)
+    alphabet = ["the", "thh", "ea", "nt", "É", "ü", "X", ",", "'s", "'", "7", " ", " ", "\n", "\x1c", "\xa0", "w" * 70]
+    texts = ["".join(draw.choice(alphabet) for _ in range(draw.randint(1, 60))) for _ in range(300)]
+    wanted = [list(library.encode(t, add_special_tokens=False).ids) for t in texts]
+
+    class Unused:
+        def encode_batch_fast(self, strings, **_):
+            assert not strings
+            return []
+
+    monkeypatch.setattr(own, "_tok", Unused())
+    for entries in (500_000, 30):
+        monkeypatch.setattr(tokens, "CHUNK_ENTRIES", entries)
+        monkeypatch.setattr(tokens, "MEMO_ENTRIES", len(whole) + entries)
+        assert [own.pack(t) for t in texts] == [tokens.pack_ids(ids) for ids in wanted]
+        assert [own.count(t) for t in texts] == list(map(len, wanted))
+
+
 def test_packing_keeps_every_id(spark, library):
     texts = TOKEN_TEXTS + ["word " * k for k in (1, 5, 2047, 2048, 2049, 5000)] + ["the cat sat"] * 40
     got = packing.pack_documents(docs(spark, texts), queries.tokenizer_path(), bins_per_group=2).collect()
