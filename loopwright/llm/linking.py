@@ -77,11 +77,15 @@ def _block_links(open_: DataFrame, payload: DataFrame, similar: Callable, thresh
     return dealt.groupBy("bucket", "i", "j").applyInPandas(joined, f"a {kind}, b {kind}, sim double")
 
 
-def members_of(banded: DataFrame) -> DataFrame:
-    """bucket, node, each once, of the buckets that several nodes share; `banded` has node, bands (array of bucket numbers)."""
+def members_of(banded: DataFrame, once: bool = False) -> DataFrame:
+    """bucket, node, each once, and n, the bucket's nodes, of the buckets that several nodes share.
+
+    `banded` has node, bands (array of bucket numbers); `once` says that each node is in one row, which names no bucket twice.
+    """
+    each = (lambda rows: rows) if once else DataFrame.distinct
     bands = banded.select(F.explode("bands").alias("bucket"), "node")
-    shared = materialise(bands.distinct().groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"))
-    members = materialise(meet(bands, shared, ["bucket"], "n", merged=True).distinct())
+    shared = materialise(each(bands).groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"))
+    members = materialise(each(meet(bands, shared.withColumn("rows", F.col("n")), ["bucket"], "rows", merged=True)))
     drop(shared)
     return members
 
@@ -89,18 +93,22 @@ def members_of(banded: DataFrame) -> DataFrame:
 def classes(members: DataFrame, verify: Callable[[DataFrame], DataFrame], threshold: float, payload: Callable[[DataFrame], DataFrame], similar: Callable, small: int = SMALL, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, DataFrame]:
     """(node, label) of every node that has a link, and the links (a, b, sim) that were verified, which hold the classes together.
 
-    `members` has distinct rows of bucket, node. verify() adds sim to pairs (a, b). payload(nodes) has node, data (any bytes) of those nodes; similar(list of
+    `members` has distinct rows of bucket, node, and n, the nodes of the bucket, where known as by members_of(). verify() adds sim to pairs (a, b). payload(nodes) has node, data (any bytes) of those nodes; similar(list of
     data) gives a function that tells the similarities of its item number i to all items.
     """
-    sizes = materialise(members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"))
-    crowded = materialise(meet(members, sizes.withColumn("rows", F.col("n")), ["bucket"], "rows"))
+    crowded = members
+    if "n" not in members.columns:
+        sizes = materialise(members.groupBy("bucket").agg(F.count("*").alias("n")).where("n > 1"))
+        crowded = materialise(meet(members, sizes.withColumn("rows", F.col("n")), ["bucket"], "rows"))
+        drop(sizes)
     weight = crowded.groupBy("node").agg(F.sum("n").alias("w"))
     heads = materialise(crowded.join(weight, "node").groupBy("bucket").agg(F.min(F.struct((-F.col("w")).alias("w"), "node")).alias("first"), F.count("*").alias("rows")).select("bucket", "rows", F.col("first.node").alias("head"), F.col("first.w").alias("w")))
     headed = materialise(meet(crowded, heads, ["bucket"], "rows"))
-    drop(crowded, sizes)
+    if crowded is not members:
+        drop(crowded)
     best = headed.where("node <> head").groupBy("node").agg(F.min(F.struct("w", "head"))["head"].alias("a"))
     first = materialise(verify(best.select("a", F.col("node").alias("b"))).select("a", "b", "sim"))
-    labels = components(first.where(F.col("sim") >= threshold).select("a", "b"))
+    labels = _components(first.where(F.col("sim") >= threshold).select("a", "b"))
     # heads of other classes; a node leads no more buckets than it has bands
     led = materialise(_labelled(heads.select("bucket", "rows", F.col("head").alias("node")), labels).select("bucket", "rows", F.col("label").alias("led")))
     named = meet(_labelled(headed.where("node <> head"), labels), led, ["bucket"], "rows")
@@ -108,7 +116,7 @@ def classes(members: DataFrame, verify: Callable[[DataFrame], DataFrame], thresh
     second = materialise(verify(other.join(first.select("a", "b"), ["a", "b"], "left_anti")).select("a", "b", "sim"))
     links = first.unionByName(second).where(F.col("sim") >= threshold)
     if second.where(F.col("sim") >= threshold).limit(1).count():
-        labels = components(labels.select(F.col("label").alias("a"), F.col("node").alias("b")).unionByName(second.where(F.col("sim") >= threshold).select("a", "b")))
+        labels = _components(labels.select(F.col("label").alias("a"), F.col("node").alias("b")).unionByName(second.where(F.col("sim") >= threshold).select("a", "b")))
     # buckets that hold several classes
     named = materialise(_labelled(headed.where("n > 2"), labels))
     several = materialise(named.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("rows")).where("x < y").select("bucket", "rows"))
@@ -128,6 +136,11 @@ def classes(members: DataFrame, verify: Callable[[DataFrame], DataFrame], thresh
     return whole, links.unionByName(more)
 
 
+def _components(links: DataFrame) -> DataFrame:
+    """As components(), as a table, for several joins read it."""
+    return materialise(components(links))
+
+
 def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
     """Adds label to rows with a node, its own for a node without a link."""
     return rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))

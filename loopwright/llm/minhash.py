@@ -230,8 +230,10 @@ def _found(docs: DataFrame, threshold: float, width: int, id_col: str, text_col:
     known = materialise(sketch(docs, id_col, text_col, width))
     rows = materialise(known.select("doc_id", "h", "node"))
     # copies are one node: any row of it tells its bands
-    members = members_of(known.where("bands is not null").select("node", "bands"))
+    nodes = materialise(known.where("bands is not null").groupBy("node").agg(F.array_distinct(F.first("bands")).alias("bands")))
     drop(known)
+    members = members_of(nodes, once=True)
+    drop(nodes)
     # only nodes in a bucket with another one are ever verified: of each, one text comes again for its multiset
     counted = rows.groupBy("node", "doc_id", "h").agg(F.count("*").alias("n")).groupBy("node").agg(F.min(F.struct("n", "doc_id", "h")).alias("one"))
     wanted = materialise(counted.join(members.select("node").distinct(), "node", "left_semi").select("node", "one.*"))

@@ -37,8 +37,8 @@ def components(edges: DataFrame) -> DataFrame:
     work = written(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
     while True:
         # done when every node hangs on one root and no root hangs on another
-        several = work.groupBy("b").count().where("count > 1").select("b")
-        if work.join(work.select(F.col("a").alias("b")).distinct(), "b", "left_semi").select("b").unionByName(several).limit(1).count() == 0:
+        ends = work.select(F.explode(F.array(F.struct(F.col("a").alias("node"), F.lit(0).alias("hangs")), F.struct(F.col("b").alias("node"), F.lit(1).alias("hangs")))).alias("end")).select("end.*")
+        if ends.groupBy("node").agg(F.sum("hangs").alias("hangs"), F.min("hangs").alias("least")).where("hangs > least").isEmpty():
             break
         # every neighbour that is larger goes to the least of a node's neighbours and itself
         both = work.select(F.col("a").alias("n"), F.col("b").alias("m")).unionByName(work.select(F.col("b").alias("n"), F.col("a").alias("m")))

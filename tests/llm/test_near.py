@@ -309,3 +309,11 @@ def test_removed_of_hot_documents_and_one_long_text(spark):
     rows += [(77, "".join(draw.choice("abcdefgh ") for _ in range(400_000)) + passage[:250], "s", None, "")]
     got = Counter((r["doc_id"], r["n_bytes"], r["n_removed"], r["n_spans"]) for r in suffixes.removed(spark.createDataFrame(rows, SCHEMA)).collect())
     assert got == Counter({(None, 424, 424, 1): 1500, (77, 400_250, 250, 1): 1} | {(i, 720, 420, 1): 1 for i in range(4)})
+
+
+def test_members_know_the_size_of_their_bucket(spark):
+    """So that linking doesn't count and join the buckets once more."""
+    banded = spark.createDataFrame([(1, [10, 20]), (2, [10, 30]), (3, [10, 20])], "node bigint, bands array<bigint>")
+    wanted = [(10, 1, 3), (10, 2, 3), (10, 3, 3), (20, 1, 2), (20, 3, 2)]
+    for rows, once in ((banded, True), (banded.unionByName(banded), False)):
+        assert sorted(tuple(r) for r in linking.members_of(rows, once).select("bucket", "node", "n").collect()) == wanted
