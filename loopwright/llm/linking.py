@@ -8,7 +8,8 @@ most SMALL - 1 for a member), larger ones in blocks of bounded size. A task meet
 classes that it joins, never its pairs. Blocks are cut along classes, and two blocks of one and the same class don't meet. That is
 quadratic in the blocks of a large bucket of many classes: the price of losing no link.
 
-Everything is a DataFrame; steps are tables in the shared folder, and go when all that reads them is written. Rows of a hot bucket
+Everything is a DataFrame; steps are tables in the shared folder, and go when all that reads them is written. Steps are kept short: the driver plans
+a query anew after each of its shuffles, and holds all its stages meanwhile. Rows of a hot bucket
 stay where they are (common.meet), and blocks are cut by sizes alone, in slices of a bounded size, before the payload comes.
 """
 
@@ -34,25 +35,30 @@ SLICE_BLOCKS = 64
 
 
 def _blocks(rows: DataFrame, block_bytes: int) -> DataFrame:
-    """bucket, node, label, block of rows (bucket, node, label, bytes): labels lie together, as far as they fit a slice."""
+    """bucket, node, label, block of rows (bucket, node, label, bytes), as a table: labels lie together, as far as they fit a slice."""
     slice_bytes = SLICE_BLOCKS * block_bytes
-    whole = materialise(rows.groupBy("bucket").agg(F.sum("bytes").alias("all"), F.count("*").alias("n")))
     named = materialise(rows.groupBy("bucket", "label").agg(F.sum("bytes").alias("own"), F.count("*").alias("n")))
-    sized = meet(meet(rows, whole, ["bucket"], "n"), named, ["bucket", "label"], "n")
+    whole = materialise(named.groupBy("bucket").agg(F.sum("own").alias("all"), F.count("*").alias("classes")))
+    both = materialise(meet(named, whole, ["bucket"], "classes"))
+    sized = meet(rows, both, ["bucket", "label"], "n")
     piece = F.pmod(F.xxhash64("node"), F.floor(F.col("own") / slice_bytes) + 1)
     sliced = sized.withColumn("slice", F.pmod(F.xxhash64("label", piece), F.floor(F.col("all") / slice_bytes) + 1))
     rank = Window.partitionBy("bucket", "slice").orderBy("label", "node").rowsBetween(Window.unboundedPreceding, 0)
-    return sliced.select("bucket", "node", "label", F.concat_ws(":", F.col("slice").cast("string"), F.floor(F.sum("bytes").over(rank) / block_bytes).cast("string")).alias("block"))
+    cut = materialise(sliced.select("bucket", "node", "label", F.concat_ws(":", F.col("slice").cast("string"), F.floor(F.sum("bytes").over(rank) / block_bytes).cast("string")).alias("block")))
+    drop(named, whole, both)
+    return cut
 
 
 def _block_links(open_: DataFrame, payload: DataFrame, similar: Callable, threshold: float, block_bytes: int) -> DataFrame:
     """a, b, sim: links that join classes, found in the buckets' blocks. `open_` has bucket, node, label."""
     sizes = payload.select("node", (F.octet_length(F.col("data").cast("binary")) + 64).alias("bytes"))
-    cut = materialise(_blocks(materialise(open_.select("bucket", "node", "label").join(sizes, "node")), block_bytes))
+    rows = materialise(open_.select("bucket", "node", "label").join(sizes, "node"))
+    cut = _blocks(rows, block_bytes)
+    drop(rows)
     blocks = cut.groupBy("bucket", "block").agg(F.min("label").alias("low"), F.max("label").alias("high"))
     left, right = (blocks.select("bucket", F.col("block").alias(x), F.col("low").alias(f"low_{x}"), F.col("high").alias(f"high_{x}")) for x in ("i", "j"))
     met = left.join(right, "bucket").where((F.col("i") <= F.col("j")) & ((F.col("low_i") < F.col("high_j")) | (F.col("low_j") < F.col("high_i"))))
-    sides = met.select("bucket", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block"))
+    sides = materialise(met.select("bucket", "i", "j", F.explode(F.array_distinct(F.array("i", "j"))).alias("block")))
     dealt = sides.join(cut, ["bucket", "block"]).join(payload.select("node", F.col("data").cast("binary").alias("data")), "node")
     kind = open_.schema["node"].dataType.simpleString()
 
@@ -112,8 +118,9 @@ def classes(members: DataFrame, verify: Callable[[DataFrame], DataFrame], thresh
     # heads of other classes; a node leads no more buckets than it has bands
     led = materialise(_labelled(heads.select("bucket", "rows", F.col("head").alias("node")), labels).select("bucket", "rows", F.col("label").alias("led")))
     named = meet(_labelled(headed.where("node <> head"), labels), led, ["bucket"], "rows")
-    other = named.where("label <> led").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct()
-    second = materialise(verify(other.join(first.select("a", "b"), ["a", "b"], "left_anti")).select("a", "b", "sim"))
+    apart = materialise(named.where("label <> led").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct())
+    second = materialise(verify(apart.join(first.select("a", "b"), ["a", "b"], "left_anti")).select("a", "b", "sim"))
+    drop(apart)
     links = first.unionByName(second).where(F.col("sim") >= threshold)
     if second.where(F.col("sim") >= threshold).limit(1).count():
         labels = _components(labels.select(F.col("label").alias("a"), F.col("node").alias("b")).unionByName(second.where(F.col("sim") >= threshold).select("a", "b")))
@@ -126,11 +133,10 @@ def classes(members: DataFrame, verify: Callable[[DataFrame], DataFrame], thresh
     other = few.select("bucket", F.col("node").alias("b"), F.col("label").alias("other"))
     # members of another class than the head have been judged against it
     left = few.where("node <> head").join(other, "bucket").where((F.col("node") < F.col("b")) & (F.col("label") != F.col("other")) & (F.col("b") != F.col("head")))
-    met = verify(left.select(F.col("node").alias("a"), "b").distinct()).where(F.col("sim") >= threshold).select("a", "b", "sim")
+    more = materialise(verify(left.select(F.col("node").alias("a"), "b").distinct()).where(F.col("sim") >= threshold).select("a", "b", "sim"))
     many = open_.where(F.col("n") > small)
     if many.limit(1).count():
-        met = met.unionByName(_block_links(many, payload(many.select("node").distinct()), similar, threshold, block_bytes))
-    more = materialise(met)
+        more = more.unionByName(materialise(_block_links(many, payload(many.select("node").distinct()), similar, threshold, block_bytes)))
     drop(open_)
     whole = labels if more.isEmpty() else components(labels.select(F.col("label").alias("a"), F.col("node").alias("b")).unionByName(more.select("a", "b")))
     return whole, links.unionByName(more)

@@ -78,6 +78,7 @@ def covered(tokenizer_json: str) -> bool:
 
 def whole_tokens(tokenizer_json: str) -> dict[str, int]:
     """The offline proof: strings that are one pre-token and that encode alone as one token, with that token's id."""
+    os.environ["TOKENIZERS_PARALLELISM"] = "false"
     from tokenizers import Tokenizer
 
     if not covered(tokenizer_json):
@@ -226,18 +227,18 @@ _CODERS: dict[int, Coder] = {}
 
 
 class SharedCoder:
-    """Ships a tokenizer file and its proved whole tokens once to each executor; its size is that of the vocabulary."""
+    """Ships a tokenizer file once to each executor. Its whole tokens are proved in the workers, once in each, so that the driver loads no vocabulary."""
 
     def __init__(self, spark, tokenizer_path: str):
         with open(tokenizer_path, encoding="utf-8") as f:  # a local library file of the driver, not an input
-            content = f.read()
-        self._held = spark.sparkContext.broadcast((content, whole_tokens(content)))
+            self._held = spark.sparkContext.broadcast(f.read())
 
     def get(self) -> Coder:
-        key = hash(self._held.value[0])
+        content = self._held.value
+        key = hash(content)
         if key not in _CODERS:
             _CODERS.clear()
-            _CODERS[key] = Coder(*self._held.value)
+            _CODERS[key] = Coder(content, whole_tokens(content))
         return _CODERS[key]
 
 

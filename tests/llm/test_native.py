@@ -107,6 +107,21 @@ def test_token_counts_are_the_librarys(spark, library):
         assert (got[i]["n_tokens"], got[i]["n_bytes"], got[i]["over_limit"]) == (n, len((t or "").encode()), n > 2048), (i, t)
 
 
+def test_driver_loads_no_vocabulary(spark, library, monkeypatch):
+    """Each load took the driver's memory; workers, which have their own copy of the module, load it."""
+
+    def refused(*_):
+        raise AssertionError("loaded in the driver")
+
+    monkeypatch.setattr(tokens, "whole_tokens", refused)
+    monkeypatch.setattr(tokens, "Coder", refused)
+    wanted = [len(library.encode(t or "", add_special_tokens=False).ids) for t in TOKEN_TEXTS]
+    counted = tokens.token_counts(docs(spark, TOKEN_TEXTS), queries.tokenizer_path()).collect()
+    assert [n for _, n in sorted((r["doc_id"], r["n_tokens"]) for r in counted)] == wanted
+    packed = packing.pack_documents(docs(spark, TOKEN_TEXTS), queries.tokenizer_path()).groupBy("doc_id").sum("length").collect()
+    assert [n for _, n in sorted(map(tuple, packed))] == [n + 1 for n in wanted]
+
+
 def test_plain_words_go_to_the_merges_alone(library, monkeypatch):
     """New words are neither normalised nor split by the library again, however small the memories are."""
     with open(queries.tokenizer_path(), encoding="utf-8") as f:
