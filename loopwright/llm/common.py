@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from loopwright.checkpoints import drop, shared_dir
 from loopwright.checkpoints import written as materialise
 from loopwright.functions.text import let
-from loopwright.operators.joins import HOT, components, meet
+from loopwright.operators.joins import HOT, components, meet, stars
 
 #: Java form of the word class: anything but space, tab, line feed, vertical tab, form feed and carriage return.
 SPACES = r"[ \t\n\x0B\f\r]+"
@@ -101,4 +101,4 @@ def prefix_greatest(values: Column, block: int = 128) -> Column:
     return _running(values, F.lit(0).cast("bigint"), lambda a, x: F.greatest(a, x), block)
 
 
-__all__ = ["HOT", "SPACES", "SPACE_CHARS", "chosen", "components", "drop", "let", "materialise", "meet", "merging", "place", "prefix_greatest", "prefix_sums", "shared_dir", "table", "text_or_empty", "unpacked", "with_row", "words"]
+__all__ = ["HOT", "SPACES", "SPACE_CHARS", "chosen", "components", "drop", "let", "materialise", "meet", "merging", "place", "prefix_greatest", "prefix_sums", "shared_dir", "stars", "table", "text_or_empty", "unpacked", "with_row", "words"]

@@ -33,7 +33,7 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from loopwright.llm.common import chosen, drop, materialise, meet, text_or_empty
-from loopwright.llm.linking import classes, linked, members_of
+from loopwright.llm.linking import classes, linked, members_of, verified_schema
 
 SLOTS, WALKS = 256, 2
 #: Coins repeat after so many steps; characters share so many rows of coins.
@@ -348,13 +348,14 @@ def with_classes(known: DataFrame, threshold: float = NEAR, bands: int = BANDS,
 
     def verify(pairs: DataFrame) -> DataFrame:
         side = lambda x: reps.select(F.col("node").alias(x), F.col("fingerprint").alias(f"print_{x}"))
+        names = [*pairs.columns, "sim"]
 
         def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                a, b = (np.frombuffer("".join(batch.column(k).to_pylist()).encode(), np.uint8).reshape(-1, SLOTS) - 48 for k in (2, 3))
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(likeness(a, b), pa.float64())], names=["a", "b", "sim"])
+                a, b = (np.frombuffer("".join(batch.column(k).to_pylist()).encode(), np.uint8).reshape(-1, SLOTS) - 48 for k in (0, 1))
+                yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(likeness(a, b), pa.float64())], names=names)
 
-        return pairs.select("a", "b").join(side("a"), "a").join(side("b"), "b").select("a", "b", "print_a", "print_b").mapInArrow(judged, "a binary, b binary, sim double")
+        return pairs.join(side("a"), "a").join(side("b"), "b").select("print_a", "print_b", *pairs.columns).mapInArrow(judged, verified_schema(pairs))
 
     payload = lambda nodes: reps.join(nodes, "node", "left_semi").select("node", F.col("fingerprint").alias("data"))
     members = members_of(banded)

@@ -22,7 +22,7 @@ import pandas as pd
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from loopwright.llm.common import components, drop, materialise, meet
+from loopwright.llm.common import components, drop, materialise, meet, stars
 
 #: Buckets of at most so many members are paired off.
 SMALL = 16
@@ -37,20 +37,23 @@ SLICE_BLOCKS = 64
 def _blocks(rows: DataFrame, block_bytes: int) -> DataFrame:
     """bucket, node, label, block of rows (bucket, node, label, bytes), as a table: labels lie together, as far as they fit a slice."""
     slice_bytes = SLICE_BLOCKS * block_bytes
-    named = materialise(rows.groupBy("bucket", "label").agg(F.sum("bytes").alias("own"), F.count("*").alias("n")))
-    whole = materialise(named.groupBy("bucket").agg(F.sum("own").alias("all"), F.count("*").alias("classes")))
-    both = materialise(meet(named, whole, ["bucket"], "classes"))
-    sized = meet(rows, both, ["bucket", "label"], "n")
-    piece = F.pmod(F.xxhash64("node"), F.floor(F.col("own") / slice_bytes) + 1)
-    sliced = sized.withColumn("slice", F.pmod(F.xxhash64("label", piece), F.floor(F.col("all") / slice_bytes) + 1))
+    sized, slice_ = rows, F.lit(0)
+    # few: each has a slice's bytes at least
+    large = materialise(rows.groupBy("bucket").agg(F.sum("bytes").alias("all")).where(F.col("all") >= slice_bytes))
+    if not large.isEmpty():
+        wide = rows.groupBy("bucket", "label").agg(F.sum("bytes").alias("own")).where(F.col("own") >= slice_bytes)
+        sized = rows.join(F.broadcast(large), "bucket", "left").join(F.broadcast(wide), ["bucket", "label"], "left")
+        piece = F.pmod(F.xxhash64("node"), F.floor(F.coalesce("own", F.lit(0)) / slice_bytes) + 1)
+        slice_ = F.pmod(F.xxhash64("label", piece), F.floor(F.coalesce("all", F.lit(0)) / slice_bytes) + 1)
+    sliced = sized.withColumn("slice", slice_)
     rank = Window.partitionBy("bucket", "slice").orderBy("label", "node").rowsBetween(Window.unboundedPreceding, 0)
     cut = materialise(sliced.select("bucket", "node", "label", F.concat_ws(":", F.col("slice").cast("string"), F.floor(F.sum("bytes").over(rank) / block_bytes).cast("string")).alias("block")))
-    drop(named, whole, both)
+    drop(large)
     return cut
 
 
 def _block_links(open_: DataFrame, payload: DataFrame, similar: Callable, threshold: float, block_bytes: int) -> DataFrame:
-    """a, b, sim: links that join classes, found in the buckets' blocks. `open_` has bucket, node, label."""
+    """a, b, sim, x, y: links that join classes, found in the buckets' blocks, and the labels of their ends. `open_` has bucket, node, label."""
     sizes = payload.select("node", (F.octet_length(F.col("data").cast("binary")) + 64).alias("bytes"))
     rows = materialise(open_.select("bucket", "node", "label").join(sizes, "node"))
     cut = _blocks(rows, block_bytes)
@@ -76,11 +79,11 @@ def _block_links(open_: DataFrame, payload: DataFrame, similar: Callable, thresh
                 near &= block != block[at]
             for other in np.flatnonzero(near):
                 if label[other] != label[at]:
-                    found.append((own["node"][at], own["node"][other], float(sims[other])))
+                    found.append((own["node"][at], own["node"][other], float(sims[other]), own["label"][at], own["label"][other]))
                     label[label == label[at]] = label[other]
-        return pd.DataFrame(found, columns=["a", "b", "sim"])
+        return pd.DataFrame(found, columns=["a", "b", "sim", "x", "y"])
 
-    return dealt.groupBy("bucket", "i", "j").applyInPandas(joined, f"a {kind}, b {kind}, sim double")
+    return dealt.groupBy("bucket", "i", "j").applyInPandas(joined, f"a {kind}, b {kind}, sim double, x {kind}, y {kind}")
 
 
 def members_of(banded: DataFrame, once: bool = False) -> DataFrame:
@@ -97,9 +100,10 @@ def members_of(banded: DataFrame, once: bool = False) -> DataFrame:
 
 
 def classes(members: DataFrame, verify: Callable[[DataFrame], DataFrame], threshold: float, payload: Callable[[DataFrame], DataFrame], similar: Callable, small: int = SMALL, block_bytes: int = BLOCK_BYTES) -> tuple[DataFrame, DataFrame]:
-    """(node, label) of every node that has a link, and the links (a, b, sim) that were verified, which hold the classes together.
+    """(node, label) of the nodes, and the links (a, b, sim) that were verified, which hold the classes together.
 
-    `members` has distinct rows of bucket, node, and n, the nodes of the bucket, where known as by members_of(). verify() adds sim to pairs (a, b). payload(nodes) has node, data (any bytes) of those nodes; similar(list of
+    A label is the least node of a class; this node itself and nodes without a link have no row.
+    `members` has distinct rows of bucket, node, and n, the nodes of the bucket, where known as by members_of(). verify() adds sim to pairs (a, b), whose other columns stay. payload(nodes) has node, data (any bytes) of those nodes; similar(list of
     data) gives a function that tells the similarities of its item number i to all items.
     """
     crowded = members
@@ -112,48 +116,70 @@ def classes(members: DataFrame, verify: Callable[[DataFrame], DataFrame], thresh
     headed = materialise(meet(crowded, heads, ["bucket"], "rows"))
     if crowded is not members:
         drop(crowded)
-    best = headed.where("node <> head").groupBy("node").agg(F.min(F.struct("w", "head"))["head"].alias("a"))
-    first = materialise(verify(best.select("a", F.col("node").alias("b"))).select("a", "b", "sim"))
-    labels = _components(first.where(F.col("sim") >= threshold).select("a", "b"))
-    # heads of other classes; a node leads no more buckets than it has bands
-    led = materialise(_labelled(heads.select("bucket", "rows", F.col("head").alias("node")), labels).select("bucket", "rows", F.col("label").alias("led")))
-    named = meet(_labelled(headed.where("node <> head"), labels), led, ["bucket"], "rows")
-    apart = materialise(named.where("label <> led").select(F.col("head").alias("a"), F.col("node").alias("b")).distinct())
-    second = materialise(verify(apart.join(first.select("a", "b"), ["a", "b"], "left_anti")).select("a", "b", "sim"))
-    drop(apart)
-    links = first.unionByName(second).where(F.col("sim") >= threshold)
-    if second.where(F.col("sim") >= threshold).limit(1).count():
-        labels = _components(labels.select(F.col("label").alias("a"), F.col("node").alias("b")).unionByName(second.where(F.col("sim") >= threshold).select("a", "b")))
+    # the greatest head of a node, and its others; a node has no more heads than bands
+    led = headed.where("node <> head").groupBy("node").agg(F.min(F.struct("w", "head"))["head"].alias("a"), F.collect_set("head").alias("heads"))
+    led = materialise(led.select(F.col("node").alias("b"), "a", F.filter("heads", lambda h: h != F.col("a")).alias("others")))
+    first = materialise(verify(led.select("a", "b")).select("a", "b", "sim"))
+    labels = _trees(first.where(F.col("sim") >= threshold).select(F.col("b").alias("node"), F.col("a").alias("up")))
+    # heads of other classes
+    others = _labelled(led.where(F.size("others") > 0).select(F.col("b").alias("node"), "others"), labels)
+    pairs = _labelled(others.select(F.col("node").alias("b"), F.col("label").alias("y"), F.explode("others").alias("node")), labels)
+    apart = materialise(pairs.where("label <> y").select(F.col("node").alias("a"), "b", F.col("label").alias("x"), "y"))
+    second = materialise(verify(apart).where(F.col("sim") >= threshold))
+    drop(led, apart)
+    links = first.where(F.col("sim") >= threshold).unionByName(second.select("a", "b", "sim"))
+    if not second.isEmpty():
+        labels = materialise(_merged(labels, second))
     # buckets that hold several classes
     named = materialise(_labelled(headed.where("n > 2"), labels))
     several = materialise(named.groupBy("bucket").agg(F.min("label").alias("x"), F.max("label").alias("y"), F.count("*").alias("rows")).where("x < y").select("bucket", "rows"))
     open_ = materialise(meet(named, several, ["bucket"], "rows").select("bucket", "node", "label", "head", "n"))
-    drop(headed, heads, led, named, several)
+    drop(headed, heads, named, several)
     few = open_.where(F.col("n") <= small).select("bucket", "node", "label", "head")
     other = few.select("bucket", F.col("node").alias("b"), F.col("label").alias("other"))
     # members of another class than the head have been judged against it
     left = few.where("node <> head").join(other, "bucket").where((F.col("node") < F.col("b")) & (F.col("label") != F.col("other")) & (F.col("b") != F.col("head")))
-    more = materialise(verify(left.select(F.col("node").alias("a"), "b").distinct()).where(F.col("sim") >= threshold).select("a", "b", "sim"))
+    more = materialise(verify(left.select(F.col("node").alias("a"), "b", F.col("label").alias("x"), F.col("other").alias("y")).distinct()).where(F.col("sim") >= threshold).select("a", "b", "sim", "x", "y"))
     many = open_.where(F.col("n") > small)
     if many.limit(1).count():
         more = more.unionByName(materialise(_block_links(many, payload(many.select("node").distinct()), similar, threshold, block_bytes)))
     drop(open_)
-    whole = labels if more.isEmpty() else components(labels.select(F.col("label").alias("a"), F.col("node").alias("b")).unionByName(more.select("a", "b")))
-    return whole, links.unionByName(more)
+    return labels if more.isEmpty() else _merged(labels, more), links.unionByName(more.select("a", "b", "sim"))
 
 
-def _components(links: DataFrame) -> DataFrame:
-    """As components(), as a table, for several joins read it."""
-    return materialise(components(links))
+def verified_schema(pairs: DataFrame) -> str:
+    return ", ".join([*[f"{f.name} {f.dataType.simpleString()}" for f in pairs.schema], "sim double"])
+
+
+def _trees(tree: DataFrame) -> DataFrame:
+    """node, label as classes() gives them, of trees: each node in one row, with the one that it hangs on. Each round halves the depth."""
+    while True:
+        above = tree.select(F.col("node").alias("up"), F.col("up").alias("top"))
+        new = materialise(tree.select("node", "up").join(above, "up", "left").select("node", F.coalesce("top", "up").alias("up"), "top"))
+        drop(tree)
+        tree = new
+        if tree.where("top is not null").isEmpty():
+            break
+    roots = materialise(tree.groupBy("up").agg(F.least(F.min("node"), "up").alias("label"), F.count("*").alias("n")))
+    hung = meet(tree, roots, ["up"], "n").select("node", "label").unionByName(roots.select(F.col("up").alias("node"), "label"))
+    labels = materialise(hung.where("node <> label"))
+    drop(tree, roots)
+    return labels
+
+
+def _merged(labels: DataFrame, links: DataFrame) -> DataFrame:
+    """The labels once links between them (x, y) have joined classes."""
+    moved = stars(links.select(F.col("x").alias("a"), F.col("y").alias("b")))
+    return labels.join(moved.select(F.col("node").alias("label"), F.col("label").alias("least")), "label", "left").select("node", F.coalesce("least", "label").alias("label")).unionByName(moved)
 
 
 def _labelled(rows: DataFrame, labels: DataFrame) -> DataFrame:
-    """Adds label to rows with a node, its own for a node without a link."""
+    """Adds label to rows with a node."""
     return rows.join(labels, "node", "left").withColumn("label", F.coalesce("label", "node"))
 
 
 def linked(labels: DataFrame, links: DataFrame) -> DataFrame:
-    """node, label, links, likest: of each node its class, the number of its verified links and the greatest of their similarities."""
+    """node, label, links, likest: of each node with a link its class, the number of its verified links and the greatest of their similarities."""
     both = links.select(F.col("a").alias("node"), "sim").unionByName(links.select(F.col("b").alias("node"), "sim"))
     each = both.groupBy("node").agg(F.count("*").alias("links"), F.max("sim").alias("likest"))
-    return labels.join(each, "node", "left")
+    return _labelled(each, labels)

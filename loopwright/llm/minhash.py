@@ -33,7 +33,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from loopwright.llm.common import chosen, drop, materialise, meet, merging, text_or_empty, unpacked, with_row
-from loopwright.llm.linking import classes, linked, members_of
+from loopwright.llm.linking import classes, linked, members_of, verified_schema
 
 WIDTH = 5
 BANDS, ROWS = 32, 5
@@ -195,7 +195,7 @@ def sketch(docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", widt
 
 
 def bags_of(texts: DataFrame, width: int = WIDTH) -> DataFrame:
-    """node, bag (packed multiset) of rows (node, text), one of each node."""
+    """node, bag (packed multiset) of rows (node, text)."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         memo = _Words()
@@ -203,19 +203,20 @@ def bags_of(texts: DataFrame, width: int = WIDTH) -> DataFrame:
             bags = [multiset(windows(t.as_py().encode("utf-8", "surrogatepass").split(), memo, width)).tobytes() for t in batch.column(1)]
             yield pa.RecordBatch.from_arrays([batch.column(0), pa.array(bags, pa.binary())], names=["node", "bag"])
 
-    return texts.select("node", "text").mapInArrow(read, "node binary, bag binary").groupBy("node").agg(F.first("bag").alias("bag"))
+    return texts.select("node", "text").mapInArrow(read, "node binary, bag binary")
 
 
 def _verifier(bags: DataFrame):
     def verify(pairs: DataFrame) -> DataFrame:
         met = pairs.join(bags.select(F.col("node").alias("a"), F.col("bag").alias("bag_a")), "a").join(bags.select(F.col("node").alias("b"), F.col("bag").alias("bag_b")), "b")
+        names = [*pairs.columns, "sim"]
 
         def judged(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
             for batch in batches:
-                sims = [overlap(x.as_buffer(), y.as_buffer()) for x, y in zip(batch.column(2), batch.column(3))]
-                yield pa.RecordBatch.from_arrays([batch.column(0), batch.column(1), pa.array(sims, pa.float64())], names=["a", "b", "sim"])
+                sims = [overlap(x.as_buffer(), y.as_buffer()) for x, y in zip(batch.column(0), batch.column(1))]
+                yield pa.RecordBatch.from_arrays([*batch.columns[2:], pa.array(sims, pa.float64())], names=names)
 
-        return met.select("a", "b", "bag_a", "bag_b").mapInArrow(judged, "a binary, b binary, sim double")
+        return met.select("bag_a", "bag_b", *pairs.columns).mapInArrow(judged, verified_schema(pairs))
 
     return verify
 
@@ -238,7 +239,11 @@ def _found(docs: DataFrame, threshold: float, width: int, id_col: str, text_col:
     counted = rows.groupBy("node", "doc_id", "h").agg(F.count("*").alias("n")).groupBy("node").agg(F.min(F.struct("n", "doc_id", "h")).alias("one"))
     wanted = materialise(counted.join(members.select("node").distinct(), "node", "left_semi").select("node", "one.*"))
     texts = chosen(docs, doc_id=id_col, text=text_col).select("doc_id", _hash().alias("h"), text_or_empty().alias("text"))
-    bags = materialise(bags_of(meet(texts, wanted, ["doc_id", "h"], "n", merged=True), width))
+    once, several = wanted.where("n = 1"), wanted.where("n > 1")
+    bags = bags_of(meet(texts, once, ["doc_id", "h"], "n", merged=True), width)
+    if not several.isEmpty():  # rows that share doc_id and text: one of them does
+        bags = bags.unionByName(bags_of(meet(texts, several, ["doc_id", "h"], "n", merged=True), width).groupBy("node").agg(F.first("bag").alias("bag")))
+    bags = materialise(bags)
     drop(wanted)
     labels, links = classes(members, _verifier(bags), threshold, lambda nodes: bags.join(nodes, "node", "left_semi").select("node", F.col("bag").alias("data")), overlaps)
     found = materialise(linked(labels, links))
@@ -259,7 +264,7 @@ def near_classes(docs: DataFrame, threshold: float = 0.8, width: int = WIDTH, id
     """
     rows, labels, _ = _linked(docs, threshold, width, id_col, text_col)
     named = materialise(_firsts(rows).join(labels, "node", "left").withColumn("label", F.coalesce("label", "node")))
-    ids = named.groupBy("label").agg(F.min("first").alias("least"), F.count("*").alias("n")).select("label", F.col("least.doc_id").alias("class_id"), "n")
+    ids = materialise(named.groupBy("label").agg(F.min("first").alias("least"), F.count("*").alias("n")).select("label", F.col("least.doc_id").alias("class_id"), "n"))
     by_node = meet(named, ids, ["label"], "n").select("node", "class_id", "copies", F.coalesce("links", F.lit(0)).alias("links"), F.col("likest").alias("overlap"), F.col("copies").alias("n"))
     return meet(rows, materialise(by_node), ["node"], "n").select("doc_id", "class_id", "copies", "links", "overlap")
 

@@ -33,7 +33,13 @@ def meet(rows: DataFrame, found: DataFrame, keys: list[str], n: str, merged: boo
 
 
 def components(edges: DataFrame) -> DataFrame:
-    """node, label (the least node of its component) of every node of edges (a, b). Large-star and small-star rounds."""
+    """node, label (the least node of its component) of every node of edges (a, b)."""
+    hung = stars(edges)
+    return hung.unionByName(hung.select(F.col("label").alias("node"), "label").distinct())
+
+
+def stars(edges: DataFrame) -> DataFrame:
+    """As components(), without the least nodes themselves. Large-star and small-star rounds."""
     work = written(edges.select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).where("a <> b").distinct())
     while True:
         # done when every node hangs on one root and no root hangs on another
@@ -48,5 +54,4 @@ def components(edges: DataFrame) -> DataFrame:
         new = written(large.join(down, "b").select(F.when(F.col("a") == F.col("low"), F.col("b")).otherwise(F.col("a")).alias("b"), F.col("low").alias("a")).where("a <> b").distinct())
         drop(work)
         work = new
-    hung = work.select(F.col("b").alias("node"), F.col("a").alias("label"))
-    return hung.unionByName(work.select(F.col("a").alias("node"), F.col("a").alias("label")).distinct())
+    return work.select(F.col("b").alias("node"), F.col("a").alias("label"))

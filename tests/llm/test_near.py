@@ -317,3 +317,60 @@ def test_members_know_the_size_of_their_bucket(spark):
     wanted = [(10, 1, 3), (10, 2, 3), (10, 3, 3), (20, 1, 2), (20, 3, 2)]
     for rows, once in ((banded, True), (banded.unionByName(banded), False)):
         assert sorted(tuple(r) for r in linking.members_of(rows, once).select("bucket", "node", "n").collect()) == wanted
+
+
+def _line(spark, n, seed=2):
+    """Points on a line, linked within a distance of 0.02: classes() of them, but for its buckets, and the label that each point has to get."""
+    import numpy as np
+
+    draw = random.Random(seed)
+    at = sorted(draw.random() for _ in range(n))
+    place = spark.createDataFrame(list(enumerate(at)), "i bigint, x double")
+
+    def verify(pairs):
+        met = pairs.join(place.withColumnRenamed("i", "a").withColumnRenamed("x", "u"), "a").join(place.withColumnRenamed("i", "b").withColumnRenamed("x", "v"), "b")
+        return met.withColumn("sim", 1.0 - F.abs(F.col("u") - F.col("v"))).drop("u", "v")
+
+    def similar(data):
+        x = np.array([float(d) for d in data])
+        return lambda i: 1.0 - np.abs(x - x[i])
+
+    payload = lambda nodes: place.select(F.col("i").alias("node"), F.col("x").cast("string").alias("data")).join(nodes, "node", "left_semi")
+    expected = [0]
+    for i in range(1, n):
+        expected.append(i if at[i] - at[i - 1] > 0.02 else expected[-1])
+    return lambda members, **sizes: linking.classes(members, verify, 0.98, payload, similar, **sizes), expected
+
+
+def test_linking_by_chains_takes_few_stages(spark):
+    """Neighbours share buckets, so heads hang on heads; two long buckets go to the blocks. The shuffles that this takes don't become more."""
+    find, expected = _line(spark, 80)
+    rows = [(i, j) for i in range(79) for j in (i, i + 1)] + [(1000 + i % 2, i) for i in range(80)]
+    members = spark.createDataFrame(rows, "bucket bigint, node bigint")
+    context, tracker = spark.sparkContext, spark.sparkContext.statusTracker()
+    context.setJobGroup("linking", "")
+    try:
+        labels, _ = find(members, small=4)
+        found = {r["node"]: r["label"] for r in labels.collect()}
+    finally:
+        context.setLocalProperty("spark.jobGroup.id", None)
+    assert [found.get(i, i) for i in range(80)] == expected
+    stages = {s for j in tracker.getJobIdsForGroup("linking") for s in tracker.getJobInfo(j).stageIds}
+    ran = [s for s in stages if (known := tracker.getStageInfo(s)) and known.numCompletedTasks]
+    assert len(ran) < 142  # 130; 154 with the components of all links after each step
+
+
+def test_linking_in_many_slices(spark, monkeypatch):
+    """Buckets and classes of more bytes than a slice are cut into slices by place, and lose no link."""
+    monkeypatch.setattr(linking, "SLICE_BLOCKS", 1)
+    find, expected = _line(spark, 80)
+    labels, _ = find(spark.createDataFrame([(1, i) for i in range(80)], "bucket bigint, node bigint"), small=2, block_bytes=400)
+    found = {r["node"]: r["label"] for r in labels.collect()}
+    assert [found.get(i, i) for i in range(80)] == expected
+
+
+def test_labels_of_deep_trees(spark):
+    """Each node hangs on the next one; the root is the greatest."""
+    tree = spark.createDataFrame([(i, i + 1) for i in range(20)] + [(i, 100) for i in range(101, 140)], "node bigint, up bigint")
+    found = {r["node"]: r["label"] for r in linking._trees(tree).collect()}
+    assert found == {i: 0 for i in range(1, 21)} | {i: 100 for i in range(101, 140)}
