@@ -2,8 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
-from contextlib import contextmanager
+from collections.abc import Callable
 
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -11,7 +10,7 @@ from pyspark.sql import functions as F
 from loopwright.checkpoints import drop, shared_dir
 from loopwright.checkpoints import written as materialise
 from loopwright.functions.text import let
-from loopwright.operators.joins import HOT, components, meet, stars
+from loopwright.operators.joins import HOT, components, meet, merging, stars
 
 #: Java form of the word class: anything but space, tab, line feed, vertical tab, form feed and carriage return.
 SPACES = r"[ \t\n\x0B\f\r]+"
@@ -20,18 +19,6 @@ SPACES = r"[ \t\n\x0B\f\r]+"
 SPACE_CHARS = " \t\n\x0b\x0c\r"
 
 
-@contextmanager
-def merging(spark: SparkSession) -> Iterator[None]:
-    """Within it, sides that aren't marked for a broadcast are merged at any size, so that many small joins don't gather on the driver."""
-    name = "spark.sql.autoBroadcastJoinThreshold"
-    before = spark.conf.get(name, None)
-    spark.conf.set(name, "-1")
-    try:
-        yield
-    finally:
-        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
-
-
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 

@@ -2,7 +2,10 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+from contextlib import contextmanager
+
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from loopwright.checkpoints import drop, written
@@ -11,6 +14,18 @@ from loopwright.checkpoints import drop, written
 HOT = 1000
 
 
+@contextmanager
+def merging(spark: SparkSession) -> Iterator[None]:
+    """Within it, sides that aren't marked for a broadcast are merged at any size, so that many small joins, and tables that are small only as compressed files, don't gather on the driver."""
+    name = "spark.sql.autoBroadcastJoinThreshold"
+    before = spark.conf.get(name, None)
+    spark.conf.set(name, "-1")
+    try:
+        yield
+    finally:
+        spark.conf.unset(name) if before is None else spark.conf.set(name, before)
+
+
 def meet(rows: DataFrame, found: DataFrame, keys: list[str], n: str, merged: bool = False) -> DataFrame:
     """Inner join of rows with `found`: one row a key (null is a key) whose column `n`, which is dropped, says how many of the rows carry it.
 

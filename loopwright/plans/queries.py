@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from functools import wraps
+
 from pyspark.sql import Column, Window
 from pyspark.sql import functions as F
 
@@ -9,6 +11,7 @@ from loopwright.checkpoints import written
 from loopwright.functions import geo
 from loopwright.functions import text as T
 from loopwright.operators import chains, cover, edits, graph, hubs, neighbours, snap, solver, stats, walking
+from loopwright.operators.joins import merging
 from loopwright.plans import views as V
 from loopwright.plans.model import build_model
 from loopwright.plans.registry import ORACLE_SQL, registered, rounded
@@ -308,6 +311,17 @@ def snap_offset_summary(spark, sf_dir):
     return met.agg(F.count("*").alias("houses"), rounded(F.avg("offset"), 3).alias("mean_offset"))
 
 
+def many_areas(query):
+    """A query over tables of very many like areas, that compress to a small part of what their rows take in memory: no side of a join is broadcast for the size of its file, neither in the steps nor in the last one, which is written too."""
+
+    @wraps(query)
+    def run(spark, sf_dir):
+        with merging(spark):
+            return written(query(spark, sf_dir))
+
+    return run
+
+
 #: On a grid of streets the shortest way goes straight up and over, along the northern of both rows, which is the shorter by a hair.
 _HOOD = f"""hood AS (
   SELECT c_custkey AS k, c_custkey // {V.NEIGHBOURHOOD} AS area, slot, r, rest // {2 * V.PER_EDGE} AS c, (rest % {2 * V.PER_EDGE} // 2 + 0.1::DOUBLE + c_custkey * 31 % 89 / 89.0::DOUBLE * 0.8::DOUBLE) / {V.PER_EDGE} AS f,
@@ -329,6 +343,7 @@ def dist_house_pairs(spark, sf_dir):
 @registered("""SELECT i::VARCHAR AS i, rank, round(metres::DOUBLE, 2) AS metres FROM (SELECT i, metres, row_number() OVER (PARTITION BY i ORDER BY metres, j::VARCHAR) AS rank FROM (
     SELECT i, j, (CASE WHEN same AND beside THEN gap WHEN same THEN gap + 2 * off + 8
       ELSE 2 * off + over + least(fa * sa + abs(ca - cb) * s + fb * sb, fa * sa + abs(ca - cb - 1) * s + (1 - fb) * sb, (1 - fa) * sa + abs(ca + 1 - cb) * s + fb * sb, (1 - fa) * sa + abs(ca - cb) * s + (1 - fb) * sb) END)::FLOAT AS metres FROM pairs WHERE i <> j)) WHERE rank <= 8""", _HOOD, _HOOD_PAIRS)
+@many_areas
 def dist_nearest(spark, sf_dir):
     """The eight nearest houses of every house by walking: a truncated search from all houses, no pairs of an area."""
     g = V.neighbourhoods(spark, sf_dir)
