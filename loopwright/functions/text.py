@@ -121,9 +121,29 @@ def escape_html(s: Column) -> Column:
     return s
 
 
+def two_places(x: Column) -> Column:
+    """A double to two places as C prints it: rounded by its exact binary value, halves to even. Java's %.2f rounds the shortest decimal that tells the double, half up; from 2 ** 63 on its digits stay."""
+
+    def printed(v: Column) -> Column:
+        size = F.abs(v)
+        whole = F.floor(size)
+        rest = size - whole
+        # a hundred times the rest is high + low, both exact: products of 26 bits, and of what is left of 53, by 100
+        head = F.floor(rest * (1 << 26)) / (1 << 26)
+        high, low = head * 100, (rest - head) * 100
+        down = F.floor(high)
+        over = (high - down - 0.5) + low
+        cents = down + F.when((over > 0) | ((over == 0) & (down % 2 == 1)), 1).otherwise(0)
+        sign = F.when(v.cast("string").startswith("-"), F.lit("-")).otherwise(F.lit(""))
+        exact = F.concat(sign, (whole + F.floor(cents / 100)).cast("string"), F.lit("."), F.lpad((cents % 100).cast("string"), 2, "0"))
+        return F.when(size < float(1 << 63), exact).when(v.isNotNull(), F.format_string("%.2f", v))
+
+    return let(x.cast("double"), printed)
+
+
 def format_distance(metres: Column) -> Column:
-    """Miles to two places, metres rounded half up."""
-    return F.format_string("%.2f mi (%d m)", metres / 1609.344, F.floor(metres + 0.5).cast("bigint"))
+    """Miles to two places, metres rounded half up; null without metres."""
+    return F.concat(two_places(metres / 1609.344), F.lit(" mi ("), F.floor(metres + 0.5).cast("bigint").cast("string"), F.lit(" m)"))
 
 
 def poly_string(ring: Column) -> Column:
