@@ -8,7 +8,7 @@ from loopwright.checkpoints import written
 from loopwright.functions import text as T
 from loopwright.operators import edits, graph, neighbours, snap, stats
 from loopwright.plans import views as V
-from loopwright.plans.queries import _HOOD, _HOOD_PAIRS, _SNAPS, _edges, _grid_houses, _neighbourhoods, _snaps
+from loopwright.plans.queries import _HOOD, _HOOD_PAIRS, _SNAPS, _edges, _grid_houses, _neighbourhoods, _snaps, many_areas
 from loopwright.plans.registry import registered, rounded
 from loopwright.sinks import export
 from loopwright.sources import elements, houses
@@ -50,6 +50,7 @@ def seed_regret(spark, sf_dir):
 
 @registered("""SELECT i::VARCHAR AS i, row_number() OVER (PARTITION BY i ORDER BY metres, j::VARCHAR) AS rank, round(metres::DOUBLE, 2) AS metres FROM (
     SELECT i, j, (CASE WHEN beside THEN gap ELSE gap + 2 * off + 8 END)::FLOAT AS metres FROM pairs WHERE same AND i <> j)""", _HOOD, _HOOD_PAIRS)
+@many_areas
 def segment_mates(spark, sf_dir):
     """The houses of each house's segment by walking distance; in a neighbourhood every stretch between crossings is a segment."""
     m = _neighbourhoods(spark, sf_dir)[1]

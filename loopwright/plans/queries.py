@@ -529,9 +529,10 @@ def synthetic_houses(spark, sf_dir):
 
 
 def _neighbourhoods(spark, sf_dir):
-    """The customers' neighbourhoods and their model."""
+    """The customers' neighbourhoods and their model; see many_areas."""
     g = V.neighbourhoods(spark, sf_dir)
-    return g, build_model(g["houses"], g["nodes"], g["ways"])
+    with merging(spark):
+        return g, build_model(g["houses"], g["nodes"], g["ways"])
 
 
 def _wrong_lengths(found, dist):
