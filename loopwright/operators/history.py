@@ -5,8 +5,8 @@ MAX_HISTORY). An edit makes a new top, an undo goes down one, a redo up one; onl
 may be entered with to those it is left with, and the maps of an area's blocks compose: blocks are worked through apart, twice, once for all states and once from the right one.
 What holds in the end is, of each depth up to the last one, the last edit that reached it: an edit at a depth replaces all that stood there and above.
 
-Scale: rows are placed by a range sort and dealt by block, so an area with any share of the rows is spread over tasks; the maps of an area's blocks, 16 kB each, meet in
-one task, a map for every BLOCK rows of it.
+Scale: areas of at most BLOCK rows are dealt by area and walked through once, many in a batch. The rows of the others are placed by a range sort and dealt by block, so an area with any
+share of the rows is spread over tasks; the maps of an area's blocks, 16 kB each, meet in one task, a map for every BLOCK rows of it.
 """
 
 from __future__ import annotations
@@ -15,6 +15,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -123,19 +124,53 @@ def _depths(rows: DataFrame) -> DataFrame:
     return rows.select("area", "block", "at", "seq", "kind", "room", "down", "top").repartition("area", "block").sortWithinPartitions("area", "block", "at").mapInPandas(run, "area string, at bigint, seq bigint, depth bigint, last boolean")
 
 
+def _short(rows: DataFrame) -> DataFrame:
+    """area, seq of the edits that hold, of areas whose rows (area, seq, kind) one walk takes."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        area, done, gone, fixed = None, [], [], 0
+        for batch in batches:
+            areas, seqs = [], []
+            for own, seq, kind in zip(*(c.to_pylist() for c in batch.columns)):
+                if own != area:
+                    areas += [area] * len(done)
+                    seqs += done
+                    area, done, gone, fixed = own, [], [], 0
+                if kind == _UNDO:
+                    if len(done) > fixed:
+                        gone.append(done.pop())
+                elif kind == _REDO:
+                    if gone:
+                        done.append(gone.pop())
+                else:
+                    done.append(seq)
+                    gone, fixed = [], max(fixed, len(done) - MAX_HISTORY)
+            yield pa.RecordBatch.from_arrays([pa.array(areas, pa.string()), pa.array(seqs, pa.int64())], names=["area", "seq"])
+        yield pa.RecordBatch.from_arrays([pa.array([area] * len(done), pa.string()), pa.array(done, pa.int64())], names=["area", "seq"])
+
+    return rows.select("area", "seq", "kind").repartition("area").sortWithinPartitions("area", "seq").mapInArrow(run, "area string, seq bigint")
+
+
 def held_edits(log: DataFrame, block: int = BLOCK) -> DataFrame:
     """area, seq of the edits of a log (area, seq, kind) that hold after its undo and redo rows; kinds are 'edit', 'undo' and 'redo'."""
     kind = F.when(F.col("kind") == "undo", _UNDO).when(F.col("kind") == "redo", _REDO).otherwise(_EDIT).cast("int")
-    rows = placed(written(log.select("area", "seq", kind.alias("kind"))), ["area", "seq"])
-    first = rows.groupBy("area").agg(F.min("at").alias("first"), F.count("*").alias("n"))
-    own = written(rows.join(first.withColumnRenamed("area", "a"), F.col("area") == F.col("a")).select("area", "seq", "kind", "at", F.floor((F.col("at") - F.col("first")) / block).alias("block"), (F.col("n") > block).alias("several")))
-    entries = _entries(_maps(own.where("several")))
-    start = [F.lit(0).alias("room"), F.lit(0).alias("down"), F.lit(0).cast("bigint").alias("top")]
-    one = own.where("not several").select("*", *start)
-    met = own.where("several").join(entries.select(F.col("area").alias("a"), F.col("block").alias("b"), "room", "down", "top"), (F.col("area") == F.col("a")) & (F.col("block") == F.col("b"))).drop("a", "b")
-    depths = written(_depths(one.unionByName(met)))
+    rows = written(log.select(F.col("area").cast("string").alias("area"), F.col("seq").cast("bigint").alias("seq"), kind.alias("kind")).where("area is not null"))
+    long = written(rows.groupBy("area").agg(F.count("*").alias("n")).where(F.col("n") > block).select(F.col("area").alias("a")))
+    if long.isEmpty():
+        return _short(rows)
+    some = F.col("area") == F.col("a")
+    return _short(rows.join(long, some, "left_anti")).unionByName(_long(written(rows.join(long, some, "left_semi")), block))
+
+
+def _long(log: DataFrame, block: int) -> DataFrame:
+    """As held_edits(), of a table whose kinds are numbers, by maps of blocks."""
+    rows = placed(log, ["area", "seq"])
+    first = rows.groupBy("area").agg(F.min("at").alias("first"))
+    own = written(rows.join(first.withColumnRenamed("area", "a"), F.col("area") == F.col("a")).select("area", "seq", "kind", "at", F.floor((F.col("at") - F.col("first")) / block).alias("block")))
+    entries = _entries(_maps(own))
+    met = own.join(entries.select(F.col("area").alias("a"), F.col("block").alias("b"), "room", "down", "top"), (F.col("area") == F.col("a")) & (F.col("block") == F.col("b"))).drop("a", "b")
+    depths = written(_depths(met))
     drop(own)
     ends = depths.where("last").groupBy("area").agg(F.max_by("depth", "at").alias("end"))
     lasts = depths.where("not last").groupBy("area", "depth").agg(F.max_by("seq", "at").alias("seq"))
     return lasts.join(ends, "area").where("depth <= end").select("area", "seq")
-

@@ -46,3 +46,21 @@ def test_a_log_of_many_rows_in_one_area(spark):
     rows = [(i, "undo" if i % 7 == 3 else "redo" if i % 11 == 5 else "edit") for i in range(n)]
     assert sorted(r["seq"] for r in edits.undone(df).collect()) == sorted(brute(rows))
     assert edits.undone(df.limit(0)).collect() == []
+
+
+def test_very_many_short_logs_take_one_walk(spark, monkeypatch):
+    """Areas that one walk takes are neither placed nor cut into blocks, beside one that isn't short; nulls in no area hold nothing."""
+    asked = []
+    monkeypatch.setattr(history, "placed", lambda rows, by, f=history.placed: asked.append(rows.select("area").distinct().count()) or f(rows, by))
+    kind = F.when(F.col("id") % 5 == 3, "undo").when(F.col("id") % 9 == 5, "redo").otherwise("edit")
+    short = spark.range(30_000).select((F.col("id") % 4000).cast("string").alias("area"), F.col("id").alias("seq"), kind.alias("kind"))
+    assert history.held_edits(short).count() and asked == []
+    long = spark.range(5000).select(F.lit("long").alias("area"), F.col("id").alias("seq"), kind.alias("kind"))
+    none = spark.range(3).select(F.lit(None).cast("string").alias("area"), F.col("id").alias("seq"), F.lit("edit").alias("kind"))
+    got = {}
+    for r in history.held_edits(short.unionByName(long).unionByName(none)).collect():
+        got.setdefault(r["area"], []).append(r["seq"])
+    logs = {}
+    for r in short.unionByName(long).collect():
+        logs.setdefault(r["area"], []).append((r["seq"], r["kind"]))
+    assert asked == [1] and {a: sorted(x) for a, x in got.items()} == {a: sorted(brute(rows)) for a, rows in logs.items() if brute(rows)}
