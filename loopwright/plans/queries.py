@@ -544,6 +544,7 @@ def _wrong_lengths(found, dist):
 
 
 @registered("SELECT (c_custkey // 48)::VARCHAR AS area, run, count(*) AS houses, count(*) AS different, 6::BIGINT AS groups, 0::BIGINT AS empty, 0::BIGINT AS off, true AS feasible, 0::BIGINT AS wrong FROM customer, (SELECT unnest([0, 1]) AS run) GROUP BY c_custkey // 48, run")
+@many_areas
 def solve_partition(spark, sf_dir):
     """Groups and loops of every area under two seeds, told by what must hold: each house in one loop, sizes within tolerance, lengths of loops that are those of their legs."""
     g, m = _neighbourhoods(spark, sf_dir)
