@@ -560,6 +560,7 @@ def solve_partition(spark, sf_dir):
 
 
 @registered("SELECT a.area, a.g, count(c_custkey) AS stops, count(c_custkey) AS different, false AS wrong, false AS longer FROM (SELECT DISTINCT (c_custkey // 48)::VARCHAR AS area, g FROM customer, (SELECT unnest(range(4))::INTEGER AS g)) a LEFT JOIN customer ON (c_custkey // 48)::VARCHAR = a.area AND c_custkey % 48 // 12 = a.g GROUP BY a.area, a.g")
+@many_areas
 def solve_tours(spark, sf_dir):
     """Re-routing: a loop for each street row of every area, one task a group; it holds each house once, has its legs' length, and is no longer than the houses in their order."""
     g, m = _neighbourhoods(spark, sf_dir)

@@ -17,7 +17,7 @@ def plans(spark, run):
     return found, [new.apply(i).physicalPlanDescription() for i in range(new.size())]
 
 
-@pytest.mark.parametrize("name", ["dist_nearest", "segment_mates", "dist_house_pairs", "solve_partition"])
+@pytest.mark.parametrize("name", ["dist_nearest", "segment_mates", "dist_house_pairs", "solve_partition", "solve_tours"])
 def test_no_join_is_broadcast_by_the_size_of_a_file(spark, name):
     rows, told = plans(spark, lambda: QUERIES[name](spark, SF).count())
     assert rows > 0 and any("SortMergeJoin" in plan for plan in told)
