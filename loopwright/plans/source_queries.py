@@ -131,8 +131,14 @@ def source_pages(spark, sf_dir):
     pages = written(pages.unionByName(behind).select("area", "offset", "value"))
     error = F.when(F.col("area").cast("bigint") % 2 == 0, F.lit('{"error": {"message": "try again"}}')).otherwise(F.col("value"))
     folders = [_folder(spark), _folder(spark)]
-    for folder, answer in zip(folders, (error, F.col("value"))):
-        pages.select("area", "offset", answer.alias("value")).repartition("area", "offset").write.partitionBy("area", "offset").text(folder)
+
+    def serve(rows):
+        for area, offset, *bodies in rows:
+            for folder, body in zip(folders, bodies):
+                remote.put(f"{folder}/area={area}/offset={offset}/page.json", body)
+
+    # very many small files: Spark's writers would start a process or two for each on a local disk
+    pages.select("area", "offset", error, "value").foreachPartition(serve)
     spark.dataSource.register(remote.Pages)
     read = written(spark.read.format("parcel_pages").option("sources", json.dumps(folders)).load())
     got = houses.parse_parcels(houses.all_pages(read))
