@@ -39,6 +39,8 @@ from loopwright.llm.common import HOT, chosen, drop, materialise, meet, text_or_
 LENGTH, GRAM = 200, 64
 #: Bytes that are hashed together.
 PIECE = 1 << 18
+#: Bytes of text whose records a task gives out together: batches have as many rows at any length of texts and any number of their windows.
+SLICE = 1 << 20
 
 _U = np.uint64
 _K = np.uint64(0x9E3779B97F4A7C15)
@@ -83,6 +85,17 @@ def _texts(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
     return (np.frombuffer(data, np.uint8) if data is not None and data.size else np.empty(0, np.uint8)), ends
 
 
+def _slices(batches: Iterator[pa.RecordBatch], column: int) -> Iterator[pa.RecordBatch]:
+    """The same rows in batches of at most SLICE bytes of text (in this column), or of one row."""
+    for batch in batches:
+        _, ends = _texts(batch.column(column))
+        i = 0
+        while i < batch.num_rows:
+            j = max(i + 1, int(np.searchsorted(ends, ends[i] + SLICE, side="right")) - 1)
+            yield batch.slice(i, j - i)
+            i = j
+
+
 def _pieces(ends: np.ndarray, length: int) -> Iterator[tuple[int, int, int, int]]:
     """(first text, last text + 1, begin, end): stretches of bytes whose windows are taken together."""
     i = 0
@@ -134,7 +147,7 @@ def _rows(docs: DataFrame, id_col: str, text_col: str) -> DataFrame:
 
 def _first_digits(rows: DataFrame, length: int) -> DataFrame:
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches, 2):
             of, start, n, word, whole, anchor = runs(*_texts(batch.column(2)), length)
             at = pa.array(of, pa.int64())
             yield pa.RecordBatch.from_arrays([batch.column(0).take(at), batch.column(1).take(at), pa.array(start, pa.int32()), pa.array(n, pa.int16()), pa.array(anchor, pa.int16()), pa.array(word.view(np.int64)), pa.array(whole.view(np.int64))], names=["doc_id", "h", "start", "n", "anchor", "word", "whole"])
@@ -170,7 +183,7 @@ def _second_digits(texts: DataFrame, length: int) -> DataFrame:
     half = (length - GRAM) // 2
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches, 2):
             out: list[list[np.ndarray]] = [[] for _ in range(6)]
             for i, h, low, s, n, word, alone, anchor in _stretches(batch.column(3), batch.column(2), length):
                 a = anchor.astype(np.int64)
@@ -191,7 +204,7 @@ def _last_digits(texts: DataFrame, length: int) -> DataFrame:
     """A row a window of the wanted runs: word, window, and whose it is. `texts` has doc_id, h, text, wanted (start, n, word, alone)."""
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches, 2):
             out: list[list[np.ndarray]] = [[] for _ in range(5)]
             for i, h, low, s, n, word, alone in _stretches(batch.column(3), batch.column(2), length):
                 each = np.repeat(s, n) + np.arange(n.sum()) - np.repeat(np.cumsum(n) - n, n)
@@ -280,7 +293,7 @@ def removed(docs: DataFrame, length: int = LENGTH, id_col: str = "doc_id", text_
     schema = "doc_id bigint, n_bytes bigint, n_removed bigint, n_spans bigint, kept_sha256 string" + (", kept binary" if with_kept else "")
 
     def read(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in _slices(batches, 1):
             data, ends = _texts(batch.column(1))
             hits, out = batch.column(2), [[], [], [], [], []]
             for i in range(batch.num_rows):
